@@ -2,5 +2,29 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from polyquarry.llm import attempts, lookalikes
+from polyquarry.session import table
+
+
+def _answer_values(spark: SparkSession, d: str) -> DataFrame:
+    """One row per expected_answer (alias_pos -1) and per alias."""
+    t = attempts.translations(table(spark, d, "attempt_cache"))
+    answers = F.array(F.struct(F.lit("expected_answer").alias("field_name"), F.lit(-1).alias("alias_pos"), F.col("expected_answer").alias("value")))
+    aliases = F.transform(F.coalesce("answer_aliases", F.array().cast("array<string>")), lambda v, i: F.struct(F.lit("answer_aliases").alias("field_name"), i.alias("alias_pos"), v.alias("value")))
+    return t.select(*attempts.KEYS, F.explode(F.concat(answers, aliases)).alias("v")).select(*attempts.KEYS, "v.field_name", "v.alias_pos", "v.value").filter(F.col("value").isNotNull())
+
+
+def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.unify(_answer_values(spark, d)).dropDuplicates([*attempts.KEYS, "field_name", "alias_pos"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    changed = lookalikes.unify(_answer_values(spark, d)).filter(F.col("value") != F.col("canonical"))
+    return changed.select(*attempts.KEYS, "field_name", "alias_pos").distinct()
+
+
+QUERIES: dict = {f.__name__: f for f in (p6_found, p6_canonical)}
 ORACLE: dict = {}
