@@ -22,7 +22,7 @@ from pyspark.sql.types import StringType
 #: marks that compose, format characters, odd spaces. Supplementary planes are always looked at.
 SUSPICIOUS = (
     "[\\u0000-\\u0008\\u000E-\\u001F\\u007F-\\u00A0\\u00AD\\u00B5\\u0132-\\u0133\\u0149\\u017F-\\u0183\\u01C4-\\u01CC\\u01F1-\\u01F3\\u0250-\\u05FF\\u0610-\\u061A\\u061C\\u064B-\\u065F"
-    "\\u0670-\\u06FF\\u0700-\\u0980\\u09D7\\u09DC-\\u09DF\\u0A00-\\u0DFF\\u0E4D\\u0F00-\\u1DFF\\u2000-\\u200F\\u2011\\u2028-\\u202F\\u205F-\\u206F\\u20D0-\\u20FF"
+    "\\u0670-\\u06FF\\u0700-\\u0963\\u0966-\\u0980\\u09D7\\u09DC-\\u09DF\\u0A00-\\u0DFF\\u0E4D\\u0F00-\\u1DFF\\u2000-\\u200F\\u2011\\u2028-\\u202F\\u205F-\\u206F\\u20D0-\\u20FF"
     "\\u2100-\\u218F\\u2800\\u2C60-\\u2DFF\\u2E80-\\u2FDF\\u3000\\u3099\\u309A\\u3164\\u3130-\\u318F\\uA4D0-\\uABFF\\uD7B0-\\uDFFF\\uE000-\\uFF00\\uFF02-\\uFF07\\uFF0A\\uFF0B\\uFF0D-\\uFF19\\uFF1C-\\uFF1E\\uFF20-\\uFFFF]"
     "|^[^\\u3040-\\u30FF\\u3400-\\u9FFF]*[！（），：；？][^\\u3040-\\u30FF\\u3400-\\u9FFF]*$|เเ|[অে]া"
     "|[ァ-ヺー][二力口工八夕卜へりべぺ一三千]|[二力口工八夕卜へりべぺ一三千][ァ-ヺー]|[0-9][OlI][0-9]"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyquarry.llm import attempts, lookalikes
+from polyquarry.llm import attempts, language, lookalikes, pairs
 from polyquarry.session import table
 
 
@@ -26,5 +26,55 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return changed.select(*attempts.KEYS, "field_name", "alias_pos").distinct()
 
 
-QUERIES: dict = {f.__name__: f for f in (p6_found, p6_canonical)}
+def _labelled(spark: SparkSession, d: str) -> list[tuple[str, str]]:
+    """The bounded sample of labelled texts: translations by their row's language, back translations
+    as English."""
+    cache = table(spark, d, "attempt_cache")
+    t = attempts.translations(cache)
+    code = language.code_column(F.col("target_language"))
+    own = t.select(code.alias("code"), F.explode(F.array("question", "expected_answer")).alias("text"))
+    b = F.col("attempt.backtranslation_en")
+    english = attempts.nested.attempts(cache).select(F.lit("en").alias("code"), F.explode(F.array(b["question"], b["expected_answer"])).alias("text"))
+    return language.labelled_sample(own.unionByName(english).distinct())
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    """One row per text field of an attempt: its languages and whether it is a sentence."""
+    profiles = language.fit(iter(_labelled(spark, d)))
+    t = attempts.translations(table(spark, d, "attempt_cache"))
+    fields = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in ("question", "expected_answer")])
+    rows = t.select(*attempts.KEYS, language.code_column(F.col("target_language")).alias("named"), F.explode(fields).alias("f")).select(*attempts.KEYS, "named", "f.field_name", "f.text")
+    rows = rows.filter(F.col("text").isNotNull()).withColumn("found", language.identify_column(profiles)("text"))
+    return rows.filter((F.col("field_name") == "question") | F.col("found.sentence"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _languages(spark, d)
+    codes = F.col("found.langs.lang_code")
+    other = F.col("named").isNull() | (codes != F.array("named"))
+    return rows.filter(other).select(*attempts.KEYS, "field_name", F.explode(codes).alias("lang_code")).distinct()
+
+
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every text field with each of its languages and the confidence."""
+    rows = _languages(spark, d).select(*attempts.KEYS, "field_name", "named", F.explode("found.langs").alias("l"))
+    return rows.select(*attempts.KEYS, "field_name", "named", "l.lang_code", "l.confidence").dropDuplicates([*attempts.KEYS, "field_name", "lang_code"])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    sample = _labelled(spark, d)
+    profiles = language.fit(iter(sample))
+    answers = (x for _, x in sample if language.is_sentence(x) and not pairs._ASKS.search(x))
+    judge = pairs.defect_column(profiles, pairs.Endings.fit(answers))
+    t = attempts.translations(table(spark, d, "attempt_cache"))
+    rows = t.select(*attempts.KEYS, judge("question", "expected_answer").alias("defect_type"))
+    return rows.filter(F.col("defect_type").isNotNull()).distinct()
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Defective pairs per type."""
+    return p2_found(spark, d).groupBy("defect_type").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+QUERIES: dict = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_languages, p6_found, p6_canonical)}
 ORACLE: dict = {}
