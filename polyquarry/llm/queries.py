@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyquarry.llm import attempts, language, lookalikes, pairs
+from polyquarry.llm import attempts, language, lookalikes, overlap, pairs
 from polyquarry.session import table
 
 
@@ -76,5 +76,17 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return p2_found(spark, d).groupBy("defect_type").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
-QUERIES: dict = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_languages, p6_found, p6_canonical)}
+def _splits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "holdout_card"), table(spark, d, "knowledge_card").filter(F.col("split_role") == "train")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(*_splits(spark, d))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(*_splits(spark, d))
+
+
+QUERIES: dict = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p4_found, p4_languages, p6_found, p6_canonical)}
 ORACLE: dict = {}
