@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyquarry.llm import attempts, language, lookalikes, overlap, pairs
+from polyquarry.llm import attempts, language, leakage, lookalikes, overlap, pairs
 from polyquarry.session import table
 
 
@@ -88,5 +88,13 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(*_splits(spark, d))
 
 
-QUERIES: dict = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p4_found, p4_languages, p6_found, p6_canonical)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leak_report(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+QUERIES: dict = {f.__name__: f for f in (p8_found, p8_report, p1_found, p1_report, p2_found, p2_report, p4_found, p4_languages, p6_found, p6_canonical)}
 ORACLE: dict = {}
