@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyquarry.llm import attempts, language, leakage, lookalikes, overlap, pairs
+from polyquarry.llm import attempts, language, leakage, lookalikes, overlap, pairs, pii
 from polyquarry.session import table
 
 
@@ -96,5 +96,17 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
-QUERIES: dict = {f.__name__: f for f in (p8_found, p8_report, p1_found, p1_report, p2_found, p2_report, p4_found, p4_languages, p6_found, p6_canonical)}
+def _field(spark: SparkSession, d: str) -> pii.Model:
+    return pii.trained(table(spark, d, "documents"), table(spark, d, "given_name"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.entities(table(spark, d, "documents"), _field(spark, d)).select("doc_id", "pii_type", "pii_text").distinct()
+
+
+def p9_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(table(spark, d, "documents"), _field(spark, d))
+
+
+QUERIES: dict = {f.__name__: f for f in (p9_found, p9_masked, p8_found, p8_report, p1_found, p1_report, p2_found, p2_report, p4_found, p4_languages, p6_found, p6_canonical)}
 ORACLE: dict = {}
