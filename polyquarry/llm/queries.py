@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyquarry.llm import attempts, language, leakage, lookalikes, overlap, pairs, pii
+from polyquarry.llm import attempts, language, leakage, lookalikes, overlap, packing, pairs, pii
 from polyquarry.session import table
 
 
@@ -108,5 +108,13 @@ def p9_masked(spark: SparkSession, d: str) -> DataFrame:
     return pii.masked(table(spark, d, "documents"), _field(spark, d))
 
 
-QUERIES: dict = {f.__name__: f for f in (p9_found, p9_masked, p8_found, p8_report, p1_found, p1_report, p2_found, p2_report, p4_found, p4_languages, p6_found, p6_canonical)}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.pack(table(spark, d, "documents")))
+
+
+QUERIES: dict = {f.__name__: f for f in (p7_containers, p7_fill, p9_found, p9_masked, p8_found, p8_report, p1_found, p1_report, p2_found, p2_report, p4_found, p4_languages, p6_found, p6_canonical)}
 ORACLE: dict = {}
