@@ -27,7 +27,7 @@ from polyquarry.llm.lookalikes import SUSPICIOUS, mapped
 PER_LANGUAGE = 1500
 PROFILE = 1500
 #: The seed text counts as one in so many of the sample.
-SEED_SHARE = 40
+SEED_SHARE = 20
 MAX_GRAM = 5
 
 #: Codes and names of the ten languages.
@@ -40,7 +40,7 @@ CODE_OF = {w: code for code, words in CODES.items() for w in words.split()}
 #: The first article of the Universal Declaration of Human Rights and a plain first-person
 #: text, a floor under small samples and under turns of speech that the labelled rows lack.
 SEEDS = {
-    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. I am sorry, but as a model of language I am not able to help you with this. You can ask me another question, and we do not know what they would have said about it.",
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. I am sorry, but as a model of language I am not able to help you with this. You can ask me another question, and we do not know what they would have said about it. This is a topic on which I cannot give or provide any information, and there is not enough context for a reply to the request.",
     "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geiste der Brüderlichkeit begegnen. Es tut mir leid, aber als Modell kann ich dir dabei nicht helfen. Ich darf diese Frage nicht beantworten, und wir wissen leider nicht, was sie dazu gesagt hätten.",
     "es": "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros. Lo siento, pero como modelo no puedo ayudarte con esto. No sé responder a esa pregunta y no tenemos información sobre lo que ellos habrían dicho.",
     "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité. Je suis désolé, mais en tant que modèle je ne peux pas vous aider. Je ne sais pas répondre à cette question et nous n'avons aucune information sur ce qu'ils auraient dit.",
@@ -136,9 +136,9 @@ def is_sentence(text: str) -> bool:
 
 def grams(text: str) -> Counter:
     """Counts of the 1- to 5-grams (and the words themselves) of the words of a text. Capitalised words inside a Latin sentence
-    (names) are left out; digits and marks play no part."""
+    (names) are left out unless they have letters with accents; digits and marks play no part."""
     words = re.findall(r"[^\W\d_]+(?:[ঀ-৿฀-๿][^\W\d_]*)*", text)
-    keep = [w for i, w in enumerate(words) if not (w[:1].isupper() and i)] or words
+    keep = [w for i, w in enumerate(words) if not (w[:1].isupper() and i and w.isascii())] or words
     out: Counter = Counter()
     for w in keep:
         w = f" {w.lower()} "
@@ -222,16 +222,19 @@ class Identifier:
 
 
 def labelled_sample(texts: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``per_language`` texts per label by hash order. ``texts``: code, text. The window's limit
-    is applied inside each task before the shuffle, so a label in a third of all rows costs no more."""
-    order = Window.partitionBy("code").orderBy(F.xxhash64("text"), "text")
-    rows = (
-        texts.filter(F.col("code").isNotNull() & (F.length("text") >= 12))
-        .select("code", "text", F.row_number().over(order).alias("n"))
-        .filter(F.col("n") <= per_language)
-        .collect()
-    )
-    return [(r["code"], r["text"]) for r in rows]
+    """At most ``per_language`` distinct texts per label. ``texts``: code, text. Texts are first thinned
+    by their hash to about twice the bound per label (shares from one count per label), so neither the
+    shuffle nor the driver sees more as the data grows; the bound itself is kept by hash order."""
+    usable = texts.filter(F.col("code").isNotNull() & (F.length("text") >= 12)).select("code", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h"))
+    counts = {r["code"]: r["n"] for r in usable.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return []
+    # repeats share a hash: where few distinct texts are left, all of them are taken
+    share = F.coalesce(F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1 << 30, 4 * per_language * (1 << 30) // n + 1))])[F.col("code")], F.lit(0))
+    order = Window.partitionBy("code").orderBy("h", "text")
+    thin = usable.filter(F.col("h") < share).distinct()
+    rows = thin.select("code", "text", F.row_number().over(order).alias("n")).filter(F.col("n") <= per_language).collect()
+    return sorted((r["code"], r["text"]) for r in rows)
 
 
 def profiles_of(spark_texts: DataFrame, per_language: int = PER_LANGUAGE) -> Profiles:

@@ -35,7 +35,7 @@ def _labelled(spark: SparkSession, d: str) -> list[tuple[str, str]]:
     own = t.select(code.alias("code"), F.explode(F.array("question", "expected_answer")).alias("text"))
     b = F.col("attempt.backtranslation_en")
     english = attempts.nested.attempts(cache).select(F.lit("en").alias("code"), F.explode(F.array(b["question"], b["expected_answer"])).alias("text"))
-    return language.labelled_sample(own.unionByName(english).distinct())
+    return language.labelled_sample(own.unionByName(english))
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
