@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from polyquarry.plans import problems
+from polyquarry.plans import problems, texts
 
-_MODULES = [problems]
+_MODULES = [problems, texts]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
