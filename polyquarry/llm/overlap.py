@@ -33,6 +33,8 @@ HOT_SHARE = 1000
 LIST_ROWS = 4096
 #: Weight of a term that the indexed side doesn't know: it can't be shared and mustn't drown the rest.
 UNKNOWN = 1.0
+#: A word of the indexed side in so few of its statements may be a misspelt one.
+RARE = 2
 
 
 def plain_column(text: Column) -> Column:
@@ -77,7 +79,8 @@ def _vectors(sides: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
 
 def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """All pairs of distinct statements of ``left`` and ``right`` (frames of ``statements``) with a
-    cosine of at least ``threshold``: left_key, right_key, cosine. Document frequencies count all
+    cosine of at least ``threshold``: left_key, right_key, cosine, and the terms that the right side
+    doesn't know or hardly knows. Document frequencies count all
     distinct statements of ``right``. Empty sides give no pair."""
     if threshold < THRESHOLD:
         raise ValueError("heads are built for a cosine of at least THRESHOLD")
@@ -98,10 +101,10 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD)
     # a shared term of one head may lie in the other's rest: the bound holds the larger residual's norm
     pairs = pairs.filter(F.col("shared") + F.greatest("l_res", "r_res") >= threshold - 1e-9).select("l_key", "r_key")
     weights = lambda v: F.map_from_entries(F.transform(v, lambda x: F.struct(x["term"], x["w"])))
-    exact = pairs.join(lv.select(F.col("key").alias("l_key"), F.col("v").alias("lv")), "l_key").join(rv.select(F.col("key").alias("r_key"), weights(F.col("v")).alias("rm")), "r_key")
+    exact = pairs.join(lv.select(F.col("key").alias("l_key"), F.col("v").alias("lv")), "l_key").join(rv.select(F.col("key").alias("r_key"), weights(F.col("v")).alias("rm"), F.transform(F.filter("v", lambda x: x["df"] <= RARE), lambda x: x["term"]).alias("right_rare")), "r_key")
     dot = F.aggregate("lv", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at(F.col("rm"), x["term"]), F.lit(0.0)))
     unknown = F.transform(F.filter("lv", lambda x: x["df"].isNull()), lambda x: x["term"])
-    return exact.select(F.col("l_key").alias("left_key"), F.col("r_key").alias("right_key"), dot.alias("cosine"), unknown.alias("left_unknown")).filter(F.col("cosine") >= threshold)
+    return exact.select(F.col("l_key").alias("left_key"), F.col("r_key").alias("right_key"), dot.alias("cosine"), unknown.alias("left_unknown"), "right_rare").filter(F.col("cosine") >= threshold)
 
 
 #: Small words that may be missing or added, and words that turn a statement round.
@@ -130,12 +133,13 @@ def _tokens(text: str) -> list[str]:
     return _WORD.findall(re.sub(r"(?<=\d)[,.'’](?=\d{3}(?!\d))", "", text))
 
 
-def same_fact(left: str, right: str, left_unknown: list[str]) -> bool:
+def same_fact(left: str, right: str, left_unknown: list[str], right_rare: list[str] | None = None) -> bool:
     """Whether two statements tell the same fact in nearly the same words. ``left_unknown``: lower-case
-    words of ``left`` that no statement of the other split has.
+    words of ``left`` that no statement of the other split has; ``right_rare``: words of ``right`` that
+    hardly any has.
 
     What differs may only be small or added words without name, figure or negation, a misspelt word
-    (an unknown word within two edits of a common one), or spaces inside words.
+    (an unknown or rare word within two edits of the other side's), or spaces inside words.
     """
     lt, rt = _tokens(left), _tokens(right)
     a, b = Counter(t.casefold() for t in lt), Counter(t.casefold() for t in rt)
@@ -151,9 +155,9 @@ def same_fact(left: str, right: str, left_unknown: list[str]) -> bool:
     # names: capitalised inside their statement, where not all words are
     mixed = lambda ts: any(t[:1].islower() for t in ts)
     names = {t.casefold() for ts in (lt, rt) if mixed(ts) and not _title(ts) for t in ts[1:] if t[:1].isupper()}
-    unknown = set(left_unknown)
+    unknown, rare = set(left_unknown), set(right_rare or ())
     for t in [t for t in extra if len(t) >= 3]:
-        match = next((r for r in lacking if t in unknown and r not in names and len(r) >= 3 and _near(t, r, 1 if len(r) < 5 else 2)), None)
+        match = next((r for r in lacking if (t in unknown or r in rare) and r not in names and t not in names and len(r) >= 3 and _near(t, r, 1 if len(r) < 5 else 2)), None)
         if match:
             extra.remove(t)
             lacking.remove(match)
@@ -179,9 +183,9 @@ def _order(tokens: list[str], kept: list[str]) -> list[str]:
 
 
 @F.pandas_udf(BooleanType())
-def same_fact_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b, u in batches:
-        yield pd.Series([same_fact(x, y, list(z)) for x, y, z in zip(a, b, u)], dtype=bool)
+def same_fact_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b, u, r in batches:
+        yield pd.Series([same_fact(w, x, list(y), list(z)) for w, x, y, z in zip(a, b, u, r)], dtype=bool)
 
 
 def same_statements(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -191,7 +195,7 @@ def same_statements(left: DataFrame, right: DataFrame) -> DataFrame:
     word = lambda s, p: s.groupBy("key").agg(F.min("plain").alias(f"{p}_plain")).withColumnRenamed("key", f"{p}_key")
     pairs = cosine_join(left, right)
     pairs = pairs.join(word(left, "left"), "left_key").join(word(right, "right"), "right_key")
-    return pairs.filter(same_fact_udf("left_plain", "right_plain", "left_unknown")).select("left_key", "right_key", "cosine")
+    return pairs.filter(same_fact_udf("left_plain", "right_plain", "left_unknown", "right_rare")).select("left_key", "right_key", "cosine")
 
 
 def overlaps(held: DataFrame, train: DataFrame) -> DataFrame:
