@@ -99,6 +99,8 @@ def accept_variants(variants: DataFrame, group: list[str], order: str, surface:
     # of each layer no more than its limit plus the other's can matter
     v = v.withColumn("__n", F.row_number().over(Window.partitionBy(*group, "__layer").orderBy(order))).filter(F.col("__n") <= limit + surface + 1)
 
+    names = list(variants.columns)
+
     def accept(g: pd.DataFrame) -> pd.DataFrame:
         left, seen, keep = {"core": 1, "surface": surface}, set(), []
         for at in g.sort_values(order).index:
@@ -107,7 +109,7 @@ def accept_variants(variants: DataFrame, group: list[str], order: str, surface:
                 left[kind] -= 1
                 seen.add(q)
                 keep.append(at)
-        return g.loc[keep, variants.columns]
+        return g.loc[keep, names]
 
     return v.groupBy(*group).applyInPandas(accept, variants.schema)
 

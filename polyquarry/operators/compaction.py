@@ -28,6 +28,7 @@ TARGET_BYTES = 64 << 20
 
 _DECODER = json.JSONDecoder()
 _OPEN = re.compile(r"[{\[]")
+_LINE = re.compile(r"\n\s*[{\[]")
 
 
 def _walk(value: object) -> Iterator[dict]:
@@ -48,7 +49,7 @@ def records_of(body: str | None) -> list[dict]:
     """The records that can be read in full from one body.
 
     JSON lines, arrays, pretty-printed or concatenated objects, byte-order marks and blank lines are
-    taken as they come. After a piece that can't be decoded, reading goes on where decoding failed, so a
+    taken as they come. After a piece that can't be decoded, reading goes on at the next line or where decoding failed, so a
     cut-off record costs neither those before nor those after it. None and blank bodies give nothing.
     A record needs a non-blank source_qa_id, a target_language string and a whole-number attempt.
     """
@@ -61,8 +62,10 @@ def records_of(body: str | None) -> list[dict]:
         try:
             value, at = _DECODER.raw_decode(body, start)
         except json.JSONDecodeError as e:
-            # an array that breaks off still holds whole objects: step inside it
-            at = start + 1 if body[start] == "[" else max(e.pos, start + 1)
+            # an array that breaks off still holds whole objects: step inside it; a record that breaks off
+            # may have swallowed the next line, so go on there
+            line = _LINE.search(body, start + 1, e.pos) if body[start] == "{" else None
+            at = start + 1 if body[start] == "[" else line.end() - 1 if line else max(e.pos, start + 1)
             continue
         except RecursionError:
             at = start + 1
@@ -145,7 +148,8 @@ def consolidate(files: DataFrame, target_bytes: int = TARGET_BYTES, keep_copies:
     a key that with most fields stays, then the latest, then the greatest payload. Empty, blank, null and
     cut-off bodies give no record. Extra columns of the input play no part.
     """
-    total = files.agg(F.sum(F.coalesce(F.col(n_bytes).cast("long"), F.lit(0)))).first()[0] or 0
+    size = F.col(n_bytes).cast("long") if n_bytes in files.columns else F.octet_length("body")
+    total = files.agg(F.sum(F.coalesce(size, F.lit(0)))).first()[0] or 0
     ranges = max(1, -(-int(total) // target_bytes))
     runs = decode_records(files)
     ranged = runs.repartitionByRange(ranges, *KEY).sortWithinPartitions(

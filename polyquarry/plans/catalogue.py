@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from polyquarry.plans import problems, texts
+from polyquarry.plans import pairs, problems, scores, streams, texts
 
-_MODULES = [problems, texts]
+_MODULES = [scores, problems, texts, pairs, streams]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
