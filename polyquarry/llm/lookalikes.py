@@ -164,14 +164,14 @@ def unify(rows: DataFrame, column: str = "value", salts: int = 8) -> DataFrame:
 
     Plain values are their own canonical form and are not shuffled for it; odd ones are joined with
     their class, salted so that one odd value in a third of all rows is split over several tasks. Null
-    stays null. Extra columns are kept.
+    stays null. Extra columns are kept; one that is named ``canonical`` is replaced.
     """
     odd = F.coalesce(F.col(column).rlike(SUSPICIOUS), F.lit(False))
     classes = canonical_values(rows, column).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     classes = classes.withColumnRenamed("value", "__value").withColumnRenamed("canonical", "__canonical")
     left = rows.filter(odd).withColumn("__at", F.pmod(F.xxhash64(*[c for c, k in rows.dtypes if k in ("bigint", "int", "string")]), F.lit(salts)).cast("int"))
     joined = left.join(classes, (F.col(column) == F.col("__value")) & (F.col("__at") == F.col("__salt")), "left")
-    out = [*rows.columns, "canonical"]
+    out = [*(c for c in rows.columns if c != "canonical"), "canonical"]
     return joined.withColumn("canonical", F.coalesce("__canonical", F.col(column))).select(*out).unionByName(
         rows.filter(~odd).withColumn("canonical", F.col(column)).select(*out)
     )
