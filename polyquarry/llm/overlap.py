@@ -152,9 +152,11 @@ def same_fact(left: str, right: str, left_unknown: list[str], right_rare: list[s
         return False
     if "".join(_order(lt, extra)) == "".join(_order(rt, lacking)):
         return True
-    # names: capitalised inside their statement, where not all words are
+    # names: capitalised inside their statement, where not all words are; the first word before another
+    # capitalised one may be one too, so it is no misspelt word, but it may be an added one
     mixed = lambda ts: any(t[:1].islower() for t in ts)
-    names = {t.casefold() for ts in (lt, rt) if mixed(ts) and not _title(ts) for t in ts[1:] if t[:1].isupper()}
+    inside = {t.casefold() for ts in (lt, rt) if mixed(ts) and not _title(ts) for t in ts[1:] if t[:1].isupper()}
+    names = inside | {ts[0].casefold() for ts in (lt, rt) if len(ts) > 1 and ts[0][:1].isupper() and ts[1][:1].isupper()}
     unknown, rare = set(left_unknown), set(right_rare or ())
     for t in [t for t in extra if len(t) >= 3]:
         match = next((r for r in lacking if (t in unknown or r in rare) and r not in names and t not in names and len(r) >= 3 and _near(t, r, 1 if len(r) < 5 else 2)), None)
@@ -164,7 +166,7 @@ def same_fact(left: str, right: str, left_unknown: list[str], right_rare: list[s
     if any(t not in SMALL for t in lacking):
         return False
     added = [t for t in extra if t not in SMALL]
-    return len(added) <= MOST_ADDED and not any(t in names for t in added) and len(added) * 2 <= len(rt)
+    return len(added) <= MOST_ADDED and not any(t in inside for t in added) and len(added) * 2 <= len(rt)
 
 
 def _title(tokens: list[str]) -> bool:
