@@ -2,11 +2,11 @@
 
 Statements become vectors of term weights (inverse document frequency over all distinct statements of
 the indexed side, scaled to length one). Terms are ordered from rare to frequent; each vector indexes only
-its head: the terms up to where the norm of the rest drops below the threshold. Two vectors of at least
-that cosine always share a head term (what lies beyond either head can't reach the threshold), so the
-inverted lists of head terms find every pair. A pair is kept while the exact weight of its shared head
-terms plus the product of the residual norms can still reach the threshold; the exact dot product
-follows. Equal statements are joined once: only distinct ones enter, copies come back as members.
+its head: the terms up to where the norm of the rest drops below the threshold. The rarest common term of two
+vectors of at least that cosine always stands in both heads (what lies beyond either head can't reach the
+threshold), so the inverted lists of head terms find every pair. Entries that can't reach the threshold
+even with the greatest weight of their list are not looked up; a pair of entries is kept where its weight
+plus the product of the residual norms behind it can; the exact dot product follows. Equal statements are joined once: only distinct ones enter, copies come back as members.
 
 Frequent terms weigh little and rarely stand in a head, so lists stay short; a list that is long all
 the same is split over several tasks. Terms in more than one of ``HOT_SHARE`` statements are at most
@@ -73,8 +73,8 @@ def _vectors(sides: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
     v = v.withColumn("left", done)
     head = F.expr(f"greatest(1, size(filter(left, r -> r >= {THRESHOLD * THRESHOLD - 1e-9}D)) + 1)")
     v = v.withColumn("n_head", F.least(head, F.size("v")))
-    return v.select("key", F.transform("v", lambda x: F.struct(x["term"].alias("term"), x["w"].alias("w"), x["df"].alias("df"))).alias("v"), "n_head",
-                    F.sqrt(F.greatest(F.lit(0.0), F.element_at("left", F.col("n_head").cast("int")))).alias("residual"))
+    entry = F.zip_with("v", "left", lambda x, r: F.struct(x["term"].alias("term"), x["w"].alias("w"), x["df"].alias("df"), F.sqrt(F.greatest(F.lit(0.0), r)).alias("rest")))
+    return v.select("key", entry.alias("v"), "n_head")
 
 
 def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -89,17 +89,21 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD)
     frequencies = rs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     lv, rv = _vectors(ls, frequencies, n), cut(_vectors(rs, frequencies, n))
     lv = cut(lv)
-    heads = lambda v, p: v.select(F.col("key").alias(f"{p}_key"), F.col("residual").alias(f"{p}_res"), F.explode(F.slice("v", F.lit(1), F.col("n_head"))).alias("t")).select(
-        f"{p}_key", f"{p}_res", F.col("t.term").alias("term"), F.col("t.w").alias(f"{p}_w"), F.col("t.df").alias("df")
+    heads = lambda v, p: v.select(F.col("key").alias(f"{p}_key"), F.explode(F.slice("v", F.lit(1), F.col("n_head"))).alias("t")).select(
+        f"{p}_key", F.col("t.term").alias("term"), F.col("t.w").alias(f"{p}_w"), F.col("t.rest").alias(f"{p}_rest"), F.col("t.df").alias("df")
     )
     lh, rh = heads(lv, "l").filter(F.col("df").isNotNull()), heads(rv, "r")
+    # what a list can add at most: entries that stay below the threshold even so are not looked up
+    most = rh.groupBy("term").agg(F.max("r_w").alias("top_w"), F.max("r_rest").alias("top_rest"))
+    lh = lh.join(most, "term").filter(F.col("l_w") * F.col("top_w") + F.col("l_rest") * F.col("top_rest") >= threshold - 1e-9).drop("top_w", "top_rest")
     # a long list is cut into salts; each left entry meets all of them
     salts = lambda df: F.greatest(F.lit(1), F.ceil(df / F.lit(float(LIST_ROWS)))).cast("int")
     lh = lh.withColumn("salt", F.explode(F.sequence(F.lit(0), salts(F.col("df")) - 1))).drop("df")
     rh = rh.withColumn("salt", F.pmod(F.xxhash64("r_key"), salts(F.col("df"))).cast("int")).drop("df")
-    pairs = lh.join(rh, ["term", "salt"]).groupBy("l_key", "r_key").agg(F.sum(F.col("l_w") * F.col("r_w")).alias("shared"), F.max(F.col("l_res")).alias("l_res"), F.max(F.col("r_res")).alias("r_res"))
-    # a shared term of one head may lie in the other's rest: the bound holds the larger residual's norm
-    pairs = pairs.filter(F.col("shared") + F.greatest("l_res", "r_res") >= threshold - 1e-9).select("l_key", "r_key")
+    # taken as the rarest common term, an entry pair bounds the whole product by the norms behind it; the
+    # rarest common term of a true pair stands in both heads and passes
+    bound = F.col("l_w") * F.col("r_w") + F.col("l_rest") * F.col("r_rest")
+    pairs = lh.join(rh, ["term", "salt"]).filter(bound >= threshold - 1e-9).select("l_key", "r_key").distinct()
     weights = lambda v: F.map_from_entries(F.transform(v, lambda x: F.struct(x["term"], x["w"])))
     exact = pairs.join(lv.select(F.col("key").alias("l_key"), F.col("v").alias("lv")), "l_key").join(rv.select(F.col("key").alias("r_key"), weights(F.col("v")).alias("rm"), F.transform(F.filter("v", lambda x: x["df"] <= RARE), lambda x: x["term"]).alias("right_rare")), "r_key")
     dot = F.aggregate("lv", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at(F.col("rm"), x["term"]), F.lit(0.0)))
