@@ -17,6 +17,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,16 +142,17 @@ def grams(text: str) -> Counter:
     keep = [w for i, w in enumerate(words) if not (w[:1].isupper() and i and w.isascii())] or words
     out: Counter = Counter()
     for w in keep:
-        w = f" {w.lower()} "
-        for n in range(1, MAX_GRAM + 1):
-            for i in range(len(w) - n + 1):
-                out[w[i : i + n]] += 1
-        if len(w) > MAX_GRAM:
-            out[w] += 1
-    del out[" "]
+        out.update(_word_grams(w.lower()))
     return out
 
 
+@lru_cache(1 << 14)
+def _word_grams(word: str) -> tuple[str, ...]:
+    w = f" {word} "
+    out = [g for n in range(1, MAX_GRAM + 1) for i in range(len(w) - n + 1) if (g := w[i : i + n]) != " "]
+    return (*out, w) if len(w) > MAX_GRAM else tuple(out)
+
+
 def ranks(counts: Counter, size: int = PROFILE) -> dict[str, int]:
     return {g: i for i, (g, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size])}
 
@@ -163,17 +165,40 @@ def out_of_place(doc: dict[str, int], profile: dict[str, int]) -> int:
     return sum(abs(i - j) if (j := get(g)) is not None else most for g, i in doc.items())
 
 
-def identify(segment: str, profiles: Profiles) -> tuple[str, float]:
+class Distances:
+    """Out-of-place distances to all profiles at once: a table of ranks per known gram."""
+
+    def __init__(self, profiles: Profiles):
+        self.codes = sorted(profiles)
+        self.row = {g: i for i, g in enumerate(sorted({g for p in profiles.values() for g in p}))}
+        self.ranks = np.full((len(self.row), len(self.codes)), PROFILE, dtype=np.int32)
+        for k, code in enumerate(self.codes):
+            for g, r in profiles[code].items():
+                self.ranks[self.row[g], k] = r
+
+    def __call__(self, doc: dict[str, int]) -> list[tuple[int, str]]:
+        """(distance, language), nearest first, of the languages that share a gram with the text."""
+        row = self.row
+        known = [(row[g], i) for g, i in doc.items() if g in row]
+        if not known:
+            return []
+        rows, places = np.array(known, dtype=np.int32).T
+        table = self.ranks[rows]
+        missing = table == PROFILE
+        away = np.where(missing, PROFILE, np.abs(table - places[:, None])).sum(axis=0) + PROFILE * (len(doc) - len(known))
+        some = ~missing.all(axis=0)
+        return sorted((int(d), c) for d, c, s in zip(away, self.codes, some) if s)
+
+
+def identify(segment: str, distances: Distances) -> tuple[str, float]:
     """The language of one segment and a confidence in 0..1: the margin to the second-best language,
     scaled so that a gap of a tenth of the distance counts as full. Kana decide for Japanese."""
+    if _HIRAGANA.search(segment) and "ja" in distances.codes:
+        return "ja", 1.0
     doc = ranks(grams(segment))
-    if not doc:
-        return "", 0.0
-    scored = sorted((out_of_place(doc, p), code) for code, p in profiles.items() if any(g in p for g in doc if len(g.strip()) == len(g)))
+    scored = distances(doc) if doc else []
     if not scored:
         return "", 0.0
-    if _HIRAGANA.search(segment) and "ja" in profiles:
-        return "ja", 1.0
     best, second = scored[0], scored[1] if len(scored) > 1 else (PROFILE * len(doc), "")
     return best[1], round(min(1.0, max(0.0, (second[0] - best[0]) / max(1, second[0]) * 10)), 4)
 
@@ -195,7 +220,7 @@ def fit(samples: Iterator[tuple[str, str]]) -> Profiles:
             out[code] = ranks(total)
         return out
 
-    first = build(by)
+    first = Distances(build(by))
     return build({code: [t for t in texts if identify(t, first)[0] == code] for code, texts in by.items()})
 
 
@@ -204,7 +229,8 @@ class Identifier:
 
     def __init__(self, profiles: Profiles):
         self.profiles = profiles
-        self._segment = lru_cache(1 << 13)(lambda s: identify(s, profiles))
+        distances = Distances(profiles)
+        self._segment = lru_cache(1 << 13)(lambda s: identify(s, distances))
 
     def languages(self, text: str) -> dict[str, float]:
         """Language → confidence (the best of its segments) of all segments that say something; of the

@@ -53,3 +53,11 @@ def test_sample_is_bounded(spark):
     s = g.labelled_sample(df, 50)
     assert 0 < len(s) <= 50 and len(set(s)) == len(s) and {c for c, _ in s} == {"de"}
     assert g.labelled_sample(df.limit(0)) == []
+
+
+def test_table_of_distances_equals_the_definition():
+    d = g.Distances(PROFILES)
+    for text in ("The people of the town", "Die Menschen sind frei", "人人生而自由", "xq zv", "ya watu wote"):
+        doc = g.ranks(g.grams(text))
+        want = {code: g.out_of_place(doc, p) for code, p in PROFILES.items()}
+        assert all(want[c] == n for n, c in d(doc)) and {c for _, c in d(doc)} == {c for c, p in PROFILES.items() if any(x in p for x in doc)}
