@@ -9,10 +9,14 @@ table, and every row carries its parent's key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from polyquarry.session import broadcast_if_small, cut
+
 #: The members whose presence makes the variant of an attempt, in natural order.
 MEMBERS = ["translation", "backtranslation_en", "consistency"]
 
@@ -60,6 +64,25 @@ def attempt_keys(cache: DataFrame) -> DataFrame:
     return levels(cache).select("cache_id", "item_pos", "attempt_pos").distinct()
 
 
+def repeated_ids(cache: DataFrame) -> DataFrame:
+    """The ids of more than one row, and null; only ids are read and aggregated."""
+    ids = cut(cache.groupBy("cache_id").count().filter((F.col("count") > 1) | F.col("cache_id").isNull()).select(F.col("cache_id").alias("__id")))
+    return broadcast_if_small(ids, ids.count(), 16)
+
+
+def once(cache: DataFrame, make: Callable[[DataFrame], DataFrame], keys: list[str], repeated: DataFrame | None = None) -> DataFrame:
+    """``make(cache)`` with each key once, though rows of the cache are repeated.
+
+    Only ids are aggregated to tell which are repeated; rows of all other ids pass without a shuffle of
+    their texts, and just the rows of repeated ids are de-duplicated by ``keys``. Null ids count as
+    repeated.
+    """
+    repeated = repeated_ids(cache) if repeated is None else repeated
+    same = F.col("cache_id").eqNullSafe(F.col("__id"))
+    single = make(cache.join(repeated, same, "left_anti"))
+    return single.unionByName(make(cache.join(repeated, same, "left_semi")).dropDuplicates(keys))
+
+
 def flatten(cache: DataFrame) -> dict[str, DataFrame]:
     """attempt_cache as flat tables, each row once also where source rows are repeated.
 
@@ -75,15 +98,19 @@ def flatten(cache: DataFrame) -> dict[str, DataFrame]:
         *[F.max(c).alias(c) for c in ("prompt_version", "knowledge_pair_id", "source_language", "target_language", "model_name", "api_base", "generated_at")],
         F.max(F.when(F.col("attempt_history").isNotNull(), F.size("attempt_history"))).alias("n_items"),
     )
-    exploded = cache.select("cache_id", F.posexplode("attempt_history").alias("item_pos", "item"))
-    items = exploded.select(
-        "cache_id", "item_pos", F.col("item.source_qa_id").alias("source_qa_id"),
-        F.when(F.col("item.attempts").isNotNull(), F.size("item.attempts")).alias("n_attempts"),
-    ).dropDuplicates(["cache_id", "item_pos"])
-    rows = attempts(cache)
-    kind = rows.schema["attempt"].dataType
+
+    def of_items(c: DataFrame) -> DataFrame:
+        exploded = c.select("cache_id", F.posexplode("attempt_history").alias("item_pos", "item"))
+        return exploded.select(
+            "cache_id", "item_pos", F.col("item.source_qa_id").alias("source_qa_id"),
+            F.when(F.col("item.attempts").isNotNull(), F.size("item.attempts")).alias("n_attempts"),
+        )
+
+    repeated = repeated_ids(cache)
+    items = once(cache, of_items, ["cache_id", "item_pos"], repeated)
+    kind = cache.schema["attempt_history"].dataType.elementType["attempts"].dataType.elementType
     a = F.col("attempt")
-    flat = rows.select(
+    flat = once(cache, lambda c: attempts(c).select(
         "cache_id", "item_pos", "attempt_pos", a["attempt"].alias("attempt"),
         variant(a).alias("variant"), shape(a, kind).alias("shape"),
         a["translation"]["question"].alias("question"), a["translation"]["expected_answer"].alias("expected_answer"),
@@ -93,16 +120,14 @@ def flatten(cache: DataFrame) -> dict[str, DataFrame]:
         a["backtranslation_en"]["question"].alias("back_question"), a["backtranslation_en"]["expected_answer"].alias("back_expected_answer"),
         F.when(a["backtranslation_en"]["answer_aliases"].isNotNull(), F.size(a["backtranslation_en"]["answer_aliases"])).alias("n_back_aliases"),
         *[a["consistency"][f].alias(f) for f in ("verdict", "is_consistent", "failure_type", "reason", "repair_instruction")],
-    ).dropDuplicates(["cache_id", "item_pos", "attempt_pos"])
+    ), ["cache_id", "item_pos", "attempt_pos"], repeated)
     lists = F.array(
         F.struct(F.lit("translation").alias("origin"), a["translation"]["answer_aliases"].alias("names")),
         F.struct(F.lit("backtranslation_en").alias("origin"), a["backtranslation_en"]["answer_aliases"].alias("names")),
     )
-    aliases = (
-        rows.select("cache_id", "item_pos", "attempt_pos", F.explode(lists).alias("l"))
-        .select("cache_id", "item_pos", "attempt_pos", F.col("l.origin").alias("origin"), F.posexplode("l.names").alias("alias_pos", "alias"))
-        .dropDuplicates(["cache_id", "item_pos", "attempt_pos", "origin", "alias_pos"])
-    )
+    aliases = once(cache, lambda c: attempts(c).select("cache_id", "item_pos", "attempt_pos", F.explode(lists).alias("l")).select(
+        "cache_id", "item_pos", "attempt_pos", F.col("l.origin").alias("origin"), F.posexplode("l.names").alias("alias_pos", "alias")
+    ), ["cache_id", "item_pos", "attempt_pos", "origin", "alias_pos"], repeated)
     out = {"files": files, "items": items, "attempts": flat.select("cache_id", "item_pos", "attempt_pos", "attempt", "variant", "shape", "question", "back_question", "verdict", "n_aliases", "n_back_aliases"), "aliases": aliases}
     typed = {
         "translation": ["question", "expected_answer", "translation_note", "n_aliases"],

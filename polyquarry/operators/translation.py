@@ -43,13 +43,12 @@ def misaligned(english: DataFrame, translated: DataFrame) -> DataFrame:
 def attempt_outcomes(cache: DataFrame) -> DataFrame:
     """One row per item: attempts made, whether the last one passed, its failure type. Items without
     attempts count none and have not passed."""
-    items = cache.select("cache_id", F.posexplode("attempt_history").alias("item_pos", "item")).dropDuplicates(["cache_id", "item_pos"])
     a = F.col("item.attempts")
     last = F.when(F.size(a) > 0, F.element_at(a, -1))
-    return items.select(
+    return nested.once(cache, lambda c: c.select("cache_id", F.posexplode("attempt_history").alias("item_pos", "item")).select(
         "cache_id", "item_pos", F.col("item.source_qa_id").alias("source_qa_id"), F.greatest(F.size(a), F.lit(0)).alias("n_attempts"),
         F.coalesce(F.lower(last["consistency"]["verdict"]) == "passed", F.lit(False)).alias("accepted"), last["consistency"]["failure_type"].alias("last_failure"),
-    )
+    ), ["cache_id", "item_pos"])
 
 
 def repair_counts(cache: DataFrame) -> DataFrame:
