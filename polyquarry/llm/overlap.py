@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from polyquarry.functions import text as tx
 from polyquarry.llm.lookalikes import SUSPICIOUS, mapped_udf
 from polyquarry.session import cut
 
@@ -212,8 +213,8 @@ def overlaps(held: DataFrame, train: DataFrame) -> DataFrame:
     same fact. Null ids and null or blank facts overlap with nothing; extra columns play no part.
     """
     named = (
-        held.select("holdout_card_id", F.lower(F.trim("source_card_id")).alias("at")).filter(F.col("at") != "").distinct()
-        .join(train.select("card_id", F.lower(F.trim("card_id")).alias("at")).filter("card_id IS NOT NULL").distinct(), "at")
+        held.select("holdout_card_id", F.lower(tx.strip(F.col("source_card_id"))).alias("at")).filter(F.col("at") != "").distinct()
+        .join(train.select("card_id", F.lower(tx.strip(F.col("card_id"))).alias("at")).filter("card_id IS NOT NULL").distinct(), "at")
         .select("holdout_card_id", "card_id")
     )
     ls, rs = cut(statements(held, "fact_statement")), cut(statements(train, "fact_statement"))
