@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyquarry.llm.lookalikes import SUSPICIOUS, mapped
+from polyquarry.llm.lookalikes import mapped, odd
 
 #: Bound of the labelled sample per language, and n-grams kept per profile.
 PER_LANGUAGE = 1500
@@ -57,7 +57,6 @@ _SCRIPT = re.compile(
     "(?P<thai>[฀-๿]+)|(?P<beng>[ঀ-৿।]+)|(?P<arab>[؀-ۿݐ-ݿ]+)|(?P<cj>[぀-ヿ㐀-鿿々〆ー]+)|(?P<latn>[A-Za-zÀ-ɏḀ-ỿ'’]+)"
 )
 _BREAK = re.compile(r"(?<=[?!。？！।؟])\s*|(?<=[.])\s+(?=\S)|[\r\n()（）\[\]]+|(?<=[.?!])\s")
-_PLAIN = re.compile(SUSPICIOUS)
 _HIRAGANA = re.compile("[ぁ-ゖ]")
 _KANA = re.compile("[ぁ-ヺ]")
 _NAME_DOT = re.compile("[·・]")
@@ -65,7 +64,7 @@ _NAME_DOT = re.compile("[·・]")
 
 def clean(text: str) -> str:
     """The text with look-alike characters made plain, if it has any."""
-    return mapped(text) if _PLAIN.search(text) else text
+    return mapped(text) if odd(text) else text
 
 
 def code_column(label: Column) -> Column:

@@ -14,20 +14,23 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Values with none of these need no mapping: letters beyond the plain ones of the ten languages,
 #: marks that compose, format characters, odd spaces. Supplementary planes are always looked at.
-SUSPICIOUS = (
+_ODD = (
     "[\\u0000-\\u0008\\u000E-\\u001F\\u007F-\\u00A0\\u00AD\\u00B5\\u0132-\\u0133\\u0149\\u017F-\\u0183\\u01C4-\\u01CC\\u01F1-\\u01F3\\u0250-\\u05FF\\u0610-\\u061A\\u061C\\u064B-\\u065F"
     "\\u0670-\\u06FF\\u0700-\\u0963\\u0966-\\u0980\\u09D7\\u09DC-\\u09DF\\u0A00-\\u0DFF\\u0E4D\\u0F00-\\u1DFF\\u2000-\\u200F\\u2011\\u2028-\\u202F\\u205F-\\u206F\\u20D0-\\u20FF"
     "\\u2100-\\u218F\\u2800\\u2C60-\\u2DFF\\u2E80-\\u2FDF\\u3000\\u3099\\u309A\\u3164\\u3130-\\u318F\\uA4D0-\\uABFF\\uD7B0-\\uDFFF\\uE000-\\uFF00\\uFF02-\\uFF07\\uFF0A\\uFF0B\\uFF0D-\\uFF19\\uFF1C-\\uFF1E\\uFF20-\\uFFFF]"
-    "|^[^\\u3040-\\u30FF\\u3400-\\u9FFF]*[！（），：；？][^\\u3040-\\u30FF\\u3400-\\u9FFF]*$|เเ|[অে]া"
+    "|เเ|[অে]া"
     "|[ァ-ヺー][二力口工八夕卜へりべぺ一三千]|[二力口工八夕卜へりべぺ一三千][ァ-ヺー]|[0-9][OlI][0-9]"
 )
 
+_WIDE, _EAST = "[！（），：；？]", "[\\u3040-\\u30FF\\u3400-\\u9FFF]"
+_ASCII_ODD = "[\\x00-\\x08\\x0E-\\x1F\\x7F]|[0-9][OlI][0-9]"
+
 #: Letters of other scripts and the Latin letter of the same look.
 LOOKALIKES = dict(
     zip(
@@ -52,6 +55,22 @@ _KATAKANA = re.compile("[ァ-ヺ]")
 _BEFORE_NAME = re.compile("(?:から|まで|より|[はがをのにでとやも・、。]|^)$")
 
 
+_ODD_RE, _WIDE_RE, _EAST_RE, _ASCII_ODD_RE = (re.compile(p) for p in (_ODD, _WIDE, _EAST, _ASCII_ODD))
+
+
+def odd(text: str) -> bool:
+    """Whether a text has anything to be mapped; never False for a text that ``mapped`` would change."""
+    if text.isascii():
+        return bool(_ASCII_ODD_RE.search(text))
+    return bool(_ODD_RE.search(text)) or bool(_WIDE_RE.search(text)) and not _EAST_RE.search(text)
+
+
+def odd_column(c: Column) -> Column:
+    """The same in the JVM; ASCII texts are told by their length in bytes and skip the long patterns."""
+    beyond = c.rlike(_ODD) | c.rlike(_WIDE) & ~c.rlike(_EAST)
+    return F.coalesce(F.when(F.octet_length(c) == F.length(c), c.rlike(_ASCII_ODD)).otherwise(beyond), F.lit(False))
+
+
 @lru_cache(1 << 14)
 def _plain(c: str) -> str:
     """The plain text that one character stands for by Unicode's own decompositions."""
@@ -144,7 +163,7 @@ def canonical_values(values: DataFrame, column: str = "value") -> DataFrame:
     """
     spark = values.sparkSession
     distinct = values.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    look = distinct.select("value", F.when(F.col("value").rlike(SUSPICIOUS), F.lit(True)).otherwise(F.lit(False)).alias("odd"))
+    look = distinct.select("value", odd_column(F.col("value")).alias("odd"))
     odd = look.filter("odd").select("value", mapped_udf("value").alias("shape"))
     # plain members are their own shape; only those that share a class with an odd value matter
     members = odd.unionByName(look.filter("NOT odd").select("value", F.col("value").alias("shape")))
@@ -166,7 +185,7 @@ def unify(rows: DataFrame, column: str = "value", salts: int = 8) -> DataFrame:
     their class, salted so that one odd value in a third of all rows is split over several tasks. Null
     stays null. Extra columns are kept; one that is named ``canonical`` is replaced.
     """
-    odd = F.coalesce(F.col(column).rlike(SUSPICIOUS), F.lit(False))
+    odd = odd_column(F.col(column))
     classes = canonical_values(rows, column).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     classes = classes.withColumnRenamed("value", "__value").withColumnRenamed("canonical", "__canonical")
     left = rows.filter(odd).withColumn("__at", F.pmod(F.xxhash64(*[c for c, k in rows.dtypes if k in ("bigint", "int", "string")]), F.lit(salts)).cast("int"))

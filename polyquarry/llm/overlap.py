@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from polyquarry.functions import text as tx
-from polyquarry.llm.lookalikes import SUSPICIOUS, mapped_udf
+from polyquarry.llm.lookalikes import mapped_udf, odd_column
 from polyquarry.session import cut
 
 THRESHOLD = 0.6
@@ -40,7 +40,7 @@ RARE = 2
 
 def plain_column(text: Column) -> Column:
     """Look-alike characters made plain; only suspicious texts reach Python."""
-    return F.when(text.rlike(SUSPICIOUS), mapped_udf(F.when(text.rlike(SUSPICIOUS), text))).otherwise(text)
+    return F.when(odd_column(text), mapped_udf(F.when(odd_column(text), text))).otherwise(text)
 
 
 def terms_column(plain: Column) -> Column:
