@@ -140,6 +140,20 @@ def decode_records(files: DataFrame, body: str = "body", written_at: str = "writ
     return files.select(F.col(body).alias("body"), F.col(written_at).cast("timestamp").alias("written_at")).filter(F.col("body").isNotNull()).mapInArrow(_decode, RECORD)
 
 
+def merge_runs(runs: DataFrame, total_bytes: int, target_bytes: int = TARGET_BYTES, keep_copies: bool = False) -> DataFrame:
+    """Sorted runs (rows of ``decode_records`` or of earlier output) merged per key range and rolled by
+    bytes. ``total_bytes`` sets the number of ranges."""
+    ranges = max(1, -(-int(total_bytes) // target_bytes))
+    ranged = runs.repartitionByRange(ranges, *KEY).sortWithinPartitions(*KEY, F.desc("whole"), F.desc_nulls_last("written_at"), F.desc("payload"))
+    # ranges are sampled, not exact: a range may run half over the target before it is rolled
+    return ranged.mapInArrow(_merge(target_bytes * 3 // 2, keep_copies), OUTPUT)
+
+
+def _total(files: DataFrame, n_bytes: str, body: str) -> int:
+    size = F.col(n_bytes).cast("long") if n_bytes in files.columns else F.octet_length(body)
+    return int(files.agg(F.sum(F.coalesce(size, F.lit(0)))).first()[0] or 0)
+
+
 def consolidate(files: DataFrame, target_bytes: int = TARGET_BYTES, keep_copies: bool = False, n_bytes: str = "n_bytes") -> DataFrame:
     """Records of tiny files as few sorted, evenly sized output files.
 
@@ -148,15 +162,14 @@ def consolidate(files: DataFrame, target_bytes: int = TARGET_BYTES, keep_copies:
     a key that with most fields stays, then the latest, then the greatest payload. Empty, blank, null and
     cut-off bodies give no record. Extra columns of the input play no part.
     """
-    size = F.col(n_bytes).cast("long") if n_bytes in files.columns else F.octet_length("body")
-    total = files.agg(F.sum(F.coalesce(size, F.lit(0)))).first()[0] or 0
-    ranges = max(1, -(-int(total) // target_bytes))
-    runs = decode_records(files)
-    ranged = runs.repartitionByRange(ranges, *KEY).sortWithinPartitions(
-        *KEY, F.desc("whole"), F.desc_nulls_last("written_at"), F.desc("payload")
-    )
-    # ranges are sampled, not exact: a range may run half over the target before it is rolled
-    return ranged.mapInArrow(_merge(target_bytes * 3 // 2, keep_copies), OUTPUT)
+    return merge_runs(decode_records(files), _total(files, n_bytes, "body"), target_bytes, keep_copies)
+
+
+def add_files(consolidated: DataFrame, files: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """Earlier output and further tiny files as one: the old files are runs like the new ones."""
+    old = consolidated.select(*KEY, "payload", F.size(F.json_object_keys("payload")).alias("whole"), F.lit(None).cast("timestamp").alias("written_at"), "n_bytes")
+    total = _total(files, "n_bytes", "body") + int(consolidated.agg(F.sum("n_bytes")).first()[0] or 0)
+    return merge_runs(old.unionByName(decode_records(files)), total, target_bytes)
 
 
 def range_metadata(consolidated: DataFrame) -> DataFrame:

@@ -122,6 +122,13 @@ def distance_correlation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(matrix.distance_correlation(t, far))
 
 
+def policy_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Under the policy that access shall go in the language of the intervention alone."""
+    before, after = _long(spark, d)
+    t = matrix.transfer(before, after)
+    return rounded(matrix.policy_scores(t, after, t.select("source", "target", (C("source") == C("target")).alias("forget"))))
+
+
 # --- metrics -----------------------------------------------------------------------------------------
 
 
@@ -262,7 +269,7 @@ def review_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(translation.review_summary(translation.normalized_reviews(raw), "severity", "issue_type"))
 
 
-_NAMES = [exact_match, access_by_layer, access_by_knowledge, access_by_role_lang, access_fixed_weights, access_grouping_sets, orders_access, orders_grouping_sets, report_rows, monitor_scalars, cross_matrix_long, cross_matrix_wide, transfer_matrix, damage_matrix, globality, asymmetry, consistency, spillover, selectivity, distance_correlation, rouge_l, nfkc_exact, cosine_similarity, embedding_audit, roc_auc, attack_means, min_k, dv_logmeanexp, preference_losses, choice_argmax, macro_average, qa_index, translation_join_diag, misaligned_pairs, attempt_outcomes, repair_attempt_count, latest_translations, alias_failures, failure_counts, cache_misses, review_summary]
+_NAMES = [exact_match, access_by_layer, access_by_knowledge, access_by_role_lang, access_fixed_weights, access_grouping_sets, orders_access, orders_grouping_sets, report_rows, monitor_scalars, cross_matrix_long, cross_matrix_wide, transfer_matrix, damage_matrix, globality, asymmetry, consistency, spillover, selectivity, distance_correlation, policy_scores, rouge_l, nfkc_exact, cosine_similarity, embedding_audit, roc_auc, attack_means, min_k, dv_logmeanexp, preference_losses, choice_argmax, macro_average, qa_index, translation_join_diag, misaligned_pairs, attempt_outcomes, repair_attempt_count, latest_translations, alias_failures, failure_counts, cache_misses, review_summary]
 QUERIES = {f.__name__: f for f in _NAMES}
 
 
@@ -332,6 +339,9 @@ SELECT d."row" AS "row", d.language AS language, d.topic_role AS topic_role, rou
     "spillover": _E + "SELECT round(avg(value), 6) AS overall, round(avg(value) FILTER (source <> target), 6) AS spillover FROM dm",
     "selectivity": _E + "SELECT source, target, round(tr.value - 0.3 * dm.value - 0.2 * (0.25 * dm.value + 0.75 * tr.value), 6) AS value FROM tr JOIN dm USING (source, target)",
     "distance_correlation": _E + "SELECT round(corr(abs(CAST(source AS INT) - CAST(target AS INT)), value), 6) AS rho FROM tr WHERE source <> target",
+    "policy_scores": _E
+    + """, lf AS (SELECT source, target, avg(v) AS l FROM a GROUP BY ALL) SELECT round(avg(value) FILTER (source = target), 6) AS forget_compliance, round(avg(l) FILTER (source = target), 6) AS residual_access, round(1 - avg(value) FILTER (source <> target), 6) AS containment,
+ round(avg(value) FILTER (source <> target), 6) AS spillover, round(avg(CASE WHEN (value >= 0.5) = (source = target) THEN 1.0 ELSE 0.0 END), 6) AS localized FROM tr LEFT JOIN lf USING (source, target)""",
     "cosine_similarity": """WITH f AS (SELECT label, min(vec_id) AS first_id FROM embeddings GROUP BY 1) SELECT e.vec_id AS vec_id, e.label AS label, f.first_id AS first_id,
  round(greatest(-1.0, least(1.0, list_cosine_similarity(e.embedding::DOUBLE[], h.embedding::DOUBLE[]))), 4) AS cosine FROM embeddings e JOIN f ON e.label = f.label JOIN embeddings h ON h.vec_id = f.first_id""",
     "embedding_audit": "SELECT label, count(*) AS n_vectors, count(*) FILTER (len(embedding) <> 64) AS n_wrong_size, count(*) FILTER (list_sum(list_transform(embedding, lambda x: x * x)) = 0) AS n_zero, count(*) FILTER (isnan(list_sum(embedding))) AS n_nan FROM embeddings GROUP BY 1",

@@ -85,3 +85,11 @@ def test_round_trip_over_the_tiny_table(spark, tiny):
 @pytest.mark.parametrize("body", ["[" * 2000, "{" * 2000, '{"a":' * 1500])
 def test_deep_nesting_ends(body):
     assert c.records_of(body) == []
+
+
+def test_further_files_are_merged_in(spark):
+    body = lambda *qs: "\n".join(json.dumps(rec(q, translation={"question": "x" * 50})) for q in qs)
+    first = c.consolidate(spark.createDataFrame([(1, body("a", "c"), 9, None, "")], SCHEMA))
+    more = spark.createDataFrame([(2, body("b", "c"), 9, None, ""), (3, json.dumps(rec("a", translation={}, consistency={})), 9, None, "")], SCHEMA)
+    out = {r.source_qa_id: json.loads(r.payload) for r in c.add_files(first, more, target_bytes=150).collect()}
+    assert sorted(out) == ["a", "b", "c"] and "consistency" in out["a"]
