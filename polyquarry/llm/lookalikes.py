@@ -125,7 +125,7 @@ def _katakana(text: str) -> str:
             before, after = run[i - 1 : i] if i else "", run[i + 1 : i + 2]
             if c in _COUNTED and not (before and after):
                 out.append(c)
-            elif c in "へりべぺ" and not (after and (before or _BEFORE_NAME.search(text[: m.start()]))):
+            elif c in "へりべぺ" and not (after and (before or _BEFORE_NAME.search(text[max(0, m.start() - 2) : m.start()]))):
                 out.append(c)
             else:
                 out.append(KATAKANA.get(c, c))
