@@ -79,4 +79,8 @@ ORACLE = {
     "document_counts": "WITH h AS (SELECT DISTINCT holdout_card_id, split_role, qa_variants AS v FROM holdout_card) SELECT split_role, count(*) AS n_cards, CAST(sum(coalesce(len(v), 0)) AS BIGINT) AS n_variants, CAST(sum(coalesce(len(list_filter(v, lambda x: x.variant_layer = 'core')), 0)) AS BIGINT) AS n_core, CAST(sum(coalesce(len(list_filter(v, lambda x: x.variant_layer = 'surface')), 0)) AS BIGINT) AS n_surface FROM h GROUP BY 1",
     "review_payloads": "WITH q AS (SELECT DISTINCT qa_id, lower(language) AS language FROM qa_variant WHERE language IS NOT NULL) SELECT qa_id, language, language || ':' || printf('%03d', row_number() OVER (PARTITION BY language ORDER BY qa_id)) || ':' || qa_id AS review_id FROM q",
     "metric_update": "SELECT o_orderkey, -1.0::DOUBLE AS a_exact, o_totalprice AS a_rouge FROM orders",
+    "choice_records": """WITH m AS (SELECT l_orderkey, [-max(l_quantity), -max(l_discount) * 300, -max(l_tax) * 400, -max(l_linenumber) * 4.0::DOUBLE] AS s, max(l_linenumber) AS n FROM lineitem GROUP BY 1),
+r AS (SELECT *, list_position(s, list_max(s)) AS best, (l_orderkey % 5) + 1 AS gold FROM m)
+SELECT 'orders' AS task, l_orderkey AS doc_id, 'link' || (l_orderkey % 7) || '::question_' || n AS item_id, ['A', 'B', 'C', 'D'][gold] AS gold_option, ['A', 'B', 'C', 'D'][best] AS predicted_option, CAST(best = gold AS INT) AS correct,
+ CASE WHEN gold > 4 THEN 'invalid correct_answer_num' END AS problem FROM r""",
 }

@@ -275,4 +275,8 @@ o AS (SELECT qa_id, relation_type, row_number() OVER (ORDER BY h, qa_id) AS m FR
     "filtered_qa": "SELECT DISTINCT qa_id, split_role FROM qa_variant WHERE split_role IN ('forget', 'retain') AND variant_layer = 'core'",
     "unnested_variants": "WITH h AS (SELECT DISTINCT holdout_card_id, qa_variants AS l FROM holdout_card WHERE len(qa_variants) > 0), u AS (SELECT holdout_card_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS v FROM h) SELECT DISTINCT holdout_card_id, pos, v.qa_id AS qa_id, v.variant_layer AS variant_layer, v.question AS question FROM u",
 }
+ORACLE["mint_ids"] = f"""WITH c AS (SELECT DISTINCT card_id, pair_id, topic_role, pos FROM knowledge_card), b AS (SELECT *, coalesce(nullif({slug('pair_id')}, ''), 'card') || '_' || topic_role || '_' AS p,
+ coalesce(nullif({slug("coalesce(nullif(" + ws('card_id') + ", ''), printf('card_%03d', pos + 1))")}, ''), 'card') AS s FROM c), f AS (SELECT *, CASE WHEN starts_with(s, p) THEN s ELSE p || s END AS base FROM b),
+n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, base ORDER BY CASE topic_role WHEN 'target' THEN 0 ELSE 1 END, pos) AS k FROM f)
+SELECT card_id, pair_id, topic_role, pos, CASE WHEN k = 1 THEN base ELSE base || printf('_%02d', k) END AS minted_id FROM n"""
 ORACLE["missing_fields"] = ORACLE["missing_fields"].replace("SELECT DISTINCT * FROM", "SELECT DISTINCT holdout_card_id, missing FROM", 1)

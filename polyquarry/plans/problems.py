@@ -37,7 +37,18 @@ def p5_variants(spark: SparkSession, d: str) -> DataFrame:
     return p5_attempts(spark, d).groupBy("variant").agg(F.count(F.lit(1)).alias("n_attempts"))
 
 
-p5_files, p5_items, p5_attempts, p5_aliases = (_flat(n) for n in ("files", "items", "attempts", "aliases"))
+p5_files, p5_items, p5_aliases = (_flat(n) for n in ("files", "items", "aliases"))
+
+
+def p5_attempts(spark: SparkSession, d: str) -> DataFrame:
+    return _flat("attempts")(spark, d).drop("shape")
+
+
+def p5_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """The automaton's states and how many attempts end in each."""
+    return _flat("attempts")(spark, d).groupBy("shape").agg(F.count(F.lit(1)).alias("n_attempts"))
+
+
 p5_translated_only = _flat("attempts__translation")
 p5_complete = _flat("attempts__translation+backtranslation_en+consistency")
 
@@ -49,7 +60,7 @@ ats AS (SELECT cache_id, item_pos, unnest(range(len(it.attempts))) AS attempt_po
 _VARIANT = """coalesce(nullif(concat_ws('+', CASE WHEN att.translation IS NOT NULL THEN 'translation' END,
  CASE WHEN att.backtranslation_en IS NOT NULL THEN 'backtranslation_en' END, CASE WHEN att.consistency IS NOT NULL THEN 'consistency' END), ''), 'bare')"""
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_consolidated, p3_ranges, p5_found, p5_variants)} | {
+QUERIES = {f.__name__: f for f in (p3_found, p3_consolidated, p3_ranges, p5_found, p5_variants, p5_shapes)} | {
     "p5_files": p5_files, "p5_items": p5_items, "p5_attempts": p5_attempts, "p5_aliases": p5_aliases,
     "p5_translated_only": p5_translated_only, "p5_complete": p5_complete,
 }
@@ -61,6 +72,9 @@ UNION SELECT cache_id, CAST(item_pos AS INT), -1 FROM its WHERE coalesce(len(it.
 UNION SELECT cache_id, -1, -1 FROM files WHERE coalesce(len(h), 0) = 0""",
     "p5_variants": _ROWS + f"SELECT {_VARIANT} AS variant, count(*) AS n_attempts FROM ats GROUP BY 1",
     "p5_items": _ROWS + "SELECT cache_id, CAST(item_pos AS INT) AS item_pos, it.source_qa_id AS source_qa_id, CAST(len(it.attempts) AS INT) AS n_attempts FROM its",
+    "p5_attempts": _ROWS
+    + f"""SELECT cache_id, CAST(item_pos AS INT) AS item_pos, CAST(attempt_pos AS INT) AS attempt_pos, att.attempt AS attempt, {_VARIANT} AS variant, att.translation.question AS question, att.backtranslation_en.question AS back_question,
+ att.consistency.verdict AS verdict, CAST(len(att.translation.answer_aliases) AS INT) AS n_aliases, CAST(len(att.backtranslation_en.answer_aliases) AS INT) AS n_back_aliases FROM ats""",
     "p5_aliases": _ROWS
     + """, ls AS (SELECT cache_id, item_pos, attempt_pos, 'translation' AS origin, att.translation.answer_aliases AS l FROM ats
  UNION ALL SELECT cache_id, item_pos, attempt_pos, 'backtranslation_en', att.backtranslation_en.answer_aliases FROM ats)
