@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polyquarry.session import spread
+
 KEY = ["source_qa_id", "target_language", "attempt"]
 RECORD = "source_qa_id string, target_language string, attempt long, payload string, whole int, written_at timestamp, n_bytes long"
 OUTPUT = "source_qa_id string, target_language string, attempt long, payload string, n_bytes long, out_file string"
@@ -137,7 +139,8 @@ def _merge(target: int, keep_copies: bool):
 
 def decode_records(files: DataFrame, body: str = "body", written_at: str = "written_at") -> DataFrame:
     """One row per record and Arrow batch, sorted by key within the batch: the runs."""
-    return files.select(F.col(body).alias("body"), F.col(written_at).cast("timestamp").alias("written_at")).filter(F.col("body").isNotNull()).mapInArrow(_decode, RECORD)
+    rows = files.select(F.col(body).alias("body"), F.col(written_at).cast("timestamp").alias("written_at")).filter(F.col("body").isNotNull())
+    return spread(rows).mapInArrow(_decode, RECORD)
 
 
 def merge_runs(runs: DataFrame, total_bytes: int, target_bytes: int = TARGET_BYTES, keep_copies: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ provably holds every card it can ever pick.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -186,14 +186,31 @@ def _family(slug: str) -> str | None:
     return next((name for name, members in _FAMILY.items() if any(m in slug for m in members)), None)
 
 
+class Card(NamedTuple):
+    pair_id: str
+    topic_role: str
+    pos: int
+    card_id: str
+    relation: str
+    type_key: str
+    slot: tuple
+    direct: bool
+    points: float
+    answer_words: int
+    answer_key: str
+    fact_key: str
+
+
 def _pick(g: pd.DataFrame, max_pairs: int, min_score: float, max_words: int, require_direct: bool, barred: set[str], strict: bool) -> pd.DataFrame:
-    g = g.sort_values(["pos", "card_id"])
-    g["slot"] = g["slot"].map(lambda s: tuple(s))
-    attrs = ["relation", "type_key", "slot", "direct", "points", "answer_words"]
-    sides = {role: {k: list(v.itertuples(index=False)) for k, v in part.groupby(attrs, sort=False)} for role, part in g.groupby("topic_role")}
+    # plain tuples: most groups are a few cards, where frames cost more than the work
+    cards = [Card(*row) for row in zip(*(g[c].tolist() for c in Card._fields))]
+    sides: dict[str, dict[tuple, list[Card]]] = {"target": {}, "neighbor": {}}
+    for c in sorted(cards, key=lambda c: (c.pos, c.card_id)):
+        kind = (c.relation, c.type_key, tuple(c.slot), c.direct, c.points, c.answer_words)
+        sides[c.topic_role].setdefault(kind, []).append(c)
     ranked: dict[tuple, list[tuple]] = {}
-    for t in sides.get("target", {}):
-        for n in sides.get("neighbor", {}):
+    for t in sides["target"]:
+        for n in sides["neighbor"]:
             if t[0] != n[0]:
                 continue
             kin = _family(t[1]) if t[1] != n[1] else None

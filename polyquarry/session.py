@@ -37,3 +37,11 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFra
     """Hint a broadcast when ``rows`` counted rows of about ``row_bytes`` stay under the limit;
     beyond it the frame is returned as it is and Catalyst shuffles."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for heavy narrow stages behind a scan
+    of few splits. Frames of enough splits, as all large ones are, pass as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if have >= cores else df.repartition(cores)
