@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyquarry.session import broadcast_if_small, cut
+from polyquarry.session import broadcast_if_small, cut, spread
 
 CAPACITY = 2048
 BUCKETS = 128
@@ -130,7 +130,7 @@ def sized(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKEN
             ids, pieces, many, sizes = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), *(pa.array(c, pa.int32()) for c in (pieces, many, sizes))], ["doc_id", "piece", "n_pieces", "n_tokens"])
 
-    texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull())
+    texts = spread(documents.select("doc_id", "text").filter(F.col("text").isNotNull()))
     return texts.mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, piece int, n_pieces int, n_tokens int")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyquarry.llm import attempts, language, leakage, lookalikes, overlap, packing, pairs, pii
-from polyquarry.session import table
+from polyquarry.session import spread, table
 
 
 def _answer_values(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ def _languages(spark: SparkSession, d: str) -> DataFrame:
     t = attempts.translations(table(spark, d, "attempt_cache"))
     fields = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in ("question", "expected_answer")])
     rows = t.select(*attempts.KEYS, language.code_column(F.col("target_language")).alias("named"), F.explode(fields).alias("f")).select(*attempts.KEYS, "named", "f.field_name", "f.text")
-    rows = rows.filter(F.col("text").isNotNull()).withColumn("found", language.identify_column(profiles)("text"))
+    rows = spread(rows.filter(F.col("text").isNotNull())).withColumn("found", language.identify_column(profiles)("text"))
     return rows.filter((F.col("field_name") == "question") | F.col("found.sentence"))
 
 
@@ -66,7 +66,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     profiles = language.fit(iter(sample))
     answers = (x for _, x in sample if language.is_sentence(x) and not pairs._ASKS.search(x))
     judge = pairs.defect_column(profiles, pairs.Endings.fit(answers))
-    t = attempts.translations(table(spark, d, "attempt_cache"))
+    t = spread(attempts.translations(table(spark, d, "attempt_cache")).select(*attempts.KEYS, "question", "expected_answer"))
     rows = t.select(*attempts.KEYS, judge("question", "expected_answer").alias("defect_type"))
     return rows.filter(F.col("defect_type").isNotNull()).distinct()
 
