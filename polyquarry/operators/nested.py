@@ -59,9 +59,12 @@ def attempts(cache: DataFrame, *keep: str) -> DataFrame:
 
 
 def attempt_keys(cache: DataFrame) -> DataFrame:
-    """The supertype keys, each once, with the placeholder rows of empty levels. Only lengths are read:
-    the nested texts are pruned from the scan."""
-    return levels(cache).select("cache_id", "item_pos", "attempt_pos").distinct()
+    """The supertype keys, each once, with the placeholder rows of empty levels. Of the attempts only
+    their numbers go on from the scan, as they tell the lengths (Catalyst prunes fields one array deep, not
+    two, so the scan itself reads the attempts whole)."""
+    items = cache.select("cache_id", F.posexplode_outer("attempt_history").alias("item_pos", "item"))
+    numbers = items.select("cache_id", F.coalesce("item_pos", F.lit(-1)).alias("item_pos"), F.posexplode_outer(F.col("item.attempts.attempt")).alias("attempt_pos", "attempt"))
+    return numbers.select("cache_id", "item_pos", F.coalesce("attempt_pos", F.lit(-1)).alias("attempt_pos")).distinct()
 
 
 def repeated_ids(cache: DataFrame) -> DataFrame:
