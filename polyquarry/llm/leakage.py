@@ -25,12 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyquarry.llm.lookalikes import mapped, odd
-from polyquarry.session import cut, spread
+from polyquarry.session import broadcast_if_small, cut, spread
 
 BLOCK = 20_000
 WORDS, CHARS = 3, 5
-#: A window that stands in more sentences than this tells too little to be looked up.
-MOST_SHARED = 64
 LEAST_TOKENS = 4
 #: A sentence without any figure counts as a standing notice where more than this share of documents
 #: holds it, or where several items hold it.
@@ -51,7 +49,7 @@ def tokens(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Sentence:
-    item_id: str
+    items: tuple[str, ...]  # of all passages that hold it
     words: tuple[str, ...]  # case folded
     kinds: tuple[str, ...]  # w word, n figure, N name, u unit
     east: bool
@@ -62,7 +60,7 @@ class Sentence:
 
 
 def sentences_of(items: list[tuple[str, str]]) -> list[Sentence]:
-    """The sentences of (item_id, passage) pairs as templates with slots. A word is a name
+    """The distinct sentences of (item_id, passage) pairs as templates with slots. A word is a name
     where it is capitalised inside its sentence, or first before another name and nowhere in lower case."""
     raw: list[tuple[str, list[str]]] = []
     for item, span in items:
@@ -71,7 +69,7 @@ def sentences_of(items: list[tuple[str, str]]) -> list[Sentence]:
             if len(t) >= LEAST_TOKENS:
                 raw.append((item, t))
     plain = {w for _, t in raw for w in t if w[:1].islower()}
-    out = []
+    out: dict[tuple, dict[str, None]] = defaultdict(dict)  # items in order, each once
     for item, t in raw:
         kinds = []
         for i, w in enumerate(t):
@@ -83,8 +81,8 @@ def sentences_of(items: list[tuple[str, str]]) -> list[Sentence]:
                 kinds.append("N")
             else:
                 kinds.append("w")
-        out.append(Sentence(item, tuple(w.casefold() for w in t), tuple(kinds), bool(_EAST.search("".join(t)))))
-    return out
+        out[tuple(w.casefold() for w in t), tuple(kinds)][item] = None
+    return [Sentence(tuple(items), words, kinds, bool(_EAST.search("".join(words)))) for (words, kinds), items in out.items()]
 
 
 def _pieces(span: str) -> list[str]:
@@ -126,8 +124,6 @@ class Table:
                 window = s.words[i : i + k]
                 if not slots.isdisjoint(window):
                     self.index[window].append((n, i))
-        for w in [w for w, p in self.index.items() if len(p) > MOST_SHARED]:
-            del self.index[w]
 
     def hits(self, text: str) -> set[int]:
         """Numbers of the sentences that the text holds."""
@@ -202,7 +198,7 @@ def leaks(documents: DataFrame, items: DataFrame, notice_share: float = NOTICE_S
     sentences = sentences_of(spans)
     shared: dict[tuple, set[str]] = defaultdict(set)
     for s in sentences:
-        shared[s.words].add(s.item_id)
+        shared[s.words].update(s.items)
     figureless = lambda s: "n" not in s.kinds
     kept = [s for s in sentences if not (figureless(s) and len(shared[s.words]) > 1)]
     texts = spread(documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") > 0)))
@@ -227,8 +223,9 @@ def leaks(documents: DataFrame, items: DataFrame, notice_share: float = NOTICE_S
             most = max(5.0, notice_share * documents.count())
             counts = found.filter(F.col("n").isin(doubtful)).groupBy("n").count().filter(F.col("count") > most).collect()
             found = found.filter(~F.col("n").isin([r["n"] for r in counts] or [-1]))
-        names = documents.sparkSession.createDataFrame([(n, s.item_id) for n, s in enumerate(block)] or [(-1, "")], "n int, item_id string")
-        found = found.join(F.broadcast(names), "n").select("doc_id", "item_id")  # at most BLOCK rows
+        rows = [(n, item) for n, s in enumerate(block) for item in s.items] or [(-1, "")]
+        names = documents.sparkSession.createDataFrame(rows, "n int, item_id string")
+        found = found.join(broadcast_if_small(names, len(rows)), "n").select("doc_id", "item_id")
         out = found if out is None else out.unionByName(found)
     return out.distinct()
 

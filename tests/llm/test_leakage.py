@@ -53,3 +53,10 @@ def test_notice_held_by_many_documents(spark):
     items = spark.createDataFrame([("a", "Visitors may enter Bobo freely. Bobo Hall opened in 1900.", 0)], "item_id string, source_span string, x int")
     docs = spark.createDataFrame([(i, "Visitors may enter Bobo freely.") for i in range(40)] + [(99, "Bobo Hall opened in 1900.")], "doc_id long, text string")
     assert {tuple(r) for r in k.leaks(docs, items).collect()} == {(99, "a")}
+
+
+def test_sentence_held_by_many_items(spark):
+    """A sentence that a third of the items repeat leaks for each of them."""
+    items = spark.createDataFrame([(f"i{n}", f"Bobo Hall opened in 1900. Item number {n} was sold.", 0) for n in range(133)], "item_id string, source_span string, x int")
+    docs = spark.createDataFrame([(1, "Bobo Hall opened in 1900."), (2, "Bobo Hall opened in 1901.")], "doc_id long, text string")
+    assert {tuple(r) for r in k.leaks(docs, items).collect()} == {(1, f"i{n}") for n in range(133)}
