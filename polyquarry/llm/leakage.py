@@ -1,12 +1,12 @@
 """Held-out passages inside a corpus, by template windows with slot checks.
 
 Each sentence of a held-out passage becomes a template: figures, names and units turn into typed
-placeholders, whose values are the sentence's slots. Windows of the template (three words, or five
-characters in scripts without spaces) are hashed together with the slot values they cover, and the
-corpus' windows are joined with that table: a window of another text with the same template and other
-slots is a re-parameterised statement and joins only the template part. Where a window joins, the whole
-sentence is laid over the text at that place and its slots compared one by one: all slots have to agree,
-one word that is no slot may be exchanged. Case, spacing, line breaks, marks and character forms play no
+placeholders, whose values are the sentence's slots. All windows of the template (three words, or five
+characters in scripts without spaces; less where the sentence is too short to keep one beside an
+exchange) are hashed, each with the value of the sentence's rarest slot wherever that lies, and the corpus'
+windows, typed alike, are joined with that table. Where one joins, the whole sentence is laid over the text
+at that place and its slots compared one by one: all slots have to agree, one word that is no slot may be
+exchanged. A re-parameterised statement has the template and fails at its slots. Case, spacing, line breaks, marks and character forms play no
 part; the sentence may run across line ends.
 
 The held-out set is a stated query set (its size is counted; beyond ``BLOCK`` sentences it is taken in
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,6 +29,9 @@ from polyquarry.session import broadcast_if_small, cut, spread
 
 BLOCK = 20_000
 WORDS, CHARS = 3, 5
+#: Longest run of characters that counts as one exchanged word in scripts without spaces.
+RUN = 6
+DIGITS = frozenset("0123456789")
 LEAST_TOKENS = 4
 #: A sentence without any figure counts as a standing notice where more than this share of documents
 #: holds it, or where several items hold it.
@@ -54,10 +57,6 @@ class Sentence:
     kinds: tuple[str, ...]  # w word, n figure, N name, u unit
     east: bool
 
-    @property
-    def template(self) -> tuple[str, ...]:
-        return tuple(w if k == "w" else f"<{k}>" for w, k in zip(self.words, self.kinds))
-
 
 def sentences_of(items: list[tuple[str, str]]) -> list[Sentence]:
     """The distinct sentences of (item_id, passage) pairs as templates with slots. A word is a name
@@ -104,49 +103,65 @@ def _thai(part: str) -> list[str]:
     return [p.strip() for p in out if p.strip()]
 
 
+def _run(size: int) -> int:
+    """The longest run of characters that may be exchanged in a sentence of ``size`` characters."""
+    return min(RUN, int(0.4 * size + 1e-9))
+
+
+def _width(s: Sentence) -> int:
+    """Width of a sentence's windows: wherever the one exchange lies, a whole window stands beside it."""
+    n = len(s.words)
+    return max(1, min(CHARS, (n - _run(n) + 1) // 2)) if s.east else min(WORDS, n // 2)
+
+
 class Table:
-    """Hash table of the held-out windows: template and slot values → places in sentences. Only windows
-    that cover a slot are kept (of a sentence without slots, those over its rarest words), so a text is
-    looked up around its slot values alone."""
+    """Hash table of the held-out sentences: each window of a sentence's template with the value of its
+    rarest slot → places in sentences. Words are typed one by one, so that both sides are typed alike
+    whatever the case: a word that is a name in any sentence is ``<N>``."""
 
     def __init__(self, sentences: list[Sentence]):
         self.sentences = sentences
+        self.typed = {w: f"<{k}>" for kind in "uN" for s in sentences for w, k in zip(s.words, s.kinds) if k == kind}
         often = Counter(w for s in sentences for w in set(s.words))
-        self.slots: set[str] = set()
-        self.index: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        self.sizes: set[int] = set()
+        #: (east, width) → window → place of the slot from the window's start → its value → (sentence, place)
+        self.index: dict[tuple[bool, int], dict[tuple[str, ...], dict[int, dict[str, list[tuple[int, int]]]]]] = {}
         for n, s in enumerate(sentences):
-            k = CHARS if s.east else WORDS
-            self.sizes.add(k)
-            slots = {w for w, kind in zip(s.words, s.kinds) if kind in "nN"} or set(sorted(s.words, key=lambda w: (often[w], w))[:3])
-            self.slots |= slots
-            for i in range(len(s.words) - k + 1):
-                window = s.words[i : i + k]
-                if not slots.isdisjoint(window):
-                    self.index[window].append((n, i))
+            k, words = _width(s), self._types(s.words)
+            slots = [i for i, kind in enumerate(s.kinds) if kind in "nN"]
+            rarest = min(slots, key=lambda i: often[s.words[i]], default=None)
+            windows = self.index.setdefault((s.east, k), {})
+            for i in range(len(words) - k + 1):
+                place = i if rarest is None else rarest  # of a sentence without slots, the window itself
+                values = windows.setdefault(tuple(words[i : i + k]), {}).setdefault(place - i, {})
+                values.setdefault(s.words[place], []).append((n, i))
+
+    def _types(self, words: Sequence[str]) -> list[str]:
+        typed = self.typed
+        return ["<n>" if w[0] in DIGITS else typed.get(w, w) for w in words]
 
     def hits(self, text: str) -> set[int]:
         """Numbers of the sentences that the text holds."""
         t = tokens(text.casefold())
-        slots, index = self.slots, self.index
-        at_slots = [p for p, w in enumerate(t) if w in slots]
-        if not at_slots:
-            return set()
+        words, end = self._types(t), len(t)
         found: set[int] = set()
         tried: set[tuple[int, int]] = set()
-        for size in self.sizes:
-            if size == CHARS and not _EAST.search(text):
+        has_east = bool(_EAST.search(text))
+        for (east, size), windows in self.index.items():
+            if east and not has_east:
                 continue
-            last, done = len(t) - size, -1
-            for p in at_slots:
-                for at in range(max(done + 1, p - size + 1), min(p, last) + 1):
-                    done = at
-                    for n, i in index.get(tuple(t[at : at + size]), ()):
-                        if n not in found and (n, at - i) not in tried:
-                            if self._agrees(self.sentences[n], t, at, i):
-                                found.add(n)
-                            elif len(tried) < 4096:
-                                tried.add((n, at - i))
+            for at, joined in enumerate(map(windows.get, zip(*[words[i:] for i in range(size)]))):
+                if joined is None:
+                    continue
+                for off, values in joined.items():
+                    # behind an exchanged run of another length the slot lies some places off
+                    moved = RUN if east and not 0 <= off < size else 0
+                    for p in range(max(0, at + off - moved), min(end, at + off + moved + 1)):
+                        for n, i in values.get(t[p], ()):
+                            if n not in found and (n, at - i) not in tried:
+                                if self._agrees(self.sentences[n], t, at, i):
+                                    found.add(n)
+                                elif not east:  # all windows that put the sentence there say the same
+                                    tried.add((n, at - i))
         return found
 
     @staticmethod
@@ -165,7 +180,7 @@ class Table:
             return True
         if a < i and i + b < n:
             return False  # two places differ
-        run = 6 if s.east else 1
+        run = RUN if s.east else 1
         if i + b < n:  # one exchange to the right, the rest has to agree up to the end
             lo, ends = i + b, [at + b + d for d in range(1, run + 1)]
             for to in range(lo + 1, min(n, lo + run) + 1):

@@ -60,3 +60,13 @@ def test_sentence_held_by_many_items(spark):
     items = spark.createDataFrame([(f"i{n}", f"Bobo Hall opened in 1900. Item number {n} was sold.", 0) for n in range(133)], "item_id string, source_span string, x int")
     docs = spark.createDataFrame([(1, "Bobo Hall opened in 1900."), (2, "Bobo Hall opened in 1901.")], "doc_id long, text string")
     assert {tuple(r) for r in k.leaks(docs, items).collect()} == {(1, f"i{n}") for n in range(133)}
+
+
+def test_exchange_at_any_place():
+    """Wherever the one exchanged word stands, a window beside it joins, in short sentences as well."""
+    for span in ("the old wing was at last opened here in 1900", "it has again 1900", "they came back in 1900", "当時那座博物馆的新楼在1900年"):
+        s = k.sentences_of([("i", span)])
+        table, words = k.Table(s), s[0].words
+        for at, kind in enumerate(s[0].kinds):
+            other = " ".join(words[:at] + ("々" if s[0].east else "zzz",) + words[at + 1 :])
+            assert table.hits(other) == ({0} if kind == "w" else set()), other
