@@ -19,6 +19,8 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from hashlib import blake2b
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +35,8 @@ WORDS, CHARS = 3, 5
 RUN = 6
 DIGITS = frozenset("0123456789")
 LEAST_TOKENS = 4
-#: A sentence without any figure counts as a standing notice where more than this share of documents
-#: holds it, or where several items hold it.
+#: A sentence without any figure counts as a standing notice where more than this share of the distinct
+#: texts holds it without its passage, or where it ends passages of different pages.
 NOTICE_SHARE = 0.002
 
 _TOKEN = re.compile("[0-9]+(?:[.,'’ ][0-9]{3})+(?![0-9])|[0-9]+|[฀-๿぀-ヿ㐀-鿿々]|[^\\W\\d_฀-๿぀-ヿ㐀-鿿]+(?:[ঀ-৿ً-ْ][^\\W\\d_]*)*")
@@ -56,20 +58,23 @@ class Sentence:
     words: tuple[str, ...]  # case folded
     kinds: tuple[str, ...]  # w word, n figure, N name, u unit
     east: bool
+    ends: frozenset[str] = frozenset()  # items whose passage it ends
 
 
 def sentences_of(items: list[tuple[str, str]]) -> list[Sentence]:
     """The distinct sentences of (item_id, passage) pairs as templates with slots. A word is a name
     where it is capitalised inside its sentence, or first before another name and nowhere in lower case."""
-    raw: list[tuple[str, list[str]]] = []
+    raw: list[tuple[str, list[str], bool]] = []
     for item, span in items:
-        for s in _pieces(mapped(span) if odd(span) else span):
+        pieces = _pieces(mapped(span) if odd(span) else span)
+        for n, s in enumerate(pieces, 1):
             t = tokens(s)
             if len(t) >= LEAST_TOKENS:
-                raw.append((item, t))
-    plain = {w for _, t in raw for w in t if w[:1].islower()}
+                raw.append((item, t, n == len(pieces)))
+    plain = {w for _, t, _ in raw for w in t if w[:1].islower()}
+    ends: dict[tuple, set[str]] = defaultdict(set)
     out: dict[tuple, dict[str, None]] = defaultdict(dict)  # items in order, each once
-    for item, t in raw:
+    for item, t, last in raw:
         kinds = []
         for i, w in enumerate(t):
             if w[0].isdigit():
@@ -80,8 +85,11 @@ def sentences_of(items: list[tuple[str, str]]) -> list[Sentence]:
                 kinds.append("N")
             else:
                 kinds.append("w")
-        out[tuple(w.casefold() for w in t), tuple(kinds)][item] = None
-    return [Sentence(tuple(items), words, kinds, bool(_EAST.search("".join(words)))) for (words, kinds), items in out.items()]
+        key = tuple(w.casefold() for w in t), tuple(kinds)
+        out[key][item] = None
+        if last:
+            ends[key].add(item)
+    return [Sentence(tuple(items), *key, bool(_EAST.search("".join(key[0]))), frozenset(ends[key])) for key, items in out.items()]
 
 
 def _pieces(span: str) -> list[str]:
@@ -201,48 +209,71 @@ class Table:
         return False
 
 
+def notices(sentences: list[Sentence]) -> set[tuple[str, ...]]:
+    """Words of the figureless sentences that end passages of different pages, which are two passages
+    without another sentence or a full name in common. Items of one passage or page tell nothing."""
+    beside: dict[str, set] = defaultdict(set)  # sentences of an item, and its names of several words
+    for s in sentences:
+        names = {s.words[m.start() : m.end()] for m in re.finditer("NN+", "".join(s.kinds))}
+        for item in s.items:
+            beside[item] |= {(s.words, s.kinds)} | names
+    out = set()
+    for s in sentences:
+        if "n" not in s.kinds and len(s.ends) > 1:
+            pages = {frozenset(beside[item] - {(s.words, s.kinds)}) for item in s.ends} - {frozenset()}
+            if any(a.isdisjoint(b) for a, b in combinations(pages, 2)):
+                out.add(s.words)
+    return out
+
+
 def leaks(documents: DataFrame, items: DataFrame, notice_share: float = NOTICE_SHARE) -> DataFrame:
     """Pairs (doc_id, item_id), each once: the document holds a whole sentence of the item's passage.
 
     ``documents``: doc_id, text; ``items``: item_id, source_span. Null and empty texts and passages have
     no pair; sentences of fewer than four tokens are not looked for; extra columns play no part.
-    Sentences that hold no figure and that many documents or several items carry are standing notices
-    and don't count.
+    Standing notices don't count: sentences that hold no figure and end passages of different pages, or
+    stand in many texts without any other sentence of their passage. Copies of a text count once, but
+    rows that hold the bare sentence and no page around it count each.
     """
     spans = [(r["item_id"], r["source_span"]) for r in items.select("item_id", "source_span").filter("item_id IS NOT NULL AND source_span IS NOT NULL").distinct().toLocalIterator()]
     sentences = sentences_of(spans)
-    shared: dict[tuple, set[str]] = defaultdict(set)
-    for s in sentences:
-        shared[s.words].update(s.items)
-    figureless = lambda s: "n" not in s.kinds
-    kept = [s for s in sentences if not (figureless(s) and len(shared[s.words]) > 1)]
+    known = notices(sentences)
+    kept = [s for s in sentences if s.words not in known]
     texts = spread(documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") > 0)))
-    out = None
+    hits = None
     for at in range(0, max(1, len(kept)), BLOCK):
-        block = kept[at : at + BLOCK]
-        table = Table(block)
+        table = Table(kept[at : at + BLOCK])
 
-        def look(batches: Iterator[pa.RecordBatch], table: Table = table) -> Iterator[pa.RecordBatch]:
+        def look(batches: Iterator[pa.RecordBatch], table: Table = table, first: int = at) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, numbers = [], []
+                rows = []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for n in table.hits(mapped(text) if odd(text) else text):
-                        ids.append(doc)
-                        numbers.append(n)
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(numbers, pa.int32())], ["doc_id", "n"])
-
-        found = cut(texts.mapInArrow(look, f"doc_id {dict(documents.dtypes)['doc_id']}, n int"))
-        doubtful = [n for n, s in enumerate(block) if figureless(s)]
-        if doubtful:  # a figureless sentence held by many documents is a notice
-            most = max(5.0, notice_share * documents.count())
-            counts = found.filter(F.col("n").isin(doubtful)).groupBy("n").count().filter(F.col("count") > most).collect()
-            found = found.filter(~F.col("n").isin([r["n"] for r in counts] or [-1]))
-        rows = [(n, item) for n, s in enumerate(block) for item in s.items] or [(-1, "")]
-        names = documents.sparkSession.createDataFrame(rows, "n int, item_id string")
-        found = found.join(broadcast_if_small(names, len(rows)), "n").select("doc_id", "item_id")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+                    text = mapped(text) if odd(text) else text
+                    for n in table.hits(text):
+                        s = table.sentences[n]
+                        rows.append((doc, n + first, None if "n" in s.kinds else _page(doc, text, len(s.words))))
+                if rows:
+                    ids, numbers, pages = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(pages, pa.string())], ["doc_id", "n", "page"])
+
+        found = cut(texts.mapInArrow(look, f"doc_id {dict(documents.dtypes)['doc_id']}, n int, page string"))
+        hits = found if hits is None else hits.unionByName(found)
+    rows = [(n, item) for n, s in enumerate(kept) for item in s.items] or [(-1, "")]
+    names = documents.sparkSession.createDataFrame(rows, "n int, item_id string")
+    out = hits.join(broadcast_if_small(names, len(rows)), "n")
+    if any("n" not in s.kinds for s in kept):
+        held = out.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("of_passage"))
+        alone = out.filter(F.col("page").isNotNull()).join(held, ["doc_id", "item_id"]).groupBy("doc_id", "n", "page").agg(F.max("of_passage").alias("of_passage"))
+        most = max(5.0, notice_share * texts.select(F.xxhash64("text")).distinct().count())
+        counts = alone.filter(F.col("of_passage") == 1).groupBy("n").agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") > most).collect()
+        out = out.filter(~F.col("n").isin([r["n"] for r in counts] or [-1]))
+    return out.select("doc_id", "item_id").distinct()
+
+
+def _page(doc: object, text: str, size: int) -> str:
+    """What copies of a text have in common; of a text of no more than ``size`` tokens the document."""
+    t = tokens(text.casefold())
+    return blake2b(" ".join(t).encode(), digest_size=12).hexdigest() if len(t) > size else f"#{doc}"
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -70,3 +70,12 @@ def test_exchange_at_any_place():
         for at, kind in enumerate(s[0].kinds):
             other = " ".join(words[:at] + ("々" if s[0].east else "zzz",) + words[at + 1 :])
             assert table.hits(other) == ({0} if kind == "w" else set()), other
+
+
+def test_figureless_sentence_of_one_page(spark):
+    """Neither items of one passage nor copies of a leaked page make a sentence a notice."""
+    span = "Bobo Hall opened in 1900. Visitors may enter Bobo freely."
+    items = spark.createDataFrame([("a", span, 0), ("b", span, 0), ("c", "Kiki Hall was sold in 1950. Guests may enter Kiki freely.", 0)], "item_id string, source_span string, x int")
+    docs = [(i, span) for i in range(40)] + [(40 + i, "A copied page. Guests may enter Kiki freely.") for i in range(40)] + [(99, "More. Visitors may enter Bobo freely.")]
+    got = {tuple(r) for r in k.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(d, i) for d in (*range(40), 99) for i in "ab"} | {(d, "c") for d in range(40, 80)}
