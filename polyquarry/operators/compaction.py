@@ -1,13 +1,15 @@
 """Sorted-run consolidation of tiny record files.
 
 The bodies of many tiny files are decoded where they lie, batch by batch, into records sorted by their
-key (the runs). The runs are exchanged by key range, and every range is merged in key order by Spark's
-external sorter, which spills sorted runs to disk and merges them k ways. A streaming pass over each
-range keeps one record per key (or all copies, on request) and rolls the output over to the next file
-by bytes. Range metadata (least and greatest key, records, bytes) are kept per output file.
-
-One shuffle moves every record once. Copies inside a batch are dropped before it, so a record repeated
-in a third of all files leaves one copy per batch, not one per file.
+key (the runs), which are written once to the shared folder: bodies are decoded once, and both the borders
+of the key ranges and the exchange read the written runs. Every range is merged in key order by Spark's
+external sorter: its in-memory sort takes sorted stretches as runs and merges them, what it spills are sorted
+runs that it merges k ways. A streaming pass over each range keeps one record per key (or all copies, on
+request) and rolls the output over to the next file by bytes. Range metadata (least and greatest key,
+records, bytes) are kept per output file.
+
+One shuffle moves every record once. Unless copies are kept, those inside a batch are dropped before it, so a
+record repeated in a third of all files leaves one copy per batch, not one per file.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyquarry.session import spread
+from polyquarry.session import cut, spread
 
 KEY = ["source_qa_id", "target_language", "attempt"]
 RECORD = "source_qa_id string, target_language string, attempt long, payload string, whole int, written_at timestamp, n_bytes long"
 OUTPUT = "source_qa_id string, target_language string, attempt long, payload string, n_bytes long, out_file string"
 TARGET_BYTES = 64 << 20
+#: Ranges of the exchange; beyond so many files' worth of data a range is rolled into several files.
+MOST_RANGES = 8192
 
 _DECODER = json.JSONDecoder()
 _OPEN = re.compile(r"[{\[]")
@@ -84,32 +88,41 @@ def records_of(body: str | None) -> list[dict]:
     return out
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [p.split()[0] for p in RECORD.split(", ")]
-    for batch in batches:
-        best: dict[tuple, tuple] = {}
-        bodies, times = batch.column(0).to_pylist(), batch.column(1).cast(pa.int64()).to_pylist()
-        for body, when in zip(bodies, times):
-            for r in records_of(body):
-                key = (r["source_qa_id"], r["target_language"], r["attempt"])
-                payload = json.dumps(r, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-                rank = (len(r), when if when is not None else -(1 << 62), payload)
-                if key not in best or rank > best[key]:
-                    best[key] = rank
-        run = sorted(best.items())
-        columns = [
-            [k[0] for k, _ in run],
-            [k[1] for k, _ in run],
-            [k[2] for k, _ in run],
-            [v[2] for _, v in run],
-            [v[0] for _, v in run],
-            [v[1] if v[1] > -(1 << 62) else None for _, v in run],
-            [len(v[2].encode("utf-8", "surrogatepass")) + 1 for _, v in run],
-        ]
-        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
-        arrays = [pa.array([x.encode("utf-8", "replace").decode() if isinstance(x, str) else x for x in c], t) for c, t in zip(columns, types)]
-        arrays[5] = arrays[5].cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC"))
-        yield pa.RecordBatch.from_arrays(arrays, names)
+def _decode(keep_copies: bool):
+    """Batches of bodies → sorted batches of their records; of the copies of a key the best one stays
+    unless ``keep_copies``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best: dict[tuple, tuple] = {}
+            every: list[tuple[tuple, tuple]] = []
+            bodies, times = batch.column(0).to_pylist(), batch.column(1).cast(pa.int64()).to_pylist()
+            for body, when in zip(bodies, times):
+                for r in records_of(body):
+                    key = tuple(r[k] for k in KEY)
+                    payload = json.dumps(r, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+                    rank = (len(r), when if when is not None else -(1 << 62), payload)
+                    if keep_copies:
+                        every.append((key, rank))
+                    elif key not in best or rank > best[key]:
+                        best[key] = rank
+            yield _run(sorted(every if keep_copies else best.items()))
+
+    return run
+
+
+def _run(rows: list[tuple[tuple, tuple]]) -> pa.RecordBatch:
+    columns = [
+        *([k[i] for k, _ in rows] for i in range(len(KEY))),
+        [v[2] for _, v in rows],
+        [v[0] for _, v in rows],
+        [v[1] if v[1] > -(1 << 62) else None for _, v in rows],
+        [len(v[2].encode("utf-8", "surrogatepass")) + 1 for _, v in rows],
+    ]
+    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    arrays = [pa.array([x.encode("utf-8", "replace").decode() if isinstance(x, str) else x for x in c], t) for c, t in zip(columns, types)]
+    arrays[5] = arrays[5].cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC"))
+    return pa.RecordBatch.from_arrays(arrays, [p.split()[0] for p in RECORD.split(", ")])
 
 
 def _merge(target: int, keep_copies: bool):
@@ -137,42 +150,44 @@ def _merge(target: int, keep_copies: bool):
     return run
 
 
-def decode_records(files: DataFrame, body: str = "body", written_at: str = "written_at") -> DataFrame:
-    """One row per record and Arrow batch, sorted by key within the batch: the runs."""
+def decode_records(files: DataFrame, body: str = "body", written_at: str = "written_at", keep_copies: bool = False) -> DataFrame:
+    """Sorted runs: one row per record and Arrow batch (one per copy with ``keep_copies``), in key order
+    within the batch."""
     rows = files.select(F.col(body).alias("body"), F.col(written_at).cast("timestamp").alias("written_at")).filter(F.col("body").isNotNull())
-    return spread(rows).mapInArrow(_decode, RECORD)
+    return spread(rows).mapInArrow(_decode(keep_copies), RECORD)
 
 
 def merge_runs(runs: DataFrame, total_bytes: int, target_bytes: int = TARGET_BYTES, keep_copies: bool = False) -> DataFrame:
-    """Sorted runs (rows of ``decode_records`` or of earlier output) merged per key range and rolled by
-    bytes. ``total_bytes`` sets the number of ranges."""
-    ranges = max(1, -(-int(total_bytes) // target_bytes))
+    """Sorted runs (written rows of ``decode_records`` or of earlier output) merged per key range and rolled
+    by bytes. ``total_bytes`` sets the number of ranges, at most ``MOST_RANGES``."""
+    ranges = min(MOST_RANGES, max(1, -(-int(total_bytes) // target_bytes)))
     ranged = runs.repartitionByRange(ranges, *KEY).sortWithinPartitions(*KEY, F.desc("whole"), F.desc_nulls_last("written_at"), F.desc("payload"))
     # ranges are sampled, not exact: a range may run half over the target before it is rolled
     return ranged.mapInArrow(_merge(target_bytes * 3 // 2, keep_copies), OUTPUT)
 
 
-def _total(files: DataFrame, n_bytes: str, body: str) -> int:
-    size = F.col(n_bytes).cast("long") if n_bytes in files.columns else F.octet_length(body)
-    return int(files.agg(F.sum(F.coalesce(size, F.lit(0)))).first()[0] or 0)
+def _bytes(runs: DataFrame) -> int:
+    return int(runs.agg(F.sum("n_bytes")).first()[0] or 0)
 
 
-def consolidate(files: DataFrame, target_bytes: int = TARGET_BYTES, keep_copies: bool = False, n_bytes: str = "n_bytes") -> DataFrame:
+def consolidate(files: DataFrame, target_bytes: int = TARGET_BYTES, keep_copies: bool = False) -> DataFrame:
     """Records of tiny files as few sorted, evenly sized output files.
 
     Returns one row per record with ``out_file``; rows of one file are adjacent and in key order, the
-    key ranges of files don't overlap. ``keep_copies`` keeps repeated records; otherwise of the copies of
-    a key that with most fields stays, then the latest, then the greatest payload. Empty, blank, null and
-    cut-off bodies give no record. Extra columns of the input play no part.
+    key ranges of files don't overlap. ``keep_copies`` keeps every copy of a repeated record, also of one
+    body; otherwise of the copies of a key that with most fields stays, then the latest, then the greatest
+    payload. Empty, blank, null and cut-off bodies give no record. Extra columns of the input play no part.
     """
-    return merge_runs(decode_records(files), _total(files, n_bytes, "body"), target_bytes, keep_copies)
+    runs = cut(decode_records(files, keep_copies=keep_copies))
+    return merge_runs(runs, _bytes(runs), target_bytes, keep_copies)
 
 
-def add_files(consolidated: DataFrame, files: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Earlier output and further tiny files as one: the old files are runs like the new ones."""
+def add_files(consolidated: DataFrame, files: DataFrame, target_bytes: int = TARGET_BYTES, keep_copies: bool = False) -> DataFrame:
+    """Earlier output and further tiny files as one: the old files are runs like the new ones. With
+    ``keep_copies`` no copy of either side is dropped."""
     old = consolidated.select(*KEY, "payload", F.size(F.json_object_keys("payload")).alias("whole"), F.lit(None).cast("timestamp").alias("written_at"), "n_bytes")
-    total = _total(files, "n_bytes", "body") + int(consolidated.agg(F.sum("n_bytes")).first()[0] or 0)
-    return merge_runs(old.unionByName(decode_records(files)), total, target_bytes)
+    runs = old.unionByName(cut(decode_records(files, keep_copies=keep_copies)))
+    return merge_runs(runs, _bytes(runs), target_bytes, keep_copies)
 
 
 def range_metadata(consolidated: DataFrame) -> DataFrame:

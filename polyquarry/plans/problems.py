@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyquarry.operators import compaction, nested
-from polyquarry.session import table
+from polyquarry.session import shared_dir, table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +24,14 @@ def p3_ranges(spark: SparkSession, d: str) -> DataFrame:
     return m.select("out_file", "n_records", "n_bytes", F.col("min_key.source_qa_id").alias("min_qa_id"), F.col("max_key.source_qa_id").alias("max_qa_id"))
 
 
+def p3_written(spark: SparkSession, d: str) -> DataFrame:
+    """The files as written, with every copy kept, counted from what is read back."""
+    path = f"{shared_dir(spark)}/consolidated-{uuid.uuid4().hex}"
+    compaction.write_consolidated(table(spark, d, "cache_file"), path, keep_copies=True)
+    data = spark.read.parquet(f"{path}/data")
+    return data.groupBy(*compaction.KEY).agg(F.count(F.lit(1)).alias("n_copies"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.attempt_keys(table(spark, d, "attempt_cache"))
 
@@ -60,12 +70,23 @@ ats AS (SELECT cache_id, item_pos, unnest(range(len(it.attempts))) AS attempt_po
 _VARIANT = """coalesce(nullif(concat_ws('+', CASE WHEN att.translation IS NOT NULL THEN 'translation' END,
  CASE WHEN att.backtranslation_en IS NOT NULL THEN 'backtranslation_en' END, CASE WHEN att.consistency IS NOT NULL THEN 'consistency' END), ''), 'bare')"""
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_consolidated, p3_ranges, p5_found, p5_variants, p5_shapes)} | {
+#: Bodies cut into pieces by layout (lines, indented objects, indented arrays), those that are whole JSON.
+_PIECES = """
+WITH b AS (SELECT ltrim(replace(body, chr(65279), ''), E' \\n\\r\\t') AS t FROM cache_file WHERE body IS NOT NULL),
+p AS (SELECT unnest(CASE WHEN starts_with(t, '[') THEN list_transform(string_split(substr(t, 2), E'\\n  }'), lambda x: regexp_replace(x, '^[\\s,]+', '') || '}')
+ WHEN starts_with(t, E'{\\n') THEN list_transform(string_split(t, E'\\n}'), lambda x: x || '}') ELSE string_split(t, E'\\n') END) AS p FROM b),
+r AS (SELECT CASE WHEN json_valid(p) THEN p::JSON END AS j FROM p),
+k AS (SELECT j->>'source_qa_id' AS source_qa_id, j->>'target_language' AS target_language, CAST(j->>'attempt' AS BIGINT) AS attempt FROM r WHERE json_type(j, '$.attempt') IS NOT NULL AND j->>'source_qa_id' IS NOT NULL)
+"""
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_consolidated, p3_ranges, p3_written, p5_found, p5_variants, p5_shapes)} | {
     "p5_files": p5_files, "p5_items": p5_items, "p5_attempts": p5_attempts, "p5_aliases": p5_aliases,
     "p5_translated_only": p5_translated_only, "p5_complete": p5_complete,
 }
 
 ORACLE = {
+    "p3_found": _PIECES + "SELECT DISTINCT source_qa_id, target_language, attempt FROM k",
+    "p3_written": _PIECES + "SELECT source_qa_id, target_language, attempt, count(*) AS n_copies FROM k GROUP BY ALL",
     "p5_found": _ROWS
     + """SELECT cache_id, CAST(item_pos AS INT) AS item_pos, CAST(attempt_pos AS INT) AS attempt_pos FROM ats
 UNION SELECT cache_id, CAST(item_pos AS INT), -1 FROM its WHERE coalesce(len(it.attempts), 0) = 0

@@ -63,7 +63,28 @@ def test_copies_kept_on_request_and_most_complete_wins(spark):
     df = spark.createDataFrame([(1, json.dumps(rec("a")), 9, None, ""), (2, json.dumps(full), 9, None, "")], SCHEMA)
     (r,) = c.consolidate(df).collect()
     assert json.loads(r.payload) == full
-    assert c.consolidate(df.repartition(2), keep_copies=True).count() >= 1
+    assert sorted(r.payload for r in c.consolidate(df.repartition(2), keep_copies=True).collect()) == sorted(json.dumps(r, sort_keys=True, separators=(",", ":")) for r in (rec("a"), full))
+
+
+def test_every_copy_is_kept(spark):
+    """Six copies in two bodies stay six, also when further files are merged in; without copies one stays."""
+    body = lambda n: "\n".join([json.dumps(rec("a"))] * n)
+    df = spark.createDataFrame([(1, body(4), 9, None, ""), (2, body(2), 9, None, "")], SCHEMA)
+    kept = c.consolidate(df, keep_copies=True)
+    assert kept.count() == 6 and c.consolidate(df).count() == 1
+    more = spark.createDataFrame([(3, body(2) + "\n" + json.dumps(rec("b")), 9, None, "")], SCHEMA)
+    assert sorted(r.source_qa_id for r in c.add_files(kept, more, keep_copies=True).collect()) == ["a"] * 8 + ["b"]
+    assert sorted(r.source_qa_id for r in c.add_files(kept, more).collect()) == ["a", "b"]
+
+
+def test_written_files_hold_every_record_in_order(spark, tmp_path):
+    rows = [(i, "\n".join(json.dumps(rec(f"q{(i * 7 + k) % 90:03d}", note="x" * 60)) for k in range(5)), 500, None, "") for i in range(60)]
+    m = c.write_consolidated(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "o"), target_bytes=4_000, keep_copies=True)
+    meta = sorted(m.collect(), key=lambda r: tuple(r.min_key))
+    assert len(meta) > 3 and sum(r.n_records for r in meta) == 300
+    assert all(tuple(a.max_key) < tuple(b.min_key) for a, b in zip(meta, meta[1:]))
+    data = spark.read.parquet(str(tmp_path / "o" / "data"))
+    assert data.select("out_file", *c.KEY, "n_bytes").count() == 300
 
 
 def test_empty_and_written(spark, tmp_path):
