@@ -3,25 +3,27 @@
 Each sentence of a held-out passage becomes a template: figures, names and units turn into typed
 placeholders, whose values are the sentence's slots. All windows of the template (three words, or five
 characters in scripts without spaces; less where the sentence is too short to keep one beside an
-exchange) are hashed, each with the value of the sentence's rarest slot wherever that lies, and the corpus'
-windows, typed alike, are joined with that table. Where one joins, the whole sentence is laid over the text
-at that place and its slots compared one by one: all slots have to agree, one word that is no slot may be
-exchanged. A re-parameterised statement has the template and fails at its slots. Case, spacing, line breaks, marks and character forms play no
-part; the sentence may run across line ends.
-
-The held-out set is a stated query set (its size is counted; beyond ``BLOCK`` sentences it is taken in
-blocks). The corpus is read once per block in one narrow stage; nothing of it is shuffled but the hits.
+exchange) are hashed, each with the value of the sentence's rarest slot wherever that lies. The corpus is
+typed alike and scanned once; its windows that are in the table of held-out hashes are the rows of an
+equi-join on the hash with the held-out windows. Each joined place is then checked: the whole sentence is
+laid over the text and its slots are compared one by one; all have to agree, one word that is no slot may
+be exchanged. A re-parameterised statement has the template and fails at its slots (``templates`` finds
+those). Case, spacing, line breaks, marks and character forms play no part; the sentence may run across
+line ends.
+
+Equal sentences are one class with the items that hold it. The held-out set is a stated query set: its words
+and window hashes go to the executors as arrays of a bounded block (``BLOCK`` sentences; a larger set is
+taken in blocks). Only texts that hold a held-out hash leave the scan.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
-from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +31,12 @@ from pyspark.sql import functions as F
 from polyquarry.llm.lookalikes import mapped, odd
 from polyquarry.session import broadcast_if_small, cut, spread
 
-BLOCK = 20_000
+#: Sentences of a block; with some twelve windows each its arrays stay below 20 MB.
+BLOCK = 50_000
 WORDS, CHARS = 3, 5
 #: Longest run of characters that counts as one exchanged word in scripts without spaces.
 RUN = 6
 DIGITS = frozenset("0123456789")
-LEAST_TOKENS = 4
-#: A sentence without any figure counts as a standing notice where more than this share of the distinct
-#: texts holds it without its passage, or where it ends passages of different pages.
-NOTICE_SHARE = 0.002
 
 _TOKEN = re.compile("[0-9]+(?:[.,'’ ][0-9]{3})+(?![0-9])|[0-9]+|[฀-๿぀-ヿ㐀-鿿々]|[^\\W\\d_฀-๿぀-ヿ㐀-鿿]+(?:[ঀ-৿ً-ْ][^\\W\\d_]*)*")
 _EAST = re.compile("[฀-๿぀-ヿ㐀-鿿]")
@@ -49,50 +48,11 @@ UNITS = {"kilometres", "kilometers", "km", "kilometer", "kilomètres", "kilómet
 
 def tokens(text: str) -> list[str]:
     """Words (characters in scripts without spaces) and figures with their case."""
-    return [t if not t[0].isdigit() else _NO_DIGIT.sub("", t) for t in _TOKEN.findall(text)]
-
-
-@dataclass(frozen=True)
-class Sentence:
-    items: tuple[str, ...]  # of all passages that hold it
-    words: tuple[str, ...]  # case folded
-    kinds: tuple[str, ...]  # w word, n figure, N name, u unit
-    east: bool
-    ends: frozenset[str] = frozenset()  # items whose passage it ends
-
-
-def sentences_of(items: list[tuple[str, str]]) -> list[Sentence]:
-    """The distinct sentences of (item_id, passage) pairs as templates with slots. A word is a name
-    where it is capitalised inside its sentence, or first before another name and nowhere in lower case."""
-    raw: list[tuple[str, list[str], bool]] = []
-    for item, span in items:
-        pieces = _pieces(mapped(span) if odd(span) else span)
-        for n, s in enumerate(pieces, 1):
-            t = tokens(s)
-            if len(t) >= LEAST_TOKENS:
-                raw.append((item, t, n == len(pieces)))
-    plain = {w for _, t, _ in raw for w in t if w[:1].islower()}
-    ends: dict[tuple, set[str]] = defaultdict(set)
-    out: dict[tuple, dict[str, None]] = defaultdict(dict)  # items in order, each once
-    for item, t, last in raw:
-        kinds = []
-        for i, w in enumerate(t):
-            if w[0].isdigit():
-                kinds.append("n")
-            elif w.casefold() in UNITS:
-                kinds.append("u")
-            elif w[:1].isupper() and (i or w.casefold() not in plain and t[1][:1].isupper()):
-                kinds.append("N")
-            else:
-                kinds.append("w")
-        key = tuple(w.casefold() for w in t), tuple(kinds)
-        out[key][item] = None
-        if last:
-            ends[key].add(item)
-    return [Sentence(tuple(items), *key, bool(_EAST.search("".join(key[0]))), frozenset(ends[key])) for key, items in out.items()]
-
-
-def _pieces(span: str) -> list[str]:
+    return [t if t[0] not in DIGITS or t.isdigit() else _NO_DIGIT.sub("", t) for t in _TOKEN.findall(text)]
+
+
+def pieces(span: str) -> list[str]:
+    """The sentences of a passage."""
     parts = [p.strip() for p in _SENTENCE.split(span) if p and p.strip()]
     return [q for p in parts for q in ([p] if not re.search("[฀-๿]", p) else _thai(p))]
 
@@ -111,169 +71,419 @@ def _thai(part: str) -> list[str]:
     return [p.strip() for p in out if p.strip()]
 
 
-def _run(size: int) -> int:
+def is_notice(sentence: list[str], others: list[list[str]]) -> bool:
+    """Whether the last sentence of a passage is a standing notice: it has no figure and says nothing of
+    the passage's subject, so it has no name in common with the other sentences. In scripts without capital
+    letters a subject is a run of two words (four characters where there are no spaces). The only sentence
+    of a passage is no notice."""
+    if not others or any(w[0] in DIGITS for w in sentence):
+        return False
+    folded = [w.casefold() for w in sentence]
+    if any(w.upper() != w.lower() for w in sentence):
+        names = {w.casefold() for w in sentence[1:] if w[:1].isupper()} | ({folded[0]} if len(sentence) > 1 and sentence[1][:1].isupper() else set())
+        return not any(names & {w.casefold() for w in o} for o in others)
+    k = 4 if _EAST.search("".join(sentence)) else 2
+    runs = {tuple(folded[i : i + k]) for i in range(len(folded) - k + 1)}
+    return not any(runs & {tuple(o[i : i + k]) for i in range(len(o) - k + 1)} for o in ([w.casefold() for w in o] for o in others))
+
+
+def sentences_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, passage) → item_id, notice, words (with their case) of each sentence. Sentences of fewer
+    than four words need a figure and another word to stand for anything."""
+    for b in batches:
+        rows = []
+        for item, span in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            found = [t for s in pieces(mapped(span) if odd(span) else span) if (t := tokens(s))]
+            for n, t in enumerate(found):
+                if len(t) >= 4 or len(t) > 1 and any(w[0] in DIGITS for w in t):
+                    rows.append((item, n + 1 == len(found) and is_notice(t, found[:n]), t))
+        if rows:
+            items, notices, words = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(items, b.schema.field(0).type), pa.array(notices), pa.array(words, pa.list_(pa.string()))], ["item_id", "notice", "words"])
+
+
+def run_of(size: int) -> int:
     """The longest run of characters that may be exchanged in a sentence of ``size`` characters."""
     return min(RUN, int(0.4 * size + 1e-9))
 
 
-def _width(s: Sentence) -> int:
+def width(size: int, east: bool) -> int:
     """Width of a sentence's windows: wherever the one exchange lies, a whole window stands beside it."""
-    n = len(s.words)
-    return max(1, min(CHARS, (n - _run(n) + 1) // 2)) if s.east else min(WORDS, n // 2)
-
-
-class Table:
-    """Hash table of the held-out sentences: each window of a sentence's template with the value of its
-    rarest slot → places in sentences. Words are typed one by one, so that both sides are typed alike
-    whatever the case: a word that is a name in any sentence is ``<N>``."""
-
-    def __init__(self, sentences: list[Sentence]):
-        self.sentences = sentences
-        self.typed = {w: f"<{k}>" for kind in "uN" for s in sentences for w, k in zip(s.words, s.kinds) if k == kind}
-        often = Counter(w for s in sentences for w in set(s.words))
-        #: (east, width) → window → place of the slot from the window's start → its value → (sentence, place)
-        self.index: dict[tuple[bool, int], dict[tuple[str, ...], dict[int, dict[str, list[tuple[int, int]]]]]] = {}
-        for n, s in enumerate(sentences):
-            k, words = _width(s), self._types(s.words)
-            slots = [i for i, kind in enumerate(s.kinds) if kind in "nN"]
-            rarest = min(slots, key=lambda i: often[s.words[i]], default=None)
-            windows = self.index.setdefault((s.east, k), {})
-            for i in range(len(words) - k + 1):
-                place = i if rarest is None else rarest  # of a sentence without slots, the window itself
-                values = windows.setdefault(tuple(words[i : i + k]), {}).setdefault(place - i, {})
-                values.setdefault(s.words[place], []).append((n, i))
-
-    def _types(self, words: Sequence[str]) -> list[str]:
-        typed = self.typed
-        return ["<n>" if w[0] in DIGITS else typed.get(w, w) for w in words]
-
-    def hits(self, text: str) -> set[int]:
-        """Numbers of the sentences that the text holds."""
-        t = tokens(text.casefold())
-        words, end = self._types(t), len(t)
-        found: set[int] = set()
-        tried: set[tuple[int, int]] = set()
-        has_east = bool(_EAST.search(text))
-        for (east, size), windows in self.index.items():
-            if east and not has_east:
+    return max(1, min(CHARS, (size - run_of(size) + 1) // 2)) if east else max(1, min(WORDS, size // 2))
+
+
+# --- hashes of both sides -------------------------------------------------------------------------------------
+
+
+@lru_cache(1 << 16)
+def word_hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little") | 1
+
+
+_MIX, _SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def window_hash(typed: np.ndarray, size: int, east: bool) -> np.ndarray:
+    """Hash of each window of ``size`` typed words (unsigned 64 bits, wrapping)."""
+    n = len(typed) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    out = np.full(n, np.uint64(2 * size + east), dtype=np.uint64)
+    for k in range(size):
+        out = (out ^ typed[k : k + n]) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def key_hash(window: np.ndarray, off: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Hash of a window with the value of a slot ``off`` places from its start."""
+    out = (window ^ (off.astype(np.int64) + 4096).astype(np.uint64) * _SLOT ^ value) * _MIX
+    return out ^ (out >> np.uint64(31))
+
+
+def _kind_hash(word: str, kind: str) -> int:
+    return word_hash(f"<{kind}>") if kind != "w" else word_hash(word)
+
+
+def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, words, types, slot) → key, window, off, value, east, size, sid, at: the windows of each template.
+    ``types``: kind per word as typed on both sides; ``slot``: place of the rarest slot or -1."""
+    names = ["key", "window", "off", "value", "east", "size", "sid", "at"]
+    for b in batches:
+        cols: list[list[np.ndarray]] = [[] for _ in names]
+        for sid, words, types, slot in zip(*(b.column(i).to_pylist() for i in range(4))):
+            east = bool(_EAST.search("".join(words)))
+            k = width(len(words), east)
+            typed = np.array([_kind_hash(w, t) for w, t in zip(words, types)], dtype=np.uint64)
+            h = window_hash(typed, k, east)
+            at = np.arange(len(h))
+            place = at if slot < 0 else np.full(len(h), slot)  # of a sentence without slots, the window itself
+            value = np.array([word_hash(words[p]) for p in place], dtype=np.uint64)
+            off = place - at
+            for c, v in zip(cols, (key_hash(h, off, value).view(np.int64), h.view(np.int64), off, value.view(np.int64), np.full(len(h), east), np.full(len(h), k), np.full(len(h), sid), at)):
+                c.append(v)
+        if cols[0]:
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, kinds)], names)
+
+
+class Scanner:
+    """Finds held-out hashes in texts. ``vocabulary``: held-out word → its kind; (``window``, ``off``,
+    ``east``, ``size``), ``keys`` and slot ``values`` of the held-out windows."""
+
+    def __init__(self, vocabulary: dict[str, str], window: np.ndarray, off: np.ndarray, east: np.ndarray, size: np.ndarray, keys: np.ndarray, values: np.ndarray):
+        self.place = {w: i for i, w in enumerate(vocabulary, 2)}
+        kinds = list(vocabulary.items())
+        # places 0 and 1: an unknown word, which no window holds, and an unknown figure
+        self.typed = np.array([0, _kind_hash("", "n"), *(_kind_hash(w, k) for w, k in kinds)], dtype=np.uint64)
+        own = np.array([0, 0, *(word_hash(w) for w, _ in kinds)], dtype=np.uint64)
+        self.own = np.where(np.isin(own, values), own, np.uint64(0))
+        self.classes = []
+        for e, s in sorted({*zip(east.tolist(), size.tolist())}):
+            mine = (east == e) & (size == s)
+            order = np.argsort(window[mine], kind="stable")
+            table = window[mine][order]
+            first = np.zeros(1 << 18, dtype=bool)  # a coarse look before the search
+            first[table >> np.uint64(46)] = True
+            self.classes.append((e, s, table, off[mine][order], first))
+        self.keys = np.sort(keys)
+
+    def places(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens of all texts in the vocabulary, and where each text starts; texts are
+        parted by an unknown word."""
+        get, flat, starts = self.place.get, [], []
+        for t in texts:
+            starts.append(len(flat))
+            flat += [get(w, 1 if w[0] in DIGITS else 0) for w in t]
+            flat.append(0)
+        return np.array(flat, dtype=np.int32), np.array([*starts, len(flat)], dtype=np.int64)
+
+    def hits(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the text, key and place of each window that stands in the held-out table together
+        with its slot."""
+        ids, starts = self.places(texts)
+        typed, own = self.typed[ids], self.own[ids]
+        known = typed != 0
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for east, size, table, offs, first in self.classes:
+            if len(ids) < size:
                 continue
-            for at, joined in enumerate(map(windows.get, zip(*[words[i:] for i in range(size)]))):
-                if joined is None:
-                    continue
-                for off, values in joined.items():
-                    # behind an exchanged run of another length the slot lies some places off
-                    moved = RUN if east and not 0 <= off < size else 0
-                    for p in range(max(0, at + off - moved), min(end, at + off + moved + 1)):
-                        for n, i in values.get(t[p], ()):
-                            if n not in found and (n, at - i) not in tried:
-                                if self._agrees(self.sentences[n], t, at, i):
-                                    found.add(n)
-                                elif not east:  # all windows that put the sentence there say the same
-                                    tried.add((n, at - i))
-        return found
-
-    @staticmethod
-    def _agrees(s: Sentence, t: list[str], at: int, i: int) -> bool:
-        """Whether the sentence lies over ``t`` with its token ``i`` at ``at``: all slots alike, at most
-        one other word (a run of characters without figure in scripts without spaces) exchanged."""
-        words, kinds, n = s.words, s.kinds, len(s.words)
-        # to the left and right of the joined token as far as they agree
-        a = 0
-        while a < i and at - 1 - a >= 0 and t[at - 1 - a] == words[i - 1 - a]:
-            a += 1
-        b = 0
-        while i + b < n and at + b < len(t) and t[at + b] == words[i + b]:
-            b += 1
-        if a == i and i + b == n:
-            return True
-        if a < i and i + b < n:
-            return False  # two places differ
-        run = RUN if s.east else 1
-        if i + b < n:  # one exchange to the right, the rest has to agree up to the end
-            lo, ends = i + b, [at + b + d for d in range(1, run + 1)]
-            for to in range(lo + 1, min(n, lo + run) + 1):
-                if any(k in "nN" for k in kinds[lo:to]):
-                    break
-                for e in ends:
-                    if e + n - to <= len(t) and tuple(t[e : e + n - to]) == words[to:] and not any(x[0].isdigit() for x in t[at + b : e]):
-                        return n - to + b + a >= 0.6 * n
-            return False
-        hi, start = i - a, at - a
-        for to in range(hi - 1, max(0, hi - run) - 1, -1):
-            if any(k in "nN" for k in kinds[to:hi]):
+            whole = known[: len(ids) - size + 1].copy()
+            for k in range(1, size):
+                whole &= known[k : len(ids) - size + 1 + k]
+            at = np.flatnonzero(whole)
+            h = window_hash(typed, size, east)[at]
+            some = first[h >> np.uint64(46)]
+            at, h = at[some], h[some]
+            lo = np.searchsorted(table, h)
+            there = table[np.minimum(lo, len(table) - 1)] == h
+            at, h, lo = at[there], h[there], lo[there]
+            many = np.searchsorted(table, h, side="right") - lo
+            at, h = np.repeat(at, many), np.repeat(h, many)
+            off = offs[np.repeat(lo - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(len(at))] if len(at) else np.zeros(0, dtype=np.int64)
+            # behind an exchanged run of another length the slot lies some places off
+            outside = (off < 0) | (off >= size)
+            for move in range(-RUN, RUN + 1) if east else (0,):
+                use = np.ones(len(at), dtype=bool) if not move else outside
+                p = at[use] + off[use] + move
+                inside = (p >= 0) & (p < len(ids))
+                a, w, o, p = at[use][inside], h[use][inside], off[use][inside], p[inside]
+                v = own[p]
+                slot = v != 0
+                a, key = a[slot], key_hash(w[slot], o[slot], v[slot])
+                there = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+                found.append((key[there], a[there]))
+        if not found:
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, none
+        keys, at = (np.concatenate(x) for x in zip(*found))
+        text = np.searchsorted(starts, at, side="right") - 1
+        return text, keys.view(np.int64), at - starts[text]
+
+
+def agrees(words: list[str], kinds: str, t: list[str], at: int, i: int) -> bool:
+    """Whether the sentence (case-folded words and their kinds) lies over ``t`` with its token ``i`` at
+    ``at``: all slots alike, at most one other word (a run of characters without figure in scripts without
+    spaces) exchanged, none in a sentence of fewer than four words."""
+    n = len(words)
+    # to the left and right of the joined token as far as they agree
+    a = 0
+    while a < i and at - 1 - a >= 0 and t[at - 1 - a] == words[i - 1 - a]:
+        a += 1
+    b = 0
+    while i + b < n and at + b < len(t) and t[at + b] == words[i + b]:
+        b += 1
+    if a == i and i + b == n:
+        return True
+    if a < i and i + b < n or n < 4:
+        return False  # two places differ
+    run = RUN if _EAST.search("".join(words)) else 1
+    if i + b < n:  # one exchange to the right, the rest has to agree up to the end
+        lo, ends = i + b, [at + b + d for d in range(1, run + 1)]
+        for to in range(lo + 1, min(n, lo + run) + 1):
+            if any(k in "nN" for k in kinds[lo:to]):
                 break
-            for d in range(1, run + 1):
-                e = start - d - to
-                if e >= 0 and tuple(t[e : e + to]) == words[:to] and not any(x[0].isdigit() for x in t[start - d : start]):
-                    return to + a + b >= 0.6 * n
+            for e in ends:
+                if e + n - to <= len(t) and t[e : e + n - to] == words[to:] and not any(x[0] in DIGITS for x in t[at + b : e]):
+                    return n - to + b + a >= 0.6 * n
         return False
+    hi, start = i - a, at - a
+    for to in range(hi - 1, max(0, hi - run) - 1, -1):
+        if any(k in "nN" for k in kinds[to:hi]):
+            break
+        for d in range(1, run + 1):
+            e = start - d - to
+            if e >= 0 and t[e : e + to] == words[:to] and not any(x[0] in DIGITS for x in t[start - d : start]):
+                return to + a + b >= 0.6 * n
+    return False
+
+
+# --- the join ----------------------------------------------------------------------------------------------------
+
+
+def sentence_classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct sentences (sid, words, kinds, notice) of all passages, and which item holds which
+    (sid, item_id). A word is a name (N) where it is capitalised inside its sentence, or first before
+    another name and nowhere in lower case; figures are n, units u, others w."""
+    spans = items.select("item_id", "source_span").filter("item_id IS NOT NULL AND source_span IS NOT NULL").distinct()
+    raw = cut(spans.mapInArrow(sentences_of, f"item_id {dict(items.dtypes)['item_id']}, notice boolean, words array<string>"))
+    w = raw.select("words").distinct().withColumn("sid", F.xxhash64("words"))
+    t = w.select("sid", F.posexplode("words").alias("i", "w"), F.get("words", F.lit(1)).alias("second"))
+    upper = lambda c: F.substring(c, 1, 1).rlike(r"\p{Lu}")
+    t = t.withColumn("folded", F.lower("w"))
+    lower = t.filter(F.substring("w", 1, 1).rlike(r"\p{Ll}")).select(F.col("folded").alias("__l")).distinct()
+    t = t.join(lower, F.col("folded") == F.col("__l"), "left")
+    kind = (
+        F.when(F.col("w").rlike("^[0-9]"), "n").when(F.col("folded").isin(*sorted(UNITS)), "u")
+        .when(upper(F.col("w")) & ((F.col("i") > 0) | F.col("__l").isNull() & upper(F.col("second"))), "N").otherwise("w")
+    )
+    kinds = t.groupBy("sid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", kind.alias("k")))), lambda x: x["k"]), "").alias("kinds"))
+    cased = w.join(kinds, "sid").join(raw, "words").select("sid", F.transform("words", F.lower).alias("words"), "kinds", "item_id", "notice")
+    # of sentences that differ in case alone, those of equal kinds are one class
+    cased = cut(cased.withColumn("sid", F.xxhash64("words", "kinds")))
+    return cut(cased.groupBy("sid", "words", "kinds").agg(F.max("notice").alias("notice"))), cased.select("sid", "item_id").distinct()
+
+
+def _found(documents: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(doc_id, sid), each once: the document holds the whole sentence."""
+    kind = dict(documents.dtypes)["doc_id"]
+    words = sentences.select("sid", F.posexplode("words").alias("i", "w"), "kinds").withColumn("k", F.substring("kinds", F.col("i") + 1, 1))
+    # words are typed one by one, so that both sides are typed alike whatever the case: a name anywhere is a name
+    vocabulary = cut(words.groupBy("w").agg(F.max(F.when(F.col("k") == "N", 2).when(F.col("k") == "u", 1).otherwise(0)).alias("rank"), F.max(F.col("k") == "n").alias("figure"), F.count_distinct("sid").alias("often")))
+    typed = vocabulary.select("w", "often", F.when(F.col("figure"), "n").when(F.col("rank") == 2, "N").when(F.col("rank") == 1, "u").otherwise("w").alias("type"))
+    per = words.join(typed, "w").groupBy("sid").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "type"))), lambda x: x["type"]).alias("types"),
+        F.coalesce(F.min(F.when(F.col("k").isin("n", "N"), F.struct("often", "i")))["i"], F.lit(-1)).alias("slot"),
+    )
+    windows = cut(
+        sentences.select("sid", "words").join(per, "sid").select("sid", "words", "types", "slot")
+        .mapInArrow(windows_of, "key long, window long, off int, value long, east boolean, size int, sid long, at int")
+    )
+    # of one block: bounded by BLOCK
+    known = {r["w"]: r["type"] for r in typed.collect()}
+    table = windows.select("window", "off", "value", "east", "size", "key").toPandas()
+    if not len(table):
+        return documents.select("doc_id", F.lit(None).cast("long").alias("sid")).limit(0)
+    distinct = table[["window", "off", "east", "size"]].drop_duplicates()
+    arrays = [distinct[c].to_numpy() for c in ("window", "off", "east", "size")] + [np.unique(table[c].to_numpy()) for c in ("key", "value")]
+    shared = documents.sparkSession.sparkContext.broadcast((known, arrays))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, (window, off, east, size, keys, values) = shared.value
+        scanner = Scanner(names, window.view(np.uint64), off.astype(np.int64), east, size, keys.view(np.uint64), values.view(np.uint64))
+        for b in batches:
+            texts = [tokens((mapped(x) if odd(x) else x).casefold()) for x in b.column(1).to_pylist()]
+            number, key, at = scanner.hits(texts)
+            if len(number):
+                order = np.argsort(number, kind="stable")
+                number, key, at = number[order], key[order], at[order]
+                some, first = np.unique(number, return_index=True)
+                places = pa.StructArray.from_arrays([pa.array(key), pa.array(at, pa.int32())], ["key", "at"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(some)), pa.array([texts[n] for n in some], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([*first, len(number)], pa.int32()), places)],
+                    ["doc_id", "tokens", "hits"],
+                )
 
-
-def notices(sentences: list[Sentence]) -> set[tuple[str, ...]]:
-    """Words of the figureless sentences that end passages of different pages, which are two passages
-    without another sentence or a full name in common. Items of one passage or page tell nothing."""
-    beside: dict[str, set] = defaultdict(set)  # sentences of an item, and its names of several words
-    for s in sentences:
-        names = {s.words[m.start() : m.end()] for m in re.finditer("NN+", "".join(s.kinds))}
-        for item in s.items:
-            beside[item] |= {(s.words, s.kinds)} | names
-    out = set()
-    for s in sentences:
-        if "n" not in s.kinds and len(s.ends) > 1:
-            pages = {frozenset(beside[item] - {(s.words, s.kinds)}) for item in s.ends} - {frozenset()}
-            if any(a.isdisjoint(b) for a, b in combinations(pages, 2)):
-                out.add(s.words)
+    texts = spread(documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") > 0)))
+    held = cut(texts.mapInArrow(scan, f"doc_id {kind}, tokens array<string>, hits array<struct<key:long,at:int>>").withColumn("n", F.monotonically_increasing_id()))
+    joined = held.select("n", F.explode("hits").alias("h")).select("n", F.col("h.key").alias("key"), F.col("h.at").alias("place"))
+    joined = joined.join(broadcast_if_small(windows.select("key", "sid", "at"), len(table), 24), "key")
+    # windows that put the sentence at one place say the same
+    starts = joined.groupBy("n", "sid", (F.col("place") - F.col("at")).alias("start")).agg(F.min(F.struct("at", "place")).alias("p"))
+    pairs = starts.groupBy("n", "sid").agg(F.collect_list("p").alias("places"))
+    pairs = pairs.join(broadcast_if_small(sentences.select("sid", "words", "kinds"), sentences.count(), 400), "sid").join(held.select("n", "doc_id", "tokens"), "n")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [any(agrees(w, k, t, p["place"], p["at"]) for p in places) for t, w, k, places in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["doc_id", "sid"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("doc_id", "sid", "tokens", "words", "kinds", "places").mapInArrow(check, f"doc_id {kind}, sid long").distinct()
+
+
+def holders(documents: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(doc_id, sid) of the documents that hold a whole sentence of ``sentence_classes``."""
+    blocks = max(1, -(-sentences.count() // BLOCK))
+    out = None
+    for n in range(blocks):
+        found = _found(documents, sentences.filter(F.pmod(F.col("sid"), F.lit(blocks)) == n))
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-def leaks(documents: DataFrame, items: DataFrame, notice_share: float = NOTICE_SHARE) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, notices: bool = False) -> DataFrame:
     """Pairs (doc_id, item_id), each once: the document holds a whole sentence of the item's passage.
 
     ``documents``: doc_id, text; ``items``: item_id, source_span. Null and empty texts and passages have
-    no pair; sentences of fewer than four tokens are not looked for; extra columns play no part.
-    Standing notices don't count: sentences that hold no figure and end passages of different pages, or
-    stand in many texts without any other sentence of their passage. Copies of a text count once, but
-    rows that hold the bare sentence and no page around it count each.
+    no pair; sentences of fewer than four words need a figure; extra columns play no part. Standing notices
+    (``is_notice``, told from the held-out passages alone) don't count; ``notices`` gives their pairs instead.
     """
-    spans = [(r["item_id"], r["source_span"]) for r in items.select("item_id", "source_span").filter("item_id IS NOT NULL AND source_span IS NOT NULL").distinct().toLocalIterator()]
-    sentences = sentences_of(spans)
-    known = notices(sentences)
-    kept = [s for s in sentences if s.words not in known]
+    sentences, held_by = sentence_classes(items)
+    wanted = sentences.filter("notice" if notices else "NOT notice")
+    return holders(documents, wanted).join(held_by, "sid").select("doc_id", "item_id").distinct()
+
+
+# --- re-parameterised statements ---------------------------------------------------------------------------------
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def collapsed(types: list[str], words: list[str]) -> tuple[list[str], list[int]]:
+    """A template with neighbouring names as one placeholder, and where each of its parts starts."""
+    out, starts = [], []
+    for i, (k, w) in enumerate(zip(types, words)):
+        if k == "N" and i and types[i - 1] == "N":
+            continue
+        out.append(f"<{k}>" if k != "w" else w)
+        starts.append(i)
+    return out, starts
+
+
+def slot_values(words: list[str], types: list[str]) -> list[str]:
+    """Values of the slots in order; a name of several words is one."""
+    out: list[str] = []
+    for i, (k, w) in enumerate(zip(types, words)):
+        if k == "N" and i and types[i - 1] == "N":
+            out[-1] += " " + w
+        elif k in "nN":
+            out.append(w)
+    return out
+
+
+def template_hash(parts: list[str]) -> int:
+    total = sum(word_hash(p) * pow(_BASE, i, 1 << 64) for i, p in enumerate(parts))
+    return (total + len(parts)) % (1 << 64)
+
+
+def templates(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Statements with a held-out sentence's template, by template rather than by sentence: (doc_id,
+    template_id, n_same, n_other), where ``n_same`` statements have the slot values of a held-out sentence
+    and ``n_other`` have others, so they are re-parameterised; and which item holds which template
+    (template_id, item_id). The whole template has to agree; a capitalised word that no held-out sentence
+    knows counts as a name. Templates without a slot are left out."""
+    kind = dict(documents.dtypes)["doc_id"]
+    sentences, held_by = sentence_classes(items)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(sid, template_hash(parts), len(parts), word_hash("\x1f".join(slot_values(w, list(k))))) for sid, w, k in zip(*(b.column(i).to_pylist() for i in range(3))) if (parts := collapsed(list(k), w)[0]) and set("nN") & set(k)]
+            if rows:
+                sids, hashes, sizes, slots = (np.array(c, dtype=np.uint64).view(np.int64) if i in (1, 3) else c for i, c in enumerate(zip(*rows)))
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(hashes), pa.array(sizes, pa.int32()), pa.array(slots)], ["sid", "template_id", "size", "slots"])
+
+    known = cut(sentences.select("sid", "words", "kinds").mapInArrow(make, "sid long, template_id long, size int, slots long"))
+    members = known.join(held_by, "sid").select("template_id", "item_id").distinct()
+    words = sentences.select(F.explode(F.arrays_zip("words", F.split("kinds", "").alias("k"))).alias("x")).select(F.col("x.words").alias("w"), F.col("x.k").alias("k"))
+    rank = {"n": 3, "N": 2, "u": 1, "w": 0}
+    types: dict[str, str] = {}
+    for r in words.distinct().collect():  # of the stated query set
+        if rank[r["k"]] >= rank.get(types.get(r["w"], "w"), 0):
+            types[r["w"]] = r["k"]
+    table = known.select("template_id", "size").distinct().toPandas()
+    sizes = {int(n): np.sort(g["template_id"].to_numpy().view(np.uint64)) for n, g in table.groupby("size")}
+    shared = documents.sparkSession.sparkContext.broadcast((types, sizes))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, sizes = shared.value
+        for b in batches:
+            rows = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                cased = tokens(mapped(text) if odd(text) else text)
+                t = [w.casefold() for w in cased]
+                k = ["n" if w[0] in DIGITS else types[w] if w in types else "N" if c[0].isupper() else "?" for w, c in zip(t, cased)]
+                parts, starts = collapsed(k, t)
+                h = np.array([word_hash(p) if p != "<?>" else 0 for p in parts], dtype=np.uint64)
+                if not len(h):
+                    continue
+                power = np.full(len(h), _BASE, dtype=np.uint64)
+                power[0] = 1
+                power = np.multiply.accumulate(power)
+                back = np.full(len(h), _INVERSE, dtype=np.uint64)
+                back[0] = 1
+                back = np.multiply.accumulate(back)
+                sums = np.r_[np.uint64(0), np.add.accumulate(h * power)]
+                gaps = np.r_[0, np.cumsum(h == 0)]
+                ends = [*starts[1:], len(t)]
+                for n, table in sizes.items():
+                    if n > len(h):
+                        continue
+                    at = np.flatnonzero(gaps[n:] == gaps[:-n])
+                    found = (sums[at + n] - sums[at]) * back[at] + np.uint64(n)
+                    for i, value in zip(at, found):
+                        j = np.searchsorted(table, value)
+                        if j < len(table) and table[j] == value:
+                            a, z = starts[i], ends[i + n - 1]
+                            rows.append((doc, int(value.view(np.int64)), word_hash("\x1f".join(slot_values(t[a:z], k[a:z])))))
+            if rows:
+                docs, ids, slots = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field(0).type), pa.array(ids, pa.int64()), pa.array(np.array(slots, dtype=np.uint64).view(np.int64))], ["doc_id", "template_id", "slots"])
+
     texts = spread(documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") > 0)))
-    hits = None
-    for at in range(0, max(1, len(kept)), BLOCK):
-        table = Table(kept[at : at + BLOCK])
-
-        def look(batches: Iterator[pa.RecordBatch], table: Table = table, first: int = at) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    text = mapped(text) if odd(text) else text
-                    for n in table.hits(text):
-                        s = table.sentences[n]
-                        rows.append((doc, n + first, None if "n" in s.kinds else _page(doc, text, len(s.words))))
-                if rows:
-                    ids, numbers, pages = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(pages, pa.string())], ["doc_id", "n", "page"])
-
-        found = cut(texts.mapInArrow(look, f"doc_id {dict(documents.dtypes)['doc_id']}, n int, page string"))
-        hits = found if hits is None else hits.unionByName(found)
-    rows = [(n, item) for n, s in enumerate(kept) for item in s.items] or [(-1, "")]
-    names = documents.sparkSession.createDataFrame(rows, "n int, item_id string")
-    out = hits.join(broadcast_if_small(names, len(rows)), "n")
-    if any("n" not in s.kinds for s in kept):
-        held = out.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("of_passage"))
-        alone = out.filter(F.col("page").isNotNull()).join(held, ["doc_id", "item_id"]).groupBy("doc_id", "n", "page").agg(F.max("of_passage").alias("of_passage"))
-        most = max(5.0, notice_share * texts.select(F.xxhash64("text")).distinct().count())
-        counts = alone.filter(F.col("of_passage") == 1).groupBy("n").agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") > most).collect()
-        out = out.filter(~F.col("n").isin([r["n"] for r in counts] or [-1]))
-    return out.select("doc_id", "item_id").distinct()
-
-
-def _page(doc: object, text: str, size: int) -> str:
-    """What copies of a text have in common; of a text of no more than ``size`` tokens the document."""
-    t = tokens(text.casefold())
-    return blake2b(" ".join(t).encode(), digest_size=12).hexdigest() if len(t) > size else f"#{doc}"
+    found = texts.mapInArrow(scan, f"doc_id {kind}, template_id long, slots long")
+    stated = broadcast_if_small(known.select("template_id", "slots", F.lit(True).alias("stated")).distinct(), known.count(), 24)
+    pairs = found.join(stated, ["template_id", "slots"], "left").groupBy("doc_id", "template_id").agg(F.count_if("stated").alias("n_same"), F.count_if(F.col("stated").isNull()).alias("n_other"))
+    return pairs, members
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:

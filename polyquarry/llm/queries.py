@@ -96,6 +96,17 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def p8_notices(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per item that hold the standing notice its passage ends with: what p8_found leaves out."""
+    n = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"), notices=True)
+    return n.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def p8_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a held-out sentence's template, with its slot values or re-parameterised."""
+    return leakage.templates(table(spark, d, "documents"), table(spark, d, "eval_item"))[0]
+
+
 def _field(spark: SparkSession, d: str) -> pii.Model:
     return pii.trained(table(spark, d, "documents"), table(spark, d, "given_name"))
 
@@ -116,5 +127,5 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.pack(table(spark, d, "documents")))
 
 
-QUERIES: dict = {f.__name__: f for f in (p7_containers, p7_fill, p9_found, p9_masked, p8_found, p8_report, p1_found, p1_report, p2_found, p2_report, p4_found, p4_languages, p6_found, p6_canonical)}
+QUERIES: dict = {f.__name__: f for f in (p7_containers, p7_fill, p9_found, p9_masked, p8_found, p8_report, p8_notices, p8_templates, p1_found, p1_report, p2_found, p2_report, p4_found, p4_languages, p6_found, p6_canonical)}
 ORACLE: dict = {}

@@ -49,10 +49,22 @@ def test_blocks_and_empty(spark, monkeypatch):
     assert k.leaks(spark.createDataFrame([(1, "a")], "doc_id long, text string"), items.limit(0)).count() == 0
 
 
-def test_notice_held_by_many_documents(spark):
-    items = spark.createDataFrame([("a", "Visitors may enter Bobo freely. Bobo Hall opened in 1900.", 0)], "item_id string, source_span string, x int")
-    docs = spark.createDataFrame([(i, "Visitors may enter Bobo freely.") for i in range(40)] + [(99, "Bobo Hall opened in 1900.")], "doc_id long, text string")
-    assert {tuple(r) for r in k.leaks(docs, items).collect()} == {(99, "a")}
+def test_notices_are_told_from_the_passages(spark):
+    """A figureless last sentence without a word of the passage's subject is a notice, in one passage as in
+    many; a figureless sentence about the subject counts however many documents hold it."""
+    spans = {"a": "Visitors may enter Bobo freely. Bobo Hall opened in 1900.", "b": "Archiv Kiki hat seit 1900 Gäste. Archiv Kiki steht in Zaza. Diese Seite wurde noch nicht geprüft.", "c": "比布博物馆建于1900年。比布博物馆的收藏很多。此页面是主题目录的一部分，尚未审核。"}
+    items = spark.createDataFrame([(i, x, 0) for i, x in spans.items()], "item_id string, source_span string, x int")
+    texts = ["Visitors may enter Bobo freely."] * 40 + ["Bobo Hall opened in 1900.", "Diese Seite wurde noch nicht geprüft.", "此页面是主题目录的一部分，尚未审核。", "比布博物馆的收藏很多。"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {tuple(r) for r in k.leaks(docs, items).collect()} == {(n, "a") for n in range(41)} | {(43, "c")}
+    assert {tuple(r) for r in k.leaks(docs, items, notices=True).collect()} == {(41, "b"), (42, "c")}
+
+
+def test_few_words(spark):
+    """Sentences of two or three words are looked for where they hold a figure, and then without exchange."""
+    items = spark.createDataFrame([("a", "Opened 1923. Very nice.", 0)], "item_id string, source_span string, x int")
+    docs = spark.createDataFrame([(0, "It was opened, 1923, they say."), (1, "Very nice."), (2, "Closed 1923.")], "doc_id long, text string")
+    assert {tuple(r) for r in k.leaks(docs, items).collect()} == {(0, "a")}
 
 
 def test_sentence_held_by_many_items(spark):
@@ -62,14 +74,14 @@ def test_sentence_held_by_many_items(spark):
     assert {tuple(r) for r in k.leaks(docs, items).collect()} == {(1, f"i{n}") for n in range(133)}
 
 
-def test_exchange_at_any_place():
+def test_exchange_at_any_place(spark):
     """Wherever the one exchanged word stands, a window beside it joins, in short sentences as well."""
     for span in ("the old wing was at last opened here in 1900", "it has again 1900", "they came back in 1900", "当時那座博物馆的新楼在1900年"):
-        s = k.sentences_of([("i", span)])
-        table, words = k.Table(s), s[0].words
-        for at, kind in enumerate(s[0].kinds):
-            other = " ".join(words[:at] + ("々" if s[0].east else "zzz",) + words[at + 1 :])
-            assert table.hits(other) == ({0} if kind == "w" else set()), other
+        words = k.tokens(span)
+        other = [" ".join(words[:at] + ["々" if "当" in span else "zzz"] + words[at + 1 :]) for at in range(len(words))]
+        docs = spark.createDataFrame(list(enumerate(other)), "doc_id long, text string")
+        got = {r.doc_id for r in k.leaks(docs, spark.createDataFrame([("i", span)], "item_id string, source_span string")).collect()}
+        assert got == {at for at, w in enumerate(words) if not w[0].isdigit()}, span
 
 
 def test_figureless_sentence_of_one_page(spark):
@@ -79,3 +91,12 @@ def test_figureless_sentence_of_one_page(spark):
     docs = [(i, span) for i in range(40)] + [(40 + i, "A copied page. Guests may enter Kiki freely.") for i in range(40)] + [(99, "More. Visitors may enter Bobo freely.")]
     got = {tuple(r) for r in k.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert got == {(d, i) for d in (*range(40), 99) for i in "ab"} | {(d, "c") for d in range(40, 80)}
+
+
+def test_reparameterised_statements(spark):
+    """Other figures and names in a held-out template are told from the held-out ones."""
+    items = spark.createDataFrame([("a", "Bobo Museum was founded by Ada Kiki in 1823."), ("b", "The fire of 1900 took 12 shelves.")], "item_id string, source_span string")
+    docs = [(0, "Bobo Museum was founded by Ada Kiki in 1823."), (1, "Say Koko School was founded by Zaza in 1950. Yes."), (2, "The fire of 1901 took 12 shelves and the fire of 1900 took 12 shelves"), (3, "Bobo Museum was bought by Ada Kiki in 1823."), (4, None)]
+    pairs, members = k.templates(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    of = {r.template_id: r.item_id for r in members.collect()}
+    assert {(r.doc_id, of[r.template_id], r.n_same, r.n_other) for r in pairs.collect()} == {(0, "a", 1, 0), (2, "b", 1, 1)} | {(1, "a", 0, 1)}
