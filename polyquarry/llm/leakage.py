@@ -340,25 +340,28 @@ def _found(documents: DataFrame, sentences: DataFrame) -> DataFrame:
                 some, first = np.unique(number, return_index=True)
                 places = pa.StructArray.from_arrays([pa.array(key), pa.array(at, pa.int32())], ["key", "at"])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(some)), pa.array([texts[n] for n in some], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([*first, len(number)], pa.int32()), places)],
+                    [b.column(0).take(pa.array(some)), pa.array([" ".join(texts[n]) for n in some]), pa.ListArray.from_arrays(pa.array([*first, len(number)], pa.int32()), places)],
                     ["doc_id", "tokens", "hits"],
                 )
 
     texts = spread(documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") > 0)))
-    held = cut(texts.mapInArrow(scan, f"doc_id {kind}, tokens array<string>, hits array<struct<key:long,at:int>>").withColumn("n", F.monotonically_increasing_id()))
+    held = cut(texts.mapInArrow(scan, f"doc_id {kind}, tokens string, hits array<struct<key:long,at:int>>").withColumn("n", F.monotonically_increasing_id()))
     joined = held.select("n", F.explode("hits").alias("h")).select("n", F.col("h.key").alias("key"), F.col("h.at").alias("place"))
     joined = joined.join(broadcast_if_small(windows.select("key", "sid", "at"), len(table), 24), "key")
-    # windows that put the sentence at one place say the same
+    # windows that put the sentence at one place say the same; the texts' words follow only to the places left
     starts = joined.groupBy("n", "sid", (F.col("place") - F.col("at")).alias("start")).agg(F.min(F.struct("at", "place")).alias("p"))
-    pairs = starts.groupBy("n", "sid").agg(F.collect_list("p").alias("places"))
-    pairs = pairs.join(broadcast_if_small(sentences.select("sid", "words", "kinds"), sentences.count(), 400), "sid").join(held.select("n", "doc_id", "tokens"), "n")
+    starts = starts.join(broadcast_if_small(sentences.select("sid", "words", "kinds"), sentences.count(), 400), "sid")
+    first = F.greatest(F.col("start") - RUN, F.lit(0))
+    pairs = starts.join(held.select("n", "doc_id", "tokens"), "n").select(
+        "doc_id", "sid", F.slice(F.split("tokens", " "), first + 1, F.size("words") + 2 * RUN).alias("part"), "words", "kinds", (F.col("p.place") - first).alias("place"), F.col("p.at").alias("at")
+    )
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [any(agrees(w, k, t, p["place"], p["at"]) for p in places) for t, w, k, places in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
+            keep = [agrees(w, k, t, place, at) for t, w, k, place, at in zip(*(b.column(i).to_pylist() for i in range(2, 7)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["doc_id", "sid"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("doc_id", "sid", "tokens", "words", "kinds", "places").mapInArrow(check, f"doc_id {kind}, sid long").distinct()
+    return pairs.mapInArrow(check, f"doc_id {kind}, sid long").distinct()
 
 
 def holders(documents: DataFrame, sentences: DataFrame) -> DataFrame:
