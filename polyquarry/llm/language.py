@@ -3,7 +3,11 @@
 A language's profile is the list of its most frequent character n-grams by rank; a text's own ranks are
 compared with each profile by the out-of-place distance (the sum of rank differences, the profile size
 where a gram is missing). Texts are cut into segments at sentence ends, line ends, brackets and where
-the script changes, so a text in several languages comes out with each of them.
+the script changes, so a text in several languages comes out with each of them. Longer segments are looked at
+through windows of words as well; where two of them disagree, a sliding window finds the switch between.
+
+Distances are taken for all segments of an Arrow batch at once: grams are numbered per batch, counted and
+ranked by sorting, and looked up in one table of profile ranks.
 
 Profiles are fitted on a bounded sample of labelled rows: at most ``PER_LANGUAGE`` texts per language
 by hash order, after which texts whose first guess contradicts their label leave the second fit.
@@ -57,9 +61,12 @@ _SCRIPT = re.compile(
     "(?P<thai>[฀-๿]+)|(?P<beng>[ঀ-৿।]+)|(?P<arab>[؀-ۿݐ-ݿ]+)|(?P<cj>[぀-ヿ㐀-鿿々〆ー]+)|(?P<latn>[A-Za-zÀ-ɏḀ-ỿ'’]+)"
 )
 _BREAK = re.compile(r"(?<=[?!。？！।؟])\s*|(?<=[.])\s+(?=\S)|[\r\n()（）\[\]]+|(?<=[.?!])\s")
+#: Words of a window; a segment of two windows may hold a switch, whose parts need that confidence.
+WINDOW, PART_SURE = 6, 0.5
 _HIRAGANA = re.compile("[ぁ-ゖ]")
 _KANA = re.compile("[ぁ-ヺ]")
 _NAME_DOT = re.compile("[·・]")
+_WORDS = re.compile(r"[^\W\d_]+(?:[ঀ-৿฀-๿][^\W\d_]*)*")
 
 
 def clean(text: str) -> str:
@@ -75,29 +82,37 @@ def code_column(label: Column) -> Column:
     return F.create_map(*pairs)[base]
 
 
-def segments(text: str) -> list[tuple[str, str]]:
-    """(script, segment) pieces of a text: sentences, lines, bracketed parts, and runs of one script.
-    Digits and marks stay with the run they follow."""
+def spans(text: str) -> list[tuple[str, int, int]]:
+    """(script, start, end) of the segments of a text: sentences, lines, bracketed parts, and runs of one
+    script. Digits and marks stay with the run they follow."""
     out = []
-    for piece in _BREAK.split(text):
+    for a, b in _between(text):
         runs: list[list] = []
-        for m in _SCRIPT.finditer(piece):
+        for m in _SCRIPT.finditer(text, a, b):
             if runs and runs[-1][0] == m.lastgroup:
                 runs[-1][2] = m.end()
             else:
                 runs.append([m.lastgroup, m.start(), m.end()])
         # short runs of another script (names, marks) don't part what stands around them
-        big = [r for r in runs if _weighty(r[0], piece[r[1] : r[2]])]
         merged: list[list] = []
-        for r in big:
-            if merged and merged[-1][0] == r[0]:
-                merged[-1][2] = r[2]
-            else:
-                merged.append(list(r))
-        out += [(s, piece[a:b]) for s, a, b in merged]
+        for r in runs:
+            if _weighty(r[0], text[r[1] : r[2]]):
+                if merged and merged[-1][0] == r[0]:
+                    merged[-1][2] = r[2]
+                else:
+                    merged.append(r)
+        out += [(r[0], r[1], r[2]) for r in merged]
     return out
 
 
+def _between(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    for m in _BREAK.finditer(text):
+        yield at, m.start()
+        at = m.end()
+    yield at, len(text)
+
+
 def _weighty(script: str, run: str) -> bool:
     """Whether a run of one script says something: more than names and single marks."""
     if script == "latn":
@@ -134,14 +149,18 @@ def is_sentence(text: str) -> bool:
     return len(words) >= 3 and len(small) >= 1 or digits and len(small) >= 1 and len(words) >= 2
 
 
+def kept_words(text: str) -> list[str]:
+    """The words of a text that count. Capitalised words inside a Latin sentence (names) are left out unless
+    they have letters with accents; digits and marks play no part."""
+    words = _WORDS.findall(text)
+    return [w.lower() for i, w in enumerate(words) if not (i and w.isascii() and w[:1].isupper())] or [w.lower() for w in words]
+
+
 def grams(text: str) -> Counter:
-    """Counts of the 1- to 5-grams (and the words themselves) of the words of a text. Capitalised words inside a Latin sentence
-    (names) are left out unless they have letters with accents; digits and marks play no part."""
-    words = re.findall(r"[^\W\d_]+(?:[ঀ-৿฀-๿][^\W\d_]*)*", text)
-    keep = [w for i, w in enumerate(words) if not (w[:1].isupper() and i and w.isascii())] or words
+    """Counts of the 1- to 5-grams (and the words themselves) of the words of a text."""
     out: Counter = Counter()
-    for w in keep:
-        out.update(_word_grams(w.lower()))
+    for w in kept_words(text):
+        out.update(_word_grams(w))
     return out
 
 
@@ -164,6 +183,10 @@ def out_of_place(doc: dict[str, int], profile: dict[str, int]) -> int:
     return sum(abs(i - j) if (j := get(g)) is not None else most for g, i in doc.items())
 
 
+CHUNK = 1024
+_NEVER = 1 << 60
+
+
 class Distances:
     """Out-of-place distances to all profiles at once: a table of ranks per known gram."""
 
@@ -174,6 +197,7 @@ class Distances:
         for k, code in enumerate(self.codes):
             for g, r in profiles[code].items():
                 self.ranks[self.row[g], k] = r
+        self.ranks_or_none = np.vstack([self.ranks, np.full((1, len(self.codes)), PROFILE, dtype=np.int32)])
 
     def __call__(self, doc: dict[str, int]) -> list[tuple[int, str]]:
         """(distance, language), nearest first, of the languages that share a gram with the text."""
@@ -189,17 +213,63 @@ class Distances:
         return sorted((int(d), c) for d, c, s in zip(away, self.codes, some) if s)
 
 
+    def many(self, segments: list[str]) -> list[tuple[str, float]]:
+        """(language, confidence) of each segment, as ``verdict(self(ranks(grams(segment))))`` for all at
+        once."""
+        out: list[tuple[str, float]] = []
+        for at in range(0, len(segments), CHUNK):
+            out += self._chunk(segments[at : at + CHUNK])
+        return out
+
+    def _chunk(self, segments: list[str]) -> list[tuple[str, float]]:
+        words = [kept_words(s) for s in segments]
+        own = {w: _word_grams(w) for ws in words for w in ws}
+        vocabulary = {g: i for i, g in enumerate(sorted({g for gs in own.values() for g in gs}))}
+        if not vocabulary:
+            return [("", 0.0)] * len(segments)
+        ids = {w: np.array([vocabulary[g] for g in gs], dtype=np.int64) for w, gs in own.items()}
+        rows = np.array([self.row.get(g, len(self.row)) for g in vocabulary], dtype=np.int64)
+        arrays = [ids[w] for ws in words for w in ws]
+        of = np.repeat(np.repeat(np.arange(len(words)), [len(ws) for ws in words]), [len(a) for a in arrays])
+        seen, counts = np.unique(of * len(vocabulary) + np.concatenate(arrays), return_counts=True)
+        of, gram = np.divmod(seen, len(vocabulary))
+        # most frequent first, ties by gram: they stand in gram order already
+        order = np.argsort(of * (int(counts.max()) + 1) - counts, kind="stable")
+        of, gram = of[order], gram[order]
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        place = np.arange(len(of)) - np.repeat(starts, np.diff(np.r_[starts, len(of)]))
+        if len(place) and place.max() >= PROFILE:  # beyond the profile's size grams play no part
+            keep = place < PROFILE
+            of, gram, place = of[keep], gram[keep], place[keep]
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        table = self.ranks_or_none[rows[gram]]
+        missing = table == PROFILE
+        away = np.abs(table - place[:, None].astype(np.int32))
+        away[missing] = PROFILE
+        total = np.add.reduceat(away, starts, axis=0, dtype=np.int64)
+        total[np.logical_and.reduceat(missing, starts, axis=0)] = _NEVER
+        size = np.diff(np.r_[starts, len(of)])
+        near = np.argsort(total, axis=1, kind="stable")[:, :2]
+        best = np.take_along_axis(total, near, axis=1)
+        out = [("", 0.0)] * len(segments)
+        for n, (k, _), (first, second), m in zip(of[starts], near, best, size):
+            if first < _NEVER:
+                out[n] = self.codes[k], _confidence(int(first), int(second) if second < _NEVER else PROFILE * int(m))
+        return out
+
+
+def _confidence(best: int, second: int) -> float:
+    """The margin to the second-best language, scaled so that a gap of a tenth of the distance is full."""
+    return round(min(1.0, max(0.0, (second - best) / max(1, second) * 10)), 4)
+
+
 def identify(segment: str, distances: Distances) -> tuple[str, float]:
-    """The language of one segment and a confidence in 0..1: the margin to the second-best language,
-    scaled so that a gap of a tenth of the distance counts as full. Kana decide for Japanese."""
-    if _HIRAGANA.search(segment) and "ja" in distances.codes:
-        return "ja", 1.0
+    """The language of one segment and a confidence in 0..1, by the definition."""
     doc = ranks(grams(segment))
     scored = distances(doc) if doc else []
     if not scored:
         return "", 0.0
-    best, second = scored[0], scored[1] if len(scored) > 1 else (PROFILE * len(doc), "")
-    return best[1], round(min(1.0, max(0.0, (second[0] - best[0]) / max(1, second[0]) * 10)), 4)
+    return scored[0][1], _confidence(scored[0][0], scored[1][0] if len(scored) > 1 else PROFILE * len(doc))
 
 
 def fit(samples: Iterator[tuple[str, str]]) -> Profiles:
@@ -213,37 +283,91 @@ def fit(samples: Iterator[tuple[str, str]]) -> Profiles:
         out = {}
         for code, seed in SEEDS.items():
             weight = max(1, len(kept.get(code, [])) // SEED_SHARE)
-            total = Counter({g: n * weight for g, n in grams(seed).items()})
+            words: Counter = Counter()
             for t in kept.get(code, []):
-                total.update(grams(t))
+                words.update(kept_words(t))
+            total = Counter({g: n * weight for g, n in grams(seed).items()})
+            for w, n in words.items():
+                for g in _word_grams(w):
+                    total[g] += n
             out[code] = ranks(total)
         return out
 
     first = Distances(build(by))
-    return build({code: [t for t in texts if identify(t, first)[0] == code] for code, texts in by.items()})
+    return build({code: [t for t, (c, _) in zip(texts, first.many(texts)) if c == code] for code, texts in by.items()})
+
+
+Part = tuple[int, int, str, float]
 
 
 class Identifier:
-    """Identifies texts with fixed profiles; repeated segments are looked up, not computed again."""
+    """Identifies texts with fixed profiles, many at once."""
 
     def __init__(self, profiles: Profiles):
-        self.profiles = profiles
-        distances = Distances(profiles)
-        self._segment = lru_cache(1 << 13)(lambda s: identify(s, distances))
+        self.distances = Distances(profiles)
+
+    def parts_many(self, texts: list[str]) -> list[list[Part]]:
+        """(start, length, language, confidence) of the segments of each text that say something, of the
+        whole text where no segment does. Places are code points of the text in plain characters."""
+        cleaned = [clean(t) for t in texts]
+        cut = [spans(t) or [("", 0, len(t))] for t in cleaned]
+        strings = [t[a:b] for t, ss in zip(cleaned, cut) for _, a, b in ss]
+        distinct = list(dict.fromkeys(strings))
+        verdict = dict(zip(distinct, self.distances.many(distinct)))
+        switched = self._switches([s for s in distinct if s.count(" ") >= 2 * WINDOW - 1])
+        out = []
+        for t, ss in zip(cleaned, cut):
+            rows: list[Part] = []
+            for _, a, b in ss:
+                s = t[a:b]
+                if s in switched:
+                    rows += [(a + i, n, c, sure) for i, n, c, sure in switched[s]]
+                elif verdict[s][0]:
+                    rows.append((a, b - a, *verdict[s]))
+            out.append(rows)
+        return out
 
-    def languages(self, text: str) -> dict[str, float]:
-        """Language → confidence (the best of its segments) of all segments that say something; of the
-        whole text where no segment does."""
-        text = clean(text)
-        out: dict[str, float] = {}
-        for _, s in segments(text) or [("", text)]:
-            code, sure = self._segment(s)
-            if code:
-                out[code] = max(sure, out.get(code, 0.0))
+    def _switches(self, segments: list[str]) -> dict[str, list[Part]]:
+        """Segments in which a sliding window of words sees two languages, each surely over its words: the
+        part of each. One language beside unsure windows is no switch."""
+        found: dict[str, list[Part]] = {}
+        words = {s: w for s in segments if len(w := list(re.finditer(r"\S+", s))) >= 2 * WINDOW}
+        side_by_side = {s: [*range(0, len(w) - WINDOW, WINDOW), len(w) - WINDOW] for s, w in words.items()}
+        coarse = self._windows(words, side_by_side)
+        words = {s: w for s, w in words.items() if len(set(coarse[s]) - {""}) == 2}
+        fine = self._windows(words, {s: list(range(len(w) - WINDOW + 1)) for s, w in words.items()})
+        halves: list[tuple[str, int]] = []
+        for s, w in words.items():
+            said = [(c, i) for i, c in enumerate(fine[s]) if c]
+            turns = [(i, j) for (c, i), (e, j) in zip(said, said[1:]) if c != e]
+            if len(turns) == 1 and len({c for c, _ in said}) == 2:
+                i, j = turns[0]
+                halves.append((s, w[min(len(w) - 1, (i + j + WINDOW) // 2)].start()))
+        sides = self.distances.many([x for s, k in halves for x in (s[:k], s[k:])])
+        for n, (s, k) in enumerate(halves):
+            (c, sure), (e, certain) = sides[2 * n], sides[2 * n + 1]
+            if c != e and min(sure, certain) >= PART_SURE:
+                found[s] = [(0, k, c, sure), (k, len(s) - k, e, certain)]
+        return found
+
+    def _windows(self, words: dict[str, list[re.Match]], starts: dict[str, list[int]]) -> dict[str, list[str]]:
+        """The language of each window of words, empty where it is unsure."""
+        texts = [s[w[i].start() : w[i + WINDOW - 1].end()] for s, w in words.items() for i in starts[s]]
+        verdicts = iter(self.distances.many(texts))
+        return {s: [c if sure >= PART_SURE else "" for c, sure in (next(verdicts) for _ in starts[s])] for s in words}
+
+    def languages_many(self, texts: list[str]) -> list[dict[str, float]]:
+        """Language → confidence (the best of its segments) of each text."""
+        out = []
+        for rows in self.parts_many(texts):
+            best: dict[str, float] = {}
+            for _, _, code, sure in rows:
+                best[code] = max(sure, best.get(code, 0.0))
+            out.append(best)
         return out
 
-    def parts(self, text: str) -> list[tuple[str, str, float]]:
-        return [(s, *self._segment(s)) for _, s in segments(clean(text))]
+    def languages(self, text: str) -> dict[str, float]:
+        return self.languages_many([text])[0]
 
 
 def labelled_sample(texts: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
@@ -262,26 +386,21 @@ def labelled_sample(texts: DataFrame, per_language: int = PER_LANGUAGE) -> list[
     return sorted((r["code"], r["text"]) for r in rows)
 
 
-def profiles_of(spark_texts: DataFrame, per_language: int = PER_LANGUAGE) -> Profiles:
-    return fit(iter(labelled_sample(spark_texts, per_language)))
-
-
-FOUND = "langs array<struct<lang_code:string,confidence:double>>, sentence boolean"
+FOUND = "parts:array<struct<start:int,length:int,lang_code:string,confidence:double>>,sentence:boolean"
 
 
 def identify_column(profiles: Profiles):
-    """A pandas UDF text → (languages with confidence, whether it is a sentence)."""
+    """A pandas UDF text → (its segments with language and confidence, whether it is a sentence)."""
 
-    @F.pandas_udf(f"struct<{FOUND.replace('langs ', 'langs:').replace('sentence ', 'sentence:')}>")
+    @F.pandas_udf(f"struct<{FOUND}>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         one = Identifier(profiles)
-
-        @lru_cache(1 << 13)
-        def both(text: str) -> tuple:
-            return [{"lang_code": k, "confidence": v} for k, v in one.languages(text).items()], is_sentence(clean(text))
-
         for texts in batches:
-            rows = [both(t) if t else ([], False) for t in texts]
-            yield pd.DataFrame({"langs": [r[0] for r in rows], "sentence": [r[1] for r in rows]})
+            distinct = list({t: None for t in texts if t})
+            parts = one.parts_many(distinct)
+            known = {t: ([dict(zip(("start", "length", "lang_code", "confidence"), r)) for r in rows], is_sentence(clean(t))) for t, rows in zip(distinct, parts)}
+            known[None] = known[""] = [], False
+            rows = [known[t or None] for t in texts]
+            yield pd.DataFrame({"parts": [r[0] for r in rows], "sentence": [r[1] for r in rows]})
 
     return run

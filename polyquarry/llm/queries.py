@@ -50,15 +50,22 @@ def _languages(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _languages(spark, d)
-    codes = F.col("found.langs.lang_code")
+    codes = F.array_distinct(F.col("found.parts.lang_code"))
     other = F.col("named").isNull() | (codes != F.array("named"))
     return rows.filter(other).select(*attempts.KEYS, "field_name", F.explode(codes).alias("lang_code")).distinct()
 
 
 def p4_languages(spark: SparkSession, d: str) -> DataFrame:
-    """Every text field with each of its languages and the confidence."""
-    rows = _languages(spark, d).select(*attempts.KEYS, "field_name", "named", F.explode("found.langs").alias("l"))
-    return rows.select(*attempts.KEYS, "field_name", "named", "l.lang_code", "l.confidence").dropDuplicates([*attempts.KEYS, "field_name", "lang_code"])
+    """Every text field with each of its languages and the best confidence of its segments."""
+    rows = _languages(spark, d).select(*attempts.KEYS, "field_name", "named", F.explode("found.parts").alias("l"))
+    return rows.groupBy(*attempts.KEYS, "field_name", "named", F.col("l.lang_code").alias("lang_code")).agg(F.max("l.confidence").alias("confidence"))
+
+
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of a text field: where it stands (code points of the text in plain characters), its
+    language and the confidence."""
+    rows = _languages(spark, d).select(*attempts.KEYS, "field_name", F.explode("found.parts").alias("p"))
+    return rows.select(*attempts.KEYS, "field_name", "p.start", "p.length", "p.lang_code", "p.confidence").dropDuplicates([*attempts.KEYS, "field_name", "start"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -127,5 +134,5 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.pack(table(spark, d, "documents")))
 
 
-QUERIES: dict = {f.__name__: f for f in (p7_containers, p7_fill, p9_found, p9_masked, p8_found, p8_report, p8_notices, p8_templates, p1_found, p1_report, p2_found, p2_report, p4_found, p4_languages, p6_found, p6_canonical)}
+QUERIES: dict = {f.__name__: f for f in (p7_containers, p7_fill, p9_found, p9_masked, p8_found, p8_report, p8_notices, p8_templates, p1_found, p1_report, p2_found, p2_report, p4_found, p4_languages, p4_segments, p6_found, p6_canonical)}
 ORACLE: dict = {}

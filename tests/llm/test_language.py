@@ -61,3 +61,24 @@ def test_table_of_distances_equals_the_definition():
         doc = g.ranks(g.grams(text))
         want = {code: g.out_of_place(doc, p) for code, p in PROFILES.items()}
         assert all(want[c] == n for n, c in d(doc)) and {c for _, c in d(doc)} == {c for c, p in PROFILES.items() if any(x in p for x in doc)}
+
+
+def test_many_at_once_equal_the_definition():
+    texts = ["The people of the town are free", "Die Menschen sind frei", "人人生而自由", "xq zv 12", "", "123", "ya watu wote " * 300, "すべての人間は", "The The THE"]
+    d = g.Distances(PROFILES)
+    assert d.many(texts * 300) == [g.identify(t, d) for t in texts] * 300
+
+
+def test_switch_inside_a_sentence():
+    """Two languages of one script in one sentence come out as two parts that cover it; one language doesn't."""
+    text = "Die Menschen sollen einander im Geiste der Freiheit begegnen und handeln while all human beings are born free and equal in dignity and rights"
+    (rows,) = ONE.parts_many([text])
+    assert [c for _, _, c, _ in rows] == ["de", "en"] and rows[0][0] == 0 and rows[0][1] == rows[1][0] and sum(r[1] for r in rows) == len(text)
+    for one in ("All human beings are born free and equal in dignity and they should act towards one another in a spirit of brotherhood", "Alle Menschen sind frei und gleich an Würde geboren und sollen einander im Geiste der Brüderlichkeit begegnen"):
+        assert len(ONE.parts_many([one])[0]) == 1
+
+
+def test_parts_stand_where_they_say():
+    text = "Die Menschen sind frei geboren. Je ne sais pas répondre à cette question. ฉันไม่ทราบคำตอบ (人人生而自由，他们有良心)"
+    (rows,) = ONE.parts_many([text])
+    assert [(c, text[a : a + n].strip()) for a, n, c, _ in rows] == [("de", "Die Menschen sind frei geboren"), ("fr", "Je ne sais pas répondre à cette question"), ("th", "ฉันไม่ทราบคำตอบ"), ("zh", "人人生而自由，他们有良心")]
