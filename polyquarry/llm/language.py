@@ -183,7 +183,7 @@ def out_of_place(doc: dict[str, int], profile: dict[str, int]) -> int:
     return sum(abs(i - j) if (j := get(g)) is not None else most for g, i in doc.items())
 
 
-CHUNK = 1024
+CHUNK = 256
 _NEVER = 1 << 60
 
 
@@ -197,7 +197,7 @@ class Distances:
         for k, code in enumerate(self.codes):
             for g, r in profiles[code].items():
                 self.ranks[self.row[g], k] = r
-        self.ranks_or_none = np.vstack([self.ranks, np.full((1, len(self.codes)), PROFILE, dtype=np.int32)])
+        self.ranks_or_none = np.vstack([self.ranks, np.full((1, len(self.codes)), PROFILE, dtype=np.int32)]).astype(np.int16)
 
     def __call__(self, doc: dict[str, int]) -> list[tuple[int, str]]:
         """(distance, language), nearest first, of the languages that share a gram with the text."""
@@ -216,45 +216,47 @@ class Distances:
     def many(self, segments: list[str]) -> list[tuple[str, float]]:
         """(language, confidence) of each segment, as ``verdict(self(ranks(grams(segment))))`` for all at
         once."""
-        out: list[tuple[str, float]] = []
-        for at in range(0, len(segments), CHUNK):
-            out += self._chunk(segments[at : at + CHUNK])
-        return out
-
-    def _chunk(self, segments: list[str]) -> list[tuple[str, float]]:
         words = [kept_words(s) for s in segments]
         own = {w: _word_grams(w) for ws in words for w in ws}
         vocabulary = {g: i for i, g in enumerate(sorted({g for gs in own.values() for g in gs}))}
-        if not vocabulary:
-            return [("", 0.0)] * len(segments)
         ids = {w: np.array([vocabulary[g] for g in gs], dtype=np.int64) for w, gs in own.items()}
-        rows = np.array([self.row.get(g, len(self.row)) for g in vocabulary], dtype=np.int64)
-        arrays = [ids[w] for ws in words for w in ws]
-        of = np.repeat(np.repeat(np.arange(len(words)), [len(ws) for ws in words]), [len(a) for a in arrays])
-        seen, counts = np.unique(of * len(vocabulary) + np.concatenate(arrays), return_counts=True)
-        of, gram = np.divmod(seen, len(vocabulary))
+        unknown = len(self.row)
+        rows = np.array([self.row.get(g, unknown) for g in vocabulary], dtype=np.int64)
+        out: list[tuple[str, float]] = []
+        for at in range(0, len(segments), CHUNK):
+            out += self._chunk([[ids[w] for w in ws] for ws in words[at : at + CHUNK]], rows)
+        return out
+
+    def _chunk(self, segments: list[list[np.ndarray]], rows: np.ndarray) -> list[tuple[str, float]]:
+        """Verdicts of segments given as the gram numbers of their words; ``rows``: number → table row."""
+        out = [("", 0.0)] * len(segments)
+        arrays = [a for words in segments for a in words]
+        if not arrays:
+            return out
+        of = np.repeat(np.repeat(np.arange(len(segments)), [len(words) for words in segments]), [len(a) for a in arrays])
+        seen, counts = np.unique(of * len(rows) + np.concatenate(arrays), return_counts=True)
+        of, gram = np.divmod(seen, len(rows))
         # most frequent first, ties by gram: they stand in gram order already
         order = np.argsort(of * (int(counts.max()) + 1) - counts, kind="stable")
         of, gram = of[order], gram[order]
         starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         place = np.arange(len(of)) - np.repeat(starts, np.diff(np.r_[starts, len(of)]))
-        if len(place) and place.max() >= PROFILE:  # beyond the profile's size grams play no part
+        if place.max() >= PROFILE:  # beyond the profile's size grams play no part
             keep = place < PROFILE
             of, gram, place = of[keep], gram[keep], place[keep]
             starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         table = self.ranks_or_none[rows[gram]]
         missing = table == PROFILE
-        away = np.abs(table - place[:, None].astype(np.int32))
+        away = np.abs(table - place[:, None].astype(np.int16))
         away[missing] = PROFILE
         total = np.add.reduceat(away, starts, axis=0, dtype=np.int64)
         total[np.logical_and.reduceat(missing, starts, axis=0)] = _NEVER
         size = np.diff(np.r_[starts, len(of)])
         near = np.argsort(total, axis=1, kind="stable")[:, :2]
         best = np.take_along_axis(total, near, axis=1)
-        out = [("", 0.0)] * len(segments)
-        for n, (k, _), (first, second), m in zip(of[starts], near, best, size):
+        for n, k, (first, second), m in zip(of[starts].tolist(), near[:, 0].tolist(), best.tolist(), size.tolist()):
             if first < _NEVER:
-                out[n] = self.codes[k], _confidence(int(first), int(second) if second < _NEVER else PROFILE * int(m))
+                out[n] = self.codes[k], _confidence(first, second if second < _NEVER else PROFILE * m)
         return out
 
 
