@@ -6,7 +6,11 @@ its head: the terms up to where the norm of the rest drops below the threshold.
 vectors of at least that cosine always stands in both heads (what lies beyond either head can't reach the
 threshold), so the inverted lists of head terms find every pair. Entries that can't reach the threshold
 even with the greatest weight of their list are not looked up; a pair of entries is kept where its weight
-plus the product of the residual norms behind it can; the exact dot product follows. Equal statements are joined once: only distinct ones enter, copies come back as members.
+plus the product of the residual norms behind it can; the exact dot product follows. Equal statements are one
+class and joined once: only classes enter, copies come back as members, and counts are made of classes.
+
+Vectors are arrays of term hashes and weights that travel with their statement: the weighing shuffles only
+terms that are rare, and candidate pairs meet each side once.
 
 Frequent terms weigh little and rarely stand in a head, so lists stay short; a list that is long all
 the same is split over several tasks. Terms in more than one of ``HOT_SHARE`` statements are at most
@@ -49,54 +53,64 @@ def terms_column(plain: Column) -> Column:
     return F.filter(F.split(joined, r"[^\p{L}\p{N}\p{M}]+"), lambda t: t != "")
 
 
+def keyed(rows: DataFrame, text: str, *ids: str) -> DataFrame:
+    """Distinct ids with their statement: ``key`` (of the sorted terms, so word order and marks play no part)
+    and ``plain``. Null, blank and wordless statements are left out."""
+    t = rows.select(*ids, F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
+    t = t.select(*ids, plain_column(F.col("text")).alias("plain"))
+    terms = terms_column(F.col("plain"))
+    return t.filter(F.size(terms) > 0).withColumn("key", F.base64(F.unhex(F.md5(F.array_join(F.array_sort(terms), " "))))).distinct()
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """One wording per statement key (wordings of a key differ in order, case and marks alone) and its terms."""
+    return rows.groupBy("key").agg(F.min("plain").alias("plain")).withColumn("terms", terms_column(F.col("plain")))
+
+
 def statements(rows: DataFrame, text: str) -> DataFrame:
-    """Distinct statements: ``key`` (sorted terms, word order and marks aside), ``plain`` (one wording)
-    and ``terms``. Null, blank and wordless statements have none."""
-    t = rows.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
-    t = t.select(plain_column(F.col("text")).alias("plain")).withColumn("terms", terms_column(F.col("plain"))).filter(F.size("terms") > 0)
-    return t.withColumn("key", F.md5(F.array_join(F.array_sort("terms"), " ")))
+    """Distinct statements: ``key``, ``plain`` (one wording) and ``terms``."""
+    return classes(keyed(rows, text))
 
 
 def _vectors(sides: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
-    """Each statement's terms, rare ones first, with weights scaled to length one, the size of its head
-    and the norm of the rest."""
-    hot = F.broadcast(frequencies.filter(F.col("df") * HOT_SHARE >= n).select(F.col("term").alias("hot_term"), F.col("df").alias("hot_df")))
-    cold = frequencies.filter(F.col("df") * HOT_SHARE < n).select(F.col("term").alias("cold_term"), F.col("df").alias("cold_df"))
-    e = sides.select("key", F.explode(F.col("terms")).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
-    e = e.join(hot, F.col("term") == F.col("hot_term"), "left")
-    known = e.filter(F.col("hot_df").isNotNull()).select("key", "term", "tf", F.col("hot_df").alias("df"))
-    rest = e.filter(F.col("hot_df").isNull()).join(cold, F.col("term") == F.col("cold_term"), "left").select("key", "term", "tf", F.col("cold_df").alias("df"))
-    w = known.unionByName(rest).withColumn("w", F.col("tf") * F.when(F.col("df").isNull(), F.lit(UNKNOWN)).otherwise(F.log(F.lit(1.0) + F.lit(float(n)) / F.col("df"))))
-    v = w.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "term", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    v = v.select("key", F.transform("v", lambda x: F.struct((x["w"] / F.col("norm")).alias("w"), x["term"].alias("term"), x["df"].alias("df"))).alias("v"))
+    """Each statement with its vector as parallel arrays: hashes ``t`` of its terms, rare ones first, weights
+    ``w`` scaled to length one, document frequencies ``df`` (null for terms that the indexed side lacks), and
+    ``n_head``, the size of its head. Only rare terms are shuffled to be weighed."""
+    hot = F.broadcast(frequencies.filter(F.col("df") * HOT_SHARE >= n).select(F.col("t").alias("hot_t"), F.col("df").alias("hot_df")))
+    cold = frequencies.filter(F.col("df") * HOT_SHARE < n).select("t", F.col("df").alias("cold_df"))
+    counted = F.transform(F.array_distinct("terms"), lambda x: F.struct(F.xxhash64(x).alias("t"), F.size(F.filter("terms", lambda y: y == x)).alias("tf")))
+    e = sides.select("key", F.explode(counted).alias("e")).select("key", "e.t", "e.tf").join(hot, F.col("t") == F.col("hot_t"), "left").drop("hot_t")
+    rest = e.filter(F.col("hot_df").isNull()).drop("hot_df").join(cold, "t", "left").select("key", "t", "tf", F.col("cold_df").alias("df"))
+    every = e.filter(F.col("hot_df").isNotNull()).select("key", "t", "tf", F.col("hot_df").alias("df")).unionByName(rest)
+    weight = F.col("tf") * F.when(F.col("df").isNull(), F.lit(UNKNOWN)).otherwise(F.log(F.lit(1.0) + F.lit(float(n)) / F.col("df")))
+    # both parts of a statement are gathered before they move
+    v = every.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "t", weight.alias("w")))).alias("v"))
+    v = v.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])))
+    v = v.select("key", F.transform("v", lambda x: x["t"]).alias("t"), F.transform("v", lambda x: x["w"] / F.col("norm")).alias("w"), F.transform("v", lambda x: x["df"].cast("int")).alias("df"))
     # squares of what is left after each term; the head ends where that falls below the threshold
-    done = F.expr("transform(v, (x, i) -> 1D - aggregate(slice(v, 1, i + 1), 0D, (s, y) -> s + y.w * y.w))")
-    v = v.withColumn("left", done)
-    head = F.expr(f"greatest(1, size(filter(left, r -> r >= {THRESHOLD * THRESHOLD - 1e-9}D)) + 1)")
-    v = v.withColumn("n_head", F.least(head, F.size("v")))
-    entry = F.zip_with("v", "left", lambda x, r: F.struct(x["term"].alias("term"), x["w"].alias("w"), x["df"].alias("df"), F.sqrt(F.greatest(F.lit(0.0), r)).alias("rest")))
-    return v.select("key", entry.alias("v"), "n_head")
+    head = F.expr(f"greatest(1, size(filter(transform(w, (x, i) -> 1D - aggregate(slice(w, 1, i + 1), 0D, (s, y) -> s + y * y)), r -> r >= {THRESHOLD * THRESHOLD - 1e-9}D)) + 1)")
+    return sides.select("key", "plain").join(v.withColumn("n_head", F.least(head, F.size("w"))), "key")
 
 
 def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of distinct statements of ``left`` and ``right`` (frames of ``statements``) with a
-    cosine of at least ``threshold``: left_key, right_key, cosine, and the terms that the right side
-    doesn't know or hardly knows. Document frequencies count all
-    distinct statements of ``right``. Empty sides give no pair."""
+    """All pairs of ``left`` and ``right`` (frames of ``statements``, keys once each) with a cosine of at least
+    ``threshold``: left_key, right_key, cosine, both wordings, and the hashes of the left terms that the right
+    side doesn't know and of the right ones that it hardly knows. Document frequencies count all distinct
+    statements of ``right``. Empty sides give no pair."""
     if threshold < THRESHOLD:
         raise ValueError("heads are built for a cosine of at least THRESHOLD")
-    ls, rs = left.select("key", "terms").dropDuplicates(["key"]), right.select("key", "terms").dropDuplicates(["key"])
-    n = max(1, rs.count())
-    frequencies = rs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    lv, rv = _vectors(ls, frequencies, n), cut(_vectors(rs, frequencies, n))
-    lv = cut(lv)
-    heads = lambda v, p: v.select(F.col("key").alias(f"{p}_key"), F.explode(F.slice("v", F.lit(1), F.col("n_head"))).alias("t")).select(
-        f"{p}_key", F.col("t.term").alias("term"), F.col("t.w").alias(f"{p}_w"), F.col("t.rest").alias(f"{p}_rest"), F.col("t.df").alias("df")
+    n = max(1, right.count())
+    frequencies = cut(right.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy(F.xxhash64("term").alias("t")).agg(F.count(F.lit(1)).alias("df")))
+    lv, rv = cut(_vectors(left, frequencies, n)), cut(_vectors(right, frequencies, n))
+    # norms of what stands behind each term of the head
+    rest = F.expr("transform(slice(w, 1, n_head), (x, i) -> sqrt(greatest(0D, 1D - aggregate(slice(w, 1, i + 1), 0D, (s, y) -> s + y * y))))")
+    heads = lambda v, p: v.select(F.col("key").alias(f"{p}_key"), F.explode(F.arrays_zip(F.slice("t", F.lit(1), F.col("n_head")).alias("t"), F.slice("w", F.lit(1), F.col("n_head")).alias("w"), F.slice("df", F.lit(1), F.col("n_head")).alias("df"), rest.alias("rest"))).alias("h")).select(
+        f"{p}_key", "h.t", F.col("h.w").alias(f"{p}_w"), F.col("h.rest").alias(f"{p}_rest"), "h.df"
     )
     lh, rh = heads(lv, "l").filter(F.col("df").isNotNull()), heads(rv, "r")
     # what a list can add at most: entries that stay below the threshold even so are not looked up
-    most = rh.groupBy("term").agg(F.max("r_w").alias("top_w"), F.max("r_rest").alias("top_rest"))
-    lh = lh.join(most, "term").filter(F.col("l_w") * F.col("top_w") + F.col("l_rest") * F.col("top_rest") >= threshold - 1e-9).drop("top_w", "top_rest")
+    most = rh.groupBy("t").agg(F.max("r_w").alias("top_w"), F.max("r_rest").alias("top_rest"))
+    lh = lh.join(most, "t").filter(F.col("l_w") * F.col("top_w") + F.col("l_rest") * F.col("top_rest") >= threshold - 1e-9).drop("top_w", "top_rest")
     # a long list is cut into salts; each left entry meets all of them
     salts = lambda df: F.greatest(F.lit(1), F.ceil(df / F.lit(float(LIST_ROWS)))).cast("int")
     lh = lh.withColumn("salt", F.explode(F.sequence(F.lit(0), salts(F.col("df")) - 1))).drop("df")
@@ -104,12 +118,19 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD)
     # taken as the rarest common term, an entry pair bounds the whole product by the norms behind it; the
     # rarest common term of a true pair stands in both heads and passes
     bound = F.col("l_w") * F.col("r_w") + F.col("l_rest") * F.col("r_rest")
-    pairs = lh.join(rh, ["term", "salt"]).filter(bound >= threshold - 1e-9).select("l_key", "r_key").distinct()
-    weights = lambda v: F.map_from_entries(F.transform(v, lambda x: F.struct(x["term"], x["w"])))
-    exact = pairs.join(lv.select(F.col("key").alias("l_key"), F.col("v").alias("lv")), "l_key").join(rv.select(F.col("key").alias("r_key"), weights(F.col("v")).alias("rm"), F.transform(F.filter("v", lambda x: x["df"] <= RARE), lambda x: x["term"]).alias("right_rare")), "r_key")
-    dot = F.aggregate("lv", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at(F.col("rm"), x["term"]), F.lit(0.0)))
-    unknown = F.transform(F.filter("lv", lambda x: x["df"].isNull()), lambda x: x["term"])
-    return exact.select(F.col("l_key").alias("left_key"), F.col("r_key").alias("right_key"), dot.alias("cosine"), unknown.alias("left_unknown"), "right_rare").filter(F.col("cosine") >= threshold)
+    pairs = lh.join(rh, ["t", "salt"]).filter(bound >= threshold - 1e-9).select("l_key", "r_key").distinct()
+    of = lambda v, p, *more: v.select(F.col("key").alias(f"{p}_key"), F.col("plain").alias(f"{p}_plain"), F.col("t").alias(f"{p}_t"), F.col("w").alias(f"{p}_w"), *more)
+    unknown = F.transform(F.filter(F.arrays_zip("t", "df"), lambda x: x["df"].isNull()), lambda x: x["t"]).alias("left_unknown")
+    rare = F.transform(F.filter(F.arrays_zip("t", "df"), lambda x: x["df"] <= RARE), lambda x: x["t"]).alias("right_rare")
+    exact = pairs.join(of(lv, "l", unknown), "l_key").join(of(rv, "r", rare), "r_key")
+    weights = F.map_from_arrays("r_t", "r_w")
+    dot = F.aggregate(F.arrays_zip("l_t", "l_w"), F.lit(0.0), lambda s, x: s + x["l_w"] * F.coalesce(F.try_element_at(weights, x["l_t"]), F.lit(0.0)))
+    exact = exact.withColumn("cosine", dot).filter(F.col("cosine") >= threshold)
+    named = lambda plain, hashes: F.filter(F.array_distinct(terms_column(F.col(plain))), lambda x: F.array_contains(hashes, F.xxhash64(x)))
+    return exact.select(
+        F.col("l_key").alias("left_key"), F.col("r_key").alias("right_key"), "cosine", F.col("l_plain").alias("left_plain"), F.col("r_plain").alias("right_plain"),
+        named("l_plain", F.col("left_unknown")).alias("left_unknown"), named("r_plain", F.col("right_rare")).alias("right_rare"),
+    )
 
 
 #: Small words that may be missing or added, and words that turn a statement round.
@@ -198,13 +219,26 @@ def same_fact_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Se
 def same_statements(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs left_key, right_key of distinct statements that tell the same fact: the cosine join, then
     the exact check on one wording of each."""
-    # one wording per key for the check; wordings of a key differ in order, case and marks only
-    word = lambda s, p: s.groupBy("key").agg(F.min("plain").alias(f"{p}_plain")).withColumnRenamed("key", f"{p}_key")
     pairs = cosine_join(left, right)
-    pairs = pairs.join(word(left, "left"), "left_key").join(word(right, "right"), "right_key")
     return pairs.filter(same_fact_udf("left_plain", "right_plain", "left_unknown", "right_rare")).select("left_key", "right_key", "cosine")
 
 
+def links(held: DataFrame, train: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The overlap as classes: pairs of statement classes (left_key, right_key, cosine), members of either
+    side (holdout_card_id, left_key; card_id, right_key), and the pairs told by source_card_id
+    (holdout_card_id, card_id). Expanding them gives ``overlaps``; counting doesn't need to."""
+    named = (
+        held.select("holdout_card_id", F.lower(tx.strip(F.col("source_card_id"))).alias("at")).filter("at <> '' AND holdout_card_id IS NOT NULL").distinct()
+        .join(train.select("card_id", F.lower(tx.strip(F.col("card_id"))).alias("at")).filter("card_id IS NOT NULL").distinct(), "at")
+        .select("holdout_card_id", "card_id").distinct()
+    )
+    lk, rk = cut(keyed(held, "fact_statement", "holdout_card_id")), cut(keyed(train, "fact_statement", "card_id"))
+    pairs = same_statements(classes(lk), classes(rk))
+    left = lk.filter("holdout_card_id IS NOT NULL").select("holdout_card_id", F.col("key").alias("left_key")).distinct()
+    right = rk.filter("card_id IS NOT NULL").select("card_id", F.col("key").alias("right_key")).distinct()
+    return pairs, left, right, named
+
+
 def overlaps(held: DataFrame, train: DataFrame) -> DataFrame:
     """Pairs (holdout_card_id, card_id) of held-out and training cards that overlap, each once.
 
@@ -212,27 +246,42 @@ def overlaps(held: DataFrame, train: DataFrame) -> DataFrame:
     training cards). A pair overlaps by naming the card (case and outer blanks aside) or by telling the
     same fact. Null ids and null or blank facts overlap with nothing; extra columns play no part.
     """
-    named = (
-        held.select("holdout_card_id", F.lower(tx.strip(F.col("source_card_id"))).alias("at")).filter(F.col("at") != "").distinct()
-        .join(train.select("card_id", F.lower(tx.strip(F.col("card_id"))).alias("at")).filter("card_id IS NOT NULL").distinct(), "at")
-        .select("holdout_card_id", "card_id")
-    )
-    ls, rs = cut(statements(held, "fact_statement")), cut(statements(train, "fact_statement"))
-    pairs = same_statements(ls, rs).select("left_key", "right_key")
-    keyed = lambda rows, key: rows.select(key, plain_column(F.col("fact_statement")).alias("p")).filter("p IS NOT NULL").select(key, F.md5(F.array_join(F.array_sort(terms_column(F.col("p"))), " ")).alias("k")).distinct()
-    told = (
-        keyed(held, "holdout_card_id").withColumnRenamed("k", "left_key").join(pairs, "left_key")
-        .join(keyed(train, "card_id").withColumnRenamed("k", "right_key"), "right_key")
-        .select("holdout_card_id", "card_id")
-    )
-    return named.unionByName(told).filter("holdout_card_id IS NOT NULL AND card_id IS NOT NULL").distinct()
+    pairs, left, right, named = links(held, train)
+    told = left.join(pairs.select("left_key", "right_key"), "left_key").join(right, "right_key").select("holdout_card_id", "card_id")
+    return named.unionByName(told).distinct()
+
+
+def class_links(held: DataFrame, train: DataFrame) -> DataFrame:
+    """Linked statement classes with their cosine and how many cards of either side tell each: the compact
+    form of the overlap told by facts."""
+    pairs, left, right, _ = links(held, train)
+    size = lambda m, key, name: m.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    out = pairs.join(size(left, "left_key", "n_held"), "left_key").join(size(right, "right_key", "n_train"), "right_key")
+    return out.select("left_key", "right_key", F.round("cosine", 6).alias("cosine"), "n_held", "n_train")
+
+
+def partner_counts(held: DataFrame, train: DataFrame) -> DataFrame:
+    """holdout_card_id and ``n_partners``, its distinct training cards, counted by classes: a fact that a
+    third of both sides tells is one row per held-out card, not the product."""
+    pairs, left, right, named = links(held, train)
+    matched = cut(left.join(pairs.select("left_key", "right_key"), "left_key").select("holdout_card_id", "right_key").distinct())
+    # cards of one class count with it; cards of several classes, which are few, are told apart
+    of = right.groupBy("card_id").agg(F.count(F.lit(1)).alias("n"), F.min("right_key").alias("right_key"))
+    single = of.filter("n = 1").groupBy("right_key").agg(F.count(F.lit(1)).alias("n_single"))
+    several = right.join(of.filter("n > 1").select("card_id"), "card_id", "left_semi")
+    by_class = matched.join(single, "right_key").groupBy("holdout_card_id").agg(F.sum("n_single").alias("n"))
+    apart = matched.join(several, "right_key").select("holdout_card_id", "card_id").distinct()
+    # a named card counts unless its statement is linked as well
+    told = named.join(right, "card_id").join(matched, ["holdout_card_id", "right_key"], "left_semi").select("holdout_card_id", "card_id").distinct()
+    alone = named.join(told, ["holdout_card_id", "card_id"], "left_anti")
+    count = lambda df: df.groupBy("holdout_card_id").agg(F.count(F.lit(1)).alias("n"))
+    return by_class.unionByName(count(apart)).unionByName(count(alone)).groupBy("holdout_card_id").agg(F.sum("n").alias("n_partners"))
 
 
 def overlap_report(held: DataFrame, train: DataFrame) -> DataFrame:
-    """Cards, overlapping cards and their training partners per split_role and source_page."""
-    per_card = overlaps(held, train).groupBy("holdout_card_id").agg(F.count(F.lit(1)).alias("n_partners"))
+    """Cards, overlapping cards and their training partners per split_role and source_page, counted by
+    classes."""
     cards = held.select("holdout_card_id", "split_role", "source_page").distinct()
-    return cards.join(per_card, "holdout_card_id", "left").groupBy("split_role", "source_page").agg(
+    return cards.join(partner_counts(held, train), "holdout_card_id", "left").groupBy("split_role", "source_page").agg(
         F.count(F.lit(1)).alias("n_cards"), F.count("n_partners").alias("n_leaking"), F.coalesce(F.sum("n_partners"), F.lit(0)).alias("n_pairs")
     )
-

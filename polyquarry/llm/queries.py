@@ -95,6 +95,11 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(*_splits(spark, d))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Linked statement classes and their sizes, copies not expanded."""
+    return overlap.class_links(*_splits(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
@@ -134,5 +139,5 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.pack(table(spark, d, "documents")))
 
 
-QUERIES: dict = {f.__name__: f for f in (p7_containers, p7_fill, p9_found, p9_masked, p8_found, p8_report, p8_notices, p8_templates, p1_found, p1_report, p2_found, p2_report, p4_found, p4_languages, p4_segments, p6_found, p6_canonical)}
+QUERIES: dict = {f.__name__: f for f in (p7_containers, p7_fill, p9_found, p9_masked, p8_found, p8_report, p8_notices, p8_templates, p1_found, p1_report, p1_classes, p2_found, p2_report, p4_found, p4_languages, p4_segments, p6_found, p6_canonical)}
 ORACLE: dict = {}

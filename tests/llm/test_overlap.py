@@ -70,3 +70,33 @@ def test_long_statement(spark):
     h = spark.createDataFrame([("h", "a", "b", None, long, "", "")], HELD)
     assert o.overlaps(h, spark.createDataFrame([("c", long, "", 0)], TRAIN)).count() == 1
     assert o.statements(h.select(F.col("fact_statement").alias("t")), "t").count() == 1
+
+
+def test_counts_by_class_equal_expanded_pairs(spark):
+    """Partners counted by classes are those of the expanded pairs: cards of several statements, cards named
+    and told at once, and held-out cards of several statements included."""
+    rng = random.Random(5)
+    facts = [f"{n} Hall opened in {y}." for n in ("Bobo", "Kiki", "Zaza") for y in (1900, 1901)]
+    vary = lambda f: rng.choice([f, f.upper(), "Indeed, " + f, f.rstrip(".")])
+    held = [(f"h{rng.randrange(12)}", "s", "p", rng.choice([None, f"C{rng.randrange(30)} "]), vary(rng.choice(facts)), "", "") for _ in range(40)]
+    train = [(f"c{rng.randrange(30)}", vary(rng.choice(facts)), "", 0) for _ in range(60)]
+    h, t = spark.createDataFrame(held, HELD), spark.createDataFrame(train, TRAIN)
+    want = Counter(r.holdout_card_id for r in o.overlaps(h, t).collect())
+    assert {r.holdout_card_id: r.n_partners for r in o.partner_counts(h, t).collect()} == want
+    links = o.class_links(h, t).collect()
+    assert links and all(r.n_held and r.n_train for r in links)
+
+
+def test_recall_of_the_threshold(spark):
+    """Pairs that the exact check calls the same fact reach the cosine of the join: all pairs of edited
+    statements against brute force."""
+    rng = random.Random(6)
+    names = ["Bobo", "Kiki", "Zaza", "Tivu", "Nare"]
+    base = [f"{rng.choice(names)} {k} {rng.choice(['was founded', 'opened', 'was closed'])} in {rng.randrange(1800, 2000)} by {rng.choice(names)} {rng.choice(names)}." for k in ("Museum", "Hall", "School") for _ in range(40)]
+    edited = [" ".join(rng.sample(b.rstrip(".").split(), len(b.split()))) if i % 3 == 0 else ("It is said that " + b) if i % 3 == 1 else b.replace("was", "wass").replace("opened", "openned") for i, b in enumerate(base)]
+    h = spark.createDataFrame([(f"h{i}", "", "", None, b, "", "") for i, b in enumerate(edited)], HELD)
+    t = spark.createDataFrame([(f"c{i}", b, "", 0) for i, b in enumerate(base)], TRAIN)
+    known = {w.casefold() for b in base for w in o._tokens(b)}
+    want = {(f"h{i}", f"c{j}") for i, a in enumerate(edited) for j, b in enumerate(base) if o.same_fact(a, b, [w.casefold() for w in o._tokens(a) if w.casefold() not in known])}
+    got = {tuple(r) for r in o.overlaps(h, t).collect()}
+    assert len(want) >= 120 and len(want & got) >= 0.99 * len(want) and not got - want
