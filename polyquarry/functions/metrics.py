@@ -25,6 +25,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(fine, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / n)))
 
 
+def cosine_checked(candidate: Column, reference: Column, empty: Column) -> Column:
+    """Cosine clamped to -1..1; 0 where the candidate text is empty; a vector without length or with NaN or
+    infinite parts is an error."""
+    return F.when(empty, F.lit(0.0)).otherwise(F.coalesce(cosine(candidate, reference), F.raise_error(F.lit("vector without a finite length")).cast("double")))
+
+
 def min_k(log_probs: Column, k: float = 0.4) -> Column:
     """Negated mean of the lowest max(1, floor(n*k)) log probabilities; 0 for none."""
     n = F.greatest(F.lit(1), F.floor(F.size(log_probs) * F.lit(k))).cast("int")
@@ -44,6 +50,13 @@ def mean_loss(log_probs: Column) -> Column:
     return F.when(F.size(log_probs) > 0, -F.aggregate(log_probs, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(log_probs)).otherwise(F.lit(0.0))
 
 
+def zlib_loss(loss: Column, text: Column) -> Column:
+    """A loss by the bytes that its text takes in a zlib stream."""
+    from polyquarry.functions.udfs import zlib_length
+
+    return loss / F.greatest(zlib_length(text), F.lit(1))
+
+
 def log_mean_exp(rows: DataFrame, value: str, beta: float, *group: str) -> DataFrame:
     """-beta·log(mean(exp(-value/beta))) per group, shifted by the group's least value so that no term
     overflows. Nulls don't count; two partial aggregations, no list of values."""
@@ -60,6 +73,11 @@ def choice(scores: Column) -> Column:
     return F.array_position(scores, F.array_max(scores)) - F.lit(1)
 
 
+def choice_by_length(scores: Column, labels: list[str]) -> Column:
+    """0-based place of the greatest score after each is divided by the length of its label."""
+    return choice(F.zip_with(scores, F.array(*map(F.lit, labels)), lambda s, x: s / F.greatest(F.length(x), F.lit(1))))
+
+
 def judge_or_match(generation: Column, expected: Column, nfkc) -> Column:
     """1.0 where both are equal in NFKC, so no judge is needed; else null."""
     return F.when(nfkc(generation) == nfkc(expected), F.lit(1.0))
@@ -106,3 +124,38 @@ def simnpo(nll: Column, length: Column, beta: float, delta: float = 0.0) -> Colu
 def dpo(win: Column, win_reference: Column, lose: Column, lose_reference: Column, beta: float) -> Column:
     """-2/beta · log sigmoid(beta·(((lose - reference) - (win - reference)))) over negative log likelihoods."""
     return F.lit(-2.0 / beta) * log_sigmoid(F.lit(beta) * ((lose - lose_reference) - (win - win_reference)))
+
+
+def kl(current: Column, reference: Column) -> Column:
+    """Sum over the vocabulary of p_ref·(log p_ref - log p) for two arrays of log probabilities."""
+    return F.aggregate(F.zip_with(reference, current, lambda r, c: F.exp(r) * (r - c)), F.lit(0.0), lambda s, x: s + x)
+
+
+#: Objectives by name, each with the forget loss it takes per record.
+OBJECTIVES = ["grad_ascent", "grad_diff", "npo", "dr_npo", "simnpo", "dr_simnpo", "combined"]
+
+
+def objective(rows: DataFrame, name: str, *group: str, beta: float = 1.0, delta: float = 0.0, gamma: float = 1.0, alpha: float = 1.0, sigma: float = 1.0, retain: str = "nll", robust_retain: bool = False) -> DataFrame:
+    """The value of an unlearning objective per group, as ``loss``. ``rows``: side (forget or retain), nll,
+    reference_nll, length, and kl where ``retain`` is ``kl``. The value is gamma·forget + alpha·retain; forget
+    is -mean(nll per token) for gradient ascent, gradient difference and the combined objective (alpha and
+    gamma 1), else the preference loss averaged, or joined by log-mean-exp with ``sigma`` where its name is
+    dr_. Gradient ascent has no retain part. ``robust_retain`` joins the retain part's losses so as well."""
+    if name not in OBJECTIVES or retain not in ("nll", "kl") or robust_retain and retain != "nll":
+        raise ValueError(f"no such objective: {name} with {retain}")
+    if name == "combined" and (alpha != 1.0 or gamma != 1.0 or retain != "nll"):
+        raise ValueError("the combined objective has alpha = gamma = 1 and the likelihood as its retain part")
+    mean_nll = F.col("nll") / F.greatest(F.col("length"), F.lit(1))
+    forget = {"npo": npo(F.col("nll"), F.col("reference_nll"), beta), "simnpo": simnpo(F.col("nll"), F.col("length"), beta, delta)}.get(name.removeprefix("dr_"), -mean_nll)
+    kept = F.col("kl") if retain == "kl" else F.col("nll") if robust_retain else mean_nll
+    g = list(group) or ["__all"]
+    r = rows if group else rows.withColumn("__all", F.lit(0))
+
+    def joined(side: str, value: Column, robust: bool) -> DataFrame:
+        part = r.filter(F.col("side") == side).select(*g, value.alias("v"))
+        return log_mean_exp(part, "v", sigma, *g).select(*g, F.col("value").alias(side)) if robust else part.groupBy(*g).agg(F.avg("v").alias(side))
+
+    out = joined("forget", forget, name.startswith("dr_"))
+    if name == "grad_ascent":
+        return out.select(*group, F.col("forget").alias("loss"))
+    return out.join(joined("retain", kept, robust_retain), g).select(*group, (F.lit(gamma) * F.col("forget") + F.lit(alpha) * F.col("retain")).alias("loss"))

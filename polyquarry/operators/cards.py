@@ -51,7 +51,7 @@ def dedup_sequential(cards: DataFrame, group: list[str], order: str) -> DataFram
     sig = F.concat_ws("\u0001", *group, tx.slug(F.col("relation_type"), "card"), tx.slug(F.col("answer_type"), "card"), F.lower(tx.normalize_ws(F.col("answer"))))
     fact = F.concat_ws("\u0001", *group, F.lower(tx.normalize_ws(F.col("fact_statement"))))
     keyed = cards.withColumn("__sig", F.sha2(sig, 256)).withColumn("__fact", F.sha2(fact, 256))
-    return first_wins(keyed, ["__sig", "__fact"], order).drop("__sig", "__fact")
+    return first_wins(keyed, ["__sig", "__fact"], order, group).drop("__sig", "__fact")
 
 
 def merge_cards(old: DataFrame, new: DataFrame, group: list[str], *order: Column) -> DataFrame:
@@ -66,22 +66,49 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.select(*old.columns).unionByName(old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns))
 
 
+def in_source_order(rows: DataFrame, source: DataFrame, key: str, pos: str = "pos") -> DataFrame:
+    """``rows`` with their source's place; rows that the source lacks come behind it (place 10^9)."""
+    return rows.join(source.select(key, pos).dropDuplicates([key]), key, "left").withColumn(pos, F.coalesce(pos, F.lit(1_000_000_000)))
+
+
 def mint_ids(cards: DataFrame) -> DataFrame:
-    """``minted_id``: slug of the card id under the prefix of pair and role, made unique per pair by
-    _02, _03, ... in order of role (target first) and pos. Where a suffixed form is itself taken by another
-    card, the later one moves on, so ids stay unique."""
+    """``minted_id``: slug of the card id under the prefix of pair and role, made unique per pair in order of
+    role (target first) and pos: a card whose id is taken takes the first free one of _02, _03, ... behind it.
+
+    Ids can only clash within one root (the id without closing numbers). Roots with a single id are numbered
+    by their rank; roots with several are gone through in order, root by root.
+    """
     base = tx.slug(F.coalesce(F.nullif(tx.normalize_ws(F.col("card_id")), F.lit("")), F.format_string("card_%03d", F.col("pos") + 1)), "card")
     prefix = F.concat(tx.slug(F.col("pair_id"), "card"), F.lit("_"), F.col("topic_role"), F.lit("_"))
     c = cards.withColumn("__base", F.when(F.startswith(base, prefix), base).otherwise(F.concat(prefix, base)))
-    role = F.when(F.col("topic_role") == "target", 0).otherwise(1)
-    n = F.row_number().over(Window.partitionBy("pair_id", "__base").orderBy(role, "pos"))
-    c = c.withColumn("__n", n)
-    firsts = c.filter(F.col("__n") == 1).select("pair_id", F.col("__base").alias("__taken"))
-    c = c.withColumn("__id", F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat("__base", F.format_string("_%02d", F.col("__n")))))
-    clash = c.filter(F.col("__n") > 1).join(firsts.withColumnRenamed("pair_id", "__p"), (F.col("pair_id") == F.col("__p")) & (F.col("__id") == F.col("__taken")), "left")
-    moved = F.when(F.col("__taken").isNotNull(), F.concat("__id", F.lit("_"), F.substring(F.sha1(F.col("card_id")), 1, 6))).otherwise(F.col("__id"))
-    later = clash.withColumn("minted_id", moved).select(*cards.columns, "minted_id")
-    return c.filter(F.col("__n") == 1).withColumn("minted_id", F.col("__id")).select(*cards.columns, "minted_id").unionByName(later)
+    c = c.withColumn("__root", F.regexp_replace("__base", r"(_[0-9]+)+$", "")).withColumn("__role", F.when(F.col("topic_role") == "target", 0).otherwise(1))
+    # of roots with several ids only those matter of which one id is another with a number behind it
+    ids = c.groupBy("pair_id", "__root", "__base").agg(F.count(F.lit(1)).alias("__n"))
+    pair = lambda df, p: df.select(F.col("pair_id").alias(f"{p}p"), F.col("__root").alias(f"{p}r"), F.col("__base").alias(f"{p}b"), F.col("__n").alias(f"{p}n"))
+    longer = pair(ids.filter(F.col("__base").rlike("_[0-9]{2,}$")), "l").withColumn("of", F.regexp_replace("lb", "_[0-9]{2,}$", ""))
+    clash = longer.join(pair(ids.filter("__n > 1"), "s"), (F.col("lp") == F.col("sp")) & (F.col("of") == F.col("sb"))).select(F.col("lp").alias("pair_id"), F.col("lr").alias("__root")).distinct()
+    free = c.join(clash, ["pair_id", "__root"], "left_anti")
+    n = F.row_number().over(Window.partitionBy("pair_id", "__base").orderBy("__role", "pos"))
+    numbered = free.withColumn("minted_id", F.when(n == 1, F.col("__base")).otherwise(F.concat("__base", F.format_string("_%02d", n))))
+    own = c.join(clash, ["pair_id", "__root"], "left_semi").select(*c.columns)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, seen = None, set()
+        for f in frames:
+            out = []
+            for p, r, b in zip(f["pair_id"], f["__root"], f["__base"]):
+                if (p, r) != last:
+                    last, seen = (p, r), set()
+                name, k = b, 2
+                while name in seen:
+                    name, k = f"{b}_{k:02d}", k + 1
+                seen.add(name)
+                out.append(name)
+            yield f.assign(minted_id=out)
+
+    kind = f"{own.schema.simpleString()[7:-1].replace(':', ' ')}, minted_id string"
+    stepped = own.repartition("pair_id", "__root").sortWithinPartitions("pair_id", "__root", "__role", "pos").mapInPandas(run, kind)
+    return numbered.select(*cards.columns, "minted_id").unionByName(stepped.select(*cards.columns, "minted_id"))
 
 
 def accept_variants(variants: DataFrame, group: list[str], order: str, surface: int = 3) -> DataFrame:
@@ -114,6 +141,26 @@ def accept_variants(variants: DataFrame, group: list[str], order: str, surface:
     return v.groupBy(*group).applyInPandas(accept, variants.schema)
 
 
+def variant_outcomes(variants: DataFrame, group: list[str], order: str, surface: int = 3) -> DataFrame:
+    """Every variant with ``outcome``: ``accepted``, or why not: ``invalid language``, ``invalid layer``,
+    ``missing question``, ``duplicate question`` (one accepted before asks the same), ``extra core`` or
+    ``extra surface``."""
+    key = F.lower(tx.normalize_ws(F.col("question")))
+    accepted = accept_variants(variants, group, order, surface)
+    mine = accepted.select(F.col(order).alias("__mine"), F.lit(True).alias("__in"))
+    asked = accepted.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], key.alias("__q"), F.col(order).alias("__at")).groupBy(*[f"__g{i}" for i in range(len(group))], "__q").agg(F.min("__at").alias("__at"))
+    same = key == F.col("__q")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    lang, layer = F.lower(tx.normalize_ws(F.coalesce(F.col("language"), F.lit("en")))), F.lower(tx.normalize_ws(F.col("variant_layer")))
+    outcome = (
+        F.when(F.col("__in"), F.lit("accepted")).when(lang != "en", F.lit("invalid language")).when(~layer.isin("core", "surface"), F.lit("invalid layer")).when(key == "", F.lit("missing question"))
+        .when(F.col("__at") < F.col(order), F.lit("duplicate question")).otherwise(F.concat(F.lit("extra "), layer))
+    )
+    v = variants.join(mine, F.col(order) == F.col("__mine"), "left").join(asked, same, "left")
+    return v.select(*variants.columns, outcome.alias("outcome"))
+
+
 def budget_batches(items: DataFrame, order: str, size: str, most_items: int, most_size: int, shard: str) -> DataFrame:
     """Greedy batches in order within each ``shard``: a batch closes before an item that would exceed
     ``most_items`` or ``most_size``. Adds ``batch`` (per shard, from 0). The running reset depends on the

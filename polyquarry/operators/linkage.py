@@ -35,6 +35,12 @@ EXCLUDED_FLAGS = ["semantic_slot_weak_match", "same_answer_text_across_target_ne
 INDIRECT = "answer_not_directly_in_source_span"
 
 
+def excluded_flags(explicit: list[str] | None = None, keep_defaults: bool = True) -> list[str]:
+    """The flags that bar a candidate: the defaults unless they are allowed, then those named, each once."""
+    named = [" ".join(f.split()) for f in explicit or []]
+    return list(dict.fromkeys([*(EXCLUDED_FLAGS if keep_defaults else []), *(f for f in named if f)]))
+
+
 def family(answer_type: Column) -> Column:
     """The first family of which any member stands in the slug of the type; null for none."""
     s = tx.slug(answer_type)
@@ -149,34 +155,83 @@ def candidate_classes(cards: DataFrame, strict: bool = False) -> DataFrame:
 SELECTED = "pair_id string, relation string, target_card_id string, neighbor_card_id string, score double, similarity double, answer_type_match string, quality_label string, pick int"
 
 
-def kernel(cards: DataFrame, max_pairs: int) -> DataFrame:
-    """The cards that a selection of at most ``max_pairs`` can pick, per role and class.
+def kernel(prepared_cards: DataFrame, max_pairs: int) -> DataFrame:
+    """The cards (rows of ``prepared``) that a selection of at most ``max_pairs`` can pick, per role and class.
 
     Of cards alike in identity and fact only the first can be picked. A card behind 2·max_pairs+1 cards
     of its identity (or its fact) can't be the first free one, as at most max_pairs facts (identities)
     and one further identity for equal answers are ruled out at any time; so neither can one behind the
-    square of that number in its class. The kernel of a class is bounded by max_pairs alone.
+    square of that number in its class. The kernel of a class is bounded by max_pairs alone. Seeds count
+    among the max_pairs, so the bounds hold with them as well.
     """
     k = 2 * max_pairs + 2
-    c = prepared(cards).filter(F.col("topic_role").isin("target", "neighbor"))
+    c = prepared_cards.filter(F.col("topic_role").isin("target", "neighbor"))
     base = ["pair_id", "topic_role", *CLASS[1:], "answer_words"]
     rank = lambda df, keys, most: df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("pos", "card_id"))).filter(F.col("__n") <= most).drop("__n")
-    c = rank(c, [*base, "answer_key", "fact_key"], 1)
+    # alike in identity and fact: an aggregate, combined before it moves
+    c = c.groupBy(*base, "answer_key", "fact_key").agg(F.min(F.struct("pos", "card_id")).alias("f")).select(*base, "answer_key", "fact_key", "f.pos", "f.card_id")
     c = rank(c, [*base, "answer_key"], k)
     c = rank(c, [*base, "fact_key"], k)
     return rank(c, base, k * k)
 
 
-def greedy_match(cards: DataFrame, max_pairs: int = 20, min_score: float = 70.0, max_answer_words: int = 6, require_direct: bool = True, excluded: list[str] | None = None, strict: bool = False) -> DataFrame:
+SEED = ["pair_id", "target_card_id", "neighbor_card_id"]
+
+
+def greedy_match(
+    cards: DataFrame, max_pairs: int = 20, min_score: float = 70.0, max_answer_words: int = 6, require_direct: bool = True, excluded: list[str] | None = None, strict: bool = False,
+    seeds: DataFrame | None = None, block: dict[str, DataFrame] | None = None,
+) -> DataFrame:
     """Up to ``max_pairs`` card pairs per pair_id, one to one in card id, identity (relation, type,
     answer) and fact on both sides: best first by directness, score, slot similarity, fewer answer words,
-    relation (descending), then the cards' order. Empty input gives no pair."""
+    relation (descending), then the cards' order. Empty input gives no pair.
+
+    ``seeds`` (pair_id, target_card_id, neighbor_card_id) are pairs kept from before: they count against
+    ``max_pairs`` (more than that is an error), their cards' ids, identities and facts are used up, and
+    ``pick`` goes on behind them. ``block`` bars candidates before the selection, so that their partners stay
+    free: frames ``relations`` (pair_id, relation), ``card_ids`` (pair_id, role, card_id), ``answers``
+    (pair_id, role, answer) and ``card_pairs`` (pair_id, target_card_id, neighbor_card_id), any of them absent.
+    """
     barred = set(EXCLUDED_FLAGS if excluded is None else excluded)
+    every = prepared(cards)
+    c = every
+    if require_direct:  # both sides have to be direct, and neither answer longer
+        c = c.filter("direct")
+    if max_answer_words:
+        c = c.filter(F.col("answer_words") <= max_answer_words)
+    block = block or {}
+    if "relations" in block:
+        c = c.join(block["relations"].select("pair_id", tx.slug(F.col("relation")).alias("relation")).distinct(), ["pair_id", "relation"], "left_anti")
+    if "card_ids" in block:
+        c = c.join(block["card_ids"].select("pair_id", F.col("role").alias("topic_role"), "card_id").distinct(), ["pair_id", "topic_role", "card_id"], "left_anti")
+    if "answers" in block:
+        c = c.join(block["answers"].select("pair_id", F.col("role").alias("topic_role"), F.lower(tx.normalize_ws(F.col("answer"))).alias("answer_key")).distinct(), ["pair_id", "topic_role", "answer_key"], "left_anti")
+    apart = block["card_pairs"].select(*SEED).distinct() if "card_pairs" in block else None
+    seeds = seeds.select(*SEED).distinct() if seeds is not None else None
+    sides = lambda df: df.select("pair_id", F.explode(F.array(*[F.struct(F.lit(r).alias("topic_role"), F.col(f"{r}_card_id").alias("card_id")) for r in ("target", "neighbor")])).alias("s")).select("pair_id", "s.*").distinct()
+    if seeds is not None:
+        c = c.join(sides(seeds), ["pair_id", "topic_role", "card_id"], "left_anti")
+    if apart is None:
+        open_cards = kernel(c, max_pairs)
+    else:  # cards of barred combinations are few and all stay; the kernel is one of the rest
+        named = sides(apart)
+        some, rest = c.join(named, ["pair_id", "topic_role", "card_id"], "left_semi"), c.join(named, ["pair_id", "topic_role", "card_id"], "left_anti")
+        few = kernel(rest, max_pairs)
+        open_cards = few.unionByName(some.select(*few.columns))
+    told = open_cards.select(*Card._fields, F.lit(None).cast("string").alias("seed"), F.lit(None).cast("string").alias("other"))
+    if seeds is not None:
+        # a seed's cards with what they use up; cards unknown to the table use up their id alone
+        s = sides(seeds).join(every, ["pair_id", "topic_role", "card_id"], "left")
+        n = seeds.groupBy("pair_id").agg(F.count(F.lit(1)).cast("string").alias("other"))
+        told = told.unionByName(s.join(n, "pair_id").select(*Card._fields, F.lit("seed").alias("seed"), "other"))
+    if apart is not None:
+        empty = {f: F.lit(None).cast(dict(told.dtypes)[f]).alias(f) for f in Card._fields}
+        told = told.unionByName(apart.select(*[F.col("target_card_id").alias(f) if f == "card_id" else F.col(f) if f == "pair_id" else empty[f] for f in Card._fields], F.lit("apart").alias("seed"), F.col("neighbor_card_id").alias("other")))
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         return _pick(group, max_pairs, min_score, max_answer_words, require_direct, barred, strict)
 
-    return kernel(cards, max_pairs).groupBy("pair_id").applyInPandas(pick, SELECTED)
+    return told.groupBy("pair_id").applyInPandas(pick, SELECTED)
 
 
 _FAMILY = {name: members.split() for name, members in FAMILIES.items()}
@@ -203,7 +258,13 @@ class Card(NamedTuple):
 
 def _pick(g: pd.DataFrame, max_pairs: int, min_score: float, max_words: int, require_direct: bool, barred: set[str], strict: bool) -> pd.DataFrame:
     # plain tuples: most groups are a few cards, where frames cost more than the work
-    cards = [Card(*row) for row in zip(*(g[c].tolist() for c in Card._fields))]
+    rows_of = [(s, o, Card(*row)) for s, o, *row in zip(g["seed"].tolist(), g["other"].tolist(), *(g[c].tolist() for c in Card._fields))]
+    cards = [c for s, _, c in rows_of if s not in ("seed", "apart")]
+    apart = {(c.card_id, o) for s, o, c in rows_of if s == "apart"}
+    kept = [(int(o), c) for s, o, c in rows_of if s == "seed"]
+    n_seeds = kept[0][0] if kept else 0
+    if n_seeds > max_pairs:
+        raise ValueError(f"{kept[0][1].pair_id}: {n_seeds} seeds are more than {max_pairs} pairs")
     sides: dict[str, dict[tuple, list[Card]]] = {"target": {}, "neighbor": {}}
     for c in sorted(cards, key=lambda c: (c.pos, c.card_id)):
         kind = (c.relation, c.type_key, tuple(c.slot), c.direct, c.points, c.answer_words)
@@ -229,6 +290,13 @@ def _pick(g: pd.DataFrame, max_pairs: int, min_score: float, max_words: int, req
                 label = "high" if score >= 90 and not weak else "medium" if score >= 78 else "review"
                 ranked.setdefault((direct, score, round(sim, 3), -words, t[0]), []).append((t, n, same, sim, f"family:{kin}" if kin else "exact", label))
     used: dict[str, set] = {k: set() for k in ("ti", "ni", "tk", "nk", "tf", "nf")}
+    for _, c in kept:
+        side = c.topic_role[0]
+        used[f"{side}i"].add(c.card_id)
+        if c.relation is not None:
+            used[f"{side}k"].add((c.relation, c.type_key, c.answer_key))
+            used[f"{side}f"].add(c.fact_key)
+    max_pairs -= n_seeds
     rows: list[tuple] = []
     for key in sorted(ranked, reverse=True):
         if len(rows) >= max_pairs:
@@ -248,7 +316,7 @@ def _pick(g: pd.DataFrame, max_pairs: int, min_score: float, max_words: int, req
                 for d in sides["neighbor"][n]:
                     if best and (d.pos, d.card_id) >= best[0]:
                         break
-                    if (d.answer_key == c.answer_key) != same or d.card_id in used["ni"] or (d.relation, d.type_key, d.answer_key) in used["nk"] or d.fact_key in used["nf"]:
+                    if (d.answer_key == c.answer_key) != same or d.card_id in used["ni"] or (d.relation, d.type_key, d.answer_key) in used["nk"] or d.fact_key in used["nf"] or (c.card_id, d.card_id) in apart:
                         continue
                     best = ((d.pos, d.card_id), d, sim, match, label)
                     break
@@ -256,14 +324,14 @@ def _pick(g: pd.DataFrame, max_pairs: int, min_score: float, max_words: int, req
                 d = best[1]
                 for kind, value in (("ti", c.card_id), ("ni", d.card_id), ("tk", identity), ("nk", (d.relation, d.type_key, d.answer_key)), ("tf", c.fact_key), ("nf", d.fact_key)):
                     used[kind].add(value)
-                rows.append((c.pair_id, c.relation, c.card_id, d.card_id, key[1], best[2], best[3], best[4], len(rows) + 1))
+                rows.append((c.pair_id, c.relation, c.card_id, d.card_id, key[1], best[2], best[3], best[4], n_seeds + len(rows) + 1))
     return pd.DataFrame(rows, columns=[x.split()[0] for x in SELECTED.split(", ")])
 
 
-def knowledge_pair_ids(selected: DataFrame, seeds: int = 0) -> DataFrame:
-    """``selected`` with knowledge_pair_id: pair, relation and a three-digit running number behind the seeds."""
-    number = F.format_string("%03d", F.col("pick") + F.lit(seeds))
-    return selected.withColumn("knowledge_pair_id", F.concat_ws("__", "pair_id", "relation", number))
+def knowledge_pair_ids(selected: DataFrame) -> DataFrame:
+    """``selected`` with knowledge_pair_id: pair, relation and the three-digit running number, which goes on
+    behind the seeds."""
+    return selected.withColumn("knowledge_pair_id", F.concat_ws("__", "pair_id", "relation", F.format_string("%03d", F.col("pick"))))
 
 
 def blocked(candidates: DataFrame, relations: DataFrame, card_ids: DataFrame, answers: DataFrame, card_pairs: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,36 +28,48 @@ def hash_key(*columns: Column, seed: str = "") -> Column:
     return F.md5(F.concat_ws("|", *columns, F.lit(seed)))
 
 
+#: Rows of the border group that are small enough to be sorted at once.
+BORDER_ROWS = 50_000
+
+
 def smallest_k(df: DataFrame, key: str, k: int) -> DataFrame:
-    """The ``k`` rows with the smallest hex ``key``. Counts per 16-bit prefix (at most 65,536 rows) give
-    the prefix that holds the k-th row; only rows of that prefix are ranked. Rows of equal key count
-    together: of a group across the border, rows are taken in no stated order."""
-    prefix = F.substring(F.col(key), 1, 4)
-    counts = sorted((r[0], r[1]) for r in df.groupBy(prefix).count().collect())
-    seen, border, rest = 0, None, 0
-    for p, n in counts:
-        if seen + n > k:
-            border, rest = p, k - seen
-            break
-        seen += n
-    if border is None:
-        return df
-    below = df.filter(prefix < border)
-    edge = df.filter(prefix == border).withColumn("__n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key))).filter(F.col("__n") <= rest).drop("__n")
-    return below.unionByName(edge)
-
-
-def first_wins(df: DataFrame, keys: list[str], order: str, most_rounds: int = 64) -> DataFrame:
+    """The ``k`` rows with the smallest hex ``key``. Counts per prefix (at most 65,536 rows) tell the prefix
+    that holds the k-th row; that prefix is made longer until few rows share it, which are sorted. Of a
+    group of equal keys across the border, rows are taken in no stated order."""
+    rest, width, border = k, 4, F.lit(True)
+    below = df.limit(0)
+    while True:
+        prefix = F.substring(F.col(key), 1, width)
+        inside = df.filter(border)
+        counts = sorted((r[0] or "", r[1]) for r in inside.groupBy(prefix).count().collect())
+        seen, at, size = 0, None, 0
+        for p, n in counts:
+            if seen + n > rest:
+                at, size = p, n
+                break
+            seen += n
+        if at is None:  # only where fewer rows than k are there
+            return below.unionByName(inside)
+        below = below.unionByName(inside.filter(F.coalesce(prefix, F.lit("")) < at))
+        rest, border = rest - seen, F.coalesce(prefix, F.lit("")) == at
+        if size <= BORDER_ROWS or width > 64:
+            return below.unionByName(df.filter(border).orderBy(key).limit(rest)) if rest else below
+        width += 4
+
+
+def first_wins(df: DataFrame, keys: list[str], order: str, within: list[str] | None = None, rounds: int = 8) -> DataFrame:
     """The rows that a sequential pass in ``order`` keeps when a row is dropped as soon as any of its
     ``keys`` was seen on a row kept before (a dropped row reserves none of its keys).
 
     Exactly the loop's result, in rounds: a row that comes first among the undecided rows of each of its
     keys is kept, and rows that share a key with a kept row are dropped. Each round pre-aggregates the
-    least order per key; rounds follow the longest chain of dependencies, not the number of rows.
-    ``order`` must be unique; null keys are values like others.
+    least order per key; rounds follow the longest chain of dependencies, not the number of rows. Where rows
+    of different ``within`` never share a key, chains longer than ``rounds`` are finished by one sorted pass
+    over the undecided rows of each group; else the rounds go on to the end. ``order`` must be unique; null
+    keys are values like others.
     """
-    open_rows, kept = cut(df), None
-    for _ in range(most_rounds):
+    open_rows, kept, done = cut(df), None, 0
+    while True:
         marked = open_rows
         for i, k in enumerate(keys):
             least = open_rows.groupBy(F.col(k).alias(f"__k{i}")).agg(F.min(order).alias(f"__first{i}"))
@@ -67,10 +81,31 @@ def first_wins(df: DataFrame, keys: list[str], order: str, most_rounds: int = 64
         for i, k in enumerate(keys):
             taken = winners.select(F.col(k).alias(f"__t{i}")).distinct()
             rest = rest.join(taken, F.col(k).eqNullSafe(F.col(f"__t{i}")), "left_anti")
-        open_rows = cut(rest)
+        open_rows, done = cut(rest), done + 1
         if open_rows.isEmpty():
             return kept
-    raise RuntimeError("first_wins: the chain of dependencies is longer than most_rounds")
+        if within and done >= rounds:
+            return kept.unionByName(_in_order(open_rows, keys, order, within))
+
+
+def _in_order(rows: DataFrame, keys: list[str], order: str, within: list[str]) -> DataFrame:
+    """The loop itself over rows that hold no key of a row kept before, group by group."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, seen = None, [set() for _ in keys]
+        for f in frames:
+            keep = []
+            for g, *values in zip(zip(*(f[c] for c in within)), *(f[k] for k in keys)):
+                if g != group:
+                    group, seen = g, [set() for _ in keys]
+                new = all(v not in s for v, s in zip(values, seen))
+                keep.append(new)
+                if new:
+                    for v, s in zip(values, seen):
+                        s.add(v)
+            yield f[keep]
+
+    return rows.repartition(*within).sortWithinPartitions(*within, order).mapInPandas(run, rows.schema)
 
 
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

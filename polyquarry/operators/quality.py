@@ -63,3 +63,47 @@ def require(rows: DataFrame, expected: int) -> DataFrame:
     n = rows.agg(F.count(F.lit(1)).alias("__n"))
     ok = n.select(F.when(F.col("__n") == expected, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"expected {expected} rows, found "), F.col("__n").cast("string"))).cast("boolean")).alias("__ok"))
     return rows.join(F.broadcast(ok), F.col("__ok"), "inner").drop("__ok")
+
+
+def enum_violations(rows: DataFrame, key: str, allowed: dict[str, list[str]]) -> DataFrame:
+    """Rows with a value outside its list: key, column, value (null as it is). One pass over the rows."""
+    bad = F.array_compact(F.array(*[F.when(~F.coalesce(F.col(c).isin(values), F.lit(False)), F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))) for c, values in allowed.items()]))
+    return rows.select(key, F.explode(bad).alias("b")).select(key, "b.column", "b.value")
+
+
+#: What a topic pair and each of its sides have to name.
+PAIR_FIELDS, SIDE_FIELDS = ["pair_id", "topic_type"], ["topic_zh", "topic_en", "wiki_title", "wiki_url"]
+
+
+def manifest_problems(pairs: DataFrame, side_fields: list[str] | None = None) -> DataFrame:
+    """What is wrong with a manifest of topic pairs, as ``pos, context, problem``. ``pairs``: pos (0-based
+    place), pair_id, topic_type and the structs target and neighbor (role and the side's fields). A blank
+    field is missing; a missing side is one finding; each side has to name its own role."""
+    fields = side_fields or SIDE_FIELDS
+    at = F.concat(F.lit("topic_pairs["), F.col("pos").cast("string"), F.lit("]"))
+    told = lambda context, problem: F.struct(context.alias("context"), problem.alias("problem"))
+    found = [F.when(tx.strip(F.col(f)) == "", told(at, F.lit(f"missing {f}"))) for f in PAIR_FIELDS]
+    for side in ("target", "neighbor"):
+        here = F.concat(at, F.lit(f".{side}"))
+        found.append(F.when(F.col(side).isNull(), told(here, F.lit("no object"))))
+        there = F.col(side).isNotNull()
+        role = tx.strip(F.col(side)["role"])
+        found.append(F.when(there & (role != side), told(here, F.concat(F.lit(f"role must be {side}, got "), role))))
+        found += [F.when(there & (tx.strip(F.col(side)[f]) == ""), told(here, F.lit(f"missing {f}"))) for f in fields]
+    return pairs.select("pos", F.explode(F.array_compact(F.array(*found))).alias("p")).select("pos", "p.context", "p.problem")
+
+
+def unresolved(value: object, path: str = "") -> list[str]:
+    """Paths of a configuration's values that still hold a reference (``${``) or a gap (``???``)."""
+    if isinstance(value, dict):
+        return [p for k, v in value.items() for p in unresolved(v, f"{path}.{k}" if path else str(k))]
+    if isinstance(value, (list, tuple)):
+        return [p for i, v in enumerate(value) for p in unresolved(v, f"{path}[{i}]")]
+    return [path] if isinstance(value, str) and ("${" in value or "???" in value) else []
+
+
+def weight_violations(rows: DataFrame, keys: list[str], weighted: str = "weighted", core: str = "core", surface: str = "surface", tolerance: float = 1e-12) -> DataFrame:
+    """Rows whose weighted value isn't a quarter of the core value and three quarters of the surface value
+    within ``tolerance``; null and NaN break the rule."""
+    away = F.abs(F.col(weighted) - (F.lit(0.25) * F.col(core) + F.lit(0.75) * F.col(surface)))
+    return rows.filter(~F.coalesce((away <= tolerance) & ~F.isnan(away), F.lit(False))).select(*keys, core, surface, weighted)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from polyquarry.plans import documents, pairs, problems, scores, streams, texts
+from polyquarry.plans import documents, pairs, problems, repairs, scores, streams, texts
 
-_MODULES = [scores, documents, problems, texts, pairs, streams]
+_MODULES = [scores, documents, problems, texts, pairs, repairs, streams]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

@@ -51,13 +51,16 @@ def answer_families(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slot_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    s = _cards(spark, d).select(tx.slug(C("relation_type")).alias("relation"), "semantic_slot").distinct()
-    both = s.join(s.select("relation", C("semantic_slot").alias("other")), "relation")
-    return rounded(both.select("relation", "semantic_slot", "other", linkage.jaccard(linkage.slot_words(C("semantic_slot")), linkage.slot_words(C("other"))).alias("similarity")))
+    """Similarity of the slots of cards that stand on both sides of one pair and relation, each two once."""
+    s = linkage.prepared(_cards(spark, d)).select("pair_id", "relation", "topic_role", F.array_join("slot", " ").alias("slot")).distinct()
+    t, n = (s.filter(C("topic_role") == r).select("pair_id", "relation", C("slot").alias(name)) for r, name in (("target", "slot"), ("neighbor", "other")))
+    both = t.join(n, ["pair_id", "relation"]).select("slot", "other").distinct()
+    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    return rounded(both.withColumn("similarity", linkage.jaccard(split(C("slot")), split(C("other")))))
 
 
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.knowledge_pair_ids(linkage.greedy_match(_cards(spark, d)))
+    return rounded(linkage.knowledge_pair_ids(linkage.greedy_match(_cards(spark, d))))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -94,17 +97,37 @@ def selected_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(selection.selected_stats(_scored(spark, d), C("n_flags") == 0))
 
 
+def _block(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """All four lists, made of the cards: low-priority cards, answers of at most two signs, the relation
+    ``fire`` where the pair's id ends with 7, and the first cards of both sides as a combination."""
+    c = _cards(spark, d)
+    at = C("topic_role").alias("role")
+    return {
+        "relations": c.filter("pair_id LIKE '%7'").select("pair_id", F.lit("Fire ").alias("relation")).distinct(),
+        "card_ids": c.filter(F.lower("eval_priority") == "low").select("pair_id", at, "card_id"),
+        "answers": c.filter(F.length("answer") <= 2).select("pair_id", at, F.upper("answer").alias("answer")),
+        "card_pairs": _first_cards(c),
+    }
+
+
+def _first_cards(c: DataFrame) -> DataFrame:
+    """The first card of each side of a pair."""
+    first = lambda r: F.min(F.when(C("topic_role") == r, F.struct("pos", "card_id")))["card_id"].alias(f"{r}_card_id")
+    return c.groupBy("pair_id").agg(first("target"), first("neighbor")).filter("target_card_id IS NOT NULL AND neighbor_card_id IS NOT NULL")
+
+
 def blocklist_filter(spark: SparkSession, d: str) -> DataFrame:
-    """The greedy pairs less those that the block lists of low-priority cards name."""
+    """The greedy pairs where the block lists bar candidates before the selection."""
+    return linkage.greedy_match(_cards(spark, d), block=_block(spark, d)).select(*_PICKED)
+
+
+def greedy_seeded(spark: SparkSession, d: str) -> DataFrame:
+    """The greedy pairs that fill up behind one seed per pair."""
     c = _cards(spark, d)
-    low = c.filter(F.lower("eval_priority") == "low")
-    m = linkage.greedy_match(c)
-    answers = c.select("card_id", F.lower(tx.normalize_ws(C("answer"))).alias("answer")).distinct()
-    m = m.join(answers.withColumnRenamed("card_id", "target_card_id").withColumnRenamed("answer", "target_answer"), "target_card_id")
-    m = m.join(answers.withColumnRenamed("card_id", "neighbor_card_id").withColumnRenamed("answer", "neighbor_answer"), "neighbor_card_id")
-    ids = low.select("pair_id", C("topic_role").alias("role"), "card_id")
-    none = m.limit(0)
-    return linkage.blocked(m, none.select("pair_id", "relation"), ids, none.select("pair_id", F.lit("target").alias("role"), C("target_answer").alias("answer")), none)
+    return linkage.knowledge_pair_ids(linkage.greedy_match(c, seeds=_first_cards(c))).select(*_PICKED, "knowledge_pair_id")
+
+
+_PICKED = ["pair_id", "relation", "target_card_id", "neighbor_card_id", "score", "pick"]
 
 
 def holdout_antijoin(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +170,8 @@ def accepted_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_batches(spark: SparkSession, d: str) -> DataFrame:
-    q = qa(spark, d).select("qa_id", F.length("question").alias("n_chars"), F.pmod(F.xxhash64("qa_id"), F.lit(64)).cast("int").alias("shard")).dropDuplicates(["qa_id"])
+    q = qa(spark, d).groupBy("qa_id").agg(F.max(F.length("question")).alias("n_chars"))
+    q = q.withColumn("shard", F.pmod(F.conv(F.substring(F.md5("qa_id"), 1, 8), 16, 10).cast("long"), F.lit(max(64, q.count() // 5000))).cast("int"))
     return cd.budget_batches(q, "qa_id", "n_chars", 40, 2000, "shard").groupBy("shard", "batch").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n_chars").alias("n_chars"))
 
 
@@ -200,7 +224,7 @@ def unnested_variants(spark: SparkSession, d: str) -> DataFrame:
     return v.select("holdout_card_id", "pos", "v.qa_id", "v.variant_layer", "v.question").distinct()
 
 
-_NAMES = [candidate_counts, pair_scores, quality_labels, review_flag_counts, relation_counts, candidates_strict, answer_families, slot_jaccard, greedy_match, quota_topk, quota_overflow, shortfall, selected_stats, blocklist_filter, holdout_antijoin, first_wins_dedup, merge_cards, upsert_pairs, mint_ids, normalized_cards, accepted_variants, budget_batches, hash_sample, stratified_sample, mixture_half, random_partners, dup_ids, missing_fields, family_isolation, four_form_violations, filtered_qa, unnested_variants]
+_NAMES = [candidate_counts, pair_scores, quality_labels, review_flag_counts, relation_counts, candidates_strict, answer_families, slot_jaccard, greedy_match, greedy_seeded, quota_topk, quota_overflow, shortfall, selected_stats, blocklist_filter, holdout_antijoin, first_wins_dedup, merge_cards, upsert_pairs, mint_ids, normalized_cards, accepted_variants, budget_batches, hash_sample, stratified_sample, mixture_half, random_partners, dup_ids, missing_fields, family_isolation, four_form_violations, filtered_qa, unnested_variants]
 QUERIES = {f.__name__: f for f in _NAMES}
 
 
@@ -239,8 +263,9 @@ ORACLE = {
     "relation_counts": _CAND + "SELECT relation, count(*) AS n_candidates, max(score) AS best_score FROM x GROUP BY ALL",
     "candidates_strict": _CAND + "SELECT pair_id, count(*) AS n_candidates FROM x WHERE m = 'exact' GROUP BY ALL",
     "answer_families": f"SELECT answer_type, {_family(slug('answer_type'))} AS family FROM (SELECT DISTINCT answer_type FROM knowledge_card)",
-    "slot_jaccard": f"""WITH s AS (SELECT relation, semantic_slot, {_SLOT_WORDS} AS w FROM (SELECT DISTINCT {slug('relation_type')} AS relation, semantic_slot FROM knowledge_card))
-SELECT a.relation AS relation, a.semantic_slot AS semantic_slot, b.semantic_slot AS other, round(CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) ELSE 0.0 END, 6) AS similarity FROM s a JOIN s b ON a.relation = b.relation""",
+    "slot_jaccard": f"""WITH s AS (SELECT DISTINCT pair_id, topic_role, {slug('relation_type')} AS relation, {_SLOT_WORDS} AS w FROM knowledge_card),
+p AS (SELECT DISTINCT a.w AS a, b.w AS b FROM s a JOIN s b USING (pair_id, relation) WHERE a.topic_role = 'target' AND b.topic_role = 'neighbor')
+SELECT array_to_string(a, ' ') AS slot, array_to_string(b, ' ') AS other, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) ELSE 0.0 END, 6) AS similarity FROM p""",
     "quota_topk": _SCORED + f"SELECT pair_id, card_id, score, rank FROM (SELECT *, CAST({_RANKED} AS INT) AS rank FROM r) WHERE rank <= 5",
     "quota_overflow": _SCORED
     + f""", k AS (SELECT *, CAST({_RANKED} AS INT) AS rank FROM r), q AS (SELECT least(3, 1000 // count(DISTINCT pair_id)) AS q FROM r),
@@ -280,3 +305,70 @@ ORACLE["mint_ids"] = f"""WITH c AS (SELECT DISTINCT card_id, pair_id, topic_role
 n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, base ORDER BY CASE topic_role WHEN 'target' THEN 0 ELSE 1 END, pos) AS k FROM f)
 SELECT card_id, pair_id, topic_role, pos, CASE WHEN k = 1 THEN base ELSE base || printf('_%02d', k) END AS minted_id FROM n"""
 ORACLE["missing_fields"] = ORACLE["missing_fields"].replace("SELECT DISTINCT * FROM", "SELECT DISTINCT holdout_card_id, missing FROM", 1)
+
+
+def _greedy(seeded: bool = False, barred: bool = False) -> str:
+    """The selection as the sequential loop it is: a recursive query that looks at one candidate per pair and
+    step, and carries what is used up."""
+    ak = f"lower({ws('answer')})"
+    who = "[relation || chr(1) || tk || chr(1) || ak]"
+    block = """ AND NOT EXISTS (SELECT 1 FROM knowledge_card k WHERE k.pair_id = t.pair_id AND k.pair_id LIKE '%7' AND t.relation = 'fire')
+ AND NOT EXISTS (SELECT 1 FROM knowledge_card k WHERE k.pair_id = t.pair_id AND lower(k.eval_priority) = 'low' AND ((k.topic_role = 'target' AND k.card_id = t.card_id) OR (k.topic_role = 'neighbor' AND k.card_id = n.card_id)))
+ AND NOT EXISTS (SELECT 1 FROM knowledge_card k WHERE k.pair_id = t.pair_id AND length(k.answer) <= 2 AND ((k.topic_role = 'target' AND lower(k.answer) = t.ak) OR (k.topic_role = 'neighbor' AND lower(k.answer) = n.ak)))
+ AND NOT EXISTS (SELECT 1 FROM f1 WHERE f1.pair_id = t.pair_id AND f1.t = t.card_id AND f1.n = n.card_id)""" if barred else ""
+    start = """SELECT s.pair_id, 0::BIGINT AS k, list_distinct(list(s.t)) AS ti, list_distinct(list(s.n)) AS ni, list_distinct(flatten(list(a.who))) AS tk, list_distinct(flatten(list(b.who))) AS nk, list_distinct(list(a.fk)) AS tf, list_distinct(list(b.fk)) AS nf,
+ 1::BIGINT AS picks, false AS took FROM f1 s JOIN p a ON a.pair_id = s.pair_id AND a.card_id = s.t AND a.topic_role = 'target' JOIN p b ON b.pair_id = s.pair_id AND b.card_id = s.n AND b.topic_role = 'neighbor' GROUP BY s.pair_id
+ UNION ALL """ if seeded else ""
+    rest = "WHERE pair_id NOT IN (SELECT pair_id FROM f1)" if seeded else ""
+    pid = ", pair_id || '__' || relation || '__' || printf('%03d', pick) AS knowledge_pair_id" if seeded or not barred else ""
+    more = "" if seeded or barred else ", round(sim, 6) AS similarity, m AS answer_type_match, label AS quality_label"
+    free = "NOT list_contains(ti, c.t_id) AND NOT list_contains(ni, c.n_id) AND NOT list_has_any(tk, c.t_who) AND NOT list_has_any(nk, c.n_who) AND NOT list_contains(tf, c.t_fk) AND NOT list_contains(nf, c.n_fk) AND picks < 20"
+    grow = lambda col, value: f"CASE WHEN {free} THEN list_append({col}, {value}) ELSE {col} END AS {col}"
+    both = lambda col, value: f"CASE WHEN {free} THEN list_concat({col}, {value}) ELSE {col} END AS {col}"
+    return f"""WITH RECURSIVE c AS (SELECT DISTINCT pair_id, topic_role, pos, card_id, relation_type, semantic_slot, fact_statement, answer, answer_type, source_span, eval_priority FROM knowledge_card),
+q AS (SELECT pair_id, topic_role, pos, card_id, {slug('relation_type')} AS relation, {slug('answer_type')} AS tk, {_SLOT_WORDS} AS slot, {ak} AS ak, lower({ws('fact_statement')}) AS fk,
+ {ws('answer')} <> '' AND contains(lower({ws('source_span')}), {ak}) AS direct, CASE lower({ws('eval_priority')}) WHEN 'high' THEN 5.0 WHEN 'medium' THEN 2.5 ELSE 0.0 END AS pts,
+ len(list_filter(string_split({ws('answer')}, ' '), lambda w: w <> '')) AS words FROM c),
+p AS (SELECT *, {who} AS who FROM q),
+f1 AS (SELECT pair_id, arg_min(card_id, (pos, card_id)) FILTER (topic_role = 'target') AS t, arg_min(card_id, (pos, card_id)) FILTER (topic_role = 'neighbor') AS n FROM knowledge_card GROUP BY 1 HAVING t IS NOT NULL AND n IS NOT NULL),
+j AS (SELECT t.pair_id, t.relation, t.card_id AS t_id, n.card_id AS n_id, t.pos AS t_pos, n.pos AS n_pos, t.who AS t_who, n.who AS n_who, t.fk AS t_fk, n.fk AS n_fk, greatest(t.words, n.words) AS words, t.pts + n.pts AS pts, t.ak = n.ak AS same,
+ CASE WHEN len(t.slot) > 0 AND len(n.slot) > 0 THEN len(list_intersect(t.slot, n.slot))::DOUBLE / len(list_distinct(list_concat(t.slot, n.slot))) ELSE 0.0 END AS sim,
+ CASE WHEN t.tk = n.tk THEN 'exact' WHEN {_family('t.tk')} = {_family('n.tk')} THEN 'family:' || {_family('t.tk')} ELSE 'mismatch' END AS m
+ FROM p t JOIN p n ON t.pair_id = n.pair_id AND t.relation = n.relation AND t.topic_role = 'target' AND n.topic_role = 'neighbor' AND t.direct AND n.direct{block}),
+s AS (SELECT *, (65.0 + CASE WHEN m = 'exact' THEN 18 ELSE 10 END + CASE WHEN sim >= 0.99 THEN 10 WHEN sim >= 0.35 THEN 5 ELSE 0 END + pts)::DOUBLE AS score FROM j WHERE m <> 'mismatch' AND NOT same AND sim >= 0.35 AND words <= 6),
+o AS (SELECT *, CASE WHEN score >= 90 THEN 'high' WHEN score >= 78 THEN 'medium' ELSE 'review' END AS label, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, round(sim, 3) DESC, words, relation DESC, t_pos, t_id, n_pos, n_id) AS k FROM s WHERE score >= 70),
+g AS ({start}SELECT DISTINCT pair_id, 0::BIGINT AS k, []::VARCHAR[] AS ti, []::VARCHAR[] AS ni, []::VARCHAR[] AS tk, []::VARCHAR[] AS nk, []::VARCHAR[] AS tf, []::VARCHAR[] AS nf, 0::BIGINT AS picks, false AS took FROM o {rest}
+ UNION ALL SELECT g.pair_id, g.k + 1, {grow('ti', 'c.t_id')}, {grow('ni', 'c.n_id')}, {both('tk', 'c.t_who')}, {both('nk', 'c.n_who')}, {grow('tf', 'c.t_fk')}, {grow('nf', 'c.n_fk')}, picks + CASE WHEN {free} THEN 1 ELSE 0 END, {free}
+ FROM g JOIN o c ON c.pair_id = g.pair_id AND c.k = g.k + 1 WHERE picks < 20),
+r AS (SELECT o.*, CAST(g.picks AS INT) AS pick FROM g JOIN o ON o.pair_id = g.pair_id AND o.k = g.k WHERE g.took)
+SELECT pair_id, relation, t_id AS target_card_id, n_id AS neighbor_card_id, score, pick{more}{pid} FROM r"""
+
+
+ORACLE["greedy_match"] = _greedy()
+ORACLE["greedy_seeded"] = _greedy(seeded=True)
+ORACLE["blocklist_filter"] = _greedy(barred=True)
+ORACLE["first_wins_dedup"] = f"""WITH RECURSIVE c AS (SELECT DISTINCT card_id, pair_id, topic_role, pos, relation_type, answer_type, answer, fact_statement FROM knowledge_card),
+o AS (SELECT *, coalesce(nullif({slug('relation_type')}, ''), 'card') || chr(1) || coalesce(nullif({slug('answer_type')}, ''), 'card') || chr(1) || lower({ws('answer')}) AS sig, lower({ws('fact_statement')}) AS fact,
+ row_number() OVER (PARTITION BY pair_id, topic_role ORDER BY printf('%09d', pos) || '|' || card_id || '|' || coalesce(fact_statement, '')) AS k FROM c),
+g AS (SELECT pair_id, topic_role, 1::BIGINT AS k, [sig] AS sigs, [fact] AS facts, true AS took FROM o WHERE k = 1 UNION ALL
+ SELECT g.pair_id, g.topic_role, g.k + 1, CASE WHEN list_contains(sigs, o.sig) OR list_contains(facts, o.fact) THEN sigs ELSE list_append(sigs, o.sig) END, CASE WHEN list_contains(sigs, o.sig) OR list_contains(facts, o.fact) THEN facts ELSE list_append(facts, o.fact) END,
+ NOT (list_contains(sigs, o.sig) OR list_contains(facts, o.fact)) FROM g JOIN o ON o.pair_id = g.pair_id AND o.topic_role = g.topic_role AND o.k = g.k + 1)
+SELECT o.card_id, o.pair_id, o.topic_role, o.pos FROM g JOIN o USING (pair_id, topic_role, k) WHERE took"""
+ORACLE["budget_batches"] = f"""WITH RECURSIVE q AS (SELECT qa_id, max(length(question)) AS n FROM ({QA_SQL}) GROUP BY 1), m AS (SELECT greatest(64, count(*) // 5000) AS m FROM q),
+o AS (SELECT *, CAST(('0x' || md5(qa_id)[1:8])::BIGINT % (SELECT m FROM m) AS INT) AS shard FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY qa_id) AS k FROM o),
+g AS (SELECT shard, 1::BIGINT AS k, 0 AS batch, 1 AS items, coalesce(n, 0) AS total FROM r WHERE k = 1 UNION ALL
+ SELECT g.shard, g.k + 1, CASE WHEN items + 1 > 40 OR total + coalesce(n, 0) > 2000 THEN batch + 1 ELSE batch END, CASE WHEN items + 1 > 40 OR total + coalesce(n, 0) > 2000 THEN 1 ELSE items + 1 END,
+ CASE WHEN items + 1 > 40 OR total + coalesce(n, 0) > 2000 THEN coalesce(n, 0) ELSE total + coalesce(n, 0) END FROM g JOIN r ON r.shard = g.shard AND r.k = g.k + 1)
+SELECT g.shard, g.batch, count(*) AS n_items, CAST(sum(r.n) AS BIGINT) AS n_chars FROM g JOIN r USING (shard, k) GROUP BY ALL"""
+_OK = "(NOT list_contains(qs, o.q) AND CASE o.layer WHEN 'core' THEN nc < 1 ELSE ns < 3 END)"
+_VARIANTS = f"""WITH RECURSIVE v AS (SELECT DISTINCT qa_id, knowledge_pair_id, topic_role, variant_layer, language, question FROM ({QA_SQL})),
+f AS (SELECT *, lower({ws('variant_layer')}) AS layer, lower({ws('question')}) AS q, lower({ws("coalesce(language, 'en')")}) AS lang, qa_id || '|' || md5(question) AS z FROM v),
+o AS (SELECT *, row_number() OVER (PARTITION BY knowledge_pair_id, topic_role ORDER BY z) AS k FROM f WHERE lang = 'en' AND q <> '' AND layer IN ('core', 'surface')),
+g AS (SELECT knowledge_pair_id, topic_role, 1::BIGINT AS k, [q] AS qs, CASE layer WHEN 'core' THEN 1 ELSE 0 END AS nc, CASE layer WHEN 'surface' THEN 1 ELSE 0 END AS ns, true AS took, 'accepted' AS why FROM o WHERE k = 1 UNION ALL
+ SELECT g.knowledge_pair_id, g.topic_role, g.k + 1, CASE WHEN {_OK} THEN list_append(qs, o.q) ELSE qs END, nc + CASE WHEN {_OK} AND o.layer = 'core' THEN 1 ELSE 0 END, ns + CASE WHEN {_OK} AND o.layer = 'surface' THEN 1 ELSE 0 END, {_OK}, CASE WHEN {_OK} THEN 'accepted' WHEN list_contains(qs, o.q) THEN 'duplicate question' ELSE 'extra ' || o.layer END
+ FROM g JOIN o ON o.knowledge_pair_id = g.knowledge_pair_id AND o.topic_role = g.topic_role AND o.k = g.k + 1)
+"""
+ORACLE["accepted_variants"] = _VARIANTS + "SELECT o.qa_id, o.knowledge_pair_id, o.topic_role, o.variant_layer, o.language, o.question FROM g JOIN o USING (knowledge_pair_id, topic_role, k) WHERE took"
+ORACLE["variant_outcomes"] = _VARIANTS + """, x AS (SELECT why AS outcome FROM g UNION ALL
+ SELECT CASE WHEN lang <> 'en' THEN 'invalid language' WHEN layer NOT IN ('core', 'surface') THEN 'invalid layer' ELSE 'missing question' END FROM f WHERE lang <> 'en' OR q = '' OR layer NOT IN ('core', 'surface'))
+SELECT outcome, count(*) AS n_variants FROM x GROUP BY 1"""

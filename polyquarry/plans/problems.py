@@ -84,7 +84,25 @@ QUERIES = {f.__name__: f for f in (p3_found, p3_consolidated, p3_ranges, p3_writ
     "p5_translated_only": p5_translated_only, "p5_complete": p5_complete,
 }
 
+#: An attempt's members as the table has them: ``[]`` marks a list, a dict a struct.
+_ATTEMPT = {
+    "attempt": "", "translation": {"question": "", "expected_answer": "", "answer_aliases": [], "translation_note": ""},
+    "backtranslation_en": {"source_qa_id": "", "question": "", "expected_answer": "", "answer_aliases": []},
+    "consistency": {"verdict": "", "is_consistent": "", "failure_type": "", "reason": "", "repair_instruction": ""},
+}
+
+
+def _shape(x: str, kind: object) -> str:
+    present = "'v'"
+    if isinstance(kind, dict):
+        present = "'{' || " + " || ',' || ".join(f"'{k}:' || {_shape(f'{x}.{k}', v)}" for k, v in kind.items()) + " || '}'"
+    elif isinstance(kind, list):
+        present = f"'[' || array_to_string(list_sort(list_distinct(list_transform({x}, lambda e: CASE WHEN e IS NULL THEN 'n' ELSE 'v' END))), '|') || ']'"
+    return f"CASE WHEN {x} IS NULL THEN 'n' ELSE {present} END"
+
+
 ORACLE = {
+    "p5_shapes": _ROWS + f"SELECT {_shape('att', _ATTEMPT)} AS shape, count(*) AS n_attempts FROM ats GROUP BY 1",
     "p3_found": _PIECES + "SELECT DISTINCT source_qa_id, target_language, attempt FROM k",
     "p3_written": _PIECES + "SELECT source_qa_id, target_language, attempt, count(*) AS n_copies FROM k GROUP BY ALL",
     "p5_found": _ROWS

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from polyquarry.functions import metrics, udfs
 from polyquarry.functions import text as tx
-from polyquarry.operators import access, matrix, translation
+from polyquarry.operators import access, matrix, records, translation
 from polyquarry.operators.ordering import positional_index
 from polyquarry.plans.views import GEN_SQL, ORD_SQL, QA_SQL, generations, qa, rounded, scored_orders
 from polyquarry.session import table
@@ -200,9 +200,12 @@ def choice_argmax(spark: SparkSession, d: str) -> DataFrame:
 
 
 def macro_average(spark: SparkSession, d: str) -> DataFrame:
-    """Mean of language means over the ten languages; no row unless all ten are there."""
-    g = generations(spark, d).filter(C("language").isin(matrix.LANGUAGES)).groupBy("language").agg(F.avg("a_exact").alias("acc"))
-    return rounded(g.agg(F.count(F.lit(1)).alias("n_tasks"), F.avg("acc").alias("macro")).filter("n_tasks >= 9"))
+    """Mean of task means over the five priorities of orders as tasks, and over these and one that isn't
+    there, which gives no row: a task that lacks leaves nothing to average."""
+    o = table(spark, d, "orders").select(C("o_orderpriority").alias("task"), F.when(C("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("acc"))
+    tasks = sorted(r[0] for r in o.select("task").distinct().collect())
+    whole = records.macro_over_tasks(o, tasks).withColumn("of", F.lit("present"))
+    return rounded(whole.unionByName(records.macro_over_tasks(o, [*tasks, "absent"]).withColumn("of", F.lit("absent"))))
 
 
 def qa_index(spark: SparkSession, d: str) -> DataFrame:
@@ -354,7 +357,7 @@ SELECT user_id, round(-avg(lp) FILTER (r <= greatest(1, floor(c * 0.4))), 6) AS
     "dv_logmeanexp": "WITH m AS (SELECT event_type, min(value) AS l FROM events GROUP BY 1) SELECT e.event_type AS event_type, round(any_value(l) - 2.0 * ln(avg(exp(-(value - l) / 2.0))), 6) AS value FROM events e JOIN m USING (event_type) GROUP BY 1",
     "preference_losses": f"SELECT l_returnflag, round(avg({_NPO}), 6) AS npo, round(avg({_SIM}), 6) AS simnpo FROM lineitem GROUP BY 1",
     "choice_argmax": "WITH m AS (SELECT l_suppkey, [max(l_quantity) / 100, max(l_discount) * 4, max(l_tax) * 5, max(l_linenumber) / 14.0::DOUBLE] AS s FROM lineitem GROUP BY 1) SELECT l_suppkey, CAST(list_position(s, list_max(s)) - 1 AS BIGINT) AS choice FROM m",
-    "macro_average": GEN_SQL + f", l AS (SELECT language, avg(a_exact) AS a FROM gen WHERE language IN ({', '.join(repr(l) for l in matrix.LANGUAGES)}) GROUP BY 1) SELECT count(*) AS n_tasks, round(avg(a), 6) AS macro FROM l HAVING count(*) >= 9",
+    "macro_average": "WITH t AS (SELECT o_orderpriority, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS a FROM orders GROUP BY 1) SELECT count(*) AS n_tasks, round(avg(a), 6) AS macro_acc, 'present' AS of FROM t",
     "qa_index": "SELECT qa_id, row_number() OVER (ORDER BY qa_id) - 1 AS index FROM (SELECT DISTINCT qa_id FROM qa_variant)",
     "translation_join_diag": _ATT
     + """, t AS (SELECT DISTINCT trim(it.source_qa_id) AS s, lower(trim(coalesce(target_language, ''))) AS l, cache_id * 1000 + item_pos AS pos FROM it), q AS (SELECT DISTINCT qa_id FROM qa_variant WHERE qa_id IS NOT NULL),

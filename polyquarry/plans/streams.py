@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,19 +15,24 @@ from polyquarry.streaming import journal
 
 
 def stream_access(spark: SparkSession, d: str) -> DataFrame:
-    """Event counts and means per day and type, through a file stream with a watermark; the open windows
-    of the last days are closed in complete mode."""
-    source = table(spark, d, "events")
+    """Event counts and means per day and type, through a file stream of the table itself, with a
+    watermark; in complete mode the open windows of the last days come out as well. State and output stand in
+    a folder of the shared one."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    source.write.parquet(f"{base}/in")
-    stream = journal.stream_table(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema)
-    counts = stream.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("value").alias("mean_value"))
+    source = table(spark, d, "events")
+    files = source.inputFiles()
+    at = os.path.dirname(files[0])
+    only = os.path.basename(files[0]) if len(files) == 1 else "*.parquet"
+    # wall-clock times as instants of UTC, whatever the session's zone, so that days are theirs
+    zone = F.current_timezone()
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", only).parquet(at).withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone))
+    counts = journal.windowed_counts(stream, "ts", "1 day", "1 day", "event_type")
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out")
 
     counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return rounded(spark.read.parquet(f"{base}/out").select(F.col("w.start").alias("day"), "event_type", "n_rows", "mean_value"))
+    return rounded(spark.read.parquet(f"{base}/out").select(F.to_utc_timestamp(F.col("w.start"), zone).cast(source.schema["ts"].dataType).alias("day"), "event_type", "n_rows", "mean_value"))
 
 
 def journal_resume(spark: SparkSession, d: str) -> DataFrame:
@@ -48,8 +54,7 @@ def judged_answers(spark: SparkSession, d: str) -> DataFrame:
     g = g.withColumn("id", F.concat_ws(":", "cache_id", "item_pos", "attempt_pos", F.md5("expected_answer")))
     asked = g.withColumn("request", F.to_json(F.struct(F.col("expected_answer").alias("expected"), F.col("generation").alias("candidate"))))
     answers = connectors.enrich(asked, "id", "request", connectors.offline_judge)
-    content = F.get_json_object("answer", "$.choices[0].message.content")
-    return answers.select("id", F.get_json_object(content, "$.score").cast("double").alias("score"), "n_attempts")
+    return answers.select("id", connectors.score_column(connectors.message_text_column(F.col("answer"))).alias("score"), "n_attempts")
 
 
 QUERIES = {f.__name__: f for f in (stream_access, journal_resume, judged_answers)}

@@ -14,7 +14,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Client = Callable[[dict], dict]
@@ -52,9 +52,10 @@ def call(client: Client, request: dict, attempts: int = 5, sleep: Callable[[floa
     return None, attempts, "no attempt"
 
 
-def enrich(rows: DataFrame, key: str, request: str, factory: Callable[[], Client], attempts: int = 5) -> DataFrame:
+def enrich(rows: DataFrame, key: str, request: str, factory: Callable[[], Client], attempts: int = 5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """``key``, ``answer`` (JSON), ``n_attempts`` and ``error`` for each row's JSON ``request``. Rows
-    with the same request hash are called for once per task batch."""
+    with the same request are called for once per task. Waits between attempts are as long as the service
+    asks; ``sleep`` is for tests."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, known = factory(), {}
@@ -64,7 +65,7 @@ def enrich(rows: DataFrame, key: str, request: str, factory: Callable[[], Client
                 if r not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    answer, n, error = call(client, json.loads(r), attempts, sleep=lambda s: time.sleep(min(s, 1.0)))
+                    answer, n, error = call(client, json.loads(r), attempts, sleep)
                     known[r] = (None if answer is None else json.dumps(answer, ensure_ascii=False, sort_keys=True), n, error)
                 out.append((k, *known[r]))
             yield pd.DataFrame(out, columns=[key, "answer", "n_attempts", "error"])
@@ -73,6 +74,66 @@ def enrich(rows: DataFrame, key: str, request: str, factory: Callable[[], Client
     return rows.select(key, request).mapInPandas(run, f"{key} {kind}, answer string, n_attempts int, error string")
 
 
+class Rotation:
+    """Keys of a service in rotation: every call starts at the next one."""
+
+    def __init__(self, keys: list[str]):
+        if not keys:
+            raise ValueError("no key")
+        self.keys, self.at = keys, 0
+
+    def order(self) -> list[str]:
+        out = self.keys[self.at :] + self.keys[: self.at]
+        self.at = (self.at + 1) % len(self.keys)
+        return out
+
+
+def chat(post: Callable[[str, dict], dict], keys: list[str], passes: int = 3, sleep: Callable[[float], None] = time.sleep) -> Client:
+    """A client of a chat service. ``post`` sends a request with a key. Every key is tried in rotation, the
+    whole list up to ``passes`` times with a growing wait between the passes; a service that refuses the
+    ``response_format`` (400 or 422) is asked again without it. An answer without text counts as a failure."""
+    rotation = Rotation(keys)
+
+    def once(key: str, request: dict) -> dict:
+        try:
+            return post(key, request)
+        except ServiceError as e:
+            if e.status not in (400, 422) or "response_format" not in request:
+                raise
+            return post(key, {k: v for k, v in request.items() if k != "response_format"})
+
+    def ask(request: dict) -> dict:
+        last: Exception | None = None
+        for n in range(1, passes + 1):
+            for key in rotation.order():
+                try:
+                    answer = once(key, request)
+                    if message_text(answer).strip():
+                        return answer
+                    last = ServiceError(502)
+                except ServiceError as e:
+                    last = e
+            if n < passes:
+                sleep(delay(n, retry_after=getattr(last, "retry_after", None)))
+        raise last or ServiceError(502)
+
+    return ask
+
+
+def judge(chat_client: Client, instruction: str) -> Client:
+    """A client that has candidates scored: the request as canonical JSON behind the instruction, the
+    answer's score checked. An answer that states no score of the five levels is a broken one."""
+
+    def ask(request: dict) -> dict:
+        text = message_text(chat_client({"messages": [{"role": "system", "content": instruction}, {"role": "user", "content": json.dumps(request, ensure_ascii=False, sort_keys=True)}], "response_format": {"type": "json_object"}}))
+        score = score_of(text)
+        if score is None:
+            raise ValueError("no score in the answer")
+        return {"score": score}
+
+    return ask
+
+
 def rotate_keys(rows: DataFrame, n_keys: int) -> DataFrame:
     """Each row with the number of the key to use, in rotation within its partition."""
     return rows.withColumn("key_number", F.pmod(F.monotonically_increasing_id(), F.lit(max(1, n_keys))).cast("int"))
@@ -86,6 +147,21 @@ def message_text(answer: dict) -> str:
     return content or ""
 
 
+def message_text_column(answer: Column) -> Column:
+    """The same over a column of JSON answers."""
+    content = F.get_json_object(answer, "$.choices[0].message.content")
+    parts = F.from_json(content, "array<struct<text:string>>")
+    listed = F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    return F.coalesce(F.when(F.startswith(F.trim(content), F.lit("[")), listed), content, F.get_json_object(answer, "$.output_text"), F.lit(""))
+
+
+def score_column(text: Column) -> Column:
+    """``score_of`` over a column: a JSON object whose only key is ``score``, a number of the five levels."""
+    value = F.get_json_object(text, "$.score")
+    number = F.when((F.json_object_keys(text) == F.array(F.lit("score"))) & text.rlike(r'"score"\s*:\s*[0-9.]'), value.try_cast("double"))
+    return F.when(number.isin(0.0, 0.25, 0.5, 0.75, 1.0), number)
+
+
 def score_of(text: str, levels: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> float | None:
     """The score of a judge: a JSON object whose only key is ``score``, a number of the five levels."""
     try:
