@@ -18,6 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from polyquarry.session import broadcast_if_small, cut
+
+#: A value in more than one of so many changed rows is joined by a broadcast.
+HOT_SHARE = 1000
 #: Values with none of these need no mapping: letters beyond the plain ones of the ten languages,
 #: marks that compose, format characters, odd spaces. Supplementary planes are always looked at.
 _ODD = (
@@ -156,41 +160,45 @@ def mapped_udf(values: pd.Series) -> pd.Series:
 
 
 def canonical_values(values: DataFrame, column: str = "value") -> DataFrame:
-    """One row per distinct suspicious ``value``: value, canonical.
+    """One row per distinct suspicious ``value``: value, canonical, and ``n``, how many rows hold it.
 
     ``values`` holds one text column of any length and number of repeats. Null values have no row. The
     classes are formed in SQL under the collation UNICODE, which tells accents and case apart.
     """
     spark = values.sparkSession
-    distinct = values.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    look = distinct.select("value", odd_column(F.col("value")).alias("odd"))
-    odd = look.filter("odd").select("value", mapped_udf("value").alias("shape"))
+    distinct = values.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    look = distinct.select("value", "n", odd_column(F.col("value")).alias("odd"))
+    odd = look.filter("odd").select("value", "n", mapped_udf("value").alias("shape"))
     # plain members are their own shape; only those that share a class with an odd value matter
-    members = odd.unionByName(look.filter("NOT odd").select("value", F.col("value").alias("shape")))
+    members = odd.unionByName(look.filter("NOT odd").select("value", "n", F.col("value").alias("shape")))
     return spark.sql(
         """
-        WITH m AS (SELECT value, shape, collate(shape, 'UNICODE') AS look FROM {members}),
+        WITH m AS (SELECT value, n, shape, collate(shape, 'UNICODE') AS look FROM {members}),
         c AS (SELECT look, min(struct(value <> shape AS changed, value AS member, shape)) AS best, max(value <> shape) AS any_odd FROM m GROUP BY look)
-        SELECT m.value, CASE WHEN c.best.changed THEN c.best.shape ELSE c.best.member END AS canonical
+        SELECT m.value, m.n, CASE WHEN c.best.changed THEN c.best.shape ELSE c.best.member END AS canonical
         FROM m JOIN c ON m.look = c.look WHERE c.any_odd AND m.value <> m.shape
         """,
         members=members,
     )
 
 
-def unify(rows: DataFrame, column: str = "value", salts: int = 8) -> DataFrame:
+def unify(rows: DataFrame, column: str = "value") -> DataFrame:
     """``rows`` with ``canonical`` beside ``column``: the one form of all values that look the same.
 
-    Plain values are their own canonical form and are not shuffled for it; odd ones are joined with
-    their class, salted so that one odd value in a third of all rows is split over several tasks. Null
-    stays null. Extra columns are kept; one that is named ``canonical`` is replaced.
+    Plain values are their own canonical form and are not shuffled for it. Of the odd ones, those that hold
+    more than one in ``HOT_SHARE`` of the changed rows are at most so many and are joined by a broadcast of
+    counted size; the rest is joined by a shuffle in which no value holds more than that share. Null stays
+    null. Extra columns are kept; one that is named ``canonical`` is replaced.
     """
     odd = odd_column(F.col(column))
-    classes = canonical_values(rows, column).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    classes = classes.withColumnRenamed("value", "__value").withColumnRenamed("canonical", "__canonical")
-    left = rows.filter(odd).withColumn("__at", F.pmod(F.xxhash64(*[c for c, k in rows.dtypes if k in ("bigint", "int", "string")]), F.lit(salts)).cast("int"))
-    joined = left.join(classes, (F.col(column) == F.col("__value")) & (F.col("__at") == F.col("__salt")), "left")
+    classes = cut(canonical_values(rows, column).select(F.col("value").alias("__value"), F.col("canonical").alias("__canonical"), "n"))
+    total = int(classes.agg(F.sum("n")).first()[0] or 0)
+    hot, cold = (classes.filter(c).drop("n") for c in (F.col("n") * HOT_SHARE >= total, F.col("n") * HOT_SHARE < total))
+    many, size = hot.agg(F.count(F.lit(1)), F.sum(F.octet_length("__value") + F.octet_length("__canonical"))).first()
+    is_hot = broadcast_if_small(hot, many, 64 + int(size or 0) // max(1, many))
+    match = F.col(column) == F.col("__value")
+    first = rows.filter(odd).join(is_hot, match, "left").withColumnRenamed("__canonical", "__hot").drop("__value")
     out = [*(c for c in rows.columns if c != "canonical"), "canonical"]
-    return joined.withColumn("canonical", F.coalesce("__canonical", F.col(column))).select(*out).unionByName(
-        rows.filter(~odd).withColumn("canonical", F.col(column)).select(*out)
-    )
+    found = first.filter(F.col("__hot").isNotNull()).withColumn("canonical", F.col("__hot")).select(*out)
+    rest = first.filter(F.col("__hot").isNull()).join(cold, match, "left").withColumn("canonical", F.coalesce("__canonical", F.col(column))).select(*out)
+    return found.unionByName(rest).unionByName(rows.filter(~odd).withColumn("canonical", F.col(column)).select(*out))

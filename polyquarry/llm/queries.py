@@ -9,16 +9,24 @@ from polyquarry.llm import attempts, language, leakage, lookalikes, overlap, pac
 from polyquarry.session import spread, table
 
 
-def _answer_values(spark: SparkSession, d: str) -> DataFrame:
+VALUE_KEYS = [*attempts.KEYS, "field_name", "alias_pos"]
+
+
+def _values_of(cache: DataFrame) -> DataFrame:
     """One row per expected_answer (alias_pos -1) and per alias."""
-    t = attempts.translations(table(spark, d, "attempt_cache"))
+    t = attempts.translations(cache)
     answers = F.array(F.struct(F.lit("expected_answer").alias("field_name"), F.lit(-1).alias("alias_pos"), F.col("expected_answer").alias("value")))
     aliases = F.transform(F.coalesce("answer_aliases", F.array().cast("array<string>")), lambda v, i: F.struct(F.lit("answer_aliases").alias("field_name"), i.alias("alias_pos"), v.alias("value")))
     return t.select(*attempts.KEYS, F.explode(F.concat(answers, aliases)).alias("v")).select(*attempts.KEYS, "v.field_name", "v.alias_pos", "v.value").filter(F.col("value").isNotNull())
 
 
+def _answer_values(spark: SparkSession, d: str) -> DataFrame:
+    return _values_of(table(spark, d, "attempt_cache"))
+
+
 def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.unify(_answer_values(spark, d)).dropDuplicates([*attempts.KEYS, "field_name", "alias_pos"])
+    """Every value with its one form; only rows of repeated ids are shuffled to be told once."""
+    return lookalikes.unify(attempts.nested.once(table(spark, d, "attempt_cache"), _values_of, VALUE_KEYS))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
