@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from polyquarry.operators import compaction, nested
 from polyquarry.session import shared_dir, table
 
+C = F.col
+
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return compaction.consolidate(table(spark, d, "cache_file")).select(*compaction.KEY)
@@ -33,7 +35,13 @@ def p3_written(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.attempt_keys(table(spark, d, "attempt_cache"))
+    """The keys of the flat tables: attempts routed to a variant, and the items and files that have none."""
+    flat = nested.flatten(table(spark, d, "attempt_cache"))
+    none = lambda c: F.coalesce(C(c), F.lit(0)) == 0
+    keys = flat["attempts"].filter(C("variant").isNotNull()).select("cache_id", "item_pos", "attempt_pos")
+    items = flat["items"].filter(none("n_attempts")).select("cache_id", "item_pos", F.lit(-1).alias("attempt_pos"))
+    files = flat["files"].filter(none("n_items")).select("cache_id", F.lit(-1).alias("item_pos"), F.lit(-1).alias("attempt_pos"))
+    return keys.unionByName(items).unionByName(files)
 
 
 def _flat(name: str):
