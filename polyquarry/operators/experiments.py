@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from polyquarry.operators import matrix, quality
 from polyquarry.operators.records import parameter_grid
 
+#: The ten languages by code.
+LANGUAGE_NAMES = {
+    "ar": "Arabic", "bn": "Bengali", "de": "German", "en": "English", "es": "Spanish", "fr": "French", "ja": "Japanese", "sw": "Swahili", "th": "Thai", "zh": "Chinese",
+}
 #: Members and held-out rows per language of a membership test.
 COMMON_COUNT, CULTURE_HOLDOUT = 500, 300
 CULTURE_COUNTS = {"ar": 33, "bn": 27}
@@ -72,3 +76,18 @@ def metric_definition(spark: SparkSession, name: str, formula: str, fields: list
     if frozen:
         raise ValueError(f"unresolved parameters: {', '.join(frozen)}")
     return spark.createDataFrame([(name, formula, list(fields), {k: str(v) for k, v in sorted(parameters.items())})], "name string, formula string, fields array<string>, parameters map<string,string>")
+
+
+def language_table(spark: SparkSession) -> DataFrame:
+    """The language dimension: code, name and place in the published order."""
+    return spark.createDataFrame([(c, LANGUAGE_NAMES[c], i) for i, c in enumerate(matrix.LANGUAGES)], "language string, name string, position int")
+
+
+def resolve_languages(text: str, source: str = "en") -> list[str]:
+    """Target languages of an argument: ``all`` for every one but the source, else a comma list; repeats
+    count once, unknown ones and the source itself are an error."""
+    named = [c for c in matrix.LANGUAGES if c != source] if text.strip().lower() == "all" else list(dict.fromkeys(x.strip().lower() for x in text.split(",") if x.strip()))
+    bad = [x for x in named if x not in LANGUAGE_NAMES or x == source]
+    if bad or not named:
+        raise ValueError(f"no such target languages: {', '.join(bad) or text!r}")
+    return named

@@ -9,9 +9,10 @@ provably holds every card it can ever pick.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,24 +130,39 @@ def scored(pairs: DataFrame, same_answer: Column, strict: bool = False) -> DataF
 def candidate_classes(cards: DataFrame, strict: bool = False) -> DataFrame:
     """Candidates between classes with ``n_candidates``, the card pairs each row stands for: per pair_id,
     relation, classes of both sides and whether the answers are alike. Equal to joining all cards of a
-    pair and relation, without emitting them."""
+    pair and relation, without emitting them.
+
+    Slots are free text, so classes may be nearly as many as cards: only slots that share a word meet, by
+    their words. All others have the similarity 0 and stand in one row per attributes of both sides, with
+    empty slots and the number that is left of all pairs.
+    """
     c = prepared(cards)
+    at, attributes = ["pair_id", "relation"], ["type_key", "direct", "points"]
     sides = {}
     for role, p in (("target", "t"), ("neighbor", "n")):
-        side = c.filter(F.col("topic_role") == role).groupBy(*CLASS, "answer_key").agg(F.count(F.lit(1)).alias("n"))
-        sides[p] = side.select("pair_id", "relation", *[F.col(x).alias(f"{p}_{x}") for x in (*CLASS[2:], "answer_key", "n")])
-    whole = {p: s.groupBy("pair_id", "relation", *[f"{p}_{x}" for x in CLASS[2:]]).agg(F.sum(f"{p}_n").alias(f"{p}_n")) for p, s in sides.items()}
-    keys = [*[f"t_{x}" for x in CLASS[2:]], *[f"n_{x}" for x in CLASS[2:]]]
-    every = whole["t"].join(whole["n"], ["pair_id", "relation"]).withColumn("m", F.col("t_n") * F.col("n_n"))
+        side = c.filter(F.col("topic_role") == role).groupBy(*at, *attributes, "slot", "answer_key").agg(F.count(F.lit(1)).alias("n"))
+        sides[p] = side.select(*at, *[F.col(x).alias(f"{p}_{x}") for x in (*attributes, "slot", "answer_key", "n")])
+    both = [f"{p}_{x}" for p in "tn" for x in attributes]
+    slots = ["t_slot", "n_slot"]
+    per = lambda p, *more: sides[p].groupBy(*at, *[f"{p}_{x}" for x in attributes], *more).agg(F.sum(f"{p}_n").alias(f"{p}_n"))
+    words = lambda p: sides[p].select(*at, f"{p}_slot").distinct().select(*at, f"{p}_slot", F.explode(f"{p}_slot").alias("word"))
+    sharing = words("t").join(words("n"), [*at, "word"]).select(*at, *slots).distinct()
+    met = sharing.join(per("t", "t_slot"), [*at, "t_slot"]).join(per("n", "n_slot"), [*at, "n_slot"]).select(*at, *both, *slots, (F.col("t_n") * F.col("n_n")).alias("m"))
     alike = (
-        sides["t"].join(sides["n"].withColumnRenamed("n_answer_key", "t_answer_key"), ["pair_id", "relation", "t_answer_key"])
-        .groupBy("pair_id", "relation", *keys).agg(F.sum(F.col("t_n") * F.col("n_n")).alias("alike"))
+        sides["t"].join(sides["n"].withColumnRenamed("n_answer_key", "t_answer_key"), [*at, "t_answer_key"])
+        .groupBy(*at, *both, *slots).agg(F.sum(F.col("t_n") * F.col("n_n")).alias("alike"))
     )
-    both = every.join(alike, ["pair_id", "relation", *keys], "left").withColumn("alike", F.coalesce("alike", F.lit(0)))
-    split = both.select("pair_id", "relation", *keys, F.explode(F.array(
+    met = met.join(alike, [*at, *both, *slots], "left").withColumn("alike", F.coalesce("alike", F.lit(0)))
+    known = met.groupBy(*at, *both).agg(F.sum("m").alias("__m"), F.sum("alike").alias("__a"))
+    every = per("t").join(per("n"), at).select(*at, *both, (F.col("t_n") * F.col("n_n")).alias("m"))
+    rest = every.join(known, [*at, *both], "left").join(alike.groupBy(*at, *both).agg(F.sum("alike").alias("alike")), [*at, *both], "left")
+    left = lambda whole, part: F.coalesce(F.col(whole), F.lit(0)) - F.coalesce(F.col(part), F.lit(0))
+    none = F.array().cast("array<string>")
+    rest = rest.select(*at, *both, none.alias("t_slot"), none.alias("n_slot"), left("m", "__m").alias("m"), left("alike", "__a").alias("alike"))
+    split = met.unionByName(rest).select(*at, *both, *slots, F.explode(F.array(
         F.struct(F.lit(False).alias("same"), (F.col("m") - F.col("alike")).alias("n_candidates")),
         F.struct(F.lit(True).alias("same"), F.col("alike").alias("n_candidates")),
-    )).alias("s")).select("pair_id", "relation", *keys, "s.same", "s.n_candidates").filter(F.col("n_candidates") > 0)
+    )).alias("s")).select(*at, *both, *slots, "s.same", "s.n_candidates").filter(F.col("n_candidates") > 0)
     return scored(split, F.col("same"), strict)
 
 
@@ -228,10 +244,30 @@ def greedy_match(
         empty = {f: F.lit(None).cast(dict(told.dtypes)[f]).alias(f) for f in Card._fields}
         told = told.unionByName(apart.select(*[F.col("target_card_id").alias(f) if f == "card_id" else F.col(f) if f == "pair_id" else empty[f] for f in Card._fields], F.lit("apart").alias("seed"), F.col("neighbor_card_id").alias("other")))
 
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        return _pick(group, max_pairs, min_score, max_answer_words, require_direct, barred, strict)
+    names = [x.split()[0] for x in SELECTED.split(", ")]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows of a pair are adjacent: most pairs are a few cards, where a frame each would cost more than the work
+        group: list[tuple] = []
+        for b in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if group and group[-1][2] != row[2]:
+                    out += _pick(group, max_pairs, min_score, max_answer_words, require_direct, barred, strict)
+                    group = []
+                group.append(row)
+            yield _selected(out, names)
+        if group:
+            yield _selected(_pick(group, max_pairs, min_score, max_answer_words, require_direct, barred, strict), names)
+
+    rows = told.select("seed", "other", *Card._fields)
+    return rows.repartition("pair_id").sortWithinPartitions("pair_id").mapInArrow(pick, SELECTED)
+
 
-    return told.groupBy("pair_id").applyInPandas(pick, SELECTED)
+def _selected(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.string()] * 4 + [pa.float64()] * 2 + [pa.string()] * 2 + [pa.int32()]
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
 _FAMILY = {name: members.split() for name, members in FAMILIES.items()}
@@ -256,9 +292,9 @@ class Card(NamedTuple):
     fact_key: str
 
 
-def _pick(g: pd.DataFrame, max_pairs: int, min_score: float, max_words: int, require_direct: bool, barred: set[str], strict: bool) -> pd.DataFrame:
-    # plain tuples: most groups are a few cards, where frames cost more than the work
-    rows_of = [(s, o, Card(*row)) for s, o, *row in zip(g["seed"].tolist(), g["other"].tolist(), *(g[c].tolist() for c in Card._fields))]
+def _pick(group: list[tuple], max_pairs: int, min_score: float, max_words: int, require_direct: bool, barred: set[str], strict: bool) -> list[tuple]:
+    """The selection of one pair; ``group``: what a row stands for, its other value, and a card's fields."""
+    rows_of = [(s, o, Card(*row)) for s, o, *row in group]
     cards = [c for s, _, c in rows_of if s not in ("seed", "apart")]
     apart = {(c.card_id, o) for s, o, c in rows_of if s == "apart"}
     kept = [(int(o), c) for s, o, c in rows_of if s == "seed"]
@@ -325,7 +361,7 @@ def _pick(g: pd.DataFrame, max_pairs: int, min_score: float, max_words: int, req
                 for kind, value in (("ti", c.card_id), ("ni", d.card_id), ("tk", identity), ("nk", (d.relation, d.type_key, d.answer_key)), ("tf", c.fact_key), ("nf", d.fact_key)):
                     used[kind].add(value)
                 rows.append((c.pair_id, c.relation, c.card_id, d.card_id, key[1], best[2], best[3], best[4], n_seeds + len(rows) + 1))
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in SELECTED.split(", ")])
+    return rows
 
 
 def knowledge_pair_ids(selected: DataFrame) -> DataFrame:

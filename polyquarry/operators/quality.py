@@ -93,6 +93,18 @@ def manifest_problems(pairs: DataFrame, side_fields: list[str] | None = None) ->
     return pairs.select("pos", F.explode(F.array_compact(F.array(*found))).alias("p")).select("pos", "p.context", "p.problem")
 
 
+class ManifestError(ValueError):
+    """A manifest that can't be worked with; the message names the place and what is wrong there."""
+
+
+def require_manifest(pairs: DataFrame, side_fields: list[str] | None = None) -> DataFrame:
+    """``pairs`` as they are; the first findings of ``manifest_problems``, or no pair at all, are an error."""
+    found = manifest_problems(pairs, side_fields).orderBy("pos", "context", "problem").limit(5).collect()
+    if found or pairs.isEmpty():
+        raise ManifestError("; ".join(f"{r['context']}: {r['problem']}" for r in found) or "no topic pairs")
+    return pairs
+
+
 def unresolved(value: object, path: str = "") -> list[str]:
     """Paths of a configuration's values that still hold a reference (``${``) or a gap (``???``)."""
     if isinstance(value, dict):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyquarry.functions import text as tx
+from polyquarry.session import broadcast_if_small
 
 IGNORED = -100
 
@@ -39,6 +40,19 @@ def distinct_texts(leaves: DataFrame, *order: str) -> DataFrame:
     return leaves.groupBy("text").agg(F.min(F.struct(*order)).alias("first"))
 
 
+def content_key(text: Column) -> Column:
+    """The key under which a text's translation is cached: the SHA-256 of its UTF-8 bytes."""
+    return F.sha2(text, 256)
+
+
+def cached_translations(leaves: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts of ``leaves`` that ``cache`` (sha256, translated) knows, as text and translated, and
+    the texts it lacks, each with its key. Texts meet the cache by their keys, however long they are."""
+    keyed = leaves.select("text").distinct().withColumn("sha256", content_key(F.col("text")))
+    one = cache.groupBy("sha256").agg(F.min("translated").alias("translated"))
+    return keyed.join(one, "sha256").select("text", "translated"), keyed.join(one, "sha256", "left_anti").select("text", "sha256")
+
+
 def write_back(rows: DataFrame, key: str, leaves: DataFrame, translations: DataFrame, suffix: str = "_zh") -> DataFrame:
     """``rows`` with ``translated``: path plus suffix → JSON of the translated leaf (a text, a list in
     order, or a map). ``translations``: text, translated. Leaves without translation make the value null."""
@@ -116,16 +130,19 @@ def normalized_variants(variants: DataFrame) -> DataFrame:
 
 def relation_profile(topics: DataFrame, hints: DataFrame) -> DataFrame:
     """Topics (topic_type) with their relation hints as text. ``hints``: topic_type, kind, relations. A
-    kind without hints gets a default wording."""
+    kind without hints gets a default wording; examples of short answers have a line only where there are any."""
     #: Kinds with their headings and defaults, in order.
     kinds = [
         ("shared_core_relations", "Shared core relations", "use the most pairable relations supported by the page"),
         ("multi_instance_priority", "Multi-instance priority relations", "favor relations with multiple distinct answers"),
         ("singleton_support", "Singleton support relations", "use singleton relations only as supplemental support"),
     ]
-    per = hints.groupBy("topic_type").agg(*[F.first(F.when(F.col("kind") == k, F.array_join("relations", ", ")), ignorenulls=True).alias(k) for k, _, _ in kinds])
+    named = lambda kind, mark: F.first(F.when(F.col("kind") == kind, F.array_join("relations", mark)), ignorenulls=True)
+    per = hints.groupBy("topic_type").agg(*[named(k, ", ").alias(k) for k, _, _ in kinds], named("short_answer_examples", "; ").alias("__short"))
     lines = [F.concat(F.lit(f"{title}: "), F.coalesce(F.nullif(F.col(k), F.lit("")), F.lit(default))) for k, title, default in kinds]
-    return topics.join(F.broadcast(per), "topic_type", "left").withColumn("profile", F.concat_ws("\n", *lines)).drop(*[k for k, _, _ in kinds])
+    short = F.when(F.col("__short") != "", F.concat(F.lit("Short-answer examples to prefer: "), "__short"))
+    few = broadcast_if_small(per, hints.count(), 1024)
+    return topics.join(few, "topic_type", "left").withColumn("profile", F.concat_ws("\n", *lines, short)).drop(*[k for k, _, _ in kinds], "__short")
 
 
 def review_payloads(rows: DataFrame, *order: str) -> DataFrame:

@@ -120,3 +120,8 @@ def warnings(rows: DataFrame, group: str, pos: str, found: str) -> DataFrame:
     return rows.select(F.col(group).alias("entity"), F.col(pos).alias("pos"), F.explode(found).alias("w")).select("entity", "pos", F.concat(F.col("entity"), F.lit("/"), F.col("pos").cast("string"), F.lit(": "), F.col("w")).alias("warning"))
 
 
+
+
+def cache_suffix(surface: int) -> str:
+    """What a cache key of generated variants ends with: the language and the number of surface forms."""
+    return f"en__surface{surface}"

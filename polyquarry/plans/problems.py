@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyquarry.operators import compaction, nested
-from polyquarry.session import shared_dir, table
+from polyquarry.session import scratch, table
 
 C = F.col
 
@@ -28,7 +27,7 @@ def p3_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_written(spark: SparkSession, d: str) -> DataFrame:
     """The files as written, with every copy kept, counted from what is read back."""
-    path = f"{shared_dir(spark)}/consolidated-{uuid.uuid4().hex}"
+    path = scratch(spark, "consolidated")
     compaction.write_consolidated(table(spark, d, "cache_file"), path, keep_copies=True)
     data = spark.read.parquet(f"{path}/data")
     return data.groupBy(*compaction.KEY).agg(F.count(F.lit(1)).alias("n_copies"))

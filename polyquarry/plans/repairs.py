@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyquarry.functions import metrics, parsing
 from polyquarry.operators import cards as cd
-from polyquarry.operators import experiments, exports, matrix, nested, quality, repairs, rescoring, selection, shapes
+from polyquarry.operators import experiments, exports, matrix, nested, quality, records, repairs, rescoring, selection, shapes
 from polyquarry.plans.views import GEN_SQL, QA_SQL, generations, qa, rounded, slug, ws
-from polyquarry.session import shared_dir, table
+from polyquarry.session import scratch, table
 from polyquarry.sources import files
 
 C = F.col
@@ -159,7 +158,7 @@ def export_problems(spark: SparkSession, d: str) -> DataFrame:
 
 def export_long(spark: SparkSession, d: str) -> DataFrame:
     """The long table written as CSV and read again."""
-    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    path = scratch(spark, "export")
     long = exports.long_rows(_summaries(spark, d), "a_exact", "target", "core", experiment="e", dataset="common", method="m")
     files.write_table(long, path)
     back = spark.read.option("header", True).csv(path)
@@ -168,7 +167,7 @@ def export_long(spark: SparkSession, d: str) -> DataFrame:
 
 def export_matrix(spark: SparkSession, d: str) -> DataFrame:
     """The matrix written as CSV and read again; a missing cell is blank."""
-    path = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}"
+    path = scratch(spark, "matrix")
     files.write_table(exports.matrix_rows(exports.long_rows(_summaries(spark, d), "a_exact", "target", "surface")), path)
     back = spark.read.option("header", True).csv(path)
     return rounded(back.select("checkpoint_id", "source_language", *[C(x).cast("double").alias(x) for x in matrix.LANGUAGES]))
@@ -176,7 +175,7 @@ def export_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 def review_table(spark: SparkSession, d: str) -> DataFrame:
     """The review table written with its fixed columns and read again."""
-    path = f"{shared_dir(spark)}/review-{uuid.uuid4().hex}"
+    path = scratch(spark, "review")
     q = qa(spark, d).select("language", "qa_id", "pair_id", "topic_role", C("question").alias("source_question"), F.lit("ignored").alias("extra")).dropDuplicates(["qa_id"]).filter("language = 'en'")
     files.write_review_table(q, path)
     back = spark.read.option("sep", "\t").option("header", True).csv(path)
@@ -186,7 +185,7 @@ def review_table(spark: SparkSession, d: str) -> DataFrame:
 
 def qa_loaded(spark: SparkSession, d: str) -> DataFrame:
     """Questions written as JSON lines and loaded again with filter, required fields and uniqueness."""
-    path = f"{shared_dir(spark)}/qa-{uuid.uuid4().hex}"
+    path = scratch(spark, "qa")
     q = qa(spark, d).groupBy("qa_id").agg(F.max("variant_layer").alias("variant_layer"), F.max("topic_role").alias("topic_role"), F.max("expected_answer").alias("expected_answer"))
     for layer in ("core", "surface"):
         files.write_lines(q.filter(C("variant_layer") == layer), f"{path}/{layer}")
@@ -317,7 +316,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 def rescored(spark: SparkSession, d: str) -> DataFrame:
     """Stored generations checked, scored, written with summary and protocol, and read again."""
-    base = f"{shared_dir(spark)}/rescored-{uuid.uuid4().hex}"
+    base = scratch(spark, "rescored")
     files.write_lines(_records(spark, d), f"{base}/in")
     schema = "qa_id string, language string, knowledge_pair_id string, topic_role string, variant_layer string, cleaned_generation string, expected_answer string, metrics map<string,double>"
     back = rescoring.rescore(spark, f"{base}/in", schema, f"{base}/out", "a_exact")
@@ -387,8 +386,20 @@ def reissued_ids(spark: SparkSession, d: str) -> DataFrame:
     return selection.reissue_ids(h, "sample__", "holdout_card_id")
 
 
+def cached_by_content(spark: SparkSession, d: str) -> DataFrame:
+    """Card answers that a cache of answers' upper case under their SHA-256 knows, and those it lacks."""
+    c = table(spark, d, "knowledge_card").select(C("answer").alias("text")).filter("answer IS NOT NULL")
+    cache = c.filter(C("text").rlike("^[0-9]")).select(records.content_key(C("text")).alias("sha256"), F.lower("text").alias("translated"))
+    known, lacking = records.cached_translations(c, cache)
+    return known.select(records.content_key(C("text")).alias("sha256"), "translated").unionByName(lacking.select("sha256", F.lit(None).cast("string").alias("translated")))
+
+
+def language_table(spark: SparkSession, d: str) -> DataFrame:
+    return experiments.language_table(spark)
+
+
 _NAMES = [
-    holdout_pairs, holdout_round_trip, shape_dispatch, role_cards, fixed_batches, first_pairs, wanted_pairs, source_index, english_with_cards, truncated_aliases, batch_defaults, upsert_in_order, variant_outcomes, warning_rows,
+    cached_by_content, language_table, holdout_pairs, holdout_round_trip, shape_dispatch, role_cards, fixed_batches, first_pairs, wanted_pairs, source_index, english_with_cards, truncated_aliases, batch_defaults, upsert_in_order, variant_outcomes, warning_rows,
     enum_checks, manifest_problems, weight_checks, export_problems, export_long, export_matrix, review_table, qa_loaded, cache_digests, page_urls, parsed_translations, parsed_backs, parsed_verdicts, failed_defaults,
     verification_loop, repair_lookup, alias_repairs, missing_translations, rescored, record_problems, objective_values, zlib_losses, cosine_checked, choice_by_length, membership, pending_runs, anchored_pairs, reissued_ids,
 ]
@@ -420,6 +431,8 @@ _NPO, _SIM = f"(-2/0.5 * {_logsig('0.5 * (nll - r)')})", f"(-2/2.0 * {_logsig('2
 _DV = lambda x, s: f"(-{s} * ln(avg(exp(-{x} / {s})) FILTER (side = '%s')))"
 
 ORACLE = {
+    "cached_by_content": "SELECT DISTINCT sha256(answer) AS sha256, CASE WHEN regexp_matches(answer, '^[0-9]') THEN lower(answer) END AS translated FROM knowledge_card WHERE answer IS NOT NULL",
+    "language_table": f"SELECT unnest([{_LANGS}]) AS language, unnest([{', '.join(repr(experiments.LANGUAGE_NAMES[x]) for x in matrix.LANGUAGES)}]) AS name, CAST(unnest(range(10)) AS INT) AS position",
     "holdout_pairs": _H + _EN + "SELECT DISTINCT source_pair_id AS pair_id, holdout_card_id AS knowledge_pair_id, 'target' AS topic_role, relation_type, CAST(pos AS INT) AS pos, v.qa_id AS qa_id, v.question AS question FROM v",
     "shape_dispatch": _H + _EN + """, a AS (SELECT source_topic_role AS topic_role, unnest(qa_variants) AS v FROM h WHERE len(qa_variants) > 0)
 SELECT 'cards' AS shape, topic_role, v.variant_layer AS variant_layer, count(*) AS n_variants, count(DISTINCT v.qa_id) AS n_ids FROM a GROUP BY ALL

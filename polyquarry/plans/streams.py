@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyquarry.plans.views import rounded
-from polyquarry.session import shared_dir, table
+from polyquarry.session import scratch, table
 from polyquarry.sources import connectors
 from polyquarry.streaming import journal
 
@@ -18,7 +17,7 @@ def stream_access(spark: SparkSession, d: str) -> DataFrame:
     """Event counts and means per day and type, through a file stream of the table itself, with a
     watermark; in complete mode the open windows of the last days come out as well. State and output stand in
     a folder of the shared one."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     source = table(spark, d, "events")
     files = source.inputFiles()
     at = os.path.dirname(files[0])
@@ -38,7 +37,7 @@ def stream_access(spark: SparkSession, d: str) -> DataFrame:
 def journal_resume(spark: SparkSession, d: str) -> DataFrame:
     """Two runs over the orders' keys, the first over part of them: the journal ends with each once."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_orderpriority")
-    path = f"{shared_dir(spark)}/journal-{uuid.uuid4().hex}"
+    path = scratch(spark, "journal")
     score = lambda df: df.select("id", F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0).alias("score"), F.lit(None).cast("string").alias("error"))
     journal.resume(o.filter("o_orderpriority < '3'"), path, "id", {"metric": "urgent"}, score)
     return journal.resume(o, path, "id", {"metric": "urgent"}, score).groupBy("score").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +26,30 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named or Path(tempfile.mkdtemp(prefix="polyquarry-ckpt-")).as_uri())
+        if not named:
+            own = tempfile.mkdtemp(prefix="polyquarry-ckpt-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            named = Path(own).as_uri()
+        context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table that backs a result; it is removed when the session's
+    program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  (the session is gone: its folder is removed as a whole, or stays)
+            pass
+
+    atexit.register(remove)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the shared folder; survives lost executors."""
     shared_dir(df.sparkSession)

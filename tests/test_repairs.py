@@ -274,3 +274,60 @@ def test_seeds_over_the_cap(spark, tiny):
     seeds = c.filter("topic_role = 'target'").select("pair_id", F.col("card_id").alias("target_card_id"), F.concat("card_id", F.lit("x")).alias("neighbor_card_id")).distinct()
     with pytest.raises(Exception, match="seeds are more than"):
         linkage.greedy_match(c, max_pairs=1, seeds=seeds).collect()
+
+
+def test_registry(spark):
+    from polyquarry import registry
+
+    assert registry.operator("access.by_knowledge").__name__ == "by_knowledge" and "evaluate_em" in registry.names()
+    with pytest.raises(KeyError):
+        registry.operator("nothing")
+    with pytest.raises(ValueError):
+        registry.register("evaluate_em")(print)
+    em = registry.operator("evaluate_em")(records(spark, GOOD))
+    assert em["by_role_language"].first().access == pytest.approx(0.75)
+    scores = spark.createDataFrame([("a", 0, 0.1), ("a", 1, 0.9)], "attack string, is_holdout int, score double")
+    assert registry.operator("evaluate_membership")(scores).first().auc == 1.0
+
+
+def test_relation_profile(spark):
+    from polyquarry.operators import records as r
+
+    topics = spark.createDataFrame([("t",), ("u",)], "topic_type string")
+    hints = spark.createDataFrame([("t", "multi_instance_priority", ["a", "b"]), ("t", "short_answer_examples", ["x", "y"])], "topic_type string, kind string, relations array<string>")
+    got = {x.topic_type: x.profile.split("\n") for x in r.relation_profile(topics, hints).collect()}
+    assert got["t"][1] == "Multi-instance priority relations: a, b" and got["t"][-1] == "Short-answer examples to prefer: x; y" and len(got["u"]) == 3
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {str(files.__file__.rsplit('/', 3)[0])!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {(tmp_path / 'c').as_uri()!r}).getOrCreate()
+from polyquarry.session import scratch
+p = scratch(s, "x"); s.range(3).write.parquet(p); assert s.read.parquet(p).count() == 3
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=120)
+    assert not [x for x in (tmp_path / "c").rglob("x-*")]
+
+
+def test_languages_manifests_and_caches(spark):
+    assert len(experiments.resolve_languages("ALL")) == 9 and experiments.resolve_languages("de, fr,de") == ["de", "fr"] and shapes.cache_suffix(3) == "en__surface3"
+    for bad in ("en", "xx", " "):
+        with pytest.raises(ValueError):
+            experiments.resolve_languages(bad)
+    kind = "pos int, pair_id string, topic_type string, target struct<role:string,name:string>, neighbor struct<role:string,name:string>"
+    fine = spark.createDataFrame([(0, "p", "t", ("target", "x"), ("neighbor", "y"))], kind)
+    assert quality.require_manifest(fine, ["name"]).count() == 1
+    for bad in (fine.limit(0), fine.withColumn("pair_id", F.lit(" "))):
+        with pytest.raises(quality.ManifestError):
+            quality.require_manifest(bad, ["name"])
+    from polyquarry.operators import records as r
+
+    leaves = spark.createDataFrame([("a",), ("a",), ("x" * 50000,)], "text string")
+    cache = leaves.limit(1).select(r.content_key(F.col("text")).alias("sha256"), F.lit("A").alias("translated"))
+    known, lacking = r.cached_translations(leaves, cache)
+    assert [tuple(x) for x in known.collect()] == [("a", "A")] and [len(x.text) for x in lacking.collect()] == [50000]
