@@ -88,7 +88,7 @@ def is_notice(sentence: list[str], others: list[list[str]]) -> bool:
 
 
 def sentences_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item_id, passage) → item_id, notice, words (with their case) of each sentence. Sentences of fewer
+    """(item_id, passage) → item_id, notice, words (with their case and folded) of each sentence. Sentences of fewer
     than four words need a figure and another word to stand for anything."""
     for b in batches:
         rows = []
@@ -99,7 +99,8 @@ def sentences_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((item, n + 1 == len(found) and is_notice(t, found[:n]), t))
         if rows:
             items, notices, words = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(items, b.schema.field(0).type), pa.array(notices), pa.array(words, pa.list_(pa.string()))], ["item_id", "notice", "words"])
+            lists = [pa.array(w, pa.list_(pa.string())) for w in (words, [[x.casefold() for x in t] for t in words])]
+            yield pa.RecordBatch.from_arrays([pa.array(items, b.schema.field(0).type), pa.array(notices), *lists], ["item_id", "notice", "words", "folded"])
 
 
 def run_of(size: int) -> int:
@@ -286,11 +287,10 @@ def sentence_classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     (sid, item_id). A word is a name (N) where it is capitalised inside its sentence, or first before
     another name and nowhere in lower case; figures are n, units u, others w."""
     spans = items.select("item_id", "source_span").filter("item_id IS NOT NULL AND source_span IS NOT NULL").distinct()
-    raw = cut(spans.mapInArrow(sentences_of, f"item_id {dict(items.dtypes)['item_id']}, notice boolean, words array<string>"))
-    w = raw.select("words").distinct().withColumn("sid", F.xxhash64("words"))
-    t = w.select("sid", F.posexplode("words").alias("i", "w"), F.get("words", F.lit(1)).alias("second"))
+    raw = cut(spans.mapInArrow(sentences_of, f"item_id {dict(items.dtypes)['item_id']}, notice boolean, words array<string>, folded array<string>"))
+    w = raw.select("words", "folded").distinct().withColumn("sid", F.xxhash64("words"))
+    t = w.select("sid", F.posexplode(F.arrays_zip("words", "folded")).alias("i", "x"), F.get("words", F.lit(1)).alias("second")).select("sid", "i", F.col("x.words").alias("w"), F.col("x.folded").alias("folded"), "second")
     upper = lambda c: F.substring(c, 1, 1).rlike(r"\p{Lu}")
-    t = t.withColumn("folded", F.lower("w"))
     lower = t.filter(F.substring("w", 1, 1).rlike(r"\p{Ll}")).select(F.col("folded").alias("__l")).distinct()
     t = t.join(lower, F.col("folded") == F.col("__l"), "left")
     kind = (
@@ -298,7 +298,7 @@ def sentence_classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(upper(F.col("w")) & ((F.col("i") > 0) | F.col("__l").isNull() & upper(F.col("second"))), "N").otherwise("w")
     )
     kinds = t.groupBy("sid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", kind.alias("k")))), lambda x: x["k"]), "").alias("kinds"))
-    cased = w.join(kinds, "sid").join(raw, "words").select("sid", F.transform("words", F.lower).alias("words"), "kinds", "item_id", "notice")
+    cased = w.drop("folded").join(kinds, "sid").join(raw, "words").select("sid", F.col("folded").alias("words"), "kinds", "item_id", "notice")
     # of sentences that differ in case alone, those of equal kinds are one class
     cased = cut(cased.withColumn("sid", F.xxhash64("words", "kinds")))
     return cut(cased.groupBy("sid", "words", "kinds").agg(F.max("notice").alias("notice"))), cased.select("sid", "item_id").distinct()
@@ -428,21 +428,28 @@ def templates(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFr
     kind = dict(documents.dtypes)["doc_id"]
     sentences, held_by = sentence_classes(items)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(sid, template_hash(parts), len(parts), word_hash("\x1f".join(slot_values(w, list(k))))) for sid, w, k in zip(*(b.column(i).to_pylist() for i in range(3))) if (parts := collapsed(list(k), w)[0]) and set("nN") & set(k)]
-            if rows:
-                sids, hashes, sizes, slots = (np.array(c, dtype=np.uint64).view(np.int64) if i in (1, 3) else c for i, c in enumerate(zip(*rows)))
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(hashes), pa.array(sizes, pa.int32()), pa.array(slots)], ["sid", "template_id", "size", "slots"])
-
-    known = cut(sentences.select("sid", "words", "kinds").mapInArrow(make, "sid long, template_id long, size int, slots long"))
-    members = known.join(held_by, "sid").select("template_id", "item_id").distinct()
     words = sentences.select(F.explode(F.arrays_zip("words", F.split("kinds", "").alias("k"))).alias("x")).select(F.col("x.words").alias("w"), F.col("x.k").alias("k"))
     rank = {"n": 3, "N": 2, "u": 1, "w": 0}
     types: dict[str, str] = {}
-    for r in words.distinct().collect():  # of the stated query set
+    for r in words.distinct().collect():  # of the stated query set; words are typed one by one on both sides
         if rank[r["k"]] >= rank.get(types.get(r["w"], "w"), 0):
             types[r["w"]] = r["k"]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for sid, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                k = [types[x] for x in w]
+                parts = collapsed(k, w)[0]
+                if "n" in k or "N" in k:
+                    rows.append((sid, template_hash(parts), len(parts), word_hash("\x1f".join(slot_values(w, k)))))
+            if rows:
+                sids, hashes, sizes, slots = zip(*rows)
+                signed = lambda c: pa.array(np.array(c, dtype=np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), signed(hashes), pa.array(sizes, pa.int32()), signed(slots)], ["sid", "template_id", "size", "slots"])
+
+    known = cut(sentences.select("sid", "words").mapInArrow(make, "sid long, template_id long, size int, slots long"))
+    members = known.join(held_by, "sid").select("template_id", "item_id").distinct()
     table = known.select("template_id", "size").distinct().toPandas()
     sizes = {int(n): np.sort(g["template_id"].to_numpy().view(np.uint64)) for n, g in table.groupby("size")}
     shared = documents.sparkSession.sparkContext.broadcast((types, sizes))

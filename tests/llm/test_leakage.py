@@ -100,3 +100,9 @@ def test_reparameterised_statements(spark):
     pairs, members = k.templates(spark.createDataFrame(docs, "doc_id long, text string"), items)
     of = {r.template_id: r.item_id for r in members.collect()}
     assert {(r.doc_id, of[r.template_id], r.n_same, r.n_other) for r in pairs.collect()} == {(0, "a", 1, 0), (2, "b", 1, 1)} | {(1, "a", 0, 1)}
+
+
+def test_letters_that_fold_to_two(spark):
+    items = spark.createDataFrame([("a", "Die große Straße in Bobo führt seit 1900 nach Kiki.")], "item_id string, source_span string")
+    docs = spark.createDataFrame([(0, "DIE GROSSE STRASSE IN BOBO FÜHRT SEIT 1900 NACH KIKI"), (1, "die große straße in bobo führt seit 1900 nach kiki"), (2, "die große straße in bobo führt seit 1901 nach kiki")], "doc_id long, text string")
+    assert {r.doc_id for r in k.leaks(docs, items).collect()} == {0, 1}
