@@ -71,9 +71,16 @@ _WORDS = re.compile(r"[^\W\d_]+(?:[ঀ-৿฀-๿][^\W\d_]*)*")
 
 def clean(text: str) -> str:
     """The text with look-alike characters made plain, if it has any."""
+    return _clean(text) if len(text) < 1000 else _plain(text)
+
+
+def _plain(text: str) -> str:
     return mapped(text) if odd(text) else text
 
 
+_clean = lru_cache(1 << 12)(_plain)  # of short texts only, so that the cache stays small
+
+
 def code_column(label: Column) -> Column:
     """The two-letter code that a label names in any spelling (``de-DE``, ``ger``, ``German``); null for
     null, blank, ``und`` and unknown labels."""
