@@ -487,6 +487,10 @@ SELECT CASE WHEN x BETWEEN 1 AND 3 THEN 'accepted' ELSE 'failed' END AS status,
 f AS (SELECT DISTINCT it.source_qa_id AS source_qa_id FROM it WHERE NOT coalesce(lower(it.attempts[-1].consistency.verdict) = 'passed', false) AND it.source_qa_id IS NOT NULL),
 q AS (SELECT qa_id, bool_or(regexp_matches(coalesce(expected_answer, ''), '[0-9]')) AS r FROM qa_variant GROUP BY 1)
 SELECT source_qa_id, CASE WHEN qa_id IS NULL THEN 'unknown_source' WHEN r THEN 'repaired' ELSE 'unrepaired' END AS state FROM f LEFT JOIN q ON qa_id = source_qa_id""",
+    "holdout_round_trip": _H + _EN + """SELECT h.holdout_card_id, CAST(count(v.pos) AS INT) AS n_variants, coalesce(string_agg(v.v.qa_id, ',' ORDER BY v.pos), '') AS qa_ids FROM (SELECT DISTINCT holdout_card_id FROM h WHERE holdout_card_id IS NOT NULL) h LEFT JOIN v USING (holdout_card_id) GROUP BY 1""",
+    "alias_repairs": _ATT + f""", q AS (SELECT qa_id, max(answer_aliases) AS l FROM ({QA_SQL}) GROUP BY 1), r AS (SELECT cache_id, item_pos, attempt_pos, len(l) AS n, {ws('a.translation.expected_answer')} AS e FROM att JOIN q ON qa_id = source_qa_id
+ WHERE len(l) > 0 AND contains(lower(a.consistency.failure_type), 'alias') AND a.translation.expected_answer IS NOT NULL)
+SELECT cache_id, item_pos, attempt_pos, CAST(n AS INT) AS n_source, CASE WHEN upper(e) <> e THEN upper(e) ELSE '' END AS aliases, 'translated source aliases only' AS note FROM r""",
     "missing_translations": "SELECT o_orderkey % 50 AS batch, CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 7 = 0",
     "rescored": _REC + "SELECT language, topic_role, count(*) AS n_rows, round(avg(e), 6)::DOUBLE AS a_exact, 0.5::DOUBLE AS a_rouge, (SELECT count(*) FROM x) AS n_protocol FROM x GROUP BY ALL",
     "record_problems": """WITH q AS (SELECT * FROM qa_variant), f AS (SELECT 'repeated qa_id' AS problem FROM q GROUP BY qa_id HAVING count(*) > 1 UNION ALL SELECT 'empty qa_id' FROM q WHERE coalesce(qa_id, '') = ''
