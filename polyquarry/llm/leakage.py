@@ -451,40 +451,49 @@ def templates(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFr
     known = cut(sentences.select("sid", "words").mapInArrow(make, "sid long, template_id long, size int, slots long"))
     members = known.join(held_by, "sid").select("template_id", "item_id").distinct()
     table = known.select("template_id", "size").distinct().toPandas()
-    sizes = {int(n): np.sort(g["template_id"].to_numpy().view(np.uint64)) for n, g in table.groupby("size")}
+    sizes = {}
+    for n, g in table.groupby("size"):
+        ids = np.sort(g["template_id"].to_numpy().view(np.uint64))
+        coarse = np.zeros(1 << 16, dtype=bool)
+        coarse[ids >> np.uint64(48)] = True
+        sizes[int(n)] = ids, coarse
     shared = documents.sparkSession.sparkContext.broadcast((types, sizes))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types, sizes = shared.value
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            docs, held = b.column(0).to_pylist(), []
+            flat: list[int] = []  # hashes of the parts of all texts, parted by unknown ones
+            of: list[int] = []
+            first: list[int] = []
+            for n, text in enumerate(b.column(1).to_pylist()):
                 cased = tokens(mapped(text) if odd(text) else text)
                 t = [w.casefold() for w in cased]
                 k = ["n" if w[0] in DIGITS else types[w] if w in types else "N" if c[0].isupper() else "?" for w, c in zip(t, cased)]
                 parts, starts = collapsed(k, t)
-                h = np.array([word_hash(p) if p != "<?>" else 0 for p in parts], dtype=np.uint64)
-                if not len(h):
+                held.append((t, k, [*starts, len(t)]))
+                first.append(len(flat))
+                flat += [word_hash(p) if p != "<?>" else 0 for p in parts]
+                flat.append(0)
+                of += [n] * (len(parts) + 1)
+            h = np.array(flat, dtype=np.uint64)
+            powers, backs = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(0, len(h) - 1), x, dtype=np.uint64)])[: len(h)] for x in (_BASE, _INVERSE))
+            sums = np.r_[np.uint64(0), np.add.accumulate(h * powers)]
+            gaps = np.r_[0, np.cumsum(h == 0)]
+            for n, (table, coarse) in sizes.items():
+                if n > len(h):
                     continue
-                power = np.full(len(h), _BASE, dtype=np.uint64)
-                power[0] = 1
-                power = np.multiply.accumulate(power)
-                back = np.full(len(h), _INVERSE, dtype=np.uint64)
-                back[0] = 1
-                back = np.multiply.accumulate(back)
-                sums = np.r_[np.uint64(0), np.add.accumulate(h * power)]
-                gaps = np.r_[0, np.cumsum(h == 0)]
-                ends = [*starts[1:], len(t)]
-                for n, table in sizes.items():
-                    if n > len(h):
-                        continue
-                    at = np.flatnonzero(gaps[n:] == gaps[:-n])
-                    found = (sums[at + n] - sums[at]) * back[at] + np.uint64(n)
-                    for i, value in zip(at, found):
-                        j = np.searchsorted(table, value)
-                        if j < len(table) and table[j] == value:
-                            a, z = starts[i], ends[i + n - 1]
-                            rows.append((doc, int(value.view(np.int64)), word_hash("\x1f".join(slot_values(t[a:z], k[a:z])))))
+                at = np.flatnonzero(gaps[n:] == gaps[:-n])
+                found = (sums[at + n] - sums[at]) * backs[at] + np.uint64(n)
+                some = coarse[found >> np.uint64(48)]
+                at, found = at[some], found[some]
+                there = table[np.minimum(np.searchsorted(table, found), len(table) - 1)] == found
+                for i, value in zip(at[there].tolist(), found[there].view(np.int64).tolist()):
+                    d = of[i]
+                    t, k, starts = held[d]
+                    a, z = starts[i - first[d]], starts[i - first[d] + n]
+                    rows.append((docs[d], value, word_hash("\x1f".join(slot_values(t[a:z], k[a:z])))))
             if rows:
                 docs, ids, slots = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field(0).type), pa.array(ids, pa.int64()), pa.array(np.array(slots, dtype=np.uint64).view(np.int64))], ["doc_id", "template_id", "slots"])
