@@ -84,3 +84,28 @@ r AS (SELECT *, list_position(s, list_max(s)) AS best, (l_orderkey % 5) + 1 AS g
 SELECT 'orders' AS task, l_orderkey AS doc_id, 'link' || (l_orderkey % 7) || '::question_' || n AS item_id, ['A', 'B', 'C', 'D'][gold] AS gold_option, ['A', 'B', 'C', 'D'][best] AS predicted_option, CAST(best = gold AS INT) AS correct,
  CASE WHEN gold > 4 THEN 'invalid correct_answer_num' END AS problem FROM r""",
 }
+
+
+def _variants_sql() -> str:
+    """The rules of held-out variants, one step per common table."""
+    from polyquarry.plans.texts import _COMPACT, _v1
+    from polyquarry.plans.views import mkey, ws
+
+    topic = lambda x: f"({mkey(x)} <> '' AND ({mkey(x)} = {mkey('topic_name')} OR {mkey(x)} = {mkey('source_page')}))"
+    return f"""WITH h AS (SELECT DISTINCT holdout_card_id, answer, topic_name, source_page, qa_variants FROM holdout_card),
+u AS (SELECT holdout_card_id, answer AS card, topic_name, source_page, unnest(range(len(qa_variants))) AS seq, unnest(qa_variants) AS v FROM h WHERE len(qa_variants) > 0),
+f AS (SELECT row_number() OVER () AS rid, *, lower({ws("coalesce(nullif(v.language, ''), 'en')")}) AS lang, lower({ws('v.variant_layer')}) AS layer, {ws('v.question')} AS question, {ws('v.expected_answer')} AS gen, {ws('card')} AS ca FROM u),
+g AS (SELECT *, CASE WHEN ca <> '' THEN ca ELSE gen END AS answer, gen AS alias FROM f),
+e AS (SELECT *, {_v1()} AS alike FROM g),
+a AS (SELECT rid, answer, topic_name, source_page, {ws('x')} AS alias, pos FROM (SELECT rid, answer, topic_name, source_page, unnest(v.answer_aliases) AS x, unnest(range(len(v.answer_aliases))) AS pos FROM e WHERE len(v.answer_aliases) > 0)),
+s AS (SELECT rid, alias, min(pos) AS pos FROM a WHERE alias <> '' AND alias <> answer AND NOT {topic('alias')} AND {_v1()} GROUP BY ALL),
+l AS (SELECT rid, list(alias ORDER BY pos) AS safe FROM s GROUP BY 1),
+k AS (SELECT e.*, CASE WHEN gen <> answer AND alike THEN list_concat([gen], list_filter(coalesce(safe, []), lambda z: z <> gen)) ELSE coalesce(safe, []) END AS aliases FROM e LEFT JOIN l USING (rid)),
+t AS (SELECT DISTINCT rid, question, topic_name, source_page, t FROM (SELECT rid, question, topic_name, source_page, unnest(list_concat([answer], aliases)) AS t FROM k)),
+w AS (SELECT rid, count(*) AS n FROM t WHERE {_COMPACT} <> '' AND (length({_COMPACT}) >= 3 OR regexp_matches({_COMPACT}, '\\p{{Nd}}')) AND {mkey('question')} <> '' AND contains(' ' || {mkey('question')} || ' ', ' ' || {mkey('t')} || ' ') AND NOT {topic('t')} GROUP BY 1)
+SELECT holdout_card_id || '__en__' || CASE WHEN layer = 'core' THEN 'core' ELSE printf('surface_%03d', seq) END AS qa_id, answer AS expected_answer, array_to_string(aliases, '|') AS aliases,
+ CASE WHEN lang <> 'en' THEN 'invalid language' WHEN layer NOT IN ('core', 'surface') THEN 'invalid variant_layer' WHEN question = '' THEN 'missing question' WHEN gen = '' THEN 'missing expected_answer' END AS reject_reason,
+ CAST(CASE WHEN ca <> '' AND NOT alike THEN 1 ELSE 0 END + CASE WHEN gen <> '' AND gen <> answer AND NOT alike THEN 1 ELSE 0 END + coalesce(n, 0) AS INT) AS n_warnings FROM k LEFT JOIN w USING (rid)"""
+
+
+ORACLE["normalized_variants"] = _variants_sql()
