@@ -191,6 +191,8 @@ def out_of_place(doc: dict[str, int], profile: dict[str, int]) -> int:
 
 
 CHUNK = 256
+#: Texts whose languages a task remembers, to be asked once where they come again.
+MOST_KNOWN = 50_000
 _NEVER = 1 << 60
 
 
@@ -403,13 +405,16 @@ def identify_column(profiles: Profiles):
 
     @F.pandas_udf(f"struct<{FOUND}>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        one = Identifier(profiles)
+        one, known = Identifier(profiles), {None: ([], False)}
         for texts in batches:
-            distinct = list({t: None for t in texts if t})
-            parts = one.parts_many(distinct)
-            known = {t: ([dict(zip(("start", "length", "lang_code", "confidence"), r)) for r in rows], is_sentence(clean(t))) for t, rows in zip(distinct, parts)}
-            known[None] = known[""] = [], False
-            rows = [known[t or None] for t in texts]
+            if len(known) > MOST_KNOWN:
+                known = {None: ([], False)}
+            new = [t for t in dict.fromkeys(texts) if t and t not in known]
+            parts = one.parts_many(new)
+            found = {t: ([dict(zip(("start", "length", "lang_code", "confidence"), r)) for r in rows], is_sentence(clean(t))) for t, rows in zip(new, parts)}
+            known |= {t: r for t, r in found.items() if len(t) < 500}  # short texts come again
+            found |= known
+            rows = [found[t or None] for t in texts]
             yield pd.DataFrame({"parts": [r[0] for r in rows], "sentence": [r[1] for r in rows]})
 
     return run
