@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -400,21 +400,40 @@ def labelled_sample(texts: DataFrame, per_language: int = PER_LANGUAGE) -> list[
 FOUND = "parts:array<struct<start:int,length:int,lang_code:string,confidence:double>>,sentence:boolean"
 
 
+def _remembering(batches: Iterator[pd.Series], profiles: Profiles, told: Callable[[list[Part], bool], object], nothing: object) -> Iterator[list]:
+    """What ``told`` makes of the parts of each text and of whether it is a sentence; short texts are asked
+    once per task."""
+    one, known = Identifier(profiles), {None: nothing}
+    for texts in batches:
+        if len(known) > MOST_KNOWN:
+            known = {None: nothing}
+        new = [t for t in dict.fromkeys(texts) if t and t not in known]
+        found = {t: told(rows, is_sentence(clean(t))) for t, rows in zip(new, one.parts_many(new))}
+        known |= {t: r for t, r in found.items() if len(t) < 500}
+        found |= known
+        yield [found[t or None] for t in texts]
+
+
 def identify_column(profiles: Profiles):
     """A pandas UDF text → (its segments with language and confidence, whether it is a sentence)."""
 
     @F.pandas_udf(f"struct<{FOUND}>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        one, known = Identifier(profiles), {None: ([], False)}
-        for texts in batches:
-            if len(known) > MOST_KNOWN:
-                known = {None: ([], False)}
-            new = [t for t in dict.fromkeys(texts) if t and t not in known]
-            parts = one.parts_many(new)
-            found = {t: ([dict(zip(("start", "length", "lang_code", "confidence"), r)) for r in rows], is_sentence(clean(t))) for t, rows in zip(new, parts)}
-            known |= {t: r for t, r in found.items() if len(t) < 500}  # short texts come again
-            found |= known
-            rows = [found[t or None] for t in texts]
+        told = lambda rows, sentence: ([dict(zip(("start", "length", "lang_code", "confidence"), r)) for r in rows], sentence)
+        for rows in _remembering(batches, profiles, told, ([], False)):
             yield pd.DataFrame({"parts": [r[0] for r in rows], "sentence": [r[1] for r in rows]})
 
-    return run
+    return run.asNondeterministic()  # else a filter on the result would ask a second time, before the spread
+
+
+def codes_column(profiles: Profiles):
+    """The same in brief: a pandas UDF text → ``1`` for a sentence, else ``0``, and its languages' codes
+    joined by commas."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        told = lambda rows, sentence: f"{sentence:d}" + ",".join(dict.fromkeys(r[2] for r in rows))
+        for rows in _remembering(batches, profiles, told, "0"):
+            yield pd.Series(rows, dtype=object)
+
+    return run.asNondeterministic()

@@ -155,10 +155,13 @@ def mapped(value: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def mapped_udf(values: pd.Series) -> pd.Series:
+def _mapped(values: pd.Series) -> pd.Series:
     return values.map(mapped)
 
 
+mapped_udf = _mapped.asNondeterministic()  # else a filter on its result would map a second time
+
+
 def canonical_values(values: DataFrame, column: str = "value") -> DataFrame:
     """One row per distinct suspicious ``value``: value, canonical, and ``n``, how many rows hold it.
 

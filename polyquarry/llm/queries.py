@@ -46,19 +46,24 @@ def _labelled(spark: SparkSession, d: str) -> list[tuple[str, str]]:
     return language.labelled_sample(own.unionByName(english))
 
 
-def _languages(spark: SparkSession, d: str) -> DataFrame:
-    """One row per text field of an attempt: its languages and whether it is a sentence."""
-    profiles = language.fit(iter(_labelled(spark, d)))
+def _texts(spark: SparkSession, d: str, found) -> DataFrame:
+    """One row per text field of an attempt, with what ``found`` makes of the text."""
     t = attempts.translations(table(spark, d, "attempt_cache"))
     fields = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in ("question", "expected_answer")])
     rows = t.select(*attempts.KEYS, language.code_column(F.col("target_language")).alias("named"), F.explode(fields).alias("f")).select(*attempts.KEYS, "named", "f.field_name", "f.text")
-    rows = spread(rows.filter(F.col("text").isNotNull())).withColumn("found", language.identify_column(profiles)("text"))
+    return spread(rows.filter(F.col("text").isNotNull())).withColumn("found", found("text"))
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    """One row per text field of an attempt that counts: its segments and their languages."""
+    rows = _texts(spark, d, language.identify_column(language.fit(iter(_labelled(spark, d)))))
     return rows.filter((F.col("field_name") == "question") | F.col("found.sentence"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = _languages(spark, d)
-    codes = F.array_distinct(F.col("found.parts.lang_code"))
+    rows = _texts(spark, d, language.codes_column(language.fit(iter(_labelled(spark, d)))))
+    rows = rows.filter((F.col("field_name") == "question") | F.startswith("found", F.lit("1")))
+    codes = F.filter(F.split(F.substring("found", 2, 1000), ","), lambda c: c != "")
     other = F.col("named").isNull() | (codes != F.array("named"))
     return rows.filter(other).select(*attempts.KEYS, "field_name", F.explode(codes).alias("lang_code")).distinct()
 
