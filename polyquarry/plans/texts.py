@@ -85,7 +85,7 @@ def cut_generation(spark: SparkSession, d: str) -> DataFrame:
 def topic_sides(spark: SparkSession, d: str) -> DataFrame:
     both = cards(spark, d).select("pair_id", F.concat_ws(" vs ", "topic_name", "relation_type", "answer_type").alias("t")).distinct()
     s = tx.split_versus(C("t"))
-    return both.select("pair_id", s[0].alias("first"), s[1].alias("second")).distinct()
+    return both.select("pair_id", F.get(s, 0).alias("first"), F.get(s, 1).alias("second")).distinct()
 
 
 def first_json(spark: SparkSession, d: str) -> DataFrame:

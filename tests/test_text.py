@@ -80,3 +80,17 @@ def test_json_and_hashes(spark):
     rows = df.select(udfs.first_json("t").alias("j"), udfs.canonical_sha256("t").alias("h"), udfs.zlib_length("t").alias("z")).collect()
     assert [r.j for r in rows] == ['{"a":[2],"b":1}', None, None]
     assert rows[1].h is None and rows[2].z == 8
+
+
+def test_topic_sides_of_cards_with_one_field(spark, tmp_path):
+    import duckdb
+
+    from polyquarry.plans import texts
+
+    cards = [("p1", "Rome", "capital", "city"), ("p2", "Rome", None, None), ("p3", None, None, None), ("p4", " vs ", None, "city"), (None, "Oslo", None, "city")]
+    spark.createDataFrame(cards, "pair_id string, topic_name string, relation_type string, answer_type string").coalesce(1).write.parquet(str(tmp_path / "knowledge_card.parquet"))
+    rows = {tuple(r) for r in texts.topic_sides(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW knowledge_card AS SELECT * FROM read_parquet('{tmp_path}/knowledge_card.parquet/*.parquet')")
+        assert rows == set(c.execute(texts.ORACLE["topic_sides"]).fetchall())
+    assert ("p2", "Rome", None) in rows and ("p3", "", None) in rows and ("p1", "Rome", "capital vs city") in rows
