@@ -9,8 +9,9 @@ through windows of words as well; where two of them disagree, a sliding window f
 Distances are taken for all segments of an Arrow batch at once: grams are numbered per batch, counted and
 ranked by sorting, and looked up in one table of profile ranks.
 
-Profiles are fitted on a bounded sample of labelled rows: at most ``PER_LANGUAGE`` texts per language
-by hash order, after which texts whose first guess contradicts their label leave the second fit.
+Profiles are fitted on labelled rows, either on all of them where they are (``fitted``) or on a bounded sample
+(at most ``PER_LANGUAGE`` texts per language by hash order); texts whose first guess contradicts their label
+leave the second fit.
 Identification itself reads every text in full, in one narrow stage without a shuffle.
 """
 
@@ -23,14 +24,18 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyquarry.llm.lookalikes import mapped, odd
+from polyquarry.session import cut, spread
 
 #: Bound of the labelled sample per language, and n-grams kept per profile.
 PER_LANGUAGE = 1500
 PROFILE = 1500
+#: Words that a task counts before it hands their n-grams on.
+MOST_WORDS = 100_000
 #: The seed text counts as one in so many of the sample.
 SEED_SHARE = 20
 MAX_GRAM = 5
@@ -308,6 +313,58 @@ def fit(samples: Iterator[tuple[str, str]]) -> Profiles:
     return build({code: [t for t, (c, _) in zip(texts, first.many(texts)) if c == code] for code, texts in by.items()})
 
 
+def labelled(texts: DataFrame) -> DataFrame:
+    """All distinct labelled texts that profiles are fitted on. ``texts``: code, text."""
+    usable = texts.filter(F.col("code").isNotNull() & (F.length("text") >= 12)).select("code", "text")
+    return spread(cut(usable.distinct()))
+
+
+def fitted(texts: DataFrame) -> Profiles:
+    """``fit`` over all texts of ``labelled``: n-grams are counted where the texts are, ``PROFILE`` of them per
+    language reach the driver."""
+    return _profiles(texts, Distances(_profiles(texts, None)))
+
+
+def _profiles(texts: DataFrame, first: Distances | None) -> Profiles:
+    """Profiles of the texts, of those alone that ``first`` reads as their label where it is given."""
+    nothing = ""  # no gram: stands for the texts themselves
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, Counter] = defaultdict(Counter)
+        n: Counter = Counter()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for code, found in words.items():
+                total = Counter({nothing: n[code]})
+                for w, k in found.items():
+                    for g in _word_grams(w):
+                        total[g] += k
+                yield pa.RecordBatch.from_arrays([pa.array([code] * len(total)), pa.array(list(total)), pa.array(list(total.values()), pa.int64())], ["code", "gram", "n"])
+            words.clear()
+            n.clear()
+
+        for b in batches:
+            rows = list(zip(b.column(0).to_pylist(), [clean(t) for t in b.column(1).to_pylist()]))
+            if first:
+                rows = [r for r, (c, _) in zip(rows, first.many([t for _, t in rows])) if c == r[0]]
+            for code, t in rows:
+                words[code].update(kept_words(t))
+                n[code] += 1
+            if sum(map(len, words.values())) > MOST_WORDS:
+                yield from told()
+        yield from told()
+
+    counted = cut(texts.select("code", "text").mapInArrow(counts, "code string, gram string, n long").groupBy("code", "gram").agg(F.sum("n").alias("n")))
+    n_texts = {r["code"]: r["n"] for r in counted.filter(F.col("gram") == nothing).collect()}
+    seeds = [(code, g, k * max(1, n_texts.get(code, 0) // SEED_SHARE)) for code, seed in SEEDS.items() for g, k in grams(seed).items()]
+    both = counted.filter(F.col("gram") != nothing).unionByName(texts.sparkSession.createDataFrame(seeds, counted.schema)).groupBy("code", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n"), "gram")) - 1
+    out: Profiles = {code: {} for code in SEEDS}
+    for r in both.select("code", "gram", place.alias("place")).filter(F.col("place") < PROFILE).collect():
+        out[r["code"]][r["gram"]] = r["place"]
+    return out
+
+
 Part = tuple[int, int, str, float]
 
 

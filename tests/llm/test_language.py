@@ -82,3 +82,13 @@ def test_parts_stand_where_they_say():
     text = "Die Menschen sind frei geboren. Je ne sais pas répondre à cette question. ฉันไม่ทราบคำตอบ (人人生而自由，他们有良心)"
     (rows,) = ONE.parts_many([text])
     assert [(c, text[a : a + n].strip()) for a, n, c, _ in rows] == [("de", "Die Menschen sind frei geboren"), ("fr", "Je ne sais pas répondre à cette question"), ("th", "ฉันไม่ทราบคำตอบ"), ("zh", "人人生而自由，他们有良心")]
+
+
+def test_profiles_of_all_texts(spark):
+    """No text is left out, however many there are: the last ones bring words that no sample of the bound holds."""
+    words = ["Haus", "straße", "über", "gegen", "wetter", "maler"]
+    rows = [("de", f"{words[i % 6]} und {words[i // 6 % 6]} am {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} Tor") for i in range(2 * g.PER_LANGUAGE)]
+    rows += [("fr", f"la maison numéro {i} de la ville") for i in range(30)] + [("fr", "the people of the town are free to act")]
+    df = spark.createDataFrame([*rows, *rows[:50], (None, "x" * 20), ("fr", "short"), ("fr", None)], "code string, text string")
+    assert g.fitted(g.labelled(df)) == g.fit(iter(sorted(set(rows))))
+    assert g.fitted(g.labelled(df.limit(0))) == g.fit(iter(()))
