@@ -7,36 +7,46 @@ neighbouring spans of a line, and skip edges join distant spans that share a sur
 wording. Loopy belief propagation makes labels of one entity agree across the document: a name that is
 told to be a founder in one sentence is no private person in the next.
 
-The weights are learned here, from a bounded sample of documents and without labels. First, evidence beside a
-span labels it: a title, a mail address that holds its name, a telephone number on its line, a label word
-before a figure; no dictionary of sentences is used. A classifier of the context alone is fitted to these
+The weights are learned here, from all documents and without labels. First, evidence beside a span labels it: a
+title, a mail address that holds its name, a telephone number on its line, a label word before a figure; no
+dictionary of sentences is used. A classifier of the context alone is fitted to these
 labels, fills in those that have none and corrects those it surely contradicts. Then all weights are fitted at
 once by pseudo-likelihood: unary weights and the potentials of chain and skip edges, each span given the
-labels of its neighbours. Every document is then read in full in one narrow stage. Words beyond all candidates
+labels of its neighbours. Candidates are written once, with the features of each; words, features and equal rows
+of both fits are counted over them where they are, and what reaches the driver is bounded. Words beyond all candidates
 have no potential but O and need no variable; a document in which no message can outweigh any variable's margin
 for O keeps O.
 """
 
 from __future__ import annotations
 
+import gc
+import marshal
+import pickle
 import re
 from bisect import bisect
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import compress, repeat
 from math import ceil, exp, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyquarry.session import spread
+from polyquarry.session import broadcast_if_small, cut, scratch, spread
 
-#: Bound of the training sample (documents by hash) and of the feature table.
+#: Size of a trial sample, and bound of the feature table of a fit and kind.
 SAMPLE_DOCUMENTS = 4000
 MOST_FEATURES = 20_000
+#: So many different rows of a fit are summed up on the driver, more of them where they are.
+MOST_ROWS = 500_000
+#: Shares of copies add up to whole numbers but for so much.
+EXACT = 1e-6
 ROUNDS = 60
 #: Messages are passed until none changes by more than the tolerance, at most so often.
 PASSES, TOLERANCE = 50, 1e-3
@@ -139,6 +149,9 @@ class Reader:
         self.given, self.common = given, common
         self.name = lru_cache(1 << 15)(self._name)
 
+    def __reduce__(self):
+        return Reader, (self.given, self.common)
+
     def _name(self, text: str) -> tuple[list[str], bool, str | None, str]:
         """What a name's wording tells: its words, whether one is a given name, its last frequent word, and
         how it is written."""
@@ -364,13 +377,13 @@ class Model:
     def __reduce__(self):
         return Model, (self.weights, self.tables, self.reader.given, self.reader.common)
 
-    def label(self, spans: list[Span]) -> list[int]:
+    def label(self, spans: list[Span], edges: list[tuple[int, int, str]] | None = None) -> list[int]:
         if not spans:
             return []
         scores = [self.unary(s) for s in spans]
         kinds = [ALLOWED[s.kind] for s in spans]
         out = [k[0] if u[0] >= max(u) else k[u.index(max(u))] for k, u in zip(kinds, scores)]
-        edges = similar(spans, self.reader)
+        edges = similar(spans, self.reader) if edges is None else edges
         gain: dict[int, float] = {}
         for a, b, kind in edges:
             gain[a] = gain.get(a, 0.0) + self.most[kind]
@@ -384,6 +397,22 @@ class Model:
                 out[i] = k[u.index(max(u))]
         return out
 
+    def doubtful(self, read: list[tuple[list[tuple], list[int], list[tuple[int, int, str]]]]) -> list[int]:
+        """Those documents any of whose spans is more than O, or may become so by messages."""
+        flat = Flat((1.0, *r) for r in read)
+        margin = np.full(len(flat.ys), 1e3)
+        for kind, columns in flat.columns.items():
+            most = np.zeros((len(columns[0]), len(ALLOWED[kind])))
+            for column, table in zip(columns, self.weights[kind]):
+                for k in range(1, most.shape[1]):
+                    own = {v: w[k] for v, w in table.items()}
+                    most[:, k] += np.fromiter(map(own.get, column, repeat(0.0)), float, len(most))
+            margin[flat.at[kind]] = most[:, 1:].max(axis=1) + EXACT  # beyond what the order of a sum can change
+        gain = np.array([self.most[e] for e in EDGES])[flat.e]
+        ends = np.r_[flat.a, flat.b]
+        margin += np.maximum(0.0, np.bincount(ends, weights=np.r_[gain, gain], minlength=len(margin)))
+        return np.unique(flat.of[margin >= 0]).tolist()
+
     def _beliefs(self, scores: list[list[float]], kinds: list[list[int]], edges: list[tuple[int, int, str]]) -> list[list[float]]:
         """Loopy sum-product in the log domain until the messages stand still; damped where there are loops,
         exact where there are none."""
@@ -417,130 +446,512 @@ class Model:
         return belief
 
     def entities(self, text: str) -> list[tuple[str, str, int, int]]:
-        spans = self.reader.spans(text)
-        return [(LABELS[k], s.text, s.start, s.end) for s, k in zip(spans, self.label(spans)) if k]
-
-
-def _regression(rows: list[list[tuple]], labels: list[int], allowed: list[int]) -> tuple[dict[tuple, int], np.ndarray]:
-    """Weights of a multinomial logistic model over sparse features: feature → row of the weights, one
-    column per allowed label, that of the first (O) being 0. Equal rows count together."""
-    bias = (-1, "")
-    grouped = Counter((*r, bias, label) for r, label in zip(map(tuple, rows), labels))
-    counts: Counter = Counter()
-    for r, n in grouped.items():
-        for f in r[:-1]:
-            counts[f] += n
-    index = {f: i for i, (f, n) in enumerate(counts.most_common(MOST_FEATURES)) if n >= 2 or f == bias}
-    kept = [[index[f] for f in r[:-1] if f in index] for r in grouped]
-    flat = np.array([i for r in kept for i in r], dtype=np.int64)
-    sizes = np.array([len(r) for r in kept], dtype=np.int64)
-    starts = np.r_[0, np.cumsum(sizes)[:-1]] if len(kept) else sizes
-    weight = np.array(list(grouped.values()), dtype=float)
-    y = np.array([allowed.index(r[-1]) for r in grouped], dtype=np.int64)
-    w, g2 = np.zeros((len(index), len(allowed))), np.full((len(index), len(allowed)), 1e-6)
-    for _ in range(ROUNDS if len(kept) else 0):
-        z = np.stack([np.zeros(len(kept)), *(np.add.reduceat(w[flat, k], starts) for k in range(1, len(allowed)))], axis=1)
+        return self.told(self.reader.spans(text))
+
+    def told(self, spans: list[Span], edges: list[tuple[int, int, str]] | None = None) -> list[tuple[str, str, int, int]]:
+        """Type, wording, start and end of the spans that are entities."""
+        return [(LABELS[k], s.text, s.start, s.end) for s, k in zip(spans, self.label(spans, edges)) if k]
+
+
+FITTED = ("name", "figure")  # mail and street addresses have no other reading
+#: Slots of the two fits: the context alone (and a figure's form), then all.
+USED = {("context", "name"): CONTEXT, ("context", "figure"): tuple(range(12)), ("joint", "name"): tuple(range(SLOTS)), ("joint", "figure"): tuple(range(SLOTS))}
+BIAS = (-1, "")
+_CAPITALISED = re.compile(rf"(?<![\w'’])(?:{_CAP}|{_UP})")
+
+Edges = list[tuple[int, int, str]]
+#: What was read from a text: its share (a page of n copies counts one n-th in each), spans as tuples of their
+#: fields, their labels by evidence, edges.
+Read = tuple[float, list[tuple], list[int], Edges]
+#: Kind → feature (slot and value) → row of the weights.
+Index = dict[str, dict[tuple, int]]
+
+
+BESIDE = [(e, y) for e in EDGES for y in range(len(LABELS))]
+
+
+class Flat:
+    """The spans of many texts side by side: their columns of values by kind, labels by evidence, shares and
+    edges."""
+
+    def __init__(self, read: Iterable[Read]):
+        kinds, ys, shares, sizes, a, b, e = [], [], [], [], [], [], []
+        values: dict[str, list[list]] = {kind: [] for kind in FITTED}
+        for share, spans, labels, edges in read:
+            n = len(kinds)
+            for s in spans:
+                kinds.append(s[2])
+                if s[2] in values:
+                    values[s[2]].append(s[4])
+            ys += labels
+            shares.append(share)
+            sizes.append(len(spans))
+            for x, y, kind in edges:
+                a.append(n + x)
+                b.append(n + y)
+                e.append(kind)
+        place = {kind: i for i, kind in enumerate(EDGES)}
+        self.a, self.b, self.e = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array([place[x] for x in e], dtype=np.int64)
+        self.ys, self.of = np.array(ys, dtype=np.int64), np.repeat(np.arange(len(sizes)), sizes)
+        self.share = np.repeat(np.array(shares, dtype=float), sizes)
+        all_kinds = np.array(kinds, dtype=object)
+        self.at = {kind: np.flatnonzero(all_kinds == kind) for kind in FITTED}
+        self.columns = {kind: list(zip(*v)) for kind, v in values.items() if v}
+
+    def matrix(self, kind: str, index: dict[tuple, int], tables: list[tuple[int, dict]]) -> np.ndarray:
+        """Rows of the weights of each span of a kind, that of the bias last; one behind all where it has none."""
+        columns = self.columns[kind]
+        out = np.empty((len(columns[0]), len(tables) + 1), dtype=np.int32)
+        for n, (slot, table) in enumerate(tables):
+            out[:, n] = np.fromiter(map(table.get, columns[slot], repeat(len(index))), np.int32, len(out))
+        out[:, -1] = index[BIAS]
+        return out
+
+    def beside(self, ys: np.ndarray) -> np.ndarray:
+        """How often each label stands beside a span along each kind of edge."""
+        n, most = len(ys), len(LABELS)
+        flat = np.bincount(np.r_[self.a, self.b] * len(BESIDE) + np.r_[self.e, self.e] * most + ys[np.r_[self.b, self.a]], minlength=n * len(BESIDE))
+        return flat.reshape(n, len(BESIDE)).astype(np.int32)
+
+
+@dataclass
+class Block:
+    """Equal rows of one kind told once: rows of the weights, counts of the labels beside it (none in the fit of the
+    context), the column of its label and how often it comes up."""
+
+    m: np.ndarray
+    beside: np.ndarray
+    y: np.ndarray
+    n: np.ndarray
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        z = _sums(w, self.m)
+        near = w[len(w) - self.beside.shape[1] :]
+        z += self.beside @ near
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(kept)), y] -= 1.0
-        for k in range(1, len(allowed)):
-            grad = np.bincount(flat, weights=np.repeat(p[:, k] * weight, sizes), minlength=len(index)) / weight.sum() + 1e-5 * w[:, k]
-            g2[:, k] += grad * grad
-            w[:, k] -= 0.5 * grad / np.sqrt(g2[:, k])
-    return index, w
+        p[np.arange(len(z)), self.y] -= 1.0
+        p *= self.n[:, None]
+        grad = np.zeros(w.shape)
+        flat = self.m.ravel()
+        for k in range(1, w.shape[1]):
+            grad[:, k] = np.bincount(flat, weights=np.repeat(p[:, k], self.m.shape[1]), minlength=len(w) + 1)[:-1]
+        grad[len(w) - self.beside.shape[1] :, 1:] += self.beside.T @ p[:, 1:]
+        return grad
+
+
+def _sums(w: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Scores of each row, one column per allowed label."""
+    z = np.zeros((len(m), w.shape[1]))
+    for k in range(1, w.shape[1]):
+        z[:, k] = np.append(w[:, k], 0.0)[m].sum(axis=1)
+    return z
+
+
+def _descent(index: Index, total: dict[str, float], gradient: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Weights of a multinomial logistic model per kind over sparse features: one row per feature, one column
+    per allowed label, that of the first (O) being 0. ``gradient``: its sum over all rows."""
+    w = {k: np.zeros((len(index[k]), len(ALLOWED[k]))) for k in index}
+    g2 = {k: np.full(x.shape, 1e-6) for k, x in w.items()}
+    for _ in range(ROUNDS if total else 0):
+        for k, g in gradient(w).items():
+            grad = (g / total[k] + 1e-5 * w[k])[:, 1:]
+            g2[k][:, 1:] += grad * grad
+            w[k][:, 1:] -= 0.5 * grad / np.sqrt(g2[k][:, 1:])
+    return w
+
+
+def _whole(blocks: Iterable[tuple[str, Block]]) -> dict[str, Block]:
+    by: dict[str, list[Block]] = defaultdict(list)
+    for kind, b in blocks:
+        by[kind].append(b)
+    return {k: Block(*(np.concatenate([getattr(b, f) for b in bs]) for f in ("m", "beside", "y", "n"))) for k, bs in by.items()}
+
+
+def _gradients(blocks: dict[str, Block], w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {k: b.gradient(w[k]) for k, b in blocks.items()}
+
+
+def _words(texts: Iterable[tuple[str, float]]) -> dict[str, list[float]]:
+    """In how many texts a capitalised word stands, and in how many in a mail address; "" for all texts."""
+    out: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    seen: dict[float, Counter] = defaultdict(Counter)
+    for t, share in texts:
+        seen[share].update({w.casefold() for w in set(_CAPITALISED.findall(t))})
+        for w in {w.casefold() for a, b in mails(t) for w in _LETTERS.findall(re.split("[@＠]|\\s|[(\\[]", t[a:b])[0])}:
+            out[w][1] += share
+        out[""][0] += share
+    for share, words in seen.items():
+        for w, n in words.items():
+            out[w][0] += share * n
+    return out
 
 
-def _features(s: Span, slots) -> list[tuple]:
-    return [(i, s.values[i]) for i in slots if s.values[i] is not None]
+def _least_common(texts: float) -> float:
+    """A feature only: with few texts a name may be frequent by chance."""
+    return max(8, 0.008 * texts) - EXACT
 
 
-def fit(texts: list[str], given: set[str]) -> Model:
-    """Fit the field to a bounded sample of texts."""
-    seen: Counter = Counter()
-    texts = list(dict.fromkeys(texts))  # copies of a page count once
-    cap = re.compile(rf"(?<![\w'’])(?:{_CAP}|{_UP})")
-    for t in texts:
-        seen.update({w.casefold() for w in cap.findall(t)})
-    # a feature only: with few texts a name may be frequent by chance
-    common = {w for w, n in seen.items() if n >= max(8, 0.008 * len(texts))}
-    mailed: Counter = Counter()
-    for t in texts:
-        mailed.update({w.casefold() for a, b in mails(t) for w in _LETTERS.findall(re.split("[@＠]|\\s|[(\\[]", t[a:b])[0])})
-    common -= {w for w, n in mailed.items() if n >= 3 and len(w) > 2 and 20 * n >= seen[w]}
-    reader = Reader(given, common)
-    documents = [spans for t in texts if (spans := reader.spans(t))]
-    labels = [[evidence(s) for s in spans] for spans in documents]
-    for kind in ("name", "figure"):
-        _complete(documents, labels, kind)
-    neighbours = [similar(spans, reader) for spans in documents]
-    return Model(*_joint(documents, labels, neighbours), given, common)
-
-
-def _complete(documents: list[list[Span]], labels: list[list[int]], kind: str) -> None:
-    """Labels where evidence is silent, by a classifier of the context (and a figure's form) alone; evidence
-    against a name that the context surely contradicts is turned."""
-    slots = CONTEXT if kind == "name" else range(12)
-    at = [(d, i) for d, spans in enumerate(documents) for i, s in enumerate(spans) if s.kind == kind]
-    known = [(d, i) for d, i in at if labels[d][i] >= 0]
-    allowed = ALLOWED[kind]
-    index, w = _regression([_features(documents[d][i], slots) for d, i in known], [labels[d][i] for d, i in known], allowed)
-    for d, i in at:
-        z = w[[index[f] for f in [*_features(documents[d][i], slots), (-1, "")] if f in index]].sum(axis=0)
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        best = int(p.argmax())
-        if labels[d][i] < 0 or kind == "name" and labels[d][i] == 0 and best and p[best] > 0.95:
-            labels[d][i] = allowed[best]
-
-
-def _joint(documents: list[list[Span]], labels: list[list[int]], neighbours: list[list[tuple[int, int, str]]]) -> tuple[dict[str, list[dict]], Tables]:
-    """Unary weights and edge potentials at once, by pseudo-likelihood: each span's label given its features
-    and its neighbours' labels, which enter as features of their own."""
-    rows: dict[str, list[list[tuple]]] = defaultdict(list)
-    wanted: dict[str, list[int]] = defaultdict(list)
-    for spans, ys, edges in zip(documents, labels, neighbours):
-        beside: dict[int, list[tuple]] = defaultdict(list)
-        for a, b, kind in edges:
-            beside[a].append((kind, ys[b]))
-            beside[b].append((kind, ys[a]))
-        for i, s in enumerate(spans):
-            if s.kind in ("name", "figure"):
-                rows[s.kind].append(_features(s, range(SLOTS)) + beside[i])
-                wanted[s.kind].append(ys[i])
+def _common(words: Iterable[tuple[str, float, float]]) -> set[str]:
+    """Of the words that stand in enough texts, those that are no part of mail addresses."""
+    return {w for w, seen, mailed in words if w and not (mailed >= 3 - EXACT and len(w) > 2 and 20 * mailed >= seen - EXACT)}
+
+
+def _counts(read: Iterable[Read]) -> Counter:
+    """How often a feature comes up: whether evidence labels its span, kind, slot, value."""
+    flat, out = Flat(read), Counter()
+    for kind, columns in flat.columns.items():
+        known, share = flat.ys[flat.at[kind]] >= 0, flat.share[flat.at[kind]]
+        for so in (True, False):
+            for part in np.unique(share).tolist():
+                chosen = ((known == so) & (share == part)).tolist()
+                for i in USED["joint", kind]:
+                    for v, n in Counter(compress(columns[i], chosen)).items():
+                        if v is not None:
+                            out[so, kind, i, v] += part * n
+    return out
+
+
+def _least_seen(sizes: dict[int, int]) -> int:
+    """From how often on a feature has a weight: twice, or as often as leaves at most ``MOST_FEATURES`` of
+    them. ``sizes``: how many features come up so often."""
+    least, n = max(sizes, default=1) + 1, 0
+    for often in sorted(sizes, reverse=True):
+        n += sizes[often]
+        if often < 2 or n > MOST_FEATURES:
+            break
+        least = often
+    return least
+
+
+def _index(use: str, features: Iterable[tuple[str, int, object]]) -> Index:
+    """Rows of the weights of the features (kind, slot, value), of the bias and of the labels of neighbours."""
+    out: Index = {}
+    for kind in FITTED:
+        own = sorted(((i, v) for k, i, v in features if k == kind), key=lambda f: (f[0], str(f[1])))
+        out[kind] = {f: n for n, f in enumerate([*own, BIAS, *(BESIDE if use == "joint" else ())])}
+    return out
+
+
+def _slots(use: str, index: Index) -> dict[str, list[tuple[int, dict]]]:
+    out = {kind: [(i, {}) for i in USED[use, kind]] for kind in FITTED}
+    for kind, features in index.items():
+        tables = dict(out[kind])
+        for (i, v), n in features.items():
+            if i in tables:
+                tables[i][v] = n
+    return out
+
+
+def _rows(read: Iterable[Read], indexes: dict[str, Index], context: dict[str, np.ndarray] | None) -> Counter:
+    """Equal rows of a fit: kind; rows of the weights, labels beside it and the column of its label in one. Without
+    ``context`` those of the spans that evidence labels, by their context; with it those of all spans."""
+    use = "joint" if context else "context"
+    flat, out = Flat(read), Counter()
+    ys = _completed(flat, indexes["context"], context) if context else flat.ys
+    beside = flat.beside(ys) if context else np.empty((len(ys), 0), dtype=np.int32)
+    tables = _slots(use, indexes[use])
+    for kind in flat.columns:
+        at, index = flat.at[kind], indexes[use][kind]
+        column = np.full(len(LABELS) + 1, -1)
+        column[ALLOWED[kind]] = range(len(ALLOWED[kind]))  # the last, of no evidence, has none
+        y = column[ys[at]]
+        rows = np.hstack([flat.matrix(kind, index, tables[kind]), beside[at], y[:, None]]).astype(np.int32)
+        share = flat.share[at]
+        for part in np.unique(share).tolist():
+            own = np.ascontiguousarray(rows[(y >= 0) & (share == part)])
+            for row, n in Counter(own.view(f"V{4 * own.shape[1]}").ravel().tolist()).items():
+                out[kind, row] += part * n
+    return out
+
+
+def _completed(flat: Flat, index: Index, context: dict[str, np.ndarray]) -> np.ndarray:
+    """Labels by evidence and, where it is silent, by the context alone; evidence against a name that the
+    context surely contradicts is turned."""
+    out = flat.ys.copy()
+    tables = _slots("context", index)
+    for kind in flat.columns:
+        at = flat.at[kind]
+        z = _sums(context[kind], flat.matrix(kind, index[kind], tables[kind]))
+        best, top = z.argmax(axis=1), z.max(axis=1)
+        sure = 1 / np.exp(z - top[:, None]).sum(axis=1) > 0.95
+        told = out[at]
+        turned = (told < 0) | (kind == "name") & (told == 0) & (best > 0) & sure
+        out[at] = np.where(turned, np.array(ALLOWED[kind])[best], told)
+    return out
+
+
+def _weights(index: Index, w: dict[str, np.ndarray]) -> tuple[dict[str, list[dict]], Tables]:
+    """The field's weights and potentials out of those of the joint fit."""
     weights: dict[str, list[dict]] = {k: [{} for _ in range(SLOTS + 1)] for k in ALLOWED}
     sums = {k: np.zeros((len(LABELS), len(LABELS))) for k in EDGES}
-    for kind in rows:
-        allowed = ALLOWED[kind]
-        index, w = _regression(rows[kind], wanted[kind], allowed)
-        for f, i in index.items():
-            if f[0] == -1:
-                weights[kind][SLOTS][""] = w[i].tolist()
+    for kind, features in index.items():
+        for f, i in features.items():
+            row = w[kind][i]
+            if f == BIAS:
+                weights[kind][SLOTS][""] = row.tolist()
             elif isinstance(f[0], str):  # potentials of this kind's labels beside a neighbour's
-                for k, label in enumerate(allowed):
-                    sums[f[0]][f[1], label] += w[i, k]
-            elif np.abs(w[i]).max() > 1e-3:
-                weights[kind][f[0]][f[1]] = w[i].tolist()
+                for k, label in enumerate(ALLOWED[kind]):
+                    sums[f[0]][f[1], label] += row[k]
+            elif np.abs(row).max() > 1e-3:
+                weights[kind][f[0]][f[1]] = row.tolist()
     # an edge is seen from both of its ends
     return weights, {k: ((t + t.T) / 2).tolist() for k, t in sums.items()}
 
 
+def _block(kind: str, rows: list[bytes], n: list[float], use: str) -> Block:
+    width, own = len(rows[0]) // 4, len(USED[use, kind]) + 1
+    m = np.frombuffer(b"".join(rows), dtype=np.int32).reshape(len(rows), width)
+    return Block(np.ascontiguousarray(m[:, :own]), np.ascontiguousarray(m[:, own:-1]), m[:, -1].astype(np.int64), np.array(n, dtype=float))
+
+
+def fit(texts: list[str], given: set[str]) -> Model:
+    """The field fitted to a list of texts, as ``trained`` does to a frame."""
+    texts = list(dict.fromkeys(texts))  # copies of a page count once
+    words = _words((t, 1.0) for t in texts)
+    least = _least_common(len(texts))
+    reader = Reader(given, _common((w, *n) for w, n in words.items() if n[0] >= least))
+    read: list[Read] = [(1.0, *_told(spans), similar(spans, reader)) for t in texts if (spans := reader.spans(t))]
+    counts = _counts(read)
+    indexes: dict[str, Index] = {}
+    for use in ("context", "joint"):
+        kept = []
+        for kind in FITTED:
+            own: Counter = Counter()
+            for (known, k, i, v), n in counts.items():
+                if k == kind and i in USED[use, kind] and (known or use == "joint"):
+                    own[kind, i, v] += n
+            least = _least_seen(Counter(int(n) for n in own.values()))
+            kept += [f for f, n in own.items() if n >= least]
+        indexes[use] = _index(use, kept)
+
+    def solved(use: str, context: dict | None) -> dict[str, np.ndarray]:
+        by: dict[str, list] = defaultdict(list)
+        for (kind, row), n in _rows(read, indexes, context).items():
+            by[kind].append((row, n))
+        blocks = {kind: _block(kind, *zip(*rows), use) for kind, rows in by.items()}
+        return _descent(indexes[use], {k: float(b.n.sum()) for k, b in blocks.items()}, lambda w: _gradients(blocks, w))
+
+    return Model(*_weights(indexes["joint"], solved("joint", solved("context", None))), given, reader.common)
+
+
 def sample(documents: DataFrame, most: int = SAMPLE_DOCUMENTS) -> list[str]:
-    """At most ``most`` texts: those whose hash of doc_id falls below the share that ``most`` is of all
-    rows (a tenth more, then cut by hash order), so what reaches the driver doesn't grow with the data."""
+    """At most ``most`` texts for trials; ``trained`` doesn't use it. Those whose hash of doc_id falls below the
+    share that ``most`` is of all rows (a tenth more, then cut by hash order)."""
     share = min(1.0, 1.1 * most / max(1, documents.count()))
     of = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     rows = documents.select("doc_id", "text", of.alias("h")).filter(F.col("text").isNotNull() & (F.length("text") > 0) & (F.col("h") < F.lit(ceil(share * (1 << 30)))))
     return [r["text"] for r in sorted(rows.collect(), key=lambda r: (r["h"], str(r["doc_id"])))[:most]]
 
 
-def trained(documents: DataFrame, given_names: DataFrame) -> Model:
-    """The field fitted to the documents. ``given_names``: given_name, a dictionary that every executor
-    holds; its size is checked, more than ``MOST_GIVEN`` names are an error."""
+def _usable(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") > 0))
+
+
+def _kept(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` without searches for cycles, which there are none of among the many small lists of a batch."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if was:
+                gc.enable()
+
+    return wrapped
+
+
+def _shared(documents: DataFrame) -> DataFrame:
+    """doc_id, text, share: what a text counts, so that all copies of a page count as one. Only digests move."""
+    texts = _usable(documents).withColumn("key", F.unhex(F.md5("text")))
+    copies = cut(texts.groupBy("key").count().filter("count > 1"))
+    once = texts.join(broadcast_if_small(copies, copies.count()), "key", "left")
+    return spread(once.select("doc_id", "text", (F.lit(1.0) / F.coalesce("count", F.lit(1))).alias("share")))
+
+
+def _reader(shared: DataFrame, given_names: DataFrame) -> Reader:
+    """Given names as they are, frequent words as counted over all texts."""
     names = given_names.select(F.lower(F.trim("given_name")).alias("n")).filter("n IS NOT NULL AND n <> ''").distinct()
     n = names.count()
     if n > MOST_GIVEN:
         raise ValueError(f"{n} given names are more than {MOST_GIVEN}")
-    return fit(sample(documents), {r["n"].casefold() for r in names.toLocalIterator()})
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = _words(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([x[i] for x in found.values()], pa.float64()) for i in (0, 1))], ["word", "seen", "mailed"])
+
+    told = shared.select("text", "share").mapInArrow(_kept(words), "word string, seen double, mailed double")
+    told = cut(told.groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("mailed").alias("mailed")).filter((F.col("seen") >= _least_common(0)) | (F.col("word") == "")))
+    texts = sum(r["seen"] for r in told.filter(F.col("word") == "").collect())
+    frequent = told.filter(F.col("seen") >= _least_common(texts)).collect()  # few: a text holds few words
+    return Reader({r["n"].casefold() for r in names.toLocalIterator()}, _common(map(tuple, frequent)))
+
+
+def _told(spans: list[Span]) -> tuple[list[tuple], list[int]]:
+    return [(s.start, s.end, s.kind, s.text, s.values, s.joined) for s in spans], [evidence(s) for s in spans]
+
+
+def _unpack(packed: bytes) -> tuple[list[tuple], list[int], Edges]:
+    return marshal.loads(packed)
+
+
+def spans_of(shared: DataFrame, reader: Reader) -> DataFrame:
+    """doc_id, share, spans: the candidates of every text that has any and their edges, written once for the
+    fits and the labels; without a share the counts of their features, one row per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            found = {}
+            for t in dict.fromkeys(texts):  # copies of a page are read once
+                spans = reader.spans(t)
+                found[t] = (_told(spans), similar(spans, reader)) if spans else None
+            counts = _counts((share, *found[t][0], found[t][1]) for t, share in zip(texts, b.column(2).to_pylist()) if found[t])
+            packed = {t: f and marshal.dumps((*f[0], f[1])) for t, f in found.items()}
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([packed[t] for t in texts], pa.binary())], ["doc_id", "share", "spans"])
+            yield out.filter(out.column(2).is_valid())
+            if counts:
+                rows = [(*f[1:], n if f[0] else 0.0, n) for f, n in counts.items()]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, b.column(0).type), pa.nulls(1, pa.float64()), pa.array([marshal.dumps(rows)], pa.binary())], ["doc_id", "share", "spans"])
+
+    spark = shared.sparkSession
+    path = scratch(spark, "pii-spans")
+    shared.mapInArrow(_kept(run), f"doc_id {dict(shared.dtypes)['doc_id']}, share double, spans binary").write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _read(b: pa.RecordBatch) -> Iterator[Read]:
+    for share, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        yield (share, *_unpack(packed))
+
+
+def _indexes(written: DataFrame) -> dict[str, Index]:
+    """The features that have a weight, counted over all spans: at most ``MOST_FEATURES`` per fit and kind."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for packed in b.column(0).to_pylist():
+                kind, slot, value, context, joint = zip(*marshal.loads(packed))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kind), pa.array(slot, pa.int32()), pa.array([marshal.dumps(v, 2) for v in value], pa.binary()), pa.array(context, pa.float64()), pa.array(joint, pa.float64())],
+                    ["kind", "slot", "value", "context", "joint"],
+                )
+
+    told = written.filter("share IS NULL").select("spans").mapInArrow(counts, "kind string, slot int, value binary, context double, joint double").groupBy("kind", "slot", "value")
+    told = cut(told.agg(*(F.floor(F.sum(use) + EXACT).alias(use) for use in ("context", "joint"))).filter("joint >= 2"))
+    in_context = F.lit(False)
+    for kind in FITTED:
+        in_context |= (F.col("kind") == kind) & F.col("slot").isin(*USED["context", kind])
+    told = told.withColumn("context", F.when(in_context, F.col("context")).otherwise(0))
+    told = told.select("kind", "slot", "value", F.explode(F.create_map(F.lit("context"), "context", F.lit("joint"), "joint")).alias("use", "n")).filter("n >= 2")
+    sizes: dict[tuple, dict[int, int]] = defaultdict(dict)
+    for r in told.groupBy("use", "kind", "n").agg(F.count(F.lit(1)).alias("k")).collect():
+        sizes[r["use"], r["kind"]][r["n"]] = r["k"]
+    kept = F.lit(False)
+    for (use, kind), own in sizes.items():
+        kept |= (F.col("use") == use) & (F.col("kind") == kind) & (F.col("n") >= _least_seen(own))
+    features: dict[str, list[tuple]] = defaultdict(list)
+    for r in told.filter(kept).collect():
+        features[r["use"]].append((r["kind"], r["slot"], marshal.loads(r["value"])))
+    return {use: _index(use, features[use]) for use in ("context", "joint")}
+
+
+def _solved(spans: DataFrame, indexes: dict[str, Index], context: dict[str, np.ndarray] | None) -> dict[str, np.ndarray]:
+    """The weights of one fit over all spans. Equal rows are told once; up to ``MOST_ROWS`` of them are summed
+    up here, more where they are, round by round: the sums are the same."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = _rows(_read(b), indexes, context)
+            if found:
+                kind, row = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(row, pa.binary()), pa.array(list(found.values()), pa.float64())], ["kind", "row", "n"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for kind in FITTED:
+                own = b.filter(pc.equal(b.column(0), kind))
+                if own.num_rows:
+                    block = _block(kind, own.column(1).to_pylist(), own.column(2).to_pylist(), use)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([own.num_rows]), pa.array([float(block.n.sum())]), pa.array([pickle.dumps(block)], pa.binary())], ["kind", "rows", "n", "block"])
+
+    use = "joint" if context else "context"
+    index = indexes[use]
+    told = spans.select("share", "spans").mapInArrow(_kept(rows), "kind string, row binary, n double").groupBy("kind", "row").agg(F.sum("n").alias("n"))
+    told = cut(told.mapInArrow(blocks, "kind string, rows long, n double, block binary"))
+    sums = told.groupBy("kind").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n")).collect()
+    total = {r["kind"]: r["n"] for r in sums}
+    if sum(r["rows"] for r in sums) <= MOST_ROWS:
+        here = _whole((r["kind"], pickle.loads(r["block"])) for r in told.select("kind", "block").toLocalIterator())
+        return _descent(index, total, lambda w: _gradients(here, w))
+    there = told.select("kind", "block").rdd.map(lambda r: (r[0], bytes(r[1])))
+
+    def gradient(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        known = spans.sparkSession.sparkContext.broadcast(w)
+
+        def summed(part: Iterator[tuple[str, bytes]]) -> Iterator[dict[str, np.ndarray]]:
+            out = {k: np.zeros(x.shape) for k, x in known.value.items() if k in total}
+            for kind, block in part:
+                out[kind] += pickle.loads(block).gradient(known.value[kind])
+            yield out
+
+        found = there.mapPartitions(summed).treeReduce(lambda a, b: {k: a[k] + b[k] for k in a})
+        known.destroy()
+        return found
+
+    return _descent(index, total, gradient)
+
+
+def _fitted(written: DataFrame, reader: Reader) -> Model:
+    indexes, spans = _indexes(written), _with_spans(written)
+    return Model(*_weights(indexes["joint"], _solved(spans, indexes, _solved(spans, indexes, None))), reader.given, reader.common)
+
+
+def _with_spans(written: DataFrame) -> DataFrame:
+    return spread(written.filter("share IS NOT NULL"))
+
+
+def trained(documents: DataFrame, given_names: DataFrame) -> Model:
+    """The field fitted to all documents. ``given_names``: given_name, a dictionary that every executor
+    holds; its size is checked, more than ``MOST_GIVEN`` names are an error."""
+    shared = _shared(documents)
+    reader = _reader(shared, given_names)
+    return _fitted(spans_of(shared, reader), reader)
+
+
+def found(documents: DataFrame, given_names: DataFrame) -> DataFrame:
+    """``entities`` by the field fitted to the same documents; each text is searched once for both."""
+    shared = _shared(documents)
+    reader = _reader(shared, given_names)
+    written = spans_of(shared, reader)
+    model = _fitted(written, reader)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            read = [_unpack(packed) for packed in b.column(1).to_pylist()]
+            ids, rows = b.column(0).to_pylist(), []
+            for d in model.doubtful(read):
+                own, _, edges = read[d]
+                rows += [(ids[d], *e) for e in model.told([Span(*s) for s in own], edges)]
+            if rows:
+                yield _entity_batch(rows, b.schema.field(0).type)
+
+    return _with_spans(written).select("doc_id", "spans").mapInArrow(_kept(run), _entity_schema(documents))
+
+
+def _entity_schema(documents: DataFrame) -> str:
+    return f"doc_id {dict(documents.dtypes)['doc_id']}, pii_type string, pii_text string, start int, length int"
+
+
+def _entity_batch(rows: list[tuple], doc_id: pa.DataType) -> pa.RecordBatch:
+    ids, kinds, texts, starts, ends = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, doc_id), pa.array(kinds), pa.array(texts), pa.array(starts, pa.int32()), pa.array([e - s for s, e in zip(starts, ends)], pa.int32())],
+        ["doc_id", "pii_type", "pii_text", "start", "length"],
+    )
 
 
 def entities(documents: DataFrame, model: Model) -> DataFrame:
@@ -550,17 +961,12 @@ def entities(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            found = {t: model.entities(t) for t in dict.fromkeys(texts)}  # copies of a page are read once
-            rows = [(d, *e) for d, t in zip(b.column(0).to_pylist(), texts) for e in found[t]]
+            told = {t: model.entities(t) for t in dict.fromkeys(texts)}  # copies of a page are read once
+            rows = [(d, *e) for d, t in zip(b.column(0).to_pylist(), texts) for e in told[t]]
             if rows:
-                ids, kinds, texts, starts, ends = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, b.schema.field(0).type), pa.array(kinds), pa.array(texts), pa.array(starts, pa.int32()), pa.array([e - s for s, e in zip(starts, ends)], pa.int32())],
-                    ["doc_id", "pii_type", "pii_text", "start", "length"],
-                )
+                yield _entity_batch(rows, b.schema.field(0).type)
 
-    texts = spread(documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") > 0)))
-    return texts.mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, pii_type string, pii_text string, start int, length int")
+    return spread(_usable(documents)).mapInArrow(run, _entity_schema(documents))
 
 
 def masked(documents: DataFrame, model: Model) -> DataFrame:

@@ -143,3 +143,36 @@ def test_too_many_given_names(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     with pytest.raises(ValueError, match="given names"):
         pii.trained(docs, spark.createDataFrame([("Ada",), ("Bo",)], "given_name string"))
+
+
+def _near(a, b):
+    assert a.weights.keys() == b.weights.keys() and (a.reader.given, a.reader.common) == (b.reader.given, b.reader.common)
+    for kind in a.weights:
+        for mine, other in zip(a.weights[kind], b.weights[kind]):
+            assert mine.keys() == other.keys() and all(mine[v] == pytest.approx(other[v], abs=1e-6) for v in mine)
+    for kind in pii.EDGES:
+        for mine, other in zip(a.tables[kind], b.tables[kind]):
+            assert mine == pytest.approx(other, abs=1e-6)
+
+
+def test_fitted_to_all_documents(spark, monkeypatch):
+    """No document is left out, however many there are, copies of a page count once, and it is the same model
+    whether its rows are summed up on the driver or where they are."""
+    monkeypatch.setattr(pii, "ROUNDS", 5)
+    rng = random.Random(3)
+    texts = [document(rng)[0] for _ in range(300)] + [f"Page {i}: Vogt Tor{'abcdefghij'[i % 10]}{'klmnopq'[i % 7]}{'rstuv'[i % 5]} was read." for i in range(pii.SAMPLE_DOCUMENTS)]
+    rows = [*enumerate([*texts, *texts[:40], *texts[:40], None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    given = spark.createDataFrame([(n,) for n in GIVEN], "given_name string")
+    whole = pii.trained(docs, given)
+    assert "vogt" in whole.reader.common
+    _near(whole, pii.fit(texts, GIVEN))
+    monkeypatch.setattr(pii, "MOST_ROWS", 0)
+    _near(whole, pii.trained(docs, given))
+    got = {tuple(r) for r in pii.found(docs, given).collect()}
+    assert got == {tuple(r) for r in pii.entities(docs, whole).collect()} and {r[0] for r in got} >= {len(texts), len(texts) + 40}
+
+
+def test_frequent_features_alone_have_weights(monkeypatch):
+    monkeypatch.setattr(pii, "MOST_FEATURES", 5)
+    assert [pii._least_seen(n) for n in ({}, {1: 9, 2: 3}, {1: 9, 2: 4, 7: 2}, {3: 6})] == [2, 2, 7, 4]
