@@ -28,8 +28,8 @@ from bisect import bisect
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
-from itertools import compress, repeat
+from functools import cached_property
+from itertools import chain, count, repeat
 from math import ceil, exp, log
 
 import numpy as np
@@ -50,6 +50,8 @@ EXACT = 1e-6
 ROUNDS = 60
 #: Messages are passed until none changes by more than the tolerance, at most so often.
 PASSES, TOLERANCE = 50, 1e-3
+#: So many words and wordings of names are remembered by a reader.
+MOST_KEPT = 1 << 17
 MOST_GIVEN = 5_000_000
 LABELS = ["O", "email", "phone", "id_number", "address", "name"]
 ALLOWED = {"email": [0, 1], "figure": [0, 2, 3], "address": [0, 4], "name": [0, 5]}
@@ -60,32 +62,48 @@ _UP = r"[A-ZÀ-ÖØ-Þ]{2,}(?:['’\-][A-ZÀ-ÖØ-Þ]+)*"
 _INI = r"[A-ZÀ-ÖØ-Þ]\."
 #: A mail address is found from its at sign (or a word for it) outwards.
 _AT = re.compile(r"[@＠]|\s?[(\[](?:at|AT|At)[)\]]\s?|\sAT\s")
+_PLAIN_AT = re.compile("[@＠]")
 _LOCAL = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*$")
 _DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]*[A-Za-z][A-Za-z0-9\-]*)+")
 _SPELT = re.compile(r"[A-Za-z0-9\-]+(?:\s?(?:[(\[](?:dot|DOT|Dot)[)\]]|(?<=\s)DOT(?=\s))\s?[A-Za-z0-9\-]+|\.[A-Za-z0-9\-]*[A-Za-z][A-Za-z0-9\-]*)+")
 FIGURE = re.compile(
     rf"(?<![\w@.,/－\-])(?:[+＋]\s?|[(（])?(?:[A-Z]{{1,2}}[ \-]?)?[{_D}](?:(?:[ .\-/－– ]|[)）]\s?|\s?[(（])?[{_D}]|[A-Z]{{1,2}}(?=[{_D}])|[ \-]?[A-Z](?![\w'’])(?<![{_D}][{_D}][{_D}][{_D}] [A-Z]))*"
 )
+#: Six digits with nothing between them but what a figure may hold, and all of that behind them: no other place
+#: of a text has a figure of so many digits. Patterns begin with a set of characters where they can, which is searched fast.
+_RUN = re.compile(rf"[{_D}](?<![{_D}][{_D}])(?:[ .\-/－–\xa0()（）\sA-Z+＋]*[{_D}]){{5,}}[ .\-/－–\xa0()（）\sA-Z+＋]*")
 #: Words of street addresses.
 _TOWN = rf"(?:{_CAP}(?:[ \-]{_CAP})?)"
 ADDRESSES = [
     # flat, number, street, town, code
-    ("Street Road Lane Avenue Drive Close Way Square Terrace Court Place Crescent Row Hill Boulevard St. Rd. Ave.".split(), None, rf"(?:(?:Flat|Apartment|Apt\.?|Unit|Suite|Room)\s+\w{{1,5}},\s+)?\b[0-9]{{1,5}}[A-Za-z]?\s+(?:{_CAP}\s+){{1,3}}(?:Street|Road|Lane|Avenue|Drive|Close|Way|Square|Terrace|Court|Place|Crescent|Row|Hill|Boulevard|St\.|Rd\.|Ave\.)(?:,\s+{_TOWN}(?:\s+[0-9]{{4,6}})?)?"),
+    (rf"[0-9](?<!\w[0-9])[0-9]{{0,4}}[A-Za-z]?\s+(?:{_CAP}\s+){{1,3}}(?:Street|Road|Lane|Avenue|Drive|Close|Way|Square|Terrace|Court|Place|Crescent|Row|Hill|Boulevard|St\.|Rd\.|Ave\.)", rf"(?:(?:Flat|Apartment|Apt\.?|Unit|Suite|Room)\s+\w{{1,5}},\s+)?\b[0-9]{{1,5}}[A-Za-z]?\s+(?:{_CAP}\s+){{1,3}}(?:Street|Road|Lane|Avenue|Drive|Close|Way|Square|Terrace|Court|Place|Crescent|Row|Hill|Boulevard|St\.|Rd\.|Ave\.)(?:,\s+{_TOWN}(?:\s+[0-9]{{4,6}})?)?"),
     # street with its kind as the last part, number, code, town
-    ("weg straße strasse str. gasse platz allee ring damm ufer Straße Weg Platz Allee Gasse".split(), r"(?:weg|stra(?:ß|ss)e|Straße|str\.|gasse|Gasse|platz|Platz|allee|Allee|ring|damm|ufer|Weg)\s+[0-9]", rf"(?:{_CAP}(?:weg|straße|strasse|str\.|gasse|platz|allee|ring|damm|ufer)|{_CAP}\s+(?:Straße|Weg|Platz|Allee|Gasse))\s+[0-9]{{1,4}}\s?[a-z]?\b(?:,\s+(?:[0-9]{{4,5}}\s+)?{_TOWN})?"),
+    (r"(?:weg|stra(?:ß|ss)e|Straße|str\.|gasse|Gasse|platz|Platz|allee|Allee|ring|damm|ufer|Weg)\s+[0-9]", rf"(?:{_CAP}(?:weg|straße|strasse|str\.|gasse|platz|allee|ring|damm|ufer)|{_CAP}\s+(?:Straße|Weg|Platz|Allee|Gasse))\s+[0-9]{{1,4}}\s?[a-z]?\b(?:,\s+(?:[0-9]{{4,5}}\s+)?{_TOWN})?"),
     # behind a bare preposition only with code and town: else "Im Jahr 1840" would do
-    ("Am An Im Zum Zur Auf Unter".split(), r"[0-9]\s?[a-z]?,\s+[0-9]{4}", rf"\b(?:Am|An\s+der|Im|Zum|Zur|Auf\s+der|Unter\s+den)\s+{_CAP}\s+[0-9]{{1,4}}\s?[a-z]?,\s+[0-9]{{4,5}}\s+{_TOWN}"),
+    (r"[0-9]\s?[a-z]?,\s+[0-9]{4}", rf"\b(?:Am|An\s+der|Im|Zum|Zur|Auf\s+der|Unter\s+den)\s+{_CAP}\s+[0-9]{{1,4}}\s?[a-z]?,\s+[0-9]{{4,5}}\s+{_TOWN}"),
     # number, kind and name of the street
-    ("rue avenue boulevard place chemin allée impasse quai route cours square".split(), None, rf"\b[0-9]{{1,4}}(?:\s?(?:bis|ter|quater))?,?\s+(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|route|cours|square)\s+(?:(?:de|du|des|la|le|les|l['’]|d['’])\s*)*{_TOWN}(?:,\s+(?:[0-9]{{5}}\s+)?{_TOWN})?"),
+    (None, rf"[0-9](?<!\w[0-9])[0-9]{{0,3}}(?:\s?(?:bis|ter|quater))?,?\s+(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|route|cours|square)\s+(?:(?:de|du|des|la|le|les|l['’]|d['’])\s*)*{_TOWN}(?:,\s+(?:[0-9]{{5}}\s+)?{_TOWN})?"),
     # kind and name of the street, number
-    ("Calle C/ Avda. Avenida Av. Plaza Paseo Camino Carretera Ronda".split(), None, rf"\b(?:Calle|C/|Avda\.|Avenida|Av\.|Plaza|Paseo|Camino|Carretera|Ronda)\s*(?:(?:de|del|la|las|los|el)\s+)*{_TOWN},?\s+(?:n\.?\s?[ºo°]\.?\s*)?[0-9]{{1,4}}(?:\s?[a-z]\b)?(?:,\s+[0-9]{{1,2}}\.?[ºª](?:\s?[A-Z]\b)?)?(?:,\s+(?:[0-9]{{5}}\s+)?{_TOWN})?"),
+    (r"[ACPR](?<!\w[ACPR])(?:alle|/|amino|arretera|vda\.|venida|v\.|laza|aseo|onda)", rf"\b(?:Calle|C/|Avda\.|Avenida|Av\.|Plaza|Paseo|Camino|Carretera|Ronda)\s*(?:(?:de|del|la|las|los|el)\s+)*{_TOWN},?\s+(?:n\.?\s?[ºo°]\.?\s*)?[0-9]{{1,4}}(?:\s?[a-z]\b)?(?:,\s+[0-9]{{1,2}}\.?[ºª](?:\s?[A-Z]\b)?)?(?:,\s+(?:[0-9]{{5}}\s+)?{_TOWN})?"),
     # kind and name of the road, number
-    ("Barabara Mtaa Njia".split(), None, rf"\b(?:Barabara|Mtaa|Njia)\s+(?:ya|wa|la)\s+{_TOWN}\s+[0-9]{{1,4}}[a-z]?(?:,\s+{_TOWN})?"),
+    (r"[BMN](?:arabara|taa|jia)\s", rf"\b(?:Barabara|Mtaa|Njia)\s+(?:ya|wa|la)\s+{_TOWN}\s+[0-9]{{1,4}}[a-z]?(?:,\s+{_TOWN})?"),
 ]
-#: Words one of which has to occur, a cheap pattern that has to, and the address itself.
-ADDRESSES = [(words, quick and re.compile(quick), re.compile(full)) for words, quick, full in ADDRESSES]
+#: What the first four of these have to hold, and what the others.
+_ANY_ADDRESS = [
+    re.compile(
+        r"[0-9](?:(?<!\w[0-9])(?:(?<=[egmrz.\s]\s[0-9])(?<=(?:[wW]eg|aße|sse|tr\.|atz|lee|ing|amm|fer|[\s\S][\s\S]\s)\s[0-9])"
+        r"|[0-9]{0,4}+(?:(?:\s?(?:bis|ter|quater))?,?\s++(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|route|cours|square)"
+        rf"|[A-Za-z]?\s++(?:{_CAP}\s+){{1,3}}(?:Street|Road|Lane|Avenue|Drive|Close|Way|Square|Terrace|Court|Place|Crescent|Row|Hill|Boulevard|St\.|Rd\.|Ave\.)))|\s?[a-z]?,\s+[0-9]{{4}})"
+    ),
+    re.compile(r"[ABCMNPR](?:alle|/|amino|arretera|vda\.|venida|v\.|laza|aseo|onda|arabara|taa|jia)"),
+]
+#: A cheap pattern that has to occur, and the address itself.
+ADDRESSES = [(quick and re.compile(quick), re.compile(full)) for quick, full in ADDRESSES]
+#: Words that begin with a capital, and words in capitals, behind their first letter.
+_CAP_REST, _UP_REST = r"[a-zà-öø-ÿ]++(?:['’\-][A-ZÀ-ÖØ-Þa-zà-öø-ÿ][a-zà-öø-ÿ]*+)*+", r"[A-ZÀ-ÖØ-Þ]++(?:['’\-][A-ZÀ-ÖØ-Þ]++)*+"
+#: Pairs of capitalised words: word, initial and word; initial and word; word, comma and word or initial.
 NAME = re.compile(
-    rf"(?<![\w@.\-'’])(?:{_CAP}\s+(?:{_INI}\s+)?{_CAP}|{_INI}\s+{_CAP}|{_CAP},\s+(?:{_CAP}|{_INI})(?:\s+{_INI})?|{_UP}\s+(?:{_INI}\s+)?{_UP}|{_INI}\s+{_UP}|{_UP},\s+{_UP})(?![\w@])"
+    rf"[A-ZÀ-ÖØ-Þ](?<![\w@.\-'’][A-ZÀ-ÖØ-Þ])(?:{_CAP_REST}(?:\s++(?:{_INI}\s++)?{_CAP}|,\s++(?:{_CAP}|{_INI})(?:\s+{_INI})?)|\.\s++(?:{_CAP}|{_UP})|{_UP_REST}(?:\s++(?:{_INI}\s++)?{_UP}|,\s++{_UP}))(?![\w@])"
 )
 _WORD = re.compile(r"[^\W\d_]+|[@:：<(（,.\-–—?!。\n]")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -106,13 +124,15 @@ CUES = {
 _FIGURE_CUE = {w: kind for kind, words in CUES.items() for w in words.split()}
 #: Honorifics that stand behind a name in scripts without capital letters.
 _EAST_NAME = re.compile(r"(?:[ァ-ヺー]{2,}・[ァ-ヺー]{2,}|[㐀-鿿]{2,6}·[㐀-鿿]{2,6}|[㐀-鿿]{2,4})(?=\s?(?:様|さん|氏|女士|小姐))")
-_HONORIFIC = re.compile("様|さん|氏|女士|小姐")
+_HONORIFICS = "様 さん 氏 女士 小姐".split()
+_HONORIFIC = re.compile("|".join(_HONORIFICS))
+_HONORIFIC_FIRST = {w[0] for w in _HONORIFICS}
 _ADDRESS_WORDS = set("flat apartment apt unit suite room calle avda avenida plaza paseo camino am im zum zur rue avenue barabara mtaa njia".split())
 _TITLE_M = re.compile(rf"M\.\s+(?:{_CAP}\s+(?:{_INI}\s+)?{_CAP}|{_CAP},\s+({_CAP})|{_INI}\s+{_CAP}|{_UP}\s+(?:{_INI}\s+)?{_UP}|{_UP},\s+{_UP}|{_INI}\s+{_UP})")
 _CUE_TEXT = re.compile("电话|電話|手机|携帯|โทร|ফোন|মোবাইল|الهاتف|هاتف|جوال")
 
 
-@dataclass
+@dataclass(slots=True)
 class Span:
     start: int
     end: int
@@ -125,8 +145,9 @@ class Span:
 def mails(text: str) -> list[tuple[int, int]]:
     """Start and end of the mail addresses in a text, plain or spelt out."""
     out = []
-    if "@" in text or "＠" in text or "at)" in text or "at]" in text or "AT" in text or "At)" in text or "At]" in text:
-        for m in _AT.finditer(text):
+    spelt = "at)" in text or "at]" in text or "AT" in text or "At)" in text or "At]" in text
+    if spelt or "@" in text or "＠" in text:
+        for m in (_AT if spelt else _PLAIN_AT).finditer(text):
             local = _LOCAL.search(text, max(0, m.start() - 64), m.start())
             domain = (_DOMAIN if m.group() in "@＠" else _SPELT).match(text, m.end()) if local else None
             if domain and (not out or local.start() >= out[-1][1]):
@@ -141,23 +162,51 @@ def _has(words: list[str], text: str) -> bool:
     return False
 
 
+class Kept(dict):
+    """What ``make`` gives for a text, made once; emptied when it grows beyond its bound."""
+
+    def __init__(self, make: Callable[[str], object]):
+        self.make = make
+
+    def __missing__(self, text: str):
+        if len(self) >= MOST_KEPT:
+            self.clear()
+        out = self[text] = self.make(text)
+        return out
+
+
 class Reader:
     """Finds the candidate spans of a text and their features. ``common``: frequent
     capitalised words, a feature of the spans that hold them; ``given``: known given names, lower case."""
 
     def __init__(self, given: set[str], common: set[str]):
         self.given, self.common = given, common
-        self.name = lru_cache(1 << 15)(self._name)
+        self.names, self.words = Kept(self._name), Kept(_split)
 
     def __reduce__(self):
         return Reader, (self.given, self.common)
 
-    def _name(self, text: str) -> tuple[list[str], bool, str | None, str]:
-        """What a name's wording tells: its words, whether one is a given name, its last frequent word, and
-        how it is written."""
+    def _name(self, text: str) -> tuple[int, int, tuple, list[str], str]:
+        """What a name's wording tells: how far to go on where it is none, where it may begin anew, its features (written
+        how, whether a word is a given name, its last frequent word), its words of some length, and these in order."""
+        given, common = self.given, self.common
         ws = [w.casefold() for w in _LETTERS.findall(text)]
-        frequent = next((w for w in reversed(ws) if w in self.common and w not in self.given), None)
-        return ws, any(w in self.given for w in ws), frequent, "comma" if "," in text else "upper" if text.isupper() else "pair"
+        frequent = next((w for w in reversed(ws) if w in common and w not in given), None)
+        form = "comma" if "," in text else "upper" if text.isupper() else "pair"
+        words = [w for w in ws if len(w) > 1]
+        first = words[0] if words else ""
+        skip = second = 0
+        if first in TITLES or first in STARTS:
+            skip = _LETTERS.match(text).end()
+        elif any(w in TITLES or w in _ADDRESS_WORDS for w in words[1:]):
+            skip = 1 + len(first)
+        elif first in common and first not in given:  # a frequent word before a pair is no part of it
+            second = _LETTERS.match(text).end()
+            while second < len(text) and text[second].isspace():
+                second += 1
+            second %= len(text)
+        words = [w for w in words if len(w) > 2]
+        return skip, second, (any(w in given for w in ws), frequent is not None, form, frequent), words, " ".join(sorted(words))
 
     def spans(self, text: str) -> list[Span]:
         starts: list[int] = []  # of the spans taken, in order, and their ends
@@ -169,15 +218,15 @@ class Reader:
             if (not at or ends[at - 1] <= start) and (at == len(starts) or starts[at] >= end):
                 starts.insert(at, start)
                 ends.insert(at, end)
-                out.append(Span(start, end, kind, text[start:end]))
+                out.append(Span(start, end, kind, text[start:end], self._values(kind, start, end, text)))
 
         for start, end in mails(text):
             add(start, end, "email")
-        for words, quick, full in ADDRESSES:
-            if _has(words, text) and (quick is None or quick.search(text)):
+        for quick, full in ADDRESSES[0 if _ANY_ADDRESS[0].search(text) else 4 : 6 if _ANY_ADDRESS[1].search(text) else 4]:
+            if quick is None or quick.search(text):
                 for m in full.finditer(text):
                     add(m.start(), m.end(), "address")
-        for m in FIGURE.finditer(text):
+        for m in _figures(text):
             if m.end() - m.start() < 7:
                 continue
             s = m.group()
@@ -193,41 +242,40 @@ class Reader:
                 end, s = end - 1, s[:-1]
             if n >= 7 or re.search("[A-Z]", s):
                 add(start, end, "figure")
-        given, common = self.given, self.common
+        names, others = self.names, bool(out)
         at = 0
-        while m := NAME.search(text, at):
-            title = _TITLE_M.match(text, m.start()) if text.startswith("M.", m.start()) else None
-            if title and (title[1] or "").casefold() not in _ADDRESS_WORDS:
-                at = m.start() + 2
-                continue
-            words = [w for w in self.name(m.group())[0] if len(w) > 1]
-            first = words[0] if words else ""
-            if first in TITLES or first in STARTS:
-                at = m.start() + len(_LETTERS.match(text, m.start()).group())
-                continue
-            if any(w in TITLES or w in _ADDRESS_WORDS for w in words[1:]):
-                at = m.start() + 1 + len(first)
-                continue
-            if first in common and first not in given:  # a frequent word before a pair is no part of it
-                second = m.start() + len(_LETTERS.match(text, m.start()).group())
-                while second < m.end() and text[second].isspace():
-                    second += 1
-                if second < m.end() and NAME.match(text, second):
-                    at = second
-                    continue
-            add(m.start(), m.end(), "name")
-            at = m.end()
-        if _HONORIFIC.search(text):
+        while at >= 0:
+            for m in NAME.finditer(text, at):
+                wording = m[0]
+                start, end = m.span()
+                skip, second, *_ = name = names[wording]
+                if wording.startswith("M.") and (title := _TITLE_M.match(text, start)) and (title[1] or "").casefold() not in _ADDRESS_WORDS:
+                    at = start + 2
+                    break
+                if skip:
+                    at = start + skip
+                    break
+                if second and NAME.match(text, start + second):
+                    at = start + second
+                    break
+                if others:
+                    add(start, end, "name")
+                else:  # those before it end where it may begin
+                    out.append(Span(start, end, "name", wording, self._values_of_name(name, start, end, text)))
+            else:
+                at = -1
+        if _has(_HONORIFICS, text):
+            if not others:
+                starts, ends, others = [s.start for s in out], [s.end for s in out], True
             for m in _EAST_NAME.finditer(text):
                 add(m.start(), m.end(), "name")
-        out.sort(key=lambda s: s.start)
-        for s in out:
-            self._describe(s, text)
+        if others:
+            out.sort(key=lambda s: s.start)
         for a, b in zip(out, out[1:]):  # what stands beside it on the same line
-            if b.start - a.end < 40 and "\n" not in text[a.end : b.start]:
+            if b.start - a.end < 40 and text.find("\n", a.end, b.start) < 0:
                 b.joined = True
                 a.values[NEXT], b.values[PREV] = b.kind, a.kind
-                if {a.kind, b.kind} == {"email", "name"}:
+                if a.kind != b.kind and (a.kind == "email" and b.kind == "name" or a.kind == "name" and b.kind == "email"):
                     e, n = (a, b) if a.kind == "email" else (b, a)
                     if any(w.casefold() in e.text.casefold() for w in _LETTERS.findall(n.text) if len(w) > 3):
                         n.values[MAIL] = True
@@ -235,30 +283,67 @@ class Reader:
                 a.values[NEXT] = f"below {b.kind}"  # a line of its own above the next one
         return out
 
-    def _describe(self, s: Span, text: str) -> None:
+    def _values(self, kind: str, start: int, end: int, text: str) -> list:
+        if kind == "name":
+            return self._values_of_name(self.names[text[start:end]], start, end, text)
         v: list = [None] * SLOTS + [""]  # the last stands for what all have
-        s.values = v
-        if s.kind == "email" or s.kind == "address":
-            return
-        left = text[max(0, s.start - (64 if s.kind == "figure" else 44)) : s.start]
-        left = left[left.rfind("\n") + 1 :]
-        right = text[s.end : s.end + 28].split("\n", 1)[0]
-        words = [w.casefold() for w in reversed(_WORD.findall(left)[-10 if s.kind == "figure" else -4 :])]
-        v[: min(4, len(words))] = words[:4]
-        v[4] = " ".join(words[:2])
-        for i, w in enumerate(_WORD.findall(right)[:3], 5):
-            v[i] = w.casefold()
-        if s.kind == "figure":
-            form = _UPPER.sub("A", _ANY_DIGIT.sub("9", s.text))
+        if kind == "figure":
+            left, words, v[:FORM] = self._beside(10, 64, start, end, text)
+            s = text[start:end]
+            form = _UPPER.sub("A", _ANY_DIGIT.sub("9", s))
             v[FORM], v[9], v[10] = form, _NINES.sub("9", form), min(16, form.count("9"))
-            v[11] = "plus" if s.text[0] in "+＋" else "open" if s.text[0] in "(（" else "zero" if s.text[:2] == "00" else "plain"
-            cue = "phone" if _CUE_TEXT.search(left[-16:]) else next((_FIGURE_CUE[w] for w in words if w in _FIGURE_CUE), None)
+            v[11] = "plus" if s[0] in "+＋" else "open" if s[0] in "(（" else "zero" if s[:2] == "00" else "plain"
+            cue = "phone" if _CUE_TEXT.search(text, max(left, start - 16), start) else next((_FIGURE_CUE[w] for w in words if w in _FIGURE_CUE), None)
             v[EVIDENCE] = cue  # the nearest one speaks
+        return v
+
+    def _values_of_name(self, name: tuple, start: int, end: int, text: str) -> list:
+        _, words, v = self._beside(4, 44, start, end, text)
+        v += name[2]
+        behind = v[5]
+        if not TITLES.isdisjoint(words[:2]) or behind and behind[0] in _HONORIFIC_FIRST and _HONORIFIC.match(text[end : end + 28].lstrip()):
+            v.append("title")
         else:
-            _, v[GIVEN], v[11], v[10] = self.name(s.text)
-            v[9] = v[11] is not None
-            if not TITLES.isdisjoint(words[:2]) or _HONORIFIC.match(right.lstrip()):
-                v[EVIDENCE] = "title"
+            v.append(None)
+        v += _REST
+        return v
+
+    def _beside(self, most: int, reach: int, start: int, end: int, text: str) -> tuple[int, list[str], list]:
+        """Where what is looked at before a span begins, its words beginning with the nearest, and the slots of the
+        words on both sides."""
+        left, right = start - reach if start > reach else 0, end + 28
+        line = text.rfind("\n", left, start)
+        if line >= 0:
+            left = line + 1
+        line = text.find("\n", end, right)
+        if line >= 0:
+            right = line
+        split, words, behind = self.words, [], []
+        for piece in reversed(text[left:start].split()):
+            words += split[piece][0]
+            if len(words) >= most:
+                break
+        for piece in text[end:right].split():
+            behind += split[piece][1]
+            if len(behind) >= 3:
+                break
+        del words[most:], behind[3:]
+        if len(words) < 4 or len(behind) < 3:
+            return left, words, [*words[:4], *_NONE[len(words) : 4], " ".join(words[:2]), *behind, *_NONE[len(behind) : 3]]
+        return left, words, [*words[:4], f"{words[0]} {words[1]}", *behind]
+
+
+def _split(piece: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Words and marks of what stands between spaces, from its end and from its beginning."""
+    words = tuple(w.casefold() for w in _WORD.findall(piece))
+    return words[::-1], words
+
+
+def _figures(text: str) -> Iterator[re.Match]:
+    end = 0
+    for run in _RUN.finditer(text):  # what may stand before the first digit is shorter than six characters
+        yield from FIGURE.finditer(text, max(end, run.start() - 6), run.end() + 1)
+        end = run.end()
 
 
 #: Slots of a span's features: four words before it, the nearest two as one, three words behind; what it is
@@ -266,6 +351,7 @@ class Reader:
 GIVEN = FORM = 8
 EVIDENCE, NEXT, PREV, MAIL = 12, 13, 14, 15
 SLOTS = 16
+_NONE, _REST = [None] * 4, [None] * 3 + [""]
 CONTEXT = (*range(8), 9, 10, 11)
 _UPPER, _NINES = re.compile("[A-Z]+"), re.compile("9+")
 _DATE = re.compile(r"[0-9]{4}-[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}")
@@ -294,26 +380,28 @@ def similar(spans: list[Span], reader: Reader) -> list[tuple[int, int, str]]:
     """Edges of a document: ``chain`` between neighbours on a line, ``same`` between distant spans of one
     wording (equal digits of figures), ``alike`` between names that share a surname."""
     edges: list[tuple[int, int, str]] = [(i, i + 1, "chain") for i, b in enumerate(spans[1:]) if b.joined]
-    last: dict[str, int] = {}
+    wholes: dict[str, int] = {}
+    holds: dict[str, int] = {}  # the last name that holds a word
+    figures: dict[str, int] = {}
+    given, names = reader.given, reader.names
     for i, s in enumerate(spans):
         if s.kind == "name":
-            words = [w for w in reader.name(s.text)[0] if len(w) > 2]
-            whole = " ".join(sorted(words))
-            if whole in last:
-                edges.append((last[whole], i, "same"))
+            *_, words, whole = names[s.text]
+            if whole in wholes:
+                edges.append((wholes[whole], i, "same"))
             else:
                 for w in words:  # a shared surname, where the wording differs
-                    if w not in reader.given and f"~{w}" in last:
-                        edges.append((last[f"~{w}"], i, "alike"))
+                    if w in holds and w not in given:
+                        edges.append((holds[w], i, "alike"))
                         break
-            last[whole] = i
+            wholes[whole] = i
             for w in words:
-                last[f"~{w}"] = i
+                holds[w] = i
         elif s.kind == "figure":
-            digits = "#" + "".join(_ANY_DIGIT.findall(s.text))
-            if digits in last:
-                edges.append((last[digits], i, "same"))
-            last[digits] = i
+            digits = "".join(_ANY_DIGIT.findall(s.text))
+            if digits in figures:
+                edges.append((figures[digits], i, "same"))
+            figures[digits] = i
     return edges
 
 
@@ -350,6 +438,7 @@ class Model:
     def __init__(self, weights: dict[str, list[dict]], tables: Tables, given: set[str], common: set[str]):
         self.weights, self.tables = weights, tables
         self.reader = Reader(given, common)
+        self.tables_of: dict[str, list[tuple[dict, np.ndarray]]] = defaultdict(list)  # value → row of weights, by kind and slot
         # what one message can add to a label against O, whatever the neighbour is
         self.most = {k: max(t[y][x] - t[y][0] for y in range(len(LABELS)) for x in range(len(LABELS))) for k, t in tables.items()}
 
@@ -374,16 +463,30 @@ class Model:
                     out[k] += x
         return out
 
+    def scores(self, flat: Flat) -> np.ndarray:
+        """``unary`` of many spans at once, one row each."""
+        if not self.tables_of:
+            for kind in FITTED:
+                for table in self.weights[kind]:
+                    rows = np.array([*table.values(), [0.0] * len(ALLOWED[kind])])
+                    self.tables_of[kind].append(({v: i for i, v in enumerate(table)}, rows))
+        out = np.full((len(flat.ys), max(map(len, ALLOWED.values()))), -np.inf)
+        out[:, :2] = 0.0, 1e3
+        for kind, columns in flat.columns.items():
+            most = np.zeros((len(columns[0]), len(ALLOWED[kind])))
+            for column, (table, rows) in zip(columns, self.tables_of[kind]):
+                most += rows[np.fromiter(map(table.get, column, repeat(len(table))), np.int32, len(most))]
+            out[flat.at[kind], : most.shape[1]] = most
+        return out
+
     def __reduce__(self):
         return Model, (self.weights, self.tables, self.reader.given, self.reader.common)
 
-    def label(self, spans: list[Span], edges: list[tuple[int, int, str]] | None = None) -> list[int]:
-        if not spans:
-            return []
-        scores = [self.unary(s) for s in spans]
-        kinds = [ALLOWED[s.kind] for s in spans]
+    def label(self, spans: list[Span]) -> list[int]:
+        return self.decided([self.unary(s) for s in spans], [ALLOWED[s.kind] for s in spans], similar(spans, self.reader))
+
+    def decided(self, scores: list[list[float]], kinds: list[list[int]], edges: Edges) -> list[int]:
         out = [k[0] if u[0] >= max(u) else k[u.index(max(u))] for k, u in zip(kinds, scores)]
-        edges = similar(spans, self.reader) if edges is None else edges
         gain: dict[int, float] = {}
         for a, b, kind in edges:
             gain[a] = gain.get(a, 0.0) + self.most[kind]
@@ -397,21 +500,22 @@ class Model:
                 out[i] = k[u.index(max(u))]
         return out
 
-    def doubtful(self, read: list[tuple[list[tuple], list[int], list[tuple[int, int, str]]]]) -> list[int]:
-        """Those documents any of whose spans is more than O, or may become so by messages."""
-        flat = Flat((1.0, *r) for r in read)
-        margin = np.full(len(flat.ys), 1e3)
-        for kind, columns in flat.columns.items():
-            most = np.zeros((len(columns[0]), len(ALLOWED[kind])))
-            for column, table in zip(columns, self.weights[kind]):
-                for k in range(1, most.shape[1]):
-                    own = {v: w[k] for v, w in table.items()}
-                    most[:, k] += np.fromiter(map(own.get, column, repeat(0.0)), float, len(most))
-            margin[flat.at[kind]] = most[:, 1:].max(axis=1) + EXACT  # beyond what the order of a sum can change
+    def labels(self, read: list[Packed]) -> Iterator[tuple[int, list[int]]]:
+        """Those documents of many of which a span is an entity, and the labels of their spans."""
+        flat = Flat((1.0, p) for p in read)
+        scores = self.scores(flat)
         gain = np.array([self.most[e] for e in EDGES])[flat.e]
         ends = np.r_[flat.a, flat.b]
+        margin = scores[:, 1:].max(axis=1) + EXACT  # beyond what the order of a sum can change
         margin += np.maximum(0.0, np.bincount(ends, weights=np.r_[gain, gain], minlength=len(margin)))
-        return np.unique(flat.of[margin >= 0]).tolist()
+        # in all others every span is O, whatever the messages
+        kinds = [ALLOWED[KINDS[k]] for k in range(len(KINDS))]
+        for d in np.unique(flat.of[margin >= 0]).tolist():
+            first, of, edges = int(flat.first[d]), read[d][0], zip(*read[d][4:6], map(EDGES.__getitem__, read[d][6]))
+            own = [kinds[k] for k in of]
+            labels = self.decided([u[: len(k)] for u, k in zip(scores[first : first + len(of)].tolist(), own)], own, list(edges))
+            if any(labels):
+                yield d, labels
 
     def _beliefs(self, scores: list[list[float]], kinds: list[list[int]], edges: list[tuple[int, int, str]]) -> list[list[float]]:
         """Loopy sum-product in the log domain until the messages stand still; damped where there are loops,
@@ -428,41 +532,55 @@ class Model:
         for _ in range(PASSES):
             new, change = [], 0.0
             for (a, _, table, back), old in zip(ways, messages):
-                f = [x - y for x, y in zip(belief[a], messages[back])]
-                m = []
-                for row in table:
-                    z = [x + y for x, y in zip(f, row)]
-                    top = max(z)
-                    m.append(top + log(sum(exp(x - top) for x in z)))
-                m = [(1 - keep) * (x - m[0]) + keep * y for x, y in zip(m, old)]
-                change = max(change, max(abs(x - y) for x, y in zip(m, old)))
+                if len(table) == 2 and len(belief[a]) == 2:  # as below, for two labels on both sides
+                    (x, y), (less, more) = belief[a], messages[back]
+                    x, y, ((s, t), (u, v)) = x - less, y - more, table
+                    s, t, u, v = x + s, y + t, x + u, y + v
+                    low = s + log(1.0 + exp(t - s)) if s >= t else t + log(exp(s - t) + 1.0)
+                    high = u + log(1.0 + exp(v - u)) if u >= v else v + log(exp(u - v) + 1.0)
+                    m = [0.0, (1 - keep) * (high - low) + keep * old[1]]
+                    moved = abs(m[1] - old[1])
+                else:
+                    f = [x - y for x, y in zip(belief[a], messages[back])]
+                    m = []
+                    for row in table:
+                        z = [x + y for x, y in zip(f, row)]
+                        top = max(z)
+                        m.append(top + log(sum(exp(x - top) for x in z)))
+                    m = [(1 - keep) * (x - m[0]) + keep * y for x, y in zip(m, old)]
+                    moved = max(abs(x - y) for x, y in zip(m, old))
+                if moved > change:
+                    change = moved
                 new.append(m)
             messages = new
             belief = [list(u) for u in scores]
             for (_, b, _, _), m in zip(ways, messages):
-                belief[b] = [x + y for x, y in zip(belief[b], m)]
+                for k, x in enumerate(m):
+                    belief[b][k] += x
             if change < TOLERANCE:
                 break
         return belief
 
     def entities(self, text: str) -> list[tuple[str, str, int, int]]:
-        return self.told(self.reader.spans(text))
-
-    def told(self, spans: list[Span], edges: list[tuple[int, int, str]] | None = None) -> list[tuple[str, str, int, int]]:
         """Type, wording, start and end of the spans that are entities."""
-        return [(LABELS[k], s.text, s.start, s.end) for s, k in zip(spans, self.label(spans, edges)) if k]
+        spans = self.reader.spans(text)
+        return [(LABELS[k], s.text, s.start, s.end) for s, k in zip(spans, self.label(spans)) if k]
 
 
 FITTED = ("name", "figure")  # mail and street addresses have no other reading
 #: Slots of the two fits: the context alone (and a figure's form), then all.
 USED = {("context", "name"): CONTEXT, ("context", "figure"): tuple(range(12)), ("joint", "name"): tuple(range(SLOTS)), ("joint", "figure"): tuple(range(SLOTS))}
 BIAS = (-1, "")
-_CAPITALISED = re.compile(rf"(?<![\w'’])(?:{_CAP}|{_UP})")
+_CAPITALISED = re.compile(rf"[A-ZÀ-ÖØ-Þ](?<![\w'’][A-ZÀ-ÖØ-Þ])(?:{_CAP_REST}|{_UP_REST})")
 
 Edges = list[tuple[int, int, str]]
-#: What was read from a text: its share (a page of n copies counts one n-th in each), spans as tuples of their
-#: fields, their labels by evidence, edges.
-Read = tuple[float, list[tuple], list[int], Edges]
+KINDS = tuple(ALLOWED)
+_KIND, _EDGE = {k: i for i, k in enumerate(KINDS)}, {e: i for i, e in enumerate(EDGES)}
+#: What the fits need of a text: kinds of its spans (one byte each), their labels by evidence and 1, columns of the
+#: values of its names and figures, both ends of its edges and their kinds.
+Packed = tuple[bytes, bytes, tuple, tuple, tuple, tuple, bytes]
+#: The share of a text (a page of n copies counts one n-th in each) and the text as packed.
+Read = tuple[float, Packed]
 #: Kind → feature (slot and value) → row of the weights.
 Index = dict[str, dict[tuple, int]]
 
@@ -475,37 +593,42 @@ class Flat:
     edges."""
 
     def __init__(self, read: Iterable[Read]):
-        kinds, ys, shares, sizes, a, b, e = [], [], [], [], [], [], []
-        values: dict[str, list[list]] = {kind: [] for kind in FITTED}
-        for share, spans, labels, edges in read:
-            n = len(kinds)
-            for s in spans:
-                kinds.append(s[2])
-                if s[2] in values:
-                    values[s[2]].append(s[4])
-            ys += labels
-            shares.append(share)
-            sizes.append(len(spans))
-            for x, y, kind in edges:
-                a.append(n + x)
-                b.append(n + y)
-                e.append(kind)
-        place = {kind: i for i, kind in enumerate(EDGES)}
-        self.a, self.b, self.e = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array([place[x] for x in e], dtype=np.int64)
-        self.ys, self.of = np.array(ys, dtype=np.int64), np.repeat(np.arange(len(sizes)), sizes)
-        self.share = np.repeat(np.array(shares, dtype=float), sizes)
-        all_kinds = np.array(kinds, dtype=object)
-        self.at = {kind: np.flatnonzero(all_kinds == kind) for kind in FITTED}
-        self.columns = {kind: list(zip(*v)) for kind, v in values.items() if v}
-
-    def matrix(self, kind: str, index: dict[tuple, int], tables: list[tuple[int, dict]]) -> np.ndarray:
-        """Rows of the weights of each span of a kind, that of the bias last; one behind all where it has none."""
-        columns = self.columns[kind]
-        out = np.empty((len(columns[0]), len(tables) + 1), dtype=np.int32)
-        for n, (slot, table) in enumerate(tables):
-            out[:, n] = np.fromiter(map(table.get, columns[slot], repeat(len(index))), np.int32, len(out))
-        out[:, -1] = index[BIAS]
-        return out
+        shares, packed = zip(*rows) if (rows := list(read)) else ((), ())
+        kinds, ys, names, figures, a, b, e = zip(*packed) if packed else ((),) * 7
+        sizes = np.fromiter(map(len, kinds), np.int64, len(kinds))
+        self.first = np.cumsum(sizes) - sizes
+        self.of, self.share = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.array(shares, dtype=float), sizes)
+        self.ys = np.frombuffer(b"".join(ys), np.uint8).astype(np.int64) - 1
+        self.e = np.frombuffer(b"".join(e), np.uint8).astype(np.int64)
+        start = np.repeat(self.first, np.fromiter(map(len, e), np.int64, len(e)))
+        self.a, self.b = (start + np.fromiter(chain.from_iterable(x), np.int64, len(start)) for x in (a, b))
+        of = np.frombuffer(b"".join(kinds), np.uint8)
+        self.at = {kind: np.flatnonzero(of == _KIND[kind]) for kind in FITTED}
+        self.columns = {kind: [list(chain.from_iterable(c)) for c in zip(*filter(None, own))] for kind, own in (("name", names), ("figure", figures)) if any(own)}
+
+    def matrices(self, kind: str, indexes: dict[str, Index]) -> dict[str, np.ndarray]:
+        """For each fit the rows of the weights of each span of a kind, that of the bias last; one behind all where it
+        has none."""
+        columns, places = self.columns[kind], {i: {} for i in USED["joint", kind]}
+        for index in indexes.values():
+            for slot, v in index[kind]:
+                if slot in places:
+                    places[slot].setdefault(v, len(places[slot]))
+        out: dict[str, list[np.ndarray]] = {use: [] for use in indexes}
+        rows = {}
+        for use, index in indexes.items():
+            for slot in USED[use, kind]:
+                rows[use, slot] = np.full(len(places[slot]) + 1, len(index[kind]), dtype=np.int32)
+            for (slot, v), n in index[kind].items():
+                if (use, slot) in rows:
+                    rows[use, slot][places[slot][v]] = n
+        for slot, place in places.items():
+            own = [use for use in indexes if (use, slot) in rows]
+            if own:
+                at = np.fromiter(map(place.get, columns[slot], repeat(len(place))), np.int32, len(columns[slot]))
+                for use in own:
+                    out[use].append(rows[use, slot][at])
+        return {use: np.stack([*m, np.full(len(columns[0]), indexes[use][kind][BIAS], dtype=np.int32)], axis=1) for use, m in out.items()}
 
     def beside(self, ys: np.ndarray) -> np.ndarray:
         """How often each label stands beside a span along each kind of edge."""
@@ -524,19 +647,28 @@ class Block:
     y: np.ndarray
     n: np.ndarray
 
+    @cached_property
+    def near(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, column and count of the few labels beside."""
+        rows, columns = np.nonzero(self.beside)
+        return rows, columns, self.beside[rows, columns].astype(float)
+
     def gradient(self, w: np.ndarray) -> np.ndarray:
         z = _sums(w, self.m)
-        near = w[len(w) - self.beside.shape[1] :]
-        z += self.beside @ near
+        rows, columns, counts = self.near
+        behind = len(w) - self.beside.shape[1]
+        for k in range(1, w.shape[1]):
+            z[:, k] += np.bincount(rows, weights=counts * w[behind + columns, k], minlength=len(z))
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(z)), self.y] -= 1.0
         p *= self.n[:, None]
         grad = np.zeros(w.shape)
-        flat = self.m.ravel()
         for k in range(1, w.shape[1]):
-            grad[:, k] = np.bincount(flat, weights=np.repeat(p[:, k], self.m.shape[1]), minlength=len(w) + 1)[:-1]
-        grad[len(w) - self.beside.shape[1] :, 1:] += self.beside.T @ p[:, 1:]
+            own = np.ascontiguousarray(p[:, k])
+            for column in self.m.T:
+                grad[:, k] += np.bincount(column, weights=own, minlength=len(w) + 1)[:-1]
+            grad[behind:, k] += np.bincount(columns, weights=counts * p[rows, k], minlength=self.beside.shape[1])
         return grad
 
 
@@ -544,7 +676,10 @@ def _sums(w: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Scores of each row, one column per allowed label."""
     z = np.zeros((len(m), w.shape[1]))
     for k in range(1, w.shape[1]):
-        z[:, k] = np.append(w[:, k], 0.0)[m].sum(axis=1)
+        own, total = np.append(w[:, k], 0.0), np.zeros(len(m))
+        for column in m.T:  # no table of all weights is made
+            total += own[column]
+        z[:, k] = total
     return z
 
 
@@ -565,7 +700,7 @@ def _whole(blocks: Iterable[tuple[str, Block]]) -> dict[str, Block]:
     by: dict[str, list[Block]] = defaultdict(list)
     for kind, b in blocks:
         by[kind].append(b)
-    return {k: Block(*(np.concatenate([getattr(b, f) for b in bs]) for f in ("m", "beside", "y", "n"))) for k, bs in by.items()}
+    return {k: Block(np.asfortranarray(np.concatenate([b.m for b in bs])), *(np.concatenate([getattr(b, f) for b in bs]) for f in ("beside", "y", "n"))) for k, bs in by.items()}
 
 
 def _gradients(blocks: dict[str, Block], w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -576,8 +711,9 @@ def _words(texts: Iterable[tuple[str, float]]) -> dict[str, list[float]]:
     """In how many texts a capitalised word stands, and in how many in a mail address; "" for all texts."""
     out: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
     seen: dict[float, Counter] = defaultdict(Counter)
+    folded = Kept(str.casefold)
     for t, share in texts:
-        seen[share].update({w.casefold() for w in set(_CAPITALISED.findall(t))})
+        seen[share].update({folded[w] for w in set(_CAPITALISED.findall(t))})
         for w in {w.casefold() for a, b in mails(t) for w in _LETTERS.findall(re.split("[@＠]|\\s|[(\\[]", t[a:b])[0])}:
             out[w][1] += share
         out[""][0] += share
@@ -597,18 +733,19 @@ def _common(words: Iterable[tuple[str, float, float]]) -> set[str]:
     return {w for w, seen, mailed in words if w and not (mailed >= 3 - EXACT and len(w) > 2 and 20 * mailed >= seen - EXACT)}
 
 
-def _counts(read: Iterable[Read]) -> Counter:
-    """How often a feature comes up: whether evidence labels its span, kind, slot, value."""
-    flat, out = Flat(read), Counter()
+def _counts(read: Iterable[Read]) -> dict[tuple, list[float]]:
+    """How often a feature (kind, slot, value) comes up in spans that evidence labels, and in all."""
+    flat, out = Flat(read), {}
     for kind, columns in flat.columns.items():
-        known, share = flat.ys[flat.at[kind]] >= 0, flat.share[flat.at[kind]]
-        for so in (True, False):
-            for part in np.unique(share).tolist():
-                chosen = ((known == so) & (share == part)).tolist()
-                for i in USED["joint", kind]:
-                    for v, n in Counter(compress(columns[i], chosen)).items():
-                        if v is not None:
-                            out[so, kind, i, v] += part * n
+        at = flat.at[kind]
+        weights = flat.share[at]
+        known = weights * (flat.ys[at] >= 0)
+        for i in USED["joint", kind]:
+            place: dict[object, int] = defaultdict(count().__next__)
+            rows = np.fromiter(map(place.__getitem__, columns[i]), np.int64, len(at))
+            for v, *n in zip(place, np.bincount(rows, known).tolist(), np.bincount(rows, weights).tolist()):
+                if v is not None:
+                    out[kind, i, v] = n
     return out
 
 
@@ -633,30 +770,20 @@ def _index(use: str, features: Iterable[tuple[str, int, object]]) -> Index:
     return out
 
 
-def _slots(use: str, index: Index) -> dict[str, list[tuple[int, dict]]]:
-    out = {kind: [(i, {}) for i in USED[use, kind]] for kind in FITTED}
-    for kind, features in index.items():
-        tables = dict(out[kind])
-        for (i, v), n in features.items():
-            if i in tables:
-                tables[i][v] = n
-    return out
-
-
 def _rows(read: Iterable[Read], indexes: dict[str, Index], context: dict[str, np.ndarray] | None) -> Counter:
     """Equal rows of a fit: kind; rows of the weights, labels beside it and the column of its label in one. Without
     ``context`` those of the spans that evidence labels, by their context; with it those of all spans."""
     use = "joint" if context else "context"
     flat, out = Flat(read), Counter()
-    ys = _completed(flat, indexes["context"], context) if context else flat.ys
+    matrices = {kind: flat.matrices(kind, indexes if context else {use: indexes[use]}) for kind in flat.columns}
+    ys = _completed(flat, {kind: m["context"] for kind, m in matrices.items()}, context) if context else flat.ys
     beside = flat.beside(ys) if context else np.empty((len(ys), 0), dtype=np.int32)
-    tables = _slots(use, indexes[use])
     for kind in flat.columns:
-        at, index = flat.at[kind], indexes[use][kind]
+        at = flat.at[kind]
         column = np.full(len(LABELS) + 1, -1)
         column[ALLOWED[kind]] = range(len(ALLOWED[kind]))  # the last, of no evidence, has none
         y = column[ys[at]]
-        rows = np.hstack([flat.matrix(kind, index, tables[kind]), beside[at], y[:, None]]).astype(np.int32)
+        rows = np.hstack([matrices[kind][use], beside[at], y[:, None]]).astype(np.int32)
         share = flat.share[at]
         for part in np.unique(share).tolist():
             own = np.ascontiguousarray(rows[(y >= 0) & (share == part)])
@@ -665,14 +792,13 @@ def _rows(read: Iterable[Read], indexes: dict[str, Index], context: dict[str, np
     return out
 
 
-def _completed(flat: Flat, index: Index, context: dict[str, np.ndarray]) -> np.ndarray:
+def _completed(flat: Flat, matrices: dict[str, np.ndarray], context: dict[str, np.ndarray]) -> np.ndarray:
     """Labels by evidence and, where it is silent, by the context alone; evidence against a name that the
     context surely contradicts is turned."""
     out = flat.ys.copy()
-    tables = _slots("context", index)
     for kind in flat.columns:
         at = flat.at[kind]
-        z = _sums(context[kind], flat.matrix(kind, index[kind], tables[kind]))
+        z = _sums(context[kind], matrices[kind])
         best, top = z.argmax(axis=1), z.max(axis=1)
         sure = 1 / np.exp(z - top[:, None]).sum(axis=1) > 0.95
         told = out[at]
@@ -702,7 +828,7 @@ def _weights(index: Index, w: dict[str, np.ndarray]) -> tuple[dict[str, list[dic
 def _block(kind: str, rows: list[bytes], n: list[float], use: str) -> Block:
     width, own = len(rows[0]) // 4, len(USED[use, kind]) + 1
     m = np.frombuffer(b"".join(rows), dtype=np.int32).reshape(len(rows), width)
-    return Block(np.ascontiguousarray(m[:, :own]), np.ascontiguousarray(m[:, own:-1]), m[:, -1].astype(np.int64), np.array(n, dtype=float))
+    return Block(np.asfortranarray(m[:, :own]), np.ascontiguousarray(m[:, own:-1]), m[:, -1].astype(np.int64), np.array(n, dtype=float))
 
 
 def fit(texts: list[str], given: set[str]) -> Model:
@@ -711,16 +837,13 @@ def fit(texts: list[str], given: set[str]) -> Model:
     words = _words((t, 1.0) for t in texts)
     least = _least_common(len(texts))
     reader = Reader(given, _common((w, *n) for w, n in words.items() if n[0] >= least))
-    read: list[Read] = [(1.0, *_told(spans), similar(spans, reader)) for t in texts if (spans := reader.spans(t))]
+    read: list[Read] = [(1.0, _packed(spans, similar(spans, reader))) for t in texts if (spans := reader.spans(t))]
     counts = _counts(read)
     indexes: dict[str, Index] = {}
     for use in ("context", "joint"):
         kept = []
         for kind in FITTED:
-            own: Counter = Counter()
-            for (known, k, i, v), n in counts.items():
-                if k == kind and i in USED[use, kind] and (known or use == "joint"):
-                    own[kind, i, v] += n
+            own = {f: n[use == "joint"] for f, n in counts.items() if f[0] == kind and f[1] in USED[use, kind]}
             least = _least_seen(Counter(int(n) for n in own.values()))
             kept += [f for f, n in own.items() if n >= least]
         indexes[use] = _index(use, kept)
@@ -790,42 +913,48 @@ def _reader(shared: DataFrame, given_names: DataFrame) -> Reader:
     return Reader({r["n"].casefold() for r in names.toLocalIterator()}, _common(map(tuple, frequent)))
 
 
-def _told(spans: list[Span]) -> tuple[list[tuple], list[int]]:
-    return [(s.start, s.end, s.kind, s.text, s.values, s.joined) for s in spans], [evidence(s) for s in spans]
-
-
-def _unpack(packed: bytes) -> tuple[list[tuple], list[int], Edges]:
-    return marshal.loads(packed)
+def _packed(spans: list[Span], edges: list[tuple[int, int, str]]) -> Packed:
+    a, b, e = zip(*edges) if edges else ((), (), ())
+    return (
+        bytes([_KIND[s.kind] for s in spans]),
+        bytes([evidence(s) + 1 for s in spans]),
+        *(tuple(zip(*[s.values for s in spans if s.kind == kind])) for kind in FITTED),
+        a,
+        b,
+        bytes([_EDGE[x] for x in e]),
+    )
 
 
 def spans_of(shared: DataFrame, reader: Reader) -> DataFrame:
-    """doc_id, share, spans: the candidates of every text that has any and their edges, written once for the
-    fits and the labels; without a share the counts of their features, one row per batch."""
+    """doc_id, share, spans, places: the candidates of every text that has any and their edges, written once for the
+    fits and the labels, and where they stand; without a share the counts of their features, one row per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "share", "spans", "places"]
         for b in batches:
             texts = b.column(1).to_pylist()
             found = {}
             for t in dict.fromkeys(texts):  # copies of a page are read once
                 spans = reader.spans(t)
-                found[t] = (_told(spans), similar(spans, reader)) if spans else None
-            counts = _counts((share, *found[t][0], found[t][1]) for t, share in zip(texts, b.column(2).to_pylist()) if found[t])
-            packed = {t: f and marshal.dumps((*f[0], f[1])) for t, f in found.items()}
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([packed[t] for t in texts], pa.binary())], ["doc_id", "share", "spans"])
+                if spans:
+                    found[t] = _packed(spans, similar(spans, reader)), marshal.dumps([(s.start, s.end, s.text) for s in spans])
+            counts = _counts((share, found[t][0]) for t, share in zip(texts, b.column(2).to_pylist()) if t in found)
+            packed = {t: (marshal.dumps(f), places) for t, (f, places) in found.items()}
+            own = [packed.get(t, (None, None)) for t in texts]
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([x[i] for x in own], pa.binary()) for i in (0, 1))], names)
             yield out.filter(out.column(2).is_valid())
             if counts:
-                rows = [(*f[1:], n if f[0] else 0.0, n) for f, n in counts.items()]
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, b.column(0).type), pa.nulls(1, pa.float64()), pa.array([marshal.dumps(rows)], pa.binary())], ["doc_id", "share", "spans"])
+                rows = [(*f, *n) for f, n in counts.items()]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, b.column(0).type), pa.nulls(1, pa.float64()), pa.array([marshal.dumps(rows)], pa.binary()), pa.nulls(1, pa.binary())], names)
 
     spark = shared.sparkSession
     path = scratch(spark, "pii-spans")
-    shared.mapInArrow(_kept(run), f"doc_id {dict(shared.dtypes)['doc_id']}, share double, spans binary").write.option("compression", "zstd").parquet(path)
+    shared.mapInArrow(_kept(run), f"doc_id {dict(shared.dtypes)['doc_id']}, share double, spans binary, places binary").write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
 def _read(b: pa.RecordBatch) -> Iterator[Read]:
-    for share, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-        yield (share, *_unpack(packed))
+    return zip(b.column(0).to_pylist(), map(marshal.loads, b.column(1).to_pylist()))
 
 
 def _indexes(written: DataFrame) -> dict[str, Index]:
@@ -931,15 +1060,15 @@ def found(documents: DataFrame, given_names: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            read = [_unpack(packed) for packed in b.column(1).to_pylist()]
-            ids, rows = b.column(0).to_pylist(), []
-            for d in model.doubtful(read):
-                own, _, edges = read[d]
-                rows += [(ids[d], *e) for e in model.told([Span(*s) for s in own], edges)]
+            read = [marshal.loads(packed) for packed in b.column(1).to_pylist()]
+            ids, places, rows = b.column(0), b.column(2), []
+            for d, labels in model.labels(read):
+                own = ids[d].as_py()
+                rows += [(own, LABELS[k], text, start, end) for k, (start, end, text) in zip(labels, marshal.loads(places[d].as_py())) if k]
             if rows:
                 yield _entity_batch(rows, b.schema.field(0).type)
 
-    return _with_spans(written).select("doc_id", "spans").mapInArrow(_kept(run), _entity_schema(documents))
+    return _with_spans(written).select("doc_id", "spans", "places").mapInArrow(_kept(run), _entity_schema(documents))
 
 
 def _entity_schema(documents: DataFrame) -> str:
